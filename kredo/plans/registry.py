@@ -4,3 +4,4 @@ from kredo.plans import features  # noqa: F401
 from kredo.plans.common import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
+from kredo.plans import logs  # noqa: F401,E402
