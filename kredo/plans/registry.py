@@ -6,3 +6,4 @@ from kredo.plans.common import ORACLE, QUERIES
 __all__ = ["QUERIES", "ORACLE"]
 from kredo.plans import logs  # noqa: F401,E402
 from kredo.plans import evaluation  # noqa: F401,E402
+from kredo.plans import drift  # noqa: F401,E402

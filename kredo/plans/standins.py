@@ -176,6 +176,14 @@ def applications(spark: SparkSession, d: str) -> DataFrame:
         F.col("c_mktsegment").alias("OCCUPATION_TYPE"),
         status.alias("NAME_CONTRACT_STATUS"),
         prio.alias("NAME_EDUCATION_TYPE"),
+        F.when(F.col("c_custkey") % 2 == 0, "F").otherwise("M").alias("CODE_GENDER"),
+        F.when(F.col("o_totalprice") > 200000, "Y").otherwise("N").alias("FLAG_OWN_CAR"),
+        F.when(F.col("c_acctbal") > 0, "Y").otherwise("N").alias("FLAG_OWN_REALTY"),
+        status.alias("NAME_FAMILY_STATUS"),
+        F.when(F.col("c_nationkey") < 10, "House / apartment")
+         .when(F.col("c_nationkey") < 20, "With parents").otherwise("Rented apartment")
+         .alias("NAME_HOUSING_TYPE"),
+        F.to_date("o_orderdate").alias("APPLICATION_DATE"),
     )
 
 
@@ -191,9 +199,18 @@ SQL_APPLICATIONS = f"""applications AS (
          CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS FLAG_DOCUMENT_2,
          CASE WHEN o_orderstatus = 'P' THEN 1 WHEN o_orderstatus = 'O' THEN NULL ELSE 0 END AS FLAG_DOCUMENT_3,
          c_mktsegment AS OCCUPATION_TYPE, o_orderstatus AS NAME_CONTRACT_STATUS,
-         o_orderpriority AS NAME_EDUCATION_TYPE
+         o_orderpriority AS NAME_EDUCATION_TYPE,
+         CASE WHEN c_custkey % 2 = 0 THEN 'F' ELSE 'M' END AS CODE_GENDER,
+         CASE WHEN o_totalprice > 200000 THEN 'Y' ELSE 'N' END AS FLAG_OWN_CAR,
+         CASE WHEN c_acctbal > 0 THEN 'Y' ELSE 'N' END AS FLAG_OWN_REALTY,
+         o_orderstatus AS NAME_FAMILY_STATUS,
+         CASE WHEN c_nationkey < 10 THEN 'House / apartment' WHEN c_nationkey < 20 THEN 'With parents'
+              ELSE 'Rented apartment' END AS NAME_HOUSING_TYPE,
+         CAST(o_orderdate AS DATE) AS APPLICATION_DATE
   FROM orders JOIN customer ON o_custkey = c_custkey)"""
 
+APPLICATION_SPLIT = "1999-01-01"   # applications before = reference, from = recent
+
 
 # ---------------------------------------------------------------- prediction log
 GPU_TYPES = ("purchase", "signup")
