@@ -38,8 +38,7 @@ def local_day_start(as_of: Column) -> Column:
 def date_to_days(date_str: Column, as_of: Column, default: int) -> Column:
     """T4/T5: 'yyyy-MM-dd' -> signed days from ``as_of`` (negative = past);
     empty or bad strings give ``default`` (-15000 birth, -500 employment)."""
-    d = F.try_to_date(date_str, F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") \
-        else F.expr("try_to_date(" + date_str._jc.toString() + ", 'yyyy-MM-dd')")
+    d = F.try_to_date(date_str, "yyyy-MM-dd")
     return F.coalesce(F.datediff(d, F.to_date(as_of)), F.lit(default))
 
 

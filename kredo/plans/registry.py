@@ -8,3 +8,4 @@ from kredo.plans import logs  # noqa: F401,E402
 from kredo.plans import evaluation  # noqa: F401,E402
 from kredo.plans import drift  # noqa: F401,E402
 from kredo.plans import prep  # noqa: F401,E402
+from kredo.plans import ops  # noqa: F401,E402
