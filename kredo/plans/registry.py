@@ -10,3 +10,4 @@ from kredo.plans import drift  # noqa: F401,E402
 from kredo.plans import prep  # noqa: F401,E402
 from kredo.plans import ops  # noqa: F401,E402
 from kredo.plans import scoring  # noqa: F401,E402
+from kredo.plans import streams  # noqa: F401,E402

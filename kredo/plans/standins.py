@@ -218,7 +218,11 @@ GPU_TYPES = ("purchase", "signup")
 
 def api_logs(spark: SparkSession, d: str) -> DataFrame:
     """The prediction log (api_logs schema) derived from ``events``."""
-    e = table(spark, d, "events")
+    return api_logs_from(table(spark, d, "events"))
+
+
+def api_logs_from(e: DataFrame) -> DataFrame:
+    """The api_logs projection of an events frame (batch or stream)."""
     et = F.col("event_type")
     gpu = et.isin(*GPU_TYPES)
     return e.select(

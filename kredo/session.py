@@ -43,11 +43,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     (local runs and tests) a private folder under /tmp is created and set.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="kredo-ckpt-")
-    sc.setCheckpointDir(current)
-    return current
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="kredo-ckpt-"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df):
