@@ -19,7 +19,6 @@ CATALOG_FILES = [
     "installments_payments.csv", "HomeCredit_columns_description.csv",
 ]
 ENCODINGS = ("UTF-8", "ISO-8859-1", "windows-1252")
-REPLACEMENT = "�"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -30,13 +29,13 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def detect_encoding(spark: SparkSession, path: str, encodings=ENCODINGS) -> str:
-    """First encoding that decodes the file.  UTF-8 is tested by reading
-    the file as text: an undecodable byte becomes U+FFFD, and one such line
-    is enough (the scan stops at the first hit).  ISO-8859-1 decodes any
-    byte, so later encodings are only reached if it is not listed."""
+    """First encoding that decodes the file.  UTF-8 is tested on the raw
+    lines with ``is_valid_utf8``; one bad line is enough (the scan stops at
+    the first hit).  ISO-8859-1 decodes any byte, so later encodings are only
+    reached if it is not listed."""
     for enc in encodings:
         if enc.upper().replace("_", "-") in ("UTF-8", "UTF8"):
-            bad = spark.read.text(path).where(F.col("value").contains(REPLACEMENT)).limit(1).count()
+            bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
             if not bad:
                 return enc
             continue
