@@ -35,7 +35,7 @@ def build_pipeline(numeric: list[str], categorical: list[str], label: str = "lab
     if model == "logistic":
         clf = LogisticRegression(labelCol=label, featuresCol="features", maxIter=max_iter)
     elif model == "gbt":
-        clf = GBTClassifier(labelCol=label, featuresCol="features", maxIter=max_iter, seed=42)
+        clf = GBTClassifier(labelCol=label, featuresCol="features", maxIter=min(max_iter, 20), seed=42)
     else:
         raise ValueError(f"unknown model {model!r}")
     return Pipeline(stages=[*idx, *ohe, asm, scaler, clf])
