@@ -50,3 +50,33 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
 def to_json_text(*cols: str) -> Column:
     """Columns -> JSON text, NULL kept as null (NaN made NULL first)."""
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
+
+
+# The payload field groups shown for one logged request.
+FIELD_GROUPS = {
+    "personal": ["CODE_GENDER", "NAME_FAMILY_STATUS", "NAME_HOUSING_TYPE", "NAME_EDUCATION_TYPE",
+                 "OCCUPATION_TYPE"],
+    "financial": ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE"],
+    "work": ["DAYS_EMPLOYED", "DAYS_BIRTH", "CNT_CHILDREN", "CNT_FAM_MEMBERS", "FLAG_OWN_CAR",
+             "FLAG_OWN_REALTY"],
+    "external": ["EXT_SOURCE_1", "EXT_SOURCE_2", "EXT_SOURCE_3", "NAME_CONTRACT_TYPE"],
+}
+
+
+def field_groups(df: DataFrame, payload: str = "input_data",
+                 groups: dict[str, list[str]] | None = None) -> DataFrame:
+    """One map column per group with the payload keys of that group
+    that are present (absent keys are left out, like the reference)."""
+    m = parse_object(payload)
+    groups = FIELD_GROUPS if groups is None else groups
+    cols = {}
+    for name, keys in groups.items():
+        wanted = F.array(*[F.lit(k) for k in keys])
+        cols[name] = F.map_filter(m, lambda k, v: F.array_contains(wanted, k))
+    return df.withColumns(cols)
+
+
+def client_id(payload_map: Column) -> Column:
+    """SK_ID_CURR, else client_id; a 0 id falls through like a missing one."""
+    first = F.nullif(payload_map["SK_ID_CURR"].try_cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(first, payload_map["client_id"].try_cast("long"))

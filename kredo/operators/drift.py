@@ -154,3 +154,17 @@ def mean_shift_summary(details: DataFrame, total_monitored: int) -> DataFrame:
            .otherwise("none"))
     return c.select((sev == "severe").alias("drift_detected"), sev.alias("drift_severity"),
                     n30, n50, F.lit(total_monitored).alias("total_monitored"))
+
+
+def detect_drift(logs: DataFrame, reference: DataFrame, as_of: str | None = None,
+                 last_n_hours: int = 24, threshold: float = DEFAULT_DRIFT_THRESHOLD,
+                 fields: list[str] | None = None, numeric: set[str] | None = None):
+    """D3: payloads of the last ``last_n_hours`` of the log (N1/N2) compared
+    with the reference table (D2).  Returns (details, summary); recording
+    (S11) and the drift alert (X3) are left to the caller's sinks."""
+    from kredo.functions.payload import payload_frame
+    from kredo.operators.logstats import recent
+    fields = list(MONITORED_INPUT_FIELDS if fields is None else fields)
+    recent_rows = payload_frame(recent(logs, as_of, last_n_hours), "input_data", fields=fields)
+    details = compare_fields(recent_rows, reference, fields, numeric)
+    return details, drift_summary(details, recent_rows, threshold)

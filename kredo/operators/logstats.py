@@ -154,7 +154,8 @@ def score_distribution(logs: DataFrame, as_of: str | None = None, days: int = 7,
     n = base.agg(F.count(F.lit(1)).alias("n")).scalar()
     return (r.groupBy(risk_bucket("score").alias("risk_bucket"))
             .agg(F.count(F.lit(1)).alias("count"))
-            .withColumn("percentage", round_half(F.try_divide(F.lit(100.0) * F.col("count"), n), 2)))
+            .withColumn("percentage", round_half(F.try_divide(F.lit(100.0) * F.col("count"), n), 2))
+            .orderBy("risk_bucket"))                                            # O8
 
 
 def score_histogram(logs: DataFrame, bins: int = 50) -> DataFrame:
@@ -219,7 +220,8 @@ def latency_anomalies(logs: DataFrame, as_of: str | None = None, hours: int = 24
     return (r.where(F.col("latency_seconds") > p95)
             .select("log_id", "timestamp", "client_id", "score", "latency_seconds",
                     p95.alias("p95_latency"),
-                    round_half(F.lit(100.0) * F.col("latency_seconds") / p95, 2).alias("pct_of_p95")))
+                    round_half(F.lit(100.0) * F.col("latency_seconds") / p95, 2).alias("pct_of_p95"))
+            .orderBy(F.col("latency_seconds").desc(), F.col("log_id")))      # O7
 
 
 def type_split_counts(logs: DataFrame) -> DataFrame:

@@ -142,6 +142,7 @@ def score_requests(requests: DataFrame, model: PipelineModel, numeric: list[str]
     -> one row per item; numeric fields that do not convert reject the item
     (error_message lists them) while the other items of the batch are
     scored.  Output follows the prediction-log schema."""
+    from kredo.functions.payload import client_id
     from kredo.operators.encoding import invalid_numeric_fields
     arr = F.coalesce(F.from_json(F.col(payload), "array<map<string,string>>"),
                      F.array(F.from_json(F.col(payload), "map<string,string>")))
@@ -156,8 +157,7 @@ def score_requests(requests: DataFrame, model: PipelineModel, numeric: list[str]
     scored = predict_proba(typed, model, numeric, categorical)
     return scored.select(
         *id_cols, "item_no", "prediction_type",
-        F.coalesce(F.col("m")["SK_ID_CURR"].try_cast("long"), F.col("m")["client_id"].try_cast("long"))
-        .alias("client_id"),
+        client_id(F.col("m")).alias("client_id"),
         F.to_json("m").alias("input_data"),
         F.when(F.size("_bad") == 0, F.col("score")).alias("score"),
         F.when(F.size("_bad") > 0, F.concat(F.lit("invalid numeric fields: "),
