@@ -78,9 +78,9 @@ def prediction_stats(logs: DataFrame, as_of: str | None = None, last_n_hours: in
         round_half(F.lit(100.0) * failed / F.greatest(total, F.lit(1)), 2).alias("error_rate_pct"),
     )
     pct = percentile_columns(r, "latency_seconds", {"p95": 0.95, "p99": 0.99}, exact=exact)
-    return base.select("*",
-                       z(pct.select("p95").scalar()).alias("p95_latency_seconds"),
-                       z(pct.select("p99").scalar()).alias("p99_latency_seconds"))
+    p = pct.select(F.struct("p95", "p99")).scalar()   # one subquery for both
+    return base.select("*", z(p["p95"]).alias("p95_latency_seconds"),
+                       z(p["p99"]).alias("p99_latency_seconds"))
 
 
 def frame_stats(logs: DataFrame, as_of: str | None = None, hours: int = 24) -> DataFrame:
@@ -175,8 +175,11 @@ def box_stats(df: DataFrame, value_col: str, group_cols: list[str] | tuple = (),
     g = list(group_cols)
     q = percentile_columns(df, value_col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, g, exact)
     v = F.col(value_col)
-    j = df.where(v.isNotNull()).join(q, on=g, how="inner") if g else \
-        df.where(v.isNotNull()).select("*", *[q.select(c).scalar().alias(c) for c in ("q1", "median", "q3")])
+    if g:
+        j = df.where(v.isNotNull()).join(q, on=g, how="inner")
+    else:
+        qs = q.select(F.struct("q1", "median", "q3")).scalar()   # one subquery
+        j = df.where(v.isNotNull()).select("*", *[qs[c].alias(c) for c in ("q1", "median", "q3")])
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     return j.groupBy(*g).agg(

@@ -165,5 +165,5 @@ def evaluate_model(df: DataFrame, cost_fn: float = COST_FN, cost_fp: float = COS
         return m
     ap = average_precision(df)
     opt = find_optimal_threshold(df, cost_fn=cost_fn, cost_fp=cost_fp)
-    return m.select("*", ap.scalar().alias("auc_pr"),
-                    *[opt.select(c).scalar().alias(c) for c in opt.columns])
+    o = opt.select(F.struct(*opt.columns)).scalar()          # one subquery
+    return m.select("*", ap.scalar().alias("auc_pr"), *[o[c].alias(c) for c in opt.columns])

@@ -41,7 +41,8 @@ def running_totals(df: DataFrame, order_col: str, measures: dict[str, Column],
                    group_cols: list[str] | tuple = (), descending: bool = False,
                    buckets: int | None = None) -> DataFrame:
     """Return one row per distinct (group, order value) with each measure
-    summed (``<m>``) and its running total in order (``cum_<m>``)."""
+    summed (``<m>``), its running total in order (``cum_<m>``) and the group
+    total (``tot_<m>``, known from the bucket totals at no extra pass)."""
     g = list(group_cols)
     B = _bucket_count(df, buckets)
     distinct = (df.where(F.col(order_col).isNotNull())
@@ -63,14 +64,17 @@ def running_totals(df: DataFrame, order_col: str, measures: dict[str, Column],
     totals = tagged.groupBy(*g, _B).agg(*[F.sum(n).alias(f"_bt_{n}") for n in measures])
     w_off = (Window.partitionBy(*g).orderBy(_B)
              .rowsBetween(Window.unboundedPreceding, -1))
+    w_all = Window.partitionBy(*g)
     offsets = totals.select(*g, _B, *[
-        F.coalesce(F.sum(f"_bt_{n}").over(w_off), F.lit(0)).alias(f"_off_{n}") for n in measures])
+        F.coalesce(F.sum(f"_bt_{n}").over(w_off), F.lit(0)).alias(f"_off_{n}") for n in measures], *[
+        F.sum(f"_bt_{n}").over(w_all).alias(f"tot_{n}") for n in measures])
     joined = tagged.join(offsets, on=[*g, _B], how="inner")
     order = o.desc() if descending else o.asc()
     w = (Window.partitionBy(*g, _B).orderBy(order)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return joined.select(*g, order_col, *measures.keys(), *[
-        (F.col(f"_off_{n}") + F.sum(n).over(w)).alias(f"cum_{n}") for n in measures])
+        (F.col(f"_off_{n}") + F.sum(n).over(w)).alias(f"cum_{n}") for n in measures],
+        *[f"tot_{n}" for n in measures])
 
 
 def exact_percentiles(df: DataFrame, value_col: str, probs: dict[str, float],
@@ -79,12 +83,8 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: dict[str, float],
     """PERCENTILE_CONT for each ``name -> p`` (linear interpolation between
     the values at ranks floor/ceil of p*(n-1)), per group.  NULLs ignored."""
     g = list(group_cols)
-    rt = running_totals(df, value_col, {"_n": F.lit(1)}, g, buckets=buckets)
-    n_tab = rt.groupBy(*g).agg(F.max("cum__n").alias("_total"))
-    if g:
-        rt = rt.join(n_tab, on=g, how="inner")
-    else:
-        rt = rt.withColumn("_total", n_tab.select("_total").scalar())
+    rt = running_totals(df, value_col, {"_n": F.lit(1)}, g, buckets=buckets) \
+        .withColumnRenamed("tot__n", "_total")
     first = F.col("cum__n") - F.col("_n")          # 0-based rank of first copy
     last = F.col("cum__n") - 1                     # 0-based rank of last copy
     aggs = []
