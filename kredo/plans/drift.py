@@ -40,7 +40,8 @@ def _cat_profile_sql(side: str, name: str) -> str:
     cols = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in CAT)
     return f"""{name}_l AS (UNPIVOT (SELECT {cols} FROM {side}) ON COLUMNS(*) INTO NAME feature VALUE value),
 {name}_c AS (SELECT feature, value, count(*) AS n FROM {name}_l GROUP BY 1, 2),
-{name} AS (SELECT feature, value AS top_value, n AS top_count, total, n_values, n / total AS top_share FROM (
+{name} AS (SELECT feature, value AS top_value, n AS top_count, CAST(total AS BIGINT) AS total, n_values,
+  n / total AS top_share FROM (
   SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) AS rk,
     sum(n) OVER (PARTITION BY feature) AS total, count(*) OVER (PARTITION BY feature) AS n_values
   FROM {name}_c) WHERE rk = 1)"""
@@ -63,7 +64,7 @@ def q_category_profile(spark, d):
 
 @register("category_shares", f"""WITH {_SIDES}, {_cat_profile_sql('ref', 'p')}
 SELECT feature, value, n, {rnd('n / sum(n) OVER (PARTITION BY feature)')} AS share,
-  row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) AS rank FROM p_c""")
+  CAST(row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) AS INTEGER) AS rank FROM p_c""")
 def q_category_shares(spark, d):
     rec, ref = _sides(spark, d)
     return rounded(P.category_shares(ref, CAT))
@@ -82,7 +83,7 @@ cd AS (SELECT f.feature, 'categorical' AS comparison_type, f.top_share AS avg_re
 details AS (SELECT *, change * 100 AS change_pct,
   CASE WHEN change <= 0.05 THEN 'ok' WHEN change < 0.15 THEN 'low' WHEN change < 0.25 THEN 'medium'
        ELSE 'critical' END AS status_code,
-  list_position({FIELDS_SQL}, feature) AS position
+  CAST(list_position({FIELDS_SQL}, feature) AS BIGINT) AS position
   FROM (SELECT * FROM nd UNION ALL SELECT * FROM cd))"""
 
 

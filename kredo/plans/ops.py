@@ -18,12 +18,12 @@ CTE = f"WITH {S.SQL_API_LOGS}\n"
 _ALERTS_SQL = f"""alerts AS (
   SELECT log_id * 10 + 2 AS alert_id, 'error_rate' AS alert_type, 'WARNING' AS severity,
     'batch item failed: ' || error_message AS message,
-    to_json({{'log_id': log_id, 'client_id': client_id}}) AS metadata,
+    CAST(to_json({{'log_id': log_id, 'client_id': client_id}}) AS VARCHAR) AS metadata,
     false AS acknowledged, "timestamp" AS created_at, "timestamp" AS updated_at
   FROM api_logs WHERE prediction_type = 'batch' AND error_message IS NOT NULL
   UNION ALL
   SELECT log_id * 10 + 1, 'latency', 'INFO', printf('latency %.3f s above %.1f s', latency_seconds, 0.3),
-    to_json({{'log_id': log_id, 'client_id': client_id}}), false, "timestamp", "timestamp"
+    CAST(to_json({{'log_id': log_id, 'client_id': client_id}}) AS VARCHAR), false, "timestamp", "timestamp"
   FROM api_logs WHERE latency_seconds > 0.3)"""
 LATENCY_LIMIT = 0.3
 
