@@ -111,8 +111,10 @@ def status_counts(details: DataFrame) -> DataFrame:
 
 
 def top_drifting(details: DataFrame, n: int = 10) -> DataFrame:
-    """O3: top features by change (ties by name)."""
-    return details.orderBy(F.col("change_pct").desc(), F.col("feature")).limit(n)
+    """O3: top features by change, ranked on the change rounded to 6 decimals
+    (float noise must not decide between equal changes), ties by name."""
+    from kredo.functions.numeric import round_half
+    return details.orderBy(round_half(F.col("change_pct"), 6).desc(), F.col("feature")).limit(n)
 
 
 def monitored_numeric(df: DataFrame, exclude: set[str] = ID_COLUMNS,

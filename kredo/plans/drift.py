@@ -122,7 +122,7 @@ def q_drift_status_counts(spark, d):
 
 @register("drift_top10", f"""WITH {_DETAILS}
 SELECT feature, {rnd('change_pct')} AS change_pct, status_code FROM details
-ORDER BY change_pct DESC, feature LIMIT 10""")
+ORDER BY CAST(round(CAST(change_pct AS DECIMAL(38, 9)), 6) AS DOUBLE) DESC, feature LIMIT 10""")
 def q_drift_top10(spark, d):
     det, _ = _details(spark, d)
     return rounded(D.top_drifting(det, 10).select("feature", "change_pct", "status_code"))
