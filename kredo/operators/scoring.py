@@ -144,14 +144,19 @@ def score_requests(requests: DataFrame, model: PipelineModel, numeric: list[str]
     scored.  Output follows the prediction-log schema."""
     from kredo.functions.payload import client_id
     from kredo.operators.encoding import invalid_numeric_fields
-    arr = F.coalesce(F.from_json(F.col(payload), "array<map<string,string>>"),
-                     F.array(F.from_json(F.col(payload), "map<string,string>")))
+    text = F.trim(F.col(payload))
+    arr = F.when(text.startswith("["), F.from_json(F.col(payload), "array<map<string,string>>")) \
+        .otherwise(F.array(F.from_json(F.col(payload), "map<string,string>")))
+    # a payload (or batch item) that is not a JSON object is kept as a
+    # rejected row, never silently dropped
+    arr = F.coalesce(arr, F.array(F.lit(None).cast("map<string,string>")))
     items = requests.select(*id_cols, F.when(F.size(arr) > 1, "batch").otherwise("single")
                             .alias("prediction_type"),
-                            F.posexplode(arr).alias("item_no", "m")).where(F.col("m").isNotNull())
+                            F.posexplode(arr).alias("item_no", "m"))
     fields = {c: F.col("m")[c] for c in numeric + categorical}
     flat = items.withColumns(fields)
-    bad = invalid_numeric_fields(numeric)
+    bad = F.when(F.col("m").isNull(), F.array(F.lit("<payload is not a JSON object>"))) \
+        .otherwise(invalid_numeric_fields(numeric))
     flat = flat.withColumn("_bad", bad)
     typed = flat.withColumns({c: F.col(c).try_cast("double") for c in numeric})
     scored = predict_proba(typed, model, numeric, categorical)
@@ -160,5 +165,5 @@ def score_requests(requests: DataFrame, model: PipelineModel, numeric: list[str]
         client_id(F.col("m")).alias("client_id"),
         F.to_json("m").alias("input_data"),
         F.when(F.size("_bad") == 0, F.col("score")).alias("score"),
-        F.when(F.size("_bad") > 0, F.concat(F.lit("invalid numeric fields: "),
+        F.when(F.size("_bad") > 0, F.concat(F.lit("rejected: "),
                                            F.array_join("_bad", ","))).alias("error_message"))

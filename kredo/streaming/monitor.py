@@ -10,7 +10,9 @@
 * R5: ``foreachBatch`` drift check of every micro-batch against a static
   reference profile (tiny, broadcast).
 * R6: rows dropped as late are reported by the query progress
-  (``numRowsDroppedByWatermark``).
+  (``numRowsDroppedByWatermark``).  Spark filters late rows with the
+  watermark of the previous micro-batch, so a row is dropped once an
+  earlier batch has moved the watermark past its window.
 
 Checkpoints and outputs go under the shared ``spark.checkpoint.dir``.
 Watermarks need TIMESTAMP (not TIMESTAMP_NTZ): the naive log time is read as
@@ -69,10 +71,10 @@ def run_window_stream(stream: DataFrame, out_path: str, ckpt: str, duration: str
     q = (agg.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
     q.awaitTermination()
-    progress = q.lastProgress or {}
+    progress = q.recentProgress or []
     dropped = sum((s.get("numRowsDroppedByWatermark", 0) or 0)
-                  for s in progress.get("stateOperators", []))
-    return {"batches": progress.get("batchId"), "rows_dropped_by_watermark": dropped}
+                  for p in progress for s in p.get("stateOperators", []))
+    return {"batches": len(progress), "rows_dropped_by_watermark": dropped}
 
 
 def latest_windows(spark: SparkSession, out_path: str, key: str = "time_bucket") -> DataFrame:
