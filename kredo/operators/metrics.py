@@ -6,7 +6,8 @@ positional arrays.  Every metric is a single pass:
 * confusion counts are four ``count_if`` in one aggregate;
 * the threshold sweep does not evaluate the cost once per threshold (80 full
   passes or an 80x cross join): each row is mapped to the number of grid
-  thresholds at or below its probability, rows are grouped by that number
+  thresholds at or below its probability (a binary-search CASE tree, about
+  7 comparisons), rows are grouped by that number
   (at most len(grid)+1 groups, pre-combined in every task), and the whole
   cost curve follows from running sums over those few groups;
 * average precision needs running sums over distinct scores in descending
@@ -99,6 +100,18 @@ def average_precision(df: DataFrame, y_true: str = "y_true", y_proba: str = "y_p
     return rt.agg(F.coalesce(F.try_divide(F.sum(contrib), F.sum("tp")), F.lit(0.0)).alias("auc_pr"))
 
 
+def count_at_or_below(p, grid: list[float]):
+    """Number of values of the sorted ``grid`` that are <= p, as a balanced
+    binary-search CASE tree: log2(len) comparisons per row, codegen'd, exact
+    for any grid.  NULL p gives 0."""
+    def node(lo: int, hi: int):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(p >= F.lit(float(grid[mid])), node(mid + 1, hi)).otherwise(node(lo, mid))
+    return node(0, len(grid))
+
+
 def cost_curve(df: DataFrame, thresholds: list[float] | None = None, y_true: str = "y_true",
                y_proba: str = "y_proba", cost_fn: float = COST_FN,
                cost_fp: float = COST_FP) -> DataFrame:
@@ -111,7 +124,7 @@ def cost_curve(df: DataFrame, thresholds: list[float] | None = None, y_true: str
     n = len(grid)
     garr = F.array(*[F.lit(float(t)) for t in grid])
     p, t = F.col(y_proba), F.col(y_true)
-    k = F.size(F.filter(garr, lambda th: th <= p))
+    k = count_at_or_below(p, grid)
     counts = (df.where(t.isNotNull())
               .groupBy(F.when(p.isNull(), 0).otherwise(k).alias("k"))
               .agg(F.count_if(t == 1).alias("pos"), F.count_if(t == 0).alias("neg")))
