@@ -37,6 +37,18 @@ def _bucket_count(df: DataFrame, buckets: int | None) -> int:
         return DEFAULT_BUCKETS
 
 
+def _count_below(o: Column, cuts: Column, n: int) -> Column:
+    """Number of the ``n`` sorted values of the array ``cuts`` that are < o:
+    a binary-search CASE tree over ``element_at`` (log2(n) comparisons,
+    codegen'd)."""
+    def node(lo: int, hi: int):
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(o > F.element_at(cuts, mid + 1), node(mid + 1, hi)).otherwise(node(lo, mid))
+    return node(0, n)
+
+
 def running_totals(df: DataFrame, order_col: str, measures: dict[str, Column],
                    group_cols: list[str] | tuple = (), descending: bool = False,
                    buckets: int | None = None) -> DataFrame:
@@ -52,7 +64,7 @@ def running_totals(df: DataFrame, order_col: str, measures: dict[str, Column],
     cuts = distinct.groupBy(*g).agg(
         F.percentile_approx(F.col(order_col), probs, 10000).alias("_cuts"))
     o = F.col(order_col)
-    bucket = F.size(F.filter(F.col("_cuts"), lambda c: c < o))
+    bucket = _count_below(o, F.col("_cuts"), B - 1)
     if descending:
         bucket = F.lit(B) - bucket
     if g:
