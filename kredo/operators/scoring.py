@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,15 +30,17 @@ def build_pipeline(numeric: list[str], categorical: list[str], label: str = "lab
     ohe = [OneHotEncoder(inputCol=f"{c}__i", outputCol=f"{c}__v", handleInvalid="keep")
            for c in categorical]
     asm = VectorAssembler(inputCols=numeric + [f"{c}__v" for c in categorical],
-                          outputCol="features_raw", handleInvalid="keep")
-    scaler = StandardScaler(inputCol="features_raw", outputCol="features", withMean=False)
+                          outputCol="features", handleInvalid="keep")
     if model == "logistic":
-        clf = LogisticRegression(labelCol=label, featuresCol="features", maxIter=max_iter)
+        # standardises internally and reports coefficients on the original
+        # scale, so no separate scaler pass is needed
+        clf = LogisticRegression(labelCol=label, featuresCol="features", maxIter=max_iter,
+                                 standardization=True)
     elif model == "gbt":
         clf = GBTClassifier(labelCol=label, featuresCol="features", maxIter=min(max_iter, 20), seed=42)
     else:
         raise ValueError(f"unknown model {model!r}")
-    return Pipeline(stages=[*idx, *ohe, asm, scaler, clf])
+    return Pipeline(stages=[*idx, *ohe, asm, clf])
 
 
 def prepare(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFrame:
@@ -53,7 +55,40 @@ def prepare(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFr
 
 def fit(df: DataFrame, numeric: list[str], categorical: list[str], label: str = "label",
         model: str = "logistic") -> PipelineModel:
-    return build_pipeline(numeric, categorical, label, model).fit(prepare(df, numeric, categorical))
+    """Fit the pipeline.  Its stages make several passes (indexers, scaler,
+    then the iterative learner), so the prepared training frame is persisted
+    (memory and disk; recomputed from lineage if an executor is lost) for the
+    duration of the fit only."""
+    from pyspark import StorageLevel
+    prepared = prepare(df, numeric, categorical).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return build_pipeline(numeric, categorical, label, model).fit(prepared)
+    finally:
+        prepared.unpersist()
+
+
+def fit_or_load(df: DataFrame, numeric: list[str], categorical: list[str], key: str,
+                label: str = "label", model: str = "logistic") -> PipelineModel:
+    """Model artifact store: load the pipeline saved under ``key`` in the
+    session's shared checkpoint folder, or fit it on ``df`` and save it
+    (Spark ML persistence) so later scoring jobs reuse the same model."""
+    import hashlib
+    import os
+
+    from kredo.session import checkpoint_dir
+    spark = df.sparkSession
+    digest = hashlib.sha1("|".join([key, model, label, *numeric, "/", *categorical])
+                          .encode()).hexdigest()[:16]
+    path = os.path.join(checkpoint_dir(spark), "models", digest)
+    try:
+        return PipelineModel.load(path)
+    except Exception:
+        fitted = fit(df, numeric, categorical, label, model)
+        try:
+            fitted.write().save(path)
+        except Exception:       # a concurrent writer got there first
+            pass
+        return fitted
 
 
 def predict_proba(df: DataFrame, model: PipelineModel, numeric: list[str],
@@ -100,19 +135,15 @@ def normalised_importance(imp: DataFrame) -> DataFrame:
 def linear_contributions(df: DataFrame, model: PipelineModel, numeric: list[str],
                          id_col: str, top_k: int = 10) -> DataFrame:
     """M5 (linear models, numeric features): contribution_j = coef_j *
-    (x_j - mean_j) / std_j in the scaled space; the top_k by |contribution|
-    per row are kept with higher-order array functions - per row, no
-    shuffle, no window."""
+    (x_j - mean_j); the top_k by |contribution| per row are kept with array
+    functions (sort + slice) - per row, no shuffle, no window."""
     clf = model.stages[-1]
-    scaler = [s for s in model.stages if hasattr(s, "std") and hasattr(s, "mean")][0]
     coef = clf.coefficients.toArray().tolist()
-    std = scaler.std.toArray().tolist()
     # means of the numeric inputs over the scored frame (one aggregate)
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in numeric]).first()
     items = []
     for j, c in enumerate(numeric):
-        s = std[j] if std[j] else 1.0
-        contrib = F.lit(coef[j] / s) * (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(means[c] or 0.0))
+        contrib = F.lit(coef[j]) * (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(means[c] or 0.0))
         items.append(F.struct(F.abs(contrib).alias("a"), F.lit(c).alias("feature"),
                               F.col(c).cast("double").alias("value"), contrib.alias("contribution")))
     ranked = F.slice(F.sort_array(F.array(*items), asc=False), 1, top_k)

@@ -21,8 +21,11 @@ def _training(spark, d):
 
 
 def _model(spark, d, kind="logistic"):
+    """The document model: fitted once per session and data folder, then
+    loaded from the model store by every scoring query."""
     docs, train = _training(spark, d)
-    return docs, SC.fit(train, NUMERIC, CATEGORICAL, "label", kind)
+    return docs, SC.fit_or_load(train, NUMERIC, CATEGORICAL, key=f"documents:{d}",
+                                label="label", model=kind)
 
 
 def q_batch_score(spark, d):
