@@ -47,41 +47,68 @@ def compare_fields(recent: DataFrame, reference: DataFrame,
     |mean_ref| <= 1e-6); categorical: same dominant value -> relative change
     of its share (denominator at least 1e-6), different value -> 1.0."""
     fields = list(MONITORED_INPUT_FIELDS if fields is None else fields)
-    numeric = NUMERIC_MONITORED_FIELDS if numeric is None else numeric
     shared = [f for f in fields if f in recent.columns and f in reference.columns]
+    both = (recent.select(*shared, F.lit("recent").alias("_side"))
+            .unionByName(reference.select(*shared, F.lit("reference").alias("_side"))))
+    return _compare(both, shared, fields, numeric)
+
+
+def compare_split(df: DataFrame, is_recent, fields: list[str] | None = None,
+                  numeric: set[str] | None = None) -> DataFrame:
+    """D2 when both sides come from ONE table split by a predicate: the side
+    is a column, so every profile is one scan grouped by side (a union of
+    two filtered reads would scan the table twice)."""
+    fields = list(MONITORED_INPUT_FIELDS if fields is None else fields)
+    shared = [f for f in fields if f in df.columns]
+    tagged = df.select(*shared, F.when(is_recent, "recent").otherwise("reference").alias("_side"))
+    return _compare(tagged, shared, fields, numeric)
+
+
+def _side_pivot(prof: DataFrame, stats: tuple[str, ...]) -> DataFrame:
+    """One row per feature with ``r_<stat>`` (recent) and ``f_<stat>``
+    (reference).  The input has two rows per feature - bounded by the
+    schema width - so this small aggregate is cheap."""
+    side = F.col("_side")
+    return prof.groupBy("feature").agg(*[
+        F.max(F.when(side == name, F.col(c))).alias(f"{p}_{c}")
+        for name, p in (("recent", "r"), ("reference", "f")) for c in stats])
+
+
+def _compare(both: DataFrame, shared: list[str], fields: list[str],
+             numeric: set[str] | None) -> DataFrame:
+    numeric = NUMERIC_MONITORED_FIELDS if numeric is None else numeric
     num = [f for f in shared if f in numeric]
     cat = [f for f in shared if f not in numeric]
     parts = []
     if num:
-        r = numeric_profile(recent, num).select("feature", F.col("mean").alias("r_mean"),
-                                                F.col("count").alias("r_n"))
-        f = numeric_profile(reference, num)
-        j = F.broadcast(r).join(f, "feature").where((F.col("r_n") > 0) & (F.col("count") > 0))
-        diff = F.abs(F.col("r_mean") - F.col("mean"))
-        change = F.when(F.abs(F.col("mean")) > EPS, diff / F.abs(F.col("mean"))).otherwise(diff)
+        j = _side_pivot(numeric_profile(both, num, ["_side"]),
+                        ("mean", "std", "min", "max", "count"))
+        j = j.where((F.coalesce(F.col("r_count"), F.lit(0)) > 0)
+                    & (F.coalesce(F.col("f_count"), F.lit(0)) > 0))
+        diff = F.abs(F.col("r_mean") - F.col("f_mean"))
+        change = F.when(F.abs(F.col("f_mean")) > EPS, diff / F.abs(F.col("f_mean"))).otherwise(diff)
         parts.append(j.select(
             "feature", F.lit("numeric").alias("comparison_type"),
-            F.col("mean").alias("avg_reference"), F.col("r_mean").alias("avg_recent"),
+            F.col("f_mean").alias("avg_reference"), F.col("r_mean").alias("avg_recent"),
             change.alias("change"),
-            F.col("std").alias("ref_std"), F.col("min").alias("ref_min"), F.col("max").alias("ref_max"),
-            F.format_string("mean = %.4f", F.col("mean")).alias("reference_display"),
+            F.col("f_std").alias("ref_std"), F.col("f_min").alias("ref_min"),
+            F.col("f_max").alias("ref_max"),
+            F.format_string("mean = %.4f", F.col("f_mean")).alias("reference_display"),
             F.format_string("mean = %.4f", F.col("r_mean")).alias("recent_display")))
     if cat:
-        r = category_profile(recent, cat).select(
-            "feature", F.col("top_value").alias("r_top"), F.col("top_share").alias("r_share"))
-        f = category_profile(reference, cat)
-        j = F.broadcast(r).join(f, "feature")
-        same = F.col("r_top") == F.col("top_value")
-        change = F.when(same, F.abs(F.col("r_share") - F.col("top_share"))
-                        / F.greatest(F.col("top_share"), F.lit(EPS))).otherwise(F.lit(1.0))
+        j = _side_pivot(category_profile(both, cat, ["_side"]), ("top_value", "top_share"))
+        j = j.where(F.col("r_top_value").isNotNull() & F.col("f_top_value").isNotNull())
+        same = F.col("r_top_value") == F.col("f_top_value")
+        change = F.when(same, F.abs(F.col("r_top_share") - F.col("f_top_share"))
+                        / F.greatest(F.col("f_top_share"), F.lit(EPS))).otherwise(F.lit(1.0))
         parts.append(j.select(
             "feature", F.lit("categorical").alias("comparison_type"),
-            F.col("top_share").alias("avg_reference"), F.col("r_share").alias("avg_recent"),
+            F.col("f_top_share").alias("avg_reference"), F.col("r_top_share").alias("avg_recent"),
             change.alias("change"),
             F.lit(0.0).alias("ref_std"), F.lit(0.0).alias("ref_min"), F.lit(0.0).alias("ref_max"),
-            F.format_string("dominant = %s (%.1f%%)", F.col("top_value"), F.col("top_share") * 100)
+            F.format_string("dominant = %s (%.1f%%)", F.col("f_top_value"), F.col("f_top_share") * 100)
             .alias("reference_display"),
-            F.format_string("dominant = %s (%.1f%%)", F.col("r_top"), F.col("r_share") * 100)
+            F.format_string("dominant = %s (%.1f%%)", F.col("r_top_value"), F.col("r_top_share") * 100)
             .alias("recent_display")))
     if not parts:
         raise ValueError("no monitored field on both sides")

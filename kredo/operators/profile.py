@@ -16,39 +16,44 @@ from pyspark.sql import functions as F
 from kredo.functions.numeric import to_number
 
 
-def numeric_profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature, mean, std, min, max, count) with NaN/invalid -> NULL skipped;
-    sample std (NULL for one value)."""
+def numeric_profile(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = ()) -> DataFrame:
+    """(group..., feature, mean, std, min, max, count) with NaN/invalid ->
+    NULL skipped; sample std (NULL for one value).  One aggregate (per group)
+    over all columns, then ``stack`` to one row per feature."""
     if not cols:
         raise ValueError("no numeric column to profile")
+    g = list(group_cols)
     aggs = []
     for c in cols:
         v = to_number(c)
         aggs += [F.avg(v).alias(f"{c}__mean"), F.stddev_samp(v).alias(f"{c}__std"),
                  F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"),
                  F.count(v).alias(f"{c}__count")]
-    wide = df.agg(*aggs)
+    wide = df.groupBy(*g).agg(*aggs)
     args = []
     for c in cols:
         args += [F.lit(c)] + [F.col(f"{c}__{s}") for s in ("mean", "std", "min", "max", "count")]
-    return wide.select(F.stack(F.lit(len(cols)), *args)
+    return wide.select(*g, F.stack(F.lit(len(cols)), *args)
                        .alias("feature", "mean", "std", "min", "max", "count"))
 
 
-def category_counts(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature, value, n): value counts of every column as text, NULLs dropped."""
-    long = df.select(*[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
-        [], cols, "feature", "value")
-    return long.where(F.col("value").isNotNull()).groupBy("feature", "value").agg(
+def category_counts(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = ()) -> DataFrame:
+    """(group..., feature, value, n): value counts of every column as text,
+    NULLs dropped."""
+    g = list(group_cols)
+    long = df.select(*g, *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(
+        g, cols, "feature", "value")
+    return long.where(F.col("value").isNotNull()).groupBy(*g, "feature", "value").agg(
         F.count(F.lit(1)).alias("n"))
 
 
-def category_profile(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(feature, top_value, top_count, total, top_share, n_values)."""
+def category_profile(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = ()) -> DataFrame:
+    """(group..., feature, top_value, top_count, total, n_values, top_share)."""
     if not cols:
         raise ValueError("no categorical column to profile")
-    vc = category_counts(df, cols)
-    return vc.groupBy("feature").agg(
+    g = list(group_cols)
+    vc = category_counts(df, cols, g)
+    return vc.groupBy(*g, "feature").agg(
         F.min_by("value", F.struct((-F.col("n")).alias("a"), F.col("value").alias("b"))).alias("top_value"),
         F.max("n").alias("top_count"),
         F.sum("n").alias("total"),

@@ -88,8 +88,9 @@ details AS (SELECT *, change * 100 AS change_pct,
 
 
 def _details(spark, d):
-    rec, ref = _sides(spark, d)
-    return D.compare_fields(rec, ref), rec
+    a = S.applications(spark, d)
+    recent_pred = F.col("APPLICATION_DATE") >= F.lit(SPLIT).cast("date")
+    return D.compare_split(a, recent_pred), a.where(recent_pred)
 
 
 @register("drift_mixed", f"""WITH {_DETAILS}
