@@ -45,7 +45,8 @@ def keyset_page(df: DataFrame, ts_col: str, id_col: str, after: tuple | None,
     if after is not None:
         ts, i = after
         t = F.col(ts_col)
-        df = df.where((t < F.lit(ts)) | ((t == F.lit(ts)) & (F.col(id_col) < F.lit(i))))
+        ts = ts if isinstance(ts, Column) else F.lit(ts)
+        df = df.where((t < ts) | ((t == ts) & (F.col(id_col) < F.lit(i))))
     return df.orderBy(F.col(ts_col).desc(), F.col(id_col).desc()).limit(size)
 
 

@@ -10,6 +10,7 @@ batches, model shipped once per executor via a broadcast variable).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
@@ -37,7 +38,10 @@ def build_pipeline(numeric: list[str], categorical: list[str], label: str = "lab
         clf = LogisticRegression(labelCol=label, featuresCol="features", maxIter=max_iter,
                                  standardization=True)
     elif model == "gbt":
-        clf = GBTClassifier(labelCol=label, featuresCol="features", maxIter=min(max_iter, 20), seed=42)
+        # node ids cached and checkpointed to the shared folder every 10
+        # trees, so the lineage of the boosting loop stays short
+        clf = GBTClassifier(labelCol=label, featuresCol="features", maxIter=min(max_iter, 20),
+                            seed=42, cacheNodeIds=True, checkpointInterval=10)
     else:
         raise ValueError(f"unknown model {model!r}")
     return Pipeline(stages=[*idx, *ohe, asm, clf])
@@ -151,6 +155,21 @@ def linear_contributions(df: DataFrame, model: PipelineModel, numeric: list[str]
             .select(id_col, (F.col("pos") + 1).alias("rank"), "c.feature", "c.value", "c.contribution"))
 
 
+class LogisticScorecard:
+    """A small external model with ``predict_proba`` (numpy): logistic of an
+    intercept plus weights on log1p-transformed features.  Stands for any
+    model object scored through ``score_with_python_model``."""
+
+    def __init__(self, intercept: float, weights: list[float]):
+        self.intercept = float(intercept)
+        self.weights = np.asarray(weights, dtype="float64")
+
+    def predict_proba(self, x):
+        z = self.intercept + np.log1p(np.asarray(x, dtype="float64")) @ self.weights
+        p = 1.0 / (1.0 + np.exp(-z))
+        return np.column_stack([1.0 - p, p])
+
+
 def score_with_python_model(df: DataFrame, model, feature_cols: list[str], out: str = "score") -> DataFrame:
     """M1 for an external model object with ``predict_proba`` (Arrow batches)."""
     sc = df.sparkSession.sparkContext

@@ -9,6 +9,7 @@ from kredo.operators import history as H
 from kredo.operators import logstats as L
 from kredo.plans import standins as S
 from kredo.plans.common import register, rnd, rounded
+from kredo.sources.tables import table
 
 AS_OF = S.AS_OF
 AS_OF_DAY = "2024-01-30 18:00:00"    # mid-day instant for the "today" counter
@@ -222,3 +223,35 @@ def q_resource_unpivot(spark, d):
 FROM api_logs, unnest(json_keys(input_data)) AS t(k)""")
 def q_payload_explode(spark, d):
     return H.payload_rows(logs(spark, d))
+
+
+KEYSET_CURSOR = ("2024-01-20 00:00:00", 0)
+
+
+@register("history_keyset_page", CTE + f"""SELECT log_id, "timestamp", client_id, {rnd('score')} AS score
+FROM api_logs
+WHERE score >= 0.2 AND score <= 0.8 AND prediction_type IN ('single', 'batch')
+  AND contains(lower(CAST(client_id AS VARCHAR)), '1')
+  AND ("timestamp" < TIMESTAMP '{KEYSET_CURSOR[0]}' OR ("timestamp" = TIMESTAMP '{KEYSET_CURSOR[0]}' AND log_id < {KEYSET_CURSOR[1]}))
+ORDER BY "timestamp" DESC, log_id DESC LIMIT 25""")
+def q_history_keyset_page(spark, d):
+    """W5 deep paging: the page after a (timestamp, log_id) cursor."""
+    f = H.filter_history(logs(spark, d), **HISTORY_FILTER)
+    cursor = (F.lit(KEYSET_CURSOR[0]).cast("timestamp_ntz"), KEYSET_CURSOR[1])
+    page = H.keyset_page(f, "timestamp", "log_id", cursor, 25)
+    return rounded(page.select("log_id", "timestamp", "client_id", "score"))
+
+
+@register("flatten_payload", """SELECT event_id AS log_id,
+  CAST(json_extract_string(props, '$.k') AS INTEGER) AS "p.k",
+  user_id AS "meta.client_id", event_type AS "meta.event_type"
+FROM events""")
+def q_flatten_payload(spark, d):
+    """N1 + N3: the JSON payload parsed with an explicit schema and nested
+    with the request metadata, then flattened to dotted columns."""
+    from kredo.functions.payload import flatten
+    e = table(spark, d, "events")
+    nested = e.select(F.col("event_id").alias("log_id"),
+                      F.from_json("props", "k int").alias("p"),
+                      F.struct(F.col("user_id").alias("client_id"), "event_type").alias("meta"))
+    return flatten(nested)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kredo.operators import scoring as SC
+from kredo.plans.common import register, rnd, rounded
 from kredo.sources.tables import table
 
 NUMERIC = ["n_chars", "n_words"]
@@ -60,9 +61,25 @@ def q_request_scoring(spark, d):
 
 
 # rows-only queries (model fits have no SQL twin)
-from kredo.plans.common import register  # noqa: E402
 
 register("batch_score")(q_batch_score)
 register("feature_importance")(q_feature_importance)
 register("contributions")(q_contributions)
 register("request_scoring")(q_request_scoring)
+
+
+# Fixed parameters of the external scorecard (stand-in for a shipped model).
+SCORECARD_INTERCEPT = -4.0
+SCORECARD_WEIGHTS = {"n_chars": 0.45}
+
+
+@register("external_model_score", f"""SELECT doc_id,
+  {rnd(f"1.0 / (1.0 + exp(-({SCORECARD_INTERCEPT} + {SCORECARD_WEIGHTS['n_chars']} * ln(1 + CAST(n_chars AS DOUBLE)))))")} AS score
+FROM documents""")
+def q_external_model_score(spark, d):
+    """M1 with an external Python model: Arrow batches via mapInPandas, the
+    model broadcast once."""
+    docs = table(spark, d, "documents").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"))
+    model = SC.LogisticScorecard(SCORECARD_INTERCEPT, list(SCORECARD_WEIGHTS.values()))
+    scored = SC.score_with_python_model(docs, model, list(SCORECARD_WEIGHTS))
+    return rounded(scored.select("doc_id", "score"))

@@ -36,6 +36,29 @@ def build_session(master: str | None = None, app_name: str = "kredo",
     return spark
 
 
+def cluster_conf(input_bytes: int, executor_cores: int, executors: int,
+                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for a cluster run over ``input_bytes`` of Parquet.
+
+    The initial shuffle partition count is sized so that each partition
+    holds about ``target_partition_bytes`` even if a shuffle moves the whole
+    input (never fewer than the cluster's task slots); AQE then coalesces
+    small partitions toward the advisory size and splits skewed ones, so
+    the same setting serves every stage."""
+    slots = max(1, executor_cores * executors)
+    parts = max(slots, -(-input_bytes // target_partition_bytes))
+    parts = -(-parts // slots) * slots          # whole waves of tasks
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(256 << 20),
+        "spark.sql.files.maxPartitionBytes": str(256 << 20),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 

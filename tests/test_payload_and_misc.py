@@ -48,3 +48,11 @@ def test_normalised_importance(spark):
     imp = spark.createDataFrame([("a", 3.0), ("b", float("nan")), ("c", 1.0)], "feature string, importance double")
     out = {r.feature: r.importance for r in normalised_importance(imp).collect()}
     assert out == {"a": 0.75, "b": 0.0, "c": 0.25}
+
+
+def test_cluster_conf_sizes_partitions():
+    from kredo.session import cluster_conf
+    conf = cluster_conf(100 * (1 << 40), executor_cores=8, executors=1000)
+    parts = int(conf["spark.sql.shuffle.partitions"])
+    assert parts % 8000 == 0 and parts * (256 << 20) >= 100 * (1 << 40)
+    assert int(cluster_conf(1 << 20, 4, 2)["spark.sql.shuffle.partitions"]) == 8
