@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from kredo.operators import aggregates as A
 from kredo.operators.joins import merge_all, safe_merge

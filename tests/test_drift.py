@@ -1,7 +1,6 @@
 import json
 
 import pytest
-from pyspark.sql import functions as F
 
 from kredo.functions.payload import payload_frame
 from kredo.operators import drift as D

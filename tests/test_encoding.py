@@ -1,5 +1,4 @@
 from kredo.operators import encoding as E
-from tests.conftest import rows
 
 
 def test_align_and_validate(spark):

@@ -1,6 +1,5 @@
 import json
 
-import pytest
 from pyspark.sql import functions as F
 
 from kredo.functions.payload import client_id, field_groups, flatten, parse_object, payload_frame

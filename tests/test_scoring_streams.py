@@ -4,7 +4,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from kredo.operators import scoring as SC
 from kredo.streaming import monitor as M
