@@ -75,12 +75,14 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
 
 
-def _agg_expr(column: str, fn: str):
+def _agg_expr(column: str, fn: str, approx_distinct: float | None = None):
     c = F.col(column)
     if fn == "count":
         return F.count(c)
     if fn == "nunique":
-        return F.count_distinct(c)
+        # exact: a two-level aggregate (shuffle by key and value); approx:
+        # a HyperLogLog++ sketch merged in the same single aggregate
+        return F.approx_count_distinct(c, approx_distinct) if approx_distinct else F.count_distinct(c)
     if fn == "sum":
         # pandas sums an all-missing group to 0; Spark gives NULL.
         return F.coalesce(F.sum(c), F.lit(0))
@@ -94,11 +96,13 @@ def _agg_expr(column: str, fn: str):
 
 
 def agg_by_key(df: DataFrame, spec: dict[str, list[str]], prefix: str,
-               key: str = KEY) -> DataFrame | None:
+               key: str = KEY, approx_distinct: float | None = None) -> DataFrame | None:
     """``groupBy(key).agg`` over the columns of ``spec`` that exist and are
-    numeric; returns ``None`` when none is left (caller skips the table)."""
+    numeric; returns ``None`` when none is left (caller skips the table).
+    ``approx_distinct`` (a relative standard deviation such as 0.01) turns
+    ``nunique`` into ``approx_count_distinct``."""
     numeric = set(numeric_columns(df))
-    exprs = [_agg_expr(col, fn).alias(f"{prefix}_{col}_{fn}")
+    exprs = [_agg_expr(col, fn, approx_distinct).alias(f"{prefix}_{col}_{fn}")
              for col, fns in spec.items() if col in numeric and col != key
              for fn in fns]
     if not exprs:
@@ -137,9 +141,9 @@ def with_installment_derivations(df: DataFrame) -> DataFrame:
     })
 
 
-def aggregate_installments(df: DataFrame) -> DataFrame | None:
+def aggregate_installments(df: DataFrame, approx_distinct: float | None = None) -> DataFrame | None:
     return agg_by_key(with_installment_derivations(df), INSTALLMENTS_SPEC,
-                      PREFIX["installments"])
+                      PREFIX["installments"], approx_distinct=approx_distinct)
 
 
 AGGREGATORS = {

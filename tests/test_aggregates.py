@@ -74,3 +74,10 @@ def test_merge_all_train_and_test(spark):
     assert {r["SK_ID_CURR"]: r["bureau_SK_ID_BUREAU_count"] for r in te.collect()}[100004] == 1
     with pytest.raises(KeyError):
         merge_all({"application_train": train})
+
+
+def test_approx_distinct_option(spark):
+    df = spark.createDataFrame([(1, i % 7) for i in range(200)], "SK_ID_CURR long, v int")
+    exact = A.agg_by_key(df, {"v": ["nunique"]}, "x").first()["x_v_nunique"]
+    approx = A.agg_by_key(df, {"v": ["nunique"]}, "x", approx_distinct=0.01).first()["x_v_nunique"]
+    assert exact == 7 and approx == 7
