@@ -58,6 +58,22 @@ def row_stats_exprs(cols: list[str], prefix: str) -> dict[str, Column]:
     }
 
 
+def array_row_stats(arr: Column | str, prefix: str) -> dict[str, Column]:
+    """F7 over an array column (every element, NULLs skipped): mean, sample
+    std (NULL below two values), max, min - array functions, no explode."""
+    a = F.col(arr) if isinstance(arr, str) else arr
+    vals = F.filter(F.transform(a, lambda x: x.cast("double")), lambda x: x.isNotNull())
+    n = F.size(vals)
+    mean = F.try_divide(F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x), n)
+    sq = F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
+    return {
+        f"{prefix}_MEAN": F.when(n > 0, mean),
+        f"{prefix}_STD": F.when(n >= 2, F.sqrt(sq / (n - 1))),
+        f"{prefix}_MAX": F.array_max(vals),
+        f"{prefix}_MIN": F.array_min(vals),
+    }
+
+
 def create_ratio_features(df: DataFrame) -> DataFrame:
     """F1-F8 in one projection."""
     exprs = ratio_feature_exprs(df.columns)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kredo.functions.features import create_interaction_features, create_ratio_features
+from kredo.functions.features import (array_row_stats, create_interaction_features,
+                                     create_ratio_features)
+from kredo.sources.tables import table
 from kredo.operators import aggregates as A
 from kredo.operators.joins import join_aggregates
 from kredo.plans import standins as S
@@ -144,3 +146,14 @@ FROM applications""")
 def q_document_count(spark, d):
     df = create_ratio_features(S.applications(spark, d))
     return df.select("SK_ID_CURR", "DOCUMENT_COUNT")
+
+
+@register("embedding_row_stats", f"""SELECT vec_id,
+  {rnd("list_avg(list_filter(embedding, lambda x: x IS NOT NULL))")} AS EMB_MEAN,
+  {rnd("CASE WHEN len(list_filter(embedding, lambda x: x IS NOT NULL)) >= 2 THEN list_stddev_samp(list_transform(embedding, lambda x: CAST(x AS DOUBLE))) END")} AS EMB_STD,
+  {rnd("list_max(embedding)")} AS EMB_MAX, {rnd("list_min(embedding)")} AS EMB_MIN
+FROM embeddings""")
+def q_embedding_row_stats(spark, d):
+    """F7 on whole embedding vectors (64 values per row)."""
+    e = table(spark, d, "embeddings")
+    return rounded(e.select("vec_id", *[c.alias(n) for n, c in array_row_stats("embedding", "EMB").items()]))
