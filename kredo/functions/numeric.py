@@ -18,3 +18,12 @@ def to_number(c: Column | str) -> Column:
     col = F.col(c) if isinstance(c, str) else c
     d = col.cast("string").try_cast("double")
     return F.nanvl(d, F.lit(None).cast("double"))
+
+
+def nan_to_null(df):
+    """Source boundary rule: NaN in floating columns becomes NULL (Spark
+    orders NaN above every number, pandas treats it as missing)."""
+    from pyspark.sql.types import DoubleType, FloatType
+    cols = {f.name: F.nanvl(F.col(f.name), F.lit(None).cast(f.dataType))
+            for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))}
+    return df.withColumns(cols) if cols else df

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
+from kredo.functions.numeric import nan_to_null
+
 log = logging.getLogger(__name__)
 
 # The CSV files of the credit catalog and the encoding order.
@@ -51,7 +53,7 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     r = (spark.read.option("header", True).option("encoding", enc)
          .option("multiLine", multi_line).option("escape", '"'))
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return r.csv(path)
+    return nan_to_null(r.csv(path))
 
 
 def load_catalog(spark: SparkSession, data_path: str, files=CATALOG_FILES,
@@ -64,7 +66,7 @@ def load_catalog(spark: SparkSession, data_path: str, files=CATALOG_FILES,
         pq = os.path.join(data_path, stem + ".parquet")
         csv = os.path.join(data_path, name)
         if _exists(spark, pq):
-            out[stem] = spark.read.parquet(pq)
+            out[stem] = nan_to_null(spark.read.parquet(pq))
         elif _exists(spark, csv):
             out[stem] = read_csv(spark, csv, (schemas or {}).get(stem))
         else:
@@ -85,7 +87,8 @@ def read_ndjson_logs(spark: SparkSession, path: str, schema: str = LOG_JSON_SCHE
         return spark.createDataFrame([], schema).withColumn(
             "timestamp", F.col("timestamp").cast("timestamp_ntz"))
     df = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return df.withColumn("timestamp", F.try_to_timestamp(F.col("timestamp")).cast("timestamp_ntz"))
+    return nan_to_null(df.withColumn("timestamp",
+                                     F.try_to_timestamp(F.col("timestamp")).cast("timestamp_ntz")))
 
 
 RESOURCE_COLUMNS = {"cpu_usage_pct": "double", "gpu_usage_pct": "double",

@@ -98,3 +98,12 @@ def test_alert_lifecycle(spark):
     assert len(un) == 3 and all(not r.acknowledged for r in un)
     kept, deleted = cleanup_alerts(state, F.lit("2026-01-31 00:00:00").cast("timestamp_ntz"), days=20)
     assert kept.count() + deleted.count() == state.count()
+
+
+def test_nan_becomes_null_at_sources(spark):
+    d = tempfile.mkdtemp(prefix="kredo-test-")
+    p = os.path.join(d, "nan.csv")
+    with open(p, "w") as f:
+        f.write("id,x\n1,NaN\n2,1.5\n")
+    got = {r.id: r.x for r in FI.read_csv(spark, p, "id int, x double").collect()}
+    assert got == {1: None, 2: 1.5}
