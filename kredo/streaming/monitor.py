@@ -2,9 +2,10 @@
 
 * R2/R3: event-time windows with a watermark in UPDATE mode: state of a
   window is dropped once the watermark passes it (bounded state).  Each
-  micro-batch appends its updated window rows, tagged with the batch id, to
-  an append-only Parquet table; ``latest_windows`` reads the newest version
-  of each window - an upsert without a table format that supports MERGE.
+  micro-batch writes its updated window rows to its own ``batch_id=N``
+  folder (overwrite: a replayed batch is idempotent); ``latest_windows``
+  reads the newest version of each window - an upsert without a table
+  format that supports MERGE.
 * R4: ``dropDuplicatesWithinWatermark`` on the log id (redelivered rows).
 * R1: stream scoring with a fitted PipelineModel, appended to Parquet.
 * R5: ``foreachBatch`` drift check of every micro-batch against a static
@@ -39,6 +40,14 @@ def with_event_time(logs: DataFrame, col: str = "timestamp") -> DataFrame:
     return logs.withColumn("event_time", F.col(col).cast("timestamp"))
 
 
+def _write_batch(batch: DataFrame, out_path: str, batch_id: int) -> None:
+    """Idempotent micro-batch output: each batch owns the folder
+    ``batch_id=N`` and overwrites it, so a batch replayed after a failure
+    replaces its own rows instead of appending duplicates.  Readers get
+    ``batch_id`` back through partition discovery."""
+    batch.write.mode("overwrite").parquet(os.path.join(out_path, f"batch_id={batch_id}"))
+
+
 def window_metrics(logs: DataFrame, duration: str = "1 hour", slide: str | None = None,
                    watermark: str = "10 minutes") -> DataFrame:
     """R2 (tumbling) / R3 (sliding) aggregation of the log, stream or batch."""
@@ -66,7 +75,7 @@ def run_window_stream(stream: DataFrame, out_path: str, ckpt: str, duration: str
     agg = window_metrics(stream, duration, slide, watermark)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out_path)
+        _write_batch(batch, out_path, batch_id)
 
     q = (agg.writeStream.outputMode("update").foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
@@ -111,11 +120,11 @@ def run_drift_stream(stream: DataFrame, reference_profile: DataFrame, cols: list
                                                    F.col("count").alias("n"))
         diff = F.abs(F.col("cur_mean") - F.col("ref_mean"))
         change = F.when(F.abs(F.col("ref_mean")) > EPS, diff / F.abs(F.col("ref_mean"))).otherwise(diff)
-        (prof.join(ref, "feature").where(F.col("n") > 0)
-         .select(F.lit(batch_id).alias("batch_id"), "feature", "ref_mean", "cur_mean", "n",
-                 change.alias("change"), drift_status(change).alias("status_code"),
-                 (change > F.lit(threshold)).alias("drifting"))
-         .write.mode("append").parquet(out_path))
+        _write_batch(prof.join(ref, "feature").where(F.col("n") > 0)
+                     .select("feature", "ref_mean", "cur_mean", "n",
+                             change.alias("change"), drift_status(change).alias("status_code"),
+                             (change > F.lit(threshold)).alias("drifting")),
+                     out_path, batch_id)
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
