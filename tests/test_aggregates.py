@@ -81,3 +81,27 @@ def test_approx_distinct_option(spark):
     exact = A.agg_by_key(df, {"v": ["nunique"]}, "x").first()["x_v_nunique"]
     approx = A.agg_by_key(df, {"v": ["nunique"]}, "x", approx_distinct=0.01).first()["x_v_nunique"]
     assert exact == 7 and approx == 7
+
+
+def test_all_five_specs_give_91_columns(spark):
+    def table_for(spec, extra=()):
+        cols = sorted(set(spec) | set(extra))
+        ddl = ", ".join(["SK_ID_CURR long"] + [f"{c} double" for c in cols])
+        rows = [tuple([k] + [float(k * 10 + j) for j in range(len(cols))]) for k in (1, 1, 2)]
+        return spark.createDataFrame(rows, ddl)
+    inst_source = [c for c in A.INSTALLMENTS_SPEC if c not in ("PAYMENT_PERC", "PAYMENT_DIFF", "DPD")]
+    tables = {
+        "application_train": spark.createDataFrame([(1, 0), (2, 1), (3, 0)], "SK_ID_CURR long, TARGET int"),
+        "application_test": spark.createDataFrame([(4,)], "SK_ID_CURR long"),
+        "bureau": table_for(A.BUREAU_SPEC),
+        "previous_application": table_for(A.PREVIOUS_SPEC),
+        "POS_CASH_balance": table_for(A.POS_CASH_SPEC),
+        "credit_card_balance": table_for(A.CREDIT_CARD_SPEC),
+        "installments_payments": table_for(inst_source),
+    }
+    train, test = merge_all(tables)
+    agg_cols = [c for c in train.columns if c not in ("SK_ID_CURR", "TARGET")]
+    assert len(agg_cols) == 17 + 18 + 12 + 20 + 24 == 91
+    assert train.count() == 3 and test.count() == 1
+    r = {x.SK_ID_CURR: x for x in train.collect()}
+    assert r[1]["bureau_SK_ID_BUREAU_count"] == 2 and r[3]["prev_SK_ID_PREV_count"] is None
