@@ -31,8 +31,11 @@ def archive_plan(live: DataFrame, archive: DataFrame | None, cutoff: Column,
 
 def archive_logs(spark: SparkSession, live_path: str, archive_path: str, out_live_path: str,
                  as_of: str, days: int = 30) -> dict:
-    """Run the move; returns counts.  ``out_live_path`` must differ from
-    ``live_path`` (the caller swaps the pointer after success)."""
+    """Run the move; returns {archived: rows added to the archive by this run,
+    remaining: live rows}.  ``out_live_path`` must differ from ``live_path``
+    (the caller swaps the pointer after success).  Only this run's rows are
+    counted - the archive, which only grows, is never rescanned."""
+    from pyspark import StorageLevel
     if os.path.abspath(out_live_path) == os.path.abspath(live_path):
         raise ValueError("write the remaining live rows to a new path")
     live = spark.read.parquet(live_path)
@@ -42,11 +45,14 @@ def archive_logs(spark: SparkSession, live_path: str, archive_path: str, out_liv
         archive = None
     cutoff = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS")
     to_archive, remaining = archive_plan(live, archive, cutoff)
-    # materialise the new archive rows once: they are both written and counted
-    to_archive = to_archive.withColumn("archive_date", F.to_date("timestamp"))
-    to_archive.write.mode("append").partitionBy("archive_date").parquet(archive_path)
-    archived = spark.read.parquet(archive_path).where(
-        F.col("timestamp") < cutoff).select("log_id").distinct().count()
+    # computed once: written and counted from the persisted rows
+    to_archive = to_archive.withColumn("archive_date", F.to_date("timestamp")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        archived = to_archive.count()
+        if archived:
+            to_archive.write.mode("append").partitionBy("archive_date").parquet(archive_path)
+    finally:
+        to_archive.unpersist()
     remaining.write.mode("errorifexists").parquet(out_live_path)
-    return {"archived_total": archived,
-            "remaining": spark.read.parquet(out_live_path).count()}
+    return {"archived": archived, "remaining": spark.read.parquet(out_live_path).count()}

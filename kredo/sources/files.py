@@ -46,10 +46,12 @@ def detect_encoding(spark: SparkSession, path: str, encodings=ENCODINGS) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
-             encodings=ENCODINGS, multi_line: bool = False) -> DataFrame:
-    """CSV with header and encoding fallback.  Give a schema at scale;
-    without one the types are inferred (an extra pass)."""
-    enc = detect_encoding(spark, path, encodings)
+             encodings=ENCODINGS, multi_line: bool = False,
+             encoding: str | None = None) -> DataFrame:
+    """CSV with header and encoding fallback.  Proving a file is valid
+    UTF-8 takes a full pass, so at scale give ``encoding`` (no detection) and
+    a schema (no inference pass)."""
+    enc = encoding or detect_encoding(spark, path, encodings)
     r = (spark.read.option("header", True).option("encoding", enc)
          .option("multiLine", multi_line).option("escape", '"'))
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)

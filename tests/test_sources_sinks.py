@@ -74,11 +74,15 @@ def test_archive_is_idempotent(spark):
     SK.write_logs(_logs(spark), live0)
     arch = os.path.join(d, "archive")
     r1 = archive_logs(spark, live0, arch, os.path.join(d, "live1"), "2026-01-31 00:00:00", days=30)
-    assert r1 == {"archived_total": 10, "remaining": 30}
+    assert r1 == {"archived": 10, "remaining": 30}
     # re-running on the same input adds nothing to the archive
     r2 = archive_logs(spark, live0, arch, os.path.join(d, "live2"), "2026-01-31 00:00:00", days=30)
-    assert r2["archived_total"] == 10
+    assert r2 == {"archived": 0, "remaining": 30}
     assert spark.read.parquet(arch).count() == 10
+    # the next period moves the next rows; days = 0 moves everything older than as_of
+    r3 = archive_logs(spark, os.path.join(d, "live1"), arch, os.path.join(d, "live3"),
+                      "2026-01-31 00:00:00", days=0)
+    assert r3 == {"archived": 30, "remaining": 0}
     try:
         archive_logs(spark, live0, arch, live0, "2026-01-31 00:00:00")
         raise AssertionError("overwriting the input must be refused")
