@@ -36,8 +36,22 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
 
 
+def _session_zone(df: DataFrame) -> str:
+    return df.sparkSession.conf.get("spark.sql.session.timeZone")
+
+
 def with_event_time(logs: DataFrame, col: str = "timestamp") -> DataFrame:
-    return logs.withColumn("event_time", F.col(col).cast("timestamp"))
+    """``event_time``: the naive log time read as UTC wall clock, whatever
+    the session time zone (a plain cast would use the session zone, and
+    windows in a zone with a half-hour offset would start at :30)."""
+    zone = _session_zone(logs)
+    shifted = F.convert_timezone(F.lit("UTC"), F.lit(zone), F.col(col).cast("timestamp_ntz"))
+    return logs.withColumn("event_time", shifted.cast("timestamp"))
+
+
+def _to_utc_wall_clock(ts, zone: str):
+    """Inverse of ``with_event_time``: an instant back to naive UTC wall clock."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), ts.cast("timestamp_ntz"))
 
 
 def _write_batch(batch: DataFrame, out_path: str, batch_id: int) -> None:
@@ -52,6 +66,7 @@ def window_metrics(logs: DataFrame, duration: str = "1 hour", slide: str | None
                    watermark: str = "10 minutes") -> DataFrame:
     """R2 (tumbling) / R3 (sliding) aggregation of the log, stream or batch."""
     w = F.window("event_time", duration, slide) if slide else F.window("event_time", duration)
+    zone = _session_zone(logs)
     t = with_event_time(logs).withWatermark("event_time", watermark)
     err = F.col("error_message").isNotNull()
     return t.groupBy(w.alias("w")).agg(
@@ -64,8 +79,8 @@ def window_metrics(logs: DataFrame, duration: str = "1 hour", slide: str | None
         F.avg("score").alias("avg_score"),
         F.min("score").alias("min_score"),
         F.max("score").alias("max_score"),
-    ).select(F.col("w.start").cast("timestamp_ntz").alias("time_bucket"),
-             F.col("w.end").cast("timestamp_ntz").alias("bucket_end"), "*").drop("w")
+    ).select(_to_utc_wall_clock(F.col("w.start"), zone).alias("time_bucket"),
+             _to_utc_wall_clock(F.col("w.end"), zone).alias("bucket_end"), "*").drop("w")
 
 
 def run_window_stream(stream: DataFrame, out_path: str, ckpt: str, duration: str = "1 hour",

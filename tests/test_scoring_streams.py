@@ -83,3 +83,16 @@ def test_replayed_micro_batch_is_idempotent(spark):
     got = spark.read.parquet(out)
     assert got.count() == 2
     assert [r.n for r in M.latest_windows(spark, out).collect()] == [4]
+
+
+def test_windows_do_not_depend_on_session_zone(spark):
+    rows = [(1, dt.datetime(2026, 1, 1, 10, 5), 0.1, 0.5, None), (2, dt.datetime(2026, 1, 1, 10, 50), 0.2, 0.5, None)]
+    df = spark.createDataFrame(rows, "log_id long, timestamp timestamp_ntz, latency_seconds double, "
+                                     "score double, error_message string")
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+        got = [(r.time_bucket, r.total_requests) for r in M.window_metrics(df).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
+    assert got == [(dt.datetime(2026, 1, 1, 10, 0), 2)]
