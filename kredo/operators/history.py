@@ -30,15 +30,28 @@ def filter_history(logs: DataFrame, min_score: float = 0.0, max_score: float = 1
     return logs.where(cond)
 
 
-def page(df: DataFrame, order: list[Column], page: int, size: int) -> DataFrame:
-    """1-based page of a sorted frame; a page past the end is clamped
-    by the caller from the row count.  Sort + offset/limit is planned as a
-    top-(page*size) per task; for deep pages use ``keyset_page``."""
+def page(df: DataFrame, order: list[Column], page: int, size: int,
+         clamp: bool = False) -> DataFrame:
+    """1-based page of a sorted frame.  Sort + offset/limit is planned
+    as a top-(page*size) per task; for deep pages use ``keyset_page``.  With
+    ``clamp`` a page past the end becomes the last page (one count)."""
     if page < 1 or size < 1:
         raise ValueError("page and size start at 1")
+    if clamp:
+        page = min(page, page_count(df, size))
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+# The page sizes offered for the history table.
+PAGE_SIZES = (10, 25, 50, 100)
+
+
+def page_count(df: DataFrame, size: int) -> int:
+    """Number of pages (at least 1) of ``size`` rows."""
+    n = df.count()
+    return max(1, -(-n // size))
+
+
 def keyset_page(df: DataFrame, ts_col: str, id_col: str, after: tuple | None,
                 size: int) -> DataFrame:
     """Deep paging, newest first: rows strictly after the last (ts, id) seen."""

@@ -70,3 +70,11 @@ def test_bands():
         ("0.4-0.6 (Medium Risk)", "low", "medium", "accept"),
         ("0.6-0.8 (High Risk)", "medium", "high", "refuse"),
         ("0.8-1.0 (Very High Risk)", None, None, None)]
+
+
+def test_page_clamp(spark):
+    from kredo.operators.history import page, page_count
+    df = spark.range(23).withColumnRenamed("id", "log_id")
+    assert page_count(df, 10) == 3
+    last = [r.log_id for r in page(df, [F.col("log_id").desc()], 9, 10, clamp=True).collect()]
+    assert last == [2, 1, 0]
