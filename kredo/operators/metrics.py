@@ -115,12 +115,21 @@ def count_at_or_below(p, grid: list[float]):
 def cost_curve(df: DataFrame, thresholds: list[float] | None = None, y_true: str = "y_true",
                y_proba: str = "y_proba", cost_fn: float = COST_FN,
                cost_fp: float = COST_FP) -> DataFrame:
-    """A21 curve: one row per threshold i (ascending) with fn, fp, tp, cost.
+    """A21 curve: one row per distinct threshold with its position ``i`` in
+    the given list (the default grid is ascending, so i = rank) and fn, fp,
+    tp, cost, precision, recall.
 
     k(row) = #{thresholds <= proba}; the row is predicted positive exactly
     for thresholds i < k.  So FN_i = positives with k <= i and
     FP_i = negatives with k > i."""
-    grid = sorted(thresholds) if thresholds is not None else threshold_grid()
+    given = list(thresholds) if thresholds is not None else threshold_grid()
+    # position of each distinct threshold in the caller's order (a repeated
+    # value keeps its first position): the argmin breaks ties by it
+    first_pos: dict[float, int] = {}
+    for pos_, t in enumerate(given):
+        first_pos.setdefault(float(t), pos_)
+    grid = sorted(first_pos)
+    order_of = [first_pos[t] for t in grid]
     n = len(grid)
     garr = F.array(*[F.lit(float(t)) for t in grid])
     p, t = F.col(y_proba), F.col(y_true)
@@ -140,8 +149,9 @@ def cost_curve(df: DataFrame, thresholds: list[float] | None = None, y_true: str
     fn = F.col("cpos")
     fp = F.col("nneg") - F.col("cneg")
     tp = F.col("npos") - F.col("cpos")
+    oarr = F.array(*[F.lit(o) for o in order_of])
     return cum.where(F.col("k") < n).select(
-        F.col("k").alias("i"),
+        F.element_at(oarr, (F.col("k") + 1).cast("int")).cast("long").alias("i"),
         F.element_at(garr, (F.col("k") + 1).cast("int")).alias("threshold"),
         fn.alias("fn"), fp.alias("fp"), tp.alias("tp"),
         (fn * F.lit(cost_fn) + fp * F.lit(cost_fp)).alias("cost"),
