@@ -172,6 +172,8 @@ class LogisticScorecard:
 
 def score_with_python_model(df: DataFrame, model, feature_cols: list[str], out: str = "score") -> DataFrame:
     """M1 for an external model object with ``predict_proba`` (Arrow batches)."""
+    from kredo.session import ship_package
+    ship_package(df.sparkSession)
     sc = df.sparkSession.sparkContext
     bmodel = sc.broadcast(model)
     schema = StructType(df.schema.fields + [StructField(out, DoubleType())])

@@ -79,3 +79,41 @@ def cut_lineage(df):
     executor loss) and return the re-read DataFrame."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``kredo`` importable in the Python workers of every executor
+    (needed when a task unpickles a kredo object, e.g. a model scored with
+    ``mapInPandas``): the package is zipped in memory, written once into the
+    shared checkpoint folder through the Hadoop FileSystem API (local, HDFS
+    or object store alike) and added with ``addPyFile``."""
+    import io
+    import os
+    import zipfile
+
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    buf = io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, files in os.walk(root):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.relpath(full, os.path.dirname(root)))
+    target = checkpoint_dir(spark).rstrip("/") + "/kredo-package.zip"
+    jvm = sc._jvm
+    path = jvm.org.apache.hadoop.fs.Path(target)
+    fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(buf.getvalue()))
+    finally:
+        out.close()
+    sc.addPyFile(target)
+    _SHIPPED.add(key)
