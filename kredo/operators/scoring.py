@@ -202,7 +202,9 @@ def score_requests(requests: DataFrame, model: PipelineModel, numeric: list[str]
     # a payload (or batch item) that is not a JSON object is kept as a
     # rejected row, never silently dropped
     arr = F.coalesce(arr, F.array(F.lit(None).cast("map<string,string>")))
-    items = requests.select(*id_cols, F.when(F.size(arr) > 1, "batch").otherwise("single")
+    # the payload shape decides the type: an array is a batch request, even
+    # with one item; an object is a single request
+    items = requests.select(*id_cols, F.when(text.startswith("["), "batch").otherwise("single")
                             .alias("prediction_type"),
                             F.posexplode(arr).alias("item_no", "m"))
     fields = {c: F.col("m")[c] for c in numeric + categorical}

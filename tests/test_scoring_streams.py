@@ -26,7 +26,7 @@ def test_request_scoring_rejects_and_isolates(spark, model):
           "DAYS_BIRTH": -9461, "CODE_GENDER": "M"}
     bad = dict(ok, SK_ID_CURR=100003, AMT_INCOME_TOTAL="hh")
     reqs = spark.createDataFrame([(1, json.dumps(ok)), (2, json.dumps([ok, bad])), (3, json.dumps("x")),
-                                  (4, "[1, 2]")], "req long, data string")
+                                  (4, "[1, 2]"), (5, json.dumps([ok]))], "req long, data string")
     out = SC.score_requests(reqs, model, NUMERIC, CATEGORICAL, id_cols=["req"]).collect()
     by = {(r.req, r.item_no): r for r in out}
     assert 0.0 <= by[(1, 0)].score <= 1.0 and by[(1, 0)].prediction_type == "single"
@@ -35,6 +35,7 @@ def test_request_scoring_rejects_and_isolates(spark, model):
     assert by[(2, 1)].client_id == 100003
     assert by[(3, 0)].score is None and "not a JSON object" in by[(3, 0)].error_message
     assert by[(4, 0)].score is None and by[(4, 0)].error_message  # whole payload rejected
+    assert by[(5, 0)].prediction_type == "batch"                    # a batch of one
 
 
 def test_importance_and_contributions(spark, model):
