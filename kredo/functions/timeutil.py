@@ -15,10 +15,10 @@ def as_of_col(as_of: str | None = None) -> Column:
     return F.lit(as_of).cast("timestamp_ntz")
 
 
-def to_local_naive(ts: Column, zone: str = LOCAL_ZONE) -> Column:
-    """A zone-aware instant becomes local wall-clock time; a naive
-    (TIMESTAMP_NTZ) value passes unchanged."""
-    return F.convert_timezone(F.lit("UTC"), F.lit(zone), ts)
+def to_local_naive(ts: Column, zone: str = LOCAL_ZONE, source_zone: str = "UTC") -> Column:
+    """Wall clock of ``source_zone`` (UTC by default) becomes local
+    wall-clock time of ``zone`` (DST handled by the zone rules)."""
+    return F.convert_timezone(F.lit(source_zone), F.lit(zone), ts.cast("timestamp_ntz"))
 
 
 def within_last(ts: Column, as_of: Column, hours: int) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from kredo.functions.bands import risk_bucket
 from kredo.functions.numeric import round_half, to_number
-from kredo.functions.timeutil import as_of_col, local_day_start, within_last
+from kredo.functions.timeutil import as_of_col, local_day_start, to_local_naive, within_last
 from kredo.operators.ordered import percentile_columns
 
 
@@ -83,9 +83,14 @@ def prediction_stats(logs: DataFrame, as_of: str | None = None, last_n_hours: in
                        z(p["p99"]).alias("p99_latency_seconds"))
 
 
-def frame_stats(logs: DataFrame, as_of: str | None = None, hours: int = 24) -> DataFrame:
+def frame_stats(logs: DataFrame, as_of: str | None = None, hours: int = 24,
+                source_zone: str | None = None) -> DataFrame:
     """Summary of a log frame with numeric coercion and ``today_count``
-    (rows since local midnight of ``as_of``)."""
+    (rows since local midnight of ``as_of``).  With ``source_zone`` the log
+    times are zone-aware wall clock of that zone and are first normalised to
+    the local zone (T1); ``as_of`` is then local time."""
+    if source_zone is not None:
+        logs = logs.withColumn("timestamp", to_local_naive(F.col("timestamp"), source_zone=source_zone))
     r = recent(logs, as_of, hours)
     now = as_of_col(as_of)
     num = to_number  # N7

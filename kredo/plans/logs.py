@@ -255,3 +255,25 @@ def q_flatten_payload(spark, d):
                       F.from_json("props", "k int").alias("p"),
                       F.struct(F.col("user_id").alias("client_id"), "event_type").alias("meta"))
     return flatten(nested)
+
+
+AS_OF_LOCAL = "2024-01-30 18:30:00"   # Europe/Paris wall clock
+
+
+@register("frame_stats_local", f"""WITH {S.SQL_API_LOGS},
+loc AS (SELECT * REPLACE (timezone('Europe/Paris', timezone('UTC', "timestamp")) AS "timestamp") FROM api_logs)
+SELECT count(*) AS total,
+  count(CASE WHEN error_message IS NULL THEN 1 END) AS successful,
+  count(CASE WHEN error_message IS NOT NULL THEN 1 END) AS failed,
+  {rnd('coalesce(avg(score), 0.0)')} AS avg_score, {rnd('coalesce(min(score), 0.0)')} AS min_score,
+  {rnd('coalesce(max(score), 0.0)')} AS max_score,
+  {rnd('avg(latency_seconds)')} AS avg_latency_seconds,
+  {rnd('avg(cpu_usage_pct)')} AS avg_cpu_usage_pct, {rnd('avg(gpu_usage_pct)')} AS avg_gpu_usage_pct,
+  {rnd('avg(gpu_memory_mb)')} AS avg_gpu_memory_mb,
+  {rnd("100.0 * count(CASE WHEN error_message IS NOT NULL THEN 1 END) / nullif(count(*), 0)", 2)} AS error_rate_pct,
+  count(CASE WHEN "timestamp" >= CAST(CAST(TIMESTAMP '{AS_OF_LOCAL}' AS DATE) AS TIMESTAMP) THEN 1 END) AS today_count
+FROM loc WHERE {_win(24, f"TIMESTAMP '{AS_OF_LOCAL}'")}""")
+def q_frame_stats_local(spark, d):
+    """A9 + T1 + T3: log times taken as UTC, normalised to Europe/Paris, last
+    24 hours before a local as-of, 'today' from local midnight."""
+    return rounded(L.frame_stats(logs(spark, d), AS_OF_LOCAL, hours=24, source_zone="UTC"))
