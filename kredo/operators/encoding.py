@@ -7,7 +7,7 @@ checked against ``max_broadcast_rows`` - otherwise a plain shuffle join.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MISSING = "__MISSING__"
@@ -16,11 +16,15 @@ MAX_BROADCAST_ROWS = 1_000_000
 
 def fit_codes(df: DataFrame, cols: list[str]) -> DataFrame:
     """F17 fit: per column, sorted distinct values (missing as __MISSING__)
-    numbered 0..k-1.  The window runs per column over its distinct values."""
+    numbered 0..k-1.  The rank is a distributed running count over the
+    distinct values (``running_totals``: range buckets + offsets), so even a
+    high-cardinality column is never ranked inside one task."""
+    from kredo.operators.ordered import running_totals
     long = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in cols]) \
         .unpivot([], cols, "column", "value").distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return long.select("column", "value", (F.row_number().over(w) - 1).alias("code"))
+    # one row per distinct value, so the running count is the rank
+    rt = running_totals(long, "value", {"_n": F.lit(1)}, ["column"])
+    return rt.select("column", "value", (F.col("cum__n") - 1).cast("int").alias("code"))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, NumericType, StructField, StructType
 
 DEFAULT_BUCKETS = 16
 _B = "_bucket"
@@ -37,6 +38,37 @@ def _bucket_count(df: DataFrame, buckets: int | None) -> int:
         return DEFAULT_BUCKETS
 
 
+SAMPLE_PER_BUCKET = 64
+MAX_SAMPLE = 1_000_000
+
+
+def _sampled_cuts(distinct: DataFrame, g: list[str], order_col: str, B: int) -> DataFrame:
+    """Cut points for any orderable type (e.g. strings, where
+    ``percentile_approx`` does not apply), as Spark's range partitioner does
+    it: a random sample of the distinct values - about SAMPLE_PER_BUCKET per
+    bucket and group, bounded by MAX_SAMPLE - is sorted on the driver.  The
+    sample only balances the buckets; the ranks stay exact whatever it
+    holds."""
+    spark = distinct.sparkSession
+    n = distinct.count()
+    groups = distinct.select(*g).distinct().count() if g else 1
+    want = min(MAX_SAMPLE, SAMPLE_PER_BUCKET * B * max(groups, 1))
+    frac = min(1.0, want / max(n, 1))
+    rows = distinct.select(*g, order_col).sample(False, frac, seed=17).collect()
+    per: dict[tuple, list] = {}
+    for r in rows:
+        per.setdefault(tuple(r[c] for c in g), []).append(r[order_col])
+    out = []
+    for key, vals in per.items():
+        vals.sort()
+        out.append((*key, [vals[min(len(vals) - 1, (i * len(vals)) // B)] for i in range(1, B)]))
+    vtype = distinct.schema[order_col].dataType
+    schema = StructType([distinct.schema[c] for c in g] + [StructField("_cuts", ArrayType(vtype))])
+    if not out and not g:
+        out = [([],)]
+    return spark.createDataFrame(out, schema)
+
+
 def _count_below(o: Column, cuts: Column, n: int) -> Column:
     """Number of the ``n`` sorted values of the array ``cuts`` that are < o:
     a binary-search CASE tree over ``element_at`` (log2(n) comparisons,
@@ -45,7 +77,7 @@ def _count_below(o: Column, cuts: Column, n: int) -> Column:
         if lo == hi:
             return F.lit(lo)
         mid = (lo + hi) // 2
-        return F.when(o > F.element_at(cuts, mid + 1), node(mid + 1, hi)).otherwise(node(lo, mid))
+        return F.when(o > F.try_element_at(cuts, F.lit(mid + 1)), node(mid + 1, hi)).otherwise(node(lo, mid))
     return node(0, n)
 
 
@@ -53,22 +85,28 @@ def running_totals(df: DataFrame, order_col: str, measures: dict[str, Column],
                    group_cols: list[str] | tuple = (), descending: bool = False,
                    buckets: int | None = None) -> DataFrame:
     """Return one row per distinct (group, order value) with each measure
-    summed (``<m>``), its running total in order (``cum_<m>``) and the group
-    total (``tot_<m>``, known from the bucket totals at no extra pass)."""
+    summed over its rows (``<m>``), its running total in order (``cum_<m>``)
+    and the group total (``tot_<m>``, known from the bucket totals at no
+    extra pass).  Numeric order columns get their bucket cut points from
+    ``percentile_approx``; other orderable types from a bounded sample."""
     g = list(group_cols)
     B = _bucket_count(df, buckets)
     distinct = (df.where(F.col(order_col).isNotNull())
                 .groupBy(*g, order_col)
                 .agg(*[F.sum(expr).alias(name) for name, expr in measures.items()]))
-    probs = [i / B for i in range(1, B)]
-    cuts = distinct.groupBy(*g).agg(
-        F.percentile_approx(F.col(order_col), probs, 10000).alias("_cuts"))
     o = F.col(order_col)
+    if isinstance(df.schema[order_col].dataType, NumericType):
+        probs = [i / B for i in range(1, B)]
+        cuts = distinct.groupBy(*g).agg(
+            F.percentile_approx(o, probs, 10000).alias("_cuts"))
+    else:
+        cuts = _sampled_cuts(distinct, g, order_col, B)
     bucket = _count_below(o, F.col("_cuts"), B - 1)
     if descending:
         bucket = F.lit(B) - bucket
     if g:
-        tagged = distinct.join(cuts, on=g, how="inner")
+        # one cut array per group; a group without cuts falls into bucket 0
+        tagged = distinct.join(cuts, on=g, how="left")
     else:
         # a single cut array (B-1 values): a scalar subquery, no join needed
         tagged = distinct.withColumn("_cuts", cuts.select("_cuts").scalar())
