@@ -40,3 +40,10 @@ def test_string_ranks_with_sampled_cuts(spark):
     for col, values in (("a", vals), ("b", [v[::-1] for v in vals])):
         expected = sorted(set(values), key=lambda s: s.encode("utf-8"))
         assert [codes[(col, v)] for v in expected] == list(range(len(expected)))
+
+
+def test_category_share_ranks_break_ties_by_value(spark):
+    from kredo.operators.profile import category_shares
+    df = spark.createDataFrame([("b",), ("a",), ("c",), ("c",), ("a",), (None,)], "x string")
+    got = {(r.value): (r.n, r.rank, r.share) for r in category_shares(df, ["x"]).collect()}
+    assert got == {"a": (2, 1, 0.4), "c": (2, 2, 0.4), "b": (1, 3, 0.2)}
