@@ -39,7 +39,7 @@ def _bucket_count(df: DataFrame, buckets: int | None) -> int:
 
 
 SAMPLE_PER_BUCKET = 64
-MAX_SAMPLE = 1_000_000
+MAX_SAMPLE = 200_000
 
 
 def _sampled_cuts(distinct: DataFrame, g: list[str], order_col: str, B: int) -> DataFrame:
@@ -50,8 +50,9 @@ def _sampled_cuts(distinct: DataFrame, g: list[str], order_col: str, B: int) ->
     sample only balances the buckets; the ranks stay exact whatever it
     holds."""
     spark = distinct.sparkSession
-    n = distinct.count()
-    groups = distinct.select(*g).distinct().count() if g else 1
+    stats = distinct.agg(F.count(F.lit(1)).alias("n"),
+                         *([F.count_distinct(*g).alias("groups")] if g else [])).first()
+    n, groups = stats["n"], (stats["groups"] if g else 1)
     want = min(MAX_SAMPLE, SAMPLE_PER_BUCKET * B * max(groups, 1))
     frac = min(1.0, want / max(n, 1))
     rows = distinct.select(*g, order_col).sample(False, frac, seed=17).collect()
