@@ -51,7 +51,8 @@ def archive_logs(spark: SparkSession, live_path: str, archive_path: str, out_liv
     try:
         archived = to_archive.count()
         if archived:
-            to_archive.write.mode("append").partitionBy("archive_date").parquet(archive_path)
+            to_archive.hint("rebalance", "archive_date") \
+                .write.mode("append").partitionBy("archive_date").parquet(archive_path)
     finally:
         to_archive.unpersist()
     remaining.write.mode("errorifexists").parquet(out_live_path)

@@ -15,7 +15,9 @@ def write_logs(logs: DataFrame, path: str) -> None:
     out = logs
     if "input_data" in logs.columns and logs.schema["input_data"].dataType.typeName() != "string":
         out = out.withColumn("input_data", F.to_json("input_data"))
-    out.withColumn("log_date", F.to_date("timestamp")) \
+    # REBALANCE: AQE groups rows by day (few files per day) and splits a hot
+    # day across tasks instead of writing it from one
+    out.withColumn("log_date", F.to_date("timestamp")).hint("rebalance", "log_date") \
         .write.mode("append").partitionBy("log_date").parquet(path)
 
 
