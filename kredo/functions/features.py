@@ -58,20 +58,26 @@ def row_stats_exprs(cols: list[str], prefix: str) -> dict[str, Column]:
     }
 
 
-def array_row_stats(arr: Column | str, prefix: str) -> dict[str, Column]:
-    """F7 over an array column (every element, NULLs skipped): mean, sample
-    std (NULL below two values), max, min - array functions, no explode."""
-    a = F.col(arr) if isinstance(arr, str) else arr
-    vals = F.filter(F.transform(a, lambda x: x.cast("double")), lambda x: x.isNotNull())
-    n = F.size(vals)
-    mean = F.try_divide(F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + x), n)
-    sq = F.aggregate(vals, F.lit(0.0), lambda acc, x: acc + (x - mean) * (x - mean))
-    return {
-        f"{prefix}_MEAN": F.when(n > 0, mean),
-        f"{prefix}_STD": F.when(n >= 2, F.sqrt(sq / (n - 1))),
+def with_array_row_stats(df: DataFrame, arr: str, prefix: str) -> DataFrame:
+    """F7 over an array column (every element, NULLs skipped): adds
+    ``<prefix>_MEAN``, ``_STD`` (sample, NULL below two values), ``_MAX`` and
+    ``_MIN`` with array functions, no explode.  The steps are separate
+    projections on purpose: a mean referenced inside the deviation lambda
+    would be re-aggregated for every element (quadratic per row)."""
+    vals, n = f"_{prefix}_vals", f"_{prefix}_n"
+    mean = f"{prefix}_MEAN"
+    out = df.withColumn(vals, F.filter(F.transform(F.col(arr), lambda x: x.cast("double")),
+                                       lambda x: x.isNotNull()))
+    out = out.withColumn(n, F.size(vals))
+    out = out.withColumn(mean, F.when(F.col(n) > 0, F.aggregate(vals, F.lit(0.0), lambda a, x: a + x)
+                                      / F.col(n)))
+    sq = F.aggregate(vals, F.lit(0.0), lambda a, x: a + (x - F.col(mean)) * (x - F.col(mean)))
+    out = out.withColumns({
+        f"{prefix}_STD": F.when(F.col(n) >= 2, F.sqrt(sq / (F.col(n) - 1))),
         f"{prefix}_MAX": F.array_max(vals),
         f"{prefix}_MIN": F.array_min(vals),
-    }
+    })
+    return out.drop(vals, n)
 
 
 def create_ratio_features(df: DataFrame) -> DataFrame:

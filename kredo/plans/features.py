@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kredo.functions.features import (array_row_stats, create_interaction_features,
-                                     create_ratio_features)
+from kredo.functions.features import (create_interaction_features, create_ratio_features,
+                                     with_array_row_stats)
 from kredo.sources.tables import table
 from kredo.operators import aggregates as A
 from kredo.operators.joins import join_aggregates
@@ -155,5 +155,6 @@ def q_document_count(spark, d):
 FROM embeddings""")
 def q_embedding_row_stats(spark, d):
     """F7 on whole embedding vectors (64 values per row)."""
-    e = table(spark, d, "embeddings")
-    return rounded(e.select("vec_id", *[c.alias(n) for n, c in array_row_stats("embedding", "EMB").items()]))
+    e = table(spark, d, "embeddings").select("vec_id", "embedding")
+    out = with_array_row_stats(e, "embedding", "EMB")
+    return rounded(out.select("vec_id", "EMB_MEAN", "EMB_STD", "EMB_MAX", "EMB_MIN"))
