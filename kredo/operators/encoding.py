@@ -14,14 +14,27 @@ MISSING = "__MISSING__"
 MAX_BROADCAST_ROWS = 1_000_000
 
 
-def fit_codes(df: DataFrame, cols: list[str]) -> DataFrame:
+WINDOW_VOCAB_LIMIT = 1_000_000
+
+
+def fit_codes(df: DataFrame, cols: list[str], window_limit: int = WINDOW_VOCAB_LIMIT) -> DataFrame:
     """F17 fit: per column, sorted distinct values (missing as __MISSING__)
-    numbered 0..k-1.  The rank is a distributed running count over the
-    distinct values (``running_totals``: range buckets + offsets), so even a
-    high-cardinality column is never ranked inside one task."""
+    numbered 0..k-1.
+
+    One ``approx_count_distinct`` pass bounds every column's vocabulary.
+    Below ``window_limit`` the numbering is a window per column (a proven
+    small partition); above it the ranks come from the distributed
+    ``running_totals`` (range buckets + offsets), so a high-cardinality
+    column is never numbered inside one task.  Both give the same codes."""
+    from pyspark.sql import Window
+
     from kredo.operators.ordered import running_totals
     long = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in cols]) \
         .unpivot([], cols, "column", "value").distinct()
+    sizes = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).first()
+    if max(sizes[c] for c in cols) + 1 <= window_limit:
+        w = Window.partitionBy("column").orderBy("value")
+        return long.select("column", "value", (F.row_number().over(w) - 1).cast("int").alias("code"))
     # one row per distinct value, so the running count is the rank
     rt = running_totals(long, "value", {"_n": F.lit(1)}, ["column"])
     return rt.select("column", "value", (F.col("cum__n") - 1).cast("int").alias("code"))
@@ -36,7 +49,10 @@ def encode_labels(df: DataFrame, cols: list[str], codes: DataFrame,
                   unknown: int = -1) -> DataFrame:
     """F17 transform: each column replaced by ``<col>_enc``; unseen values
     get ``unknown``."""
-    small = broadcast_if_small(codes)
+    from pyspark import StorageLevel
+    # the code table is used once per column and for the size check: keep it
+    # (it is as small as the vocabulary) instead of re-deriving it each time
+    small = broadcast_if_small(codes.persist(StorageLevel.MEMORY_AND_DISK))
     out = df
     for c in cols:
         m = small.where(F.col("column") == c).select(

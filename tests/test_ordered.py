@@ -36,10 +36,11 @@ def test_string_ranks_with_sampled_cuts(spark):
     from kredo.operators.encoding import fit_codes
     vals = [f"v{i:04d}" for i in range(0, 3000, 7)] + ["Zeta", "__MISSING__x", "é"]
     df = spark.createDataFrame([(v, v[::-1]) for v in vals] * 3, "a string, b string").repartition(5)
-    codes = {(r.column, r.value): r.code for r in fit_codes(df, ["a", "b"]).collect()}
-    for col, values in (("a", vals), ("b", [v[::-1] for v in vals])):
-        expected = sorted(set(values), key=lambda s: s.encode("utf-8"))
-        assert [codes[(col, v)] for v in expected] == list(range(len(expected)))
+    for limit in (0, 10 ** 6):            # distributed ranks, then the window path
+        codes = {(r.column, r.value): r.code for r in fit_codes(df, ["a", "b"], window_limit=limit).collect()}
+        for col, values in (("a", vals), ("b", [v[::-1] for v in vals])):
+            expected = sorted(set(values), key=lambda s: s.encode("utf-8"))
+            assert [codes[(col, v)] for v in expected] == list(range(len(expected)))
 
 
 def test_category_share_ranks_break_ties_by_value(spark):
