@@ -84,15 +84,21 @@ def fit_or_load(df: DataFrame, numeric: list[str], categorical: list[str], key:
     digest = hashlib.sha1("|".join([key, model, label, *numeric, "/", *categorical])
                           .encode()).hexdigest()[:16]
     path = os.path.join(checkpoint_dir(spark), "models", digest)
+    if path in _LOADED:                 # already in this driver process
+        return _LOADED[path]
     try:
-        return PipelineModel.load(path)
+        fitted = PipelineModel.load(path)
     except Exception:
         fitted = fit(df, numeric, categorical, label, model)
         try:
             fitted.write().save(path)
         except Exception:       # a concurrent writer got there first
             pass
-        return fitted
+    _LOADED[path] = fitted
+    return fitted
+
+
+_LOADED: dict[str, PipelineModel] = {}
 
 
 def predict_proba(df: DataFrame, model: PipelineModel, numeric: list[str],
