@@ -250,7 +250,3 @@ def batch_summary(logs: DataFrame) -> DataFrame:
         F.count_if(_err()).alias("failed"),
         round_half(F.avg("score"), 4).alias("avg_score"),
         F.sum("latency_seconds").alias("total_latency_seconds"))
-
-
-def today_start(as_of: str | None = None):
-    return local_day_start(as_of_col(as_of))
