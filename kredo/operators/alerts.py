@@ -86,3 +86,16 @@ def cleanup_alerts(state: DataFrame, as_of: Column, days: int = 90) -> tuple[Dat
     """(kept, deleted) by ``created_at`` against a fixed cutoff."""
     cutoff = as_of - F.expr(f"INTERVAL {int(days)} DAYS")
     return state.where(F.col("created_at") >= cutoff), state.where(F.col("created_at") < cutoff)
+
+
+def anomaly_alerts(anomalies: DataFrame) -> DataFrame:
+    """X3 for the declared ``anomaly`` type: one WARNING per latency anomaly
+    (D5 rows: latency above the window's p95)."""
+    return anomalies.select(
+        (F.col("log_id") * 10 + TYPE_CODE["anomaly"]).alias("alert_id"),
+        F.lit("anomaly").alias("alert_type"), F.lit("WARNING").alias("severity"),
+        F.format_string("latency %.3f s is %.2f%% of p95", F.col("latency_seconds"),
+                        F.col("pct_of_p95")).alias("message"),
+        F.to_json(F.struct("log_id", "client_id", "p95_latency")).alias("metadata"),
+        F.lit(False).alias("acknowledged"), F.col("timestamp").alias("created_at"),
+        F.col("timestamp").alias("updated_at"))

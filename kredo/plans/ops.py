@@ -143,3 +143,17 @@ def q_local_time(spark, d):
     e = table(spark, d, "events")
     lt = T.to_local_naive(F.col("ts"))
     return e.select(F.col("event_id").alias("log_id"), lt.alias("local_ts"), F.to_date(lt).alias("local_date"))
+
+
+@register("anomaly_alerts", CTE + f""", p AS (
+  SELECT quantile_cont(latency_seconds, 0.95) AS p95 FROM api_logs
+  WHERE "timestamp" > {NOW} - INTERVAL 24 HOUR AND "timestamp" <= {NOW})
+SELECT log_id * 10 + 4 AS alert_id, 'anomaly' AS alert_type, 'WARNING' AS severity,
+  "timestamp" AS created_at
+FROM api_logs, p
+WHERE latency_seconds > p95 AND "timestamp" > {NOW} - INTERVAL 24 HOUR AND "timestamp" <= {NOW}""")
+def q_anomaly_alerts(spark, d):
+    """D5 -> X3: a WARNING ``anomaly`` alert per latency anomaly of the day."""
+    from kredo.operators.logstats import latency_anomalies
+    alerts = AL.anomaly_alerts(latency_anomalies(S.api_logs(spark, d), AS_OF, hours=24))
+    return alerts.select("alert_id", "alert_type", "severity", "created_at")
