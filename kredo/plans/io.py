@@ -87,12 +87,21 @@ def q_threshold_artifact(spark, d):
 def q_drift_record(spark, d):
     """D3 -> S11 (+ X3 drift alert -> S12): drift result appended to the
     drift table, read back."""
-    det, rec = _details(spark, d)
-    summary = D.drift_summary(det, rec)
-    base = work_dir(spark, "driftrec")
-    SK.record_drift(summary, det, os.path.join(base, "drift"), as_of_col(S.AS_OF))
+    from pyspark import StorageLevel
+
     from kredo.operators.alerts import drift_alert
-    SK.append_alerts(drift_alert(summary, as_of_col(S.AS_OF)), os.path.join(base, "alerts"))
+    det, rec = _details(spark, d)
+    # the drift row, its details and the alert all read the comparison: it
+    # has one row per feature, so it is computed once and kept
+    det = det.persist(StorageLevel.MEMORY_AND_DISK)
+    summary = D.drift_summary(det, rec).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        base = work_dir(spark, "driftrec")
+        SK.record_drift(summary, det, os.path.join(base, "drift"), as_of_col(S.AS_OF))
+        SK.append_alerts(drift_alert(summary, as_of_col(S.AS_OF)), os.path.join(base, "alerts"))
+    finally:
+        summary.unpersist()
+        det.unpersist()
     return spark.read.parquet(os.path.join(base, "drift"))
 
 
