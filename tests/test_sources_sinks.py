@@ -111,3 +111,15 @@ def test_nan_becomes_null_at_sources(spark):
         f.write("id,x\n1,NaN\n2,1.5\n")
     got = {r.id: r.x for r in FI.read_csv(spark, p, "id int, x double").collect()}
     assert got == {1: None, 2: 1.5}
+
+
+def test_json_text_keeps_nulls_and_json_export(spark):
+    from kredo.functions.payload import to_json_text
+    df = spark.createDataFrame([(1, None, 0.5)], "id long, name string, score double")
+    assert df.select(to_json_text("id", "name", "score").alias("j")).first().j == \
+        '{"id":1,"name":null,"score":0.5}'
+    d = tempfile.mkdtemp(prefix="kredo-test-")
+    imp = spark.createDataFrame([("a", 0.75), ("b", 0.25)], "feature string, importance double")
+    SK.export_json(imp, os.path.join(d, "imp"))
+    back = spark.read.json(os.path.join(d, "imp"))
+    assert sorted((r.feature, r.importance) for r in back.collect()) == [("a", 0.75), ("b", 0.25)]
