@@ -28,3 +28,18 @@ def test_domain_rules(spark):
                                "CODE_GENDER string, CNT_FAM_MEMBERS double, DAYS_EMPLOYED int")
     counts = {r.rule: r.violations for r in E.violation_counts(df).collect()}
     assert counts == {"gender_allowed": 1, "family_at_least_1": 1, "employed_in_past": 1}
+
+
+def test_yes_no_canonical_and_reference_frame(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from kredo.sources.files import reference_frame
+    df = spark.createDataFrame([("Y",), ("1",), ("N",), ("0",), ("maybe",)], "f string")
+    got = [r.c for r in df.select(E.canonical_yes_no("f").alias("c")).collect()]
+    assert got == ["Y", "Y", "N", "N", None]
+    assert [r.i for r in df.select(E.yes_no_to_int(F.col("f")).alias("i")).collect()] == [1, 0, 0, 0, 0]
+    path = str(tmp_path / "ref")
+    df.write.parquet(path)
+    ref = reference_frame(spark, path)
+    assert ref.is_cached and ref.count() == 5
+    ref.unpersist()
