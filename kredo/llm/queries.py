@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kredo.llm import exact_dedup, line_dedup, mixing, quality, url_filter
+from kredo.llm import bpe, exact_dedup, line_dedup, mixing, quality, simhash, substring_dedup, url_filter
 from kredo.sources.tables import table
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -19,6 +19,28 @@ OP1 = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
+def op2_substring_dedup(spark, sf_dir):
+    done = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP2 = r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i FROM w),
+g AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 34], ' ')) AS h FROM s JOIN w USING (doc_id)),
+r AS (SELECT doc_id, i FROM g WHERE h IN (SELECT h FROM g GROUP BY h HAVING count(*) > 1)),
+c AS (SELECT doc_id, list_distinct(list(i + d)) AS gone FROM r, (SELECT unnest(range(0, 35)) AS d) GROUP BY doc_id),
+k AS (SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+    list_filter(w, lambda x, i: gone IS NULL OR NOT list_contains(gone, i)) AS kept
+  FROM w LEFT JOIN c USING (doc_id))
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+  sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k"""
+
+
+def op4_simhash(spark, sf_dir):
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_line_dedup(spark, sf_dir):
     """doc_id, n_lines, n_dropped and the digest of the text that is left."""
     done = line_dedup.without_recurring_lines(table(spark, sf_dir, "documents"))
@@ -62,6 +84,15 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b"""
 
 
+def op7_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    done = bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -83,7 +114,8 @@ f AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM k LEFT JOIN f USING (page_id)"""
 
 QUERIES = {
-    "op1_exact_dedup": op1_exact_dedup, "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules,
+    "op1_exact_dedup": op1_exact_dedup, "op2_substring_dedup": op2_substring_dedup, "op4_simhash": op4_simhash,
+    "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_bpe": op7_bpe,
     "op9_mixing": op9_mixing, "op10_url_filters": op10_url_filters,
 }
-ORACLE = {"op1_exact_dedup": OP1, "op6_quality_rules": OP6, "op10_url_filters": OP10}
+ORACLE = {"op1_exact_dedup": OP1, "op2_substring_dedup": OP2, "op6_quality_rules": OP6, "op10_url_filters": OP10}

@@ -28,5 +28,4 @@ def row_keys(id_: Column, text: Column) -> list[Column]:
     """Two hashes ``k1``, ``k2`` of id and text: 128 bits without nulls.  Rows that
     share them have the same id and text, so what is decided from the text holds for
     each of them."""
-    digest = F.xxhash64(whole(text))
-    return [F.xxhash64(digest, id_).alias("k1"), F.xxhash64(F.lit(1), F.reverse(whole(text)), id_).alias("k2")]
+    return [F.xxhash64(whole(text), id_).alias("k1"), F.xxhash64(F.lit(1), id_, whole(text)).alias("k2")]
