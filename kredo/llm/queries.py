@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from kredo.llm import bpe, exact_dedup, line_dedup, mixing, quality, simhash, substring_dedup, url_filter
+import corpus_pipeline
+from kredo.llm import bpe, exact_dedup, licences, line_dedup, lm_scoring, mixing, quality, simhash, substring_dedup, url_filter
 from kredo.sources.tables import table
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -37,6 +38,10 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS
   sha256(array_to_string(kept, ' ')) AS kept_sha256 FROM k"""
 
 
+def op3_lm_scoring(spark, sf_dir):
+    return lm_scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -93,6 +98,13 @@ def op7_bpe(spark, sf_dir):
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op8_license_scans(spark, sf_dir):
+    """doc_id, licences joined by a space, n_statements, probability (six decimals)."""
+    documents, _ = licences.scan(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", F.array_join("licences", " ").alias("licences"), "n_statements",
+                            F.round("probability", 6).alias("probability"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
@@ -114,8 +126,9 @@ f AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM k LEFT JOIN f USING (page_id)"""
 
 QUERIES = {
-    "op1_exact_dedup": op1_exact_dedup, "op2_substring_dedup": op2_substring_dedup, "op4_simhash": op4_simhash,
-    "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_bpe": op7_bpe,
-    "op9_mixing": op9_mixing, "op10_url_filters": op10_url_filters,
+    "op1_exact_dedup": op1_exact_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_lm_scoring": op3_lm_scoring,
+    "op4_simhash": op4_simhash, "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_bpe": op7_bpe,
+    "op8_license_scans": op8_license_scans, "op9_mixing": op9_mixing, "op10_url_filters": op10_url_filters,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op1_exact_dedup": OP1, "op2_substring_dedup": OP2, "op6_quality_rules": OP6, "op10_url_filters": OP10}
