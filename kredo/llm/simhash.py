@@ -17,8 +17,11 @@ from kredo.session import cut_lineage, ship_package
 
 SHINGLE = 4
 MAX_BITS = 4
+PER_KEY = 8             # fingerprints of a key at which more blocks are taken, if three do
 CHUNK = 1024            # fingerprints of one side of a trie pair, about
-PAIRS_AT_ONCE = 1 << 21
+LEAF = 16               # fingerprints of a trie node that is not split further
+PAIRS_AT_ONCE = 1 << 18 # node pairs that are walked at once
+LINKS_AT_ONCE = 1 << 22
 
 
 def _fingerprints(texts: batches.Texts, shingle: int) -> np.ndarray:
@@ -91,15 +94,20 @@ def trie_pairs(bits: np.ndarray, roots: np.ndarray, max_bits: int, emit) -> None
             continue
         a0, a2, b0, b2, d = pairs.T
         own = (a0 == b0) & (a2 == b2)
-        single = (a2 - a0 == 1) & (b2 - b0 == 1)
-        done = single & ~own
-        if done.any():
-            i, j = a0[done], b0[done]
-            near = np.bitwise_count(bits[i] ^ bits[j]) <= max_bits
+        leaf = (a2 - a0 <= LEAF) & (b2 - b0 <= LEAF)
+        if level < 0:
+            leaf[:] = True
+        if leaf.any():
+            rows, cols = a2[leaf] - a0[leaf], b2[leaf] - b0[leaf]
+            total = (rows * cols).astype(np.int64)
+            of = np.repeat(np.arange(len(total)), total)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(total) - total, total)
+            i, j = a0[leaf][of] + nth // cols[of], b0[leaf][of] + nth % cols[of]
+            near = (np.bitwise_count(bits[i] ^ bits[j]) <= max_bits) & (~own[leaf][of] | (i < j))
             if near.any():
                 emit(i[near], j[near])
-        go = ~single
-        if level < 0 or not go.any():
+        go = ~leaf
+        if not go.any():
             continue
         a0, a2, b0, b2, d, own = a0[go], a2[go], b0[go], b2[go], d[go], own[go]
         if level not in ones:
@@ -155,7 +163,7 @@ def _linked(task: np.ndarray, side: np.ndarray, fp: np.ndarray, max_bits: int) -
     def emit(i, j):
         nonlocal label
         waiting.append((place[i], place[j]))
-        if sum(len(x) for x, _ in waiting) > PAIRS_AT_ONCE:
+        if sum(len(x) for x, _ in waiting) > LINKS_AT_ONCE:
             label = _forest(len(distinct), [*waiting, (np.arange(len(distinct)), label)])
             waiting.clear()
 
@@ -170,9 +178,10 @@ def _keys(n: int, max_bits: int) -> list[Column]:
 
     64 bits fall in ``max_bits + r`` blocks; ``max_bits`` differing bits leave r of
     them untouched, so each choice of r blocks is a key.  r grows with the number
-    of fingerprints, so that keys keep about CHUNK of them."""
+    of fingerprints, so that evenly spread ones leave few to a key: comparisons
+    then grow with the fingerprints, not with their square."""
     r = 1
-    while r < 3 and n >> int(64 * r / (max_bits + r)) > CHUNK:
+    while r < 3 and n >> int(64 * r / (max_bits + r)) > PER_KEY:
         r += 1
     count = max_bits + r
     edges = [round(64 * i / count) for i in range(count + 1)]
