@@ -5,26 +5,32 @@ from __future__ import annotations
 import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 from kredo.llm.text import row_keys, whole
 from kredo.session import ship_package
 
 PIECE = 1 << 15          # characters of a piece of a long text
-CACHED = 400_000         # chunks whose ids a worker remembers
 LOOK_AHEAD = 8           # characters past a boundary that can move it; three are used by contractions
 AGREE = 4                # tokens that must agree on each side of a window inside a word
 LONG_WORD = 2048         # characters from which a joined word is spliced, not encoded anew
 
 # The pattern splits before a single space between two other characters whatever
 # comes before or after, so text falls there into chunks of their own.
-CHUNKS = re.compile(r"(?<=\S)(?= \S)")
-SPACED = re.compile(r"\s\s|^\s|\s$")
+CHUNK = re.compile(r"(?<=\S)(?= \S)")
+# The pattern of byte-level BPE, and the bytes that stand for themselves.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+# What the fast encoder is not given: characters whose class may differ between
+# versions of the character database, and runs that it would take long for.
+NOT_FAST = re.compile(r"[^\x00-\u024f]")
+LONG_RUN = re.compile(r"\S{2048}|\s{2048}")
 
 
 class Codec:
@@ -47,35 +53,36 @@ class Codec:
         self.raw.encode_special_tokens = True
         self.special = [t["content"] for t in spec["added_tokens"]]
         self.special_ids = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.cache: dict[str, list[int]] = {}
+        self.fast = self._fast(spec)
+
+    @staticmethod
+    def _fast(spec):
+        """The same merges in an encoder that is several times as fast; none if ids
+        don't follow the order of merges."""
+        import tiktoken
+
+        shown = {chr(b): b for b in PRINTED}
+        shown.update({chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(PRINTED)))})
+        vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
+        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
+        made = [vocab.get(a + b) for a, b in pairs]
+        if made != list(range(len(vocab) - len(pairs), len(vocab))) or spec["model"].get("ignore_merges"):
+            return None
+        ranks = {bytes(shown[c] for c in token): i for token, i in vocab.items()}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """Ids of each text.  Chunks are encoded once and remembered."""
+        """Ids of each text, as the library's; texts that the fast encoder may split
+        otherwise, and those with special tokens, go to the library itself."""
         out: list = [None] * len(texts)
-        parts: list = [None] * len(texts)
-        unknown: dict[str, None] = {}
-        known = self.cache
-        if len(known) > CACHED:
-            known.clear()
+        other = []
         for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                out[i] = self.tok.encode(text, add_special_tokens=False).ids
-                continue
-            if SPACED.search(text):
-                parts[i] = chunks = CHUNKS.split(text) if text else []
+            if self.fast is None or NOT_FAST.search(text) or LONG_RUN.search(text) or any(s in text for s in self.special):
+                other.append(i)
             else:
-                first, *rest = text.split(" ")
-                parts[i] = chunks = [first, *[" " + x for x in rest]] if text else []
-            unknown.update(dict.fromkeys(x for x in chunks if x not in known))
-        if unknown:
-            new = list(unknown)
-            for low in range(0, len(new), 20_000):
-                for x, e in zip(new[low:low + 20_000],
-                                self.tok.encode_batch_fast(new[low:low + 20_000], add_special_tokens=False)):
-                    known[x] = e.ids
-        for i, chunks in enumerate(parts):
-            if chunks is not None:
-                out[i] = [t for x in chunks for t in known[x]]
+                out[i] = self.fast.encode_ordinary(text)
+        for i, e in zip(other, self.tok.encode_batch([texts[i] for i in other], add_special_tokens=False)):
+            out[i] = e.ids
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -175,6 +182,52 @@ def concatenated(pieces: list[Encoded], codec: Codec) -> list[int]:
     return [t for ids in pieces[0].ids for t in ids] if pieces else []
 
 
+def _open_ends(text: str, codec: Codec) -> dict:
+    """A piece as its text up to the first place where the pattern splits whatever
+    comes before, the ids from there to the last such place, and the text after it.
+    Ends that are long are encoded word by word here, in the piece's own task."""
+    places = [m.start() for m in CHUNK.finditer(text)]
+    low, high = (places[0], places[-1]) if places else (len(text), len(text))
+    ends = {"head": text[:low], "tail": text[high:] if places else ""}
+    out = {"closed": bool(places), "ids": codec.encode([text[low:high]])[0], **ends}
+    for end, part in ends.items():
+        done = codec.piece(part) if len(part) > LONG_WORD else None
+        out[end + "_starts"] = done and done.starts
+        out[end + "_counts"] = done and [len(x) for x in done.ids]
+        out[end + "_ids"] = done and [t for x in done.ids for t in x]
+    return out
+
+
+def _end_of(piece, end: str, codec: Codec) -> Encoded:
+    starts, counts, ids = (getattr(piece, f"{end}_{c}") for c in ("starts", "counts", "ids"))
+    if starts is None:
+        return codec.piece(getattr(piece, end))
+    at = [0, *np.cumsum(counts).tolist()]
+    flat = [int(t) for t in ids]
+    return Encoded(getattr(piece, end), [int(s) for s in starts], [flat[a:b] for a, b in zip(at[:-1], at[1:])])
+
+
+def _run(ends: list, codec: Codec) -> list[int]:
+    """Ids of the text between two places of splitting, which pieces share."""
+    text = "".join(getattr(p, e) for p, e in ends)
+    if len(text) <= LONG_WORD:
+        return codec.encode([text])[0] if text else []
+    return concatenated([_end_of(p, e, codec) for p, e in ends], codec)
+
+
+def joined_pieces(pieces: list, codec: Codec) -> list[int]:
+    """Ids of one text from its pieces in order (rows as of ``_open_ends``)."""
+    ids: list[int] = []
+    run: list = []
+    for p in pieces:
+        run.append((p, "head"))
+        if p.closed:
+            ids += _run(run, codec)
+            ids += [int(t) for t in p.ids]
+            run = [(p, "tail")]
+    return ids + _run(run, codec)
+
+
 @lru_cache(maxsize=2)
 def codec_of(path: str) -> Codec:
     import os
@@ -185,7 +238,7 @@ def codec_of(path: str) -> Codec:
 
 def _ids_array(ids: list[list[int]]) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-    flat = np.fromiter((t for x in ids for t in x), np.int32, int(offsets[-1]))
+    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 
@@ -196,9 +249,12 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
 
     ``tokenizer`` is the path of the file on every executor.  Texts of up to
     ``piece`` characters are encoded where they are read.  A longer one is cut into
-    pieces that are dealt over the cluster and encoded in parallel; then its pieces
-    are concatenated as a tree, and around each join a growing window is encoded
-    anew until it agrees with both sides.  Strings of special tokens in a text are
+    pieces that are dealt over the cluster and encoded in parallel.  Between two
+    pieces, the text from the last place of the one to the first of the other where
+    the pattern splits whatever comes before is encoded as one; where text goes on
+    unsplit for long, over whole pieces too, its parts are concatenated as a tree,
+    and around each join a growing window is encoded anew until it agrees with both
+    sides.  Strings of special tokens in a text are
     such tokens, as in the library; pieces do not cross them.
 
     Null texts count as empty and have no ids; equal rows are encoded each; an empty
@@ -235,34 +291,33 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
               .select("id", "k1", "k2", "part_no", F.posexplode(cut).alias("no", "piece"))
               .groupBy("k1", "k2", "part_no", "no", "piece").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
 
+    lists = ["head_starts", "head_counts", "head_ids", "tail_starts", "tail_counts", "tail_ids"]
+
     def encoded(found):
         codec = codec_of(tokenizer)
         for batch in found:
             for i in range(len(batch)):
-                done = codec.piece(batch.column(4)[i].as_py())
+                done = _open_ends(batch.column(4)[i].as_py(), codec)
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(c).slice(i, 1) for c in range(7)],
-                     pa.array([done.starts], pa.list_(pa.int32())),
-                     pa.array([[len(x) for x in done.ids]], pa.list_(pa.int32())),
-                     pa.array([[t for x in done.ids for t in x]], pa.list_(pa.int32()))],
-                    names=[*batch.schema.names, "starts", "counts", "ids"])
+                    [*[batch.column(c).slice(i, 1) for c in (0, 1, 2, 3, 5, 6)], pa.array([done["closed"]]),
+                     pa.array([done["head"]], pa.string()), pa.array([done["tail"]], pa.string()),
+                     *[pa.array([done[c]], pa.list_(pa.int32())) for c in ("ids", *lists)]],
+                    names=with_ids.names)
 
-    with_ids = StructType([*pieces.schema.fields, *[StructField(c, ArrayType(IntegerType())) for c in ("starts", "counts", "ids")]])
+    with_ids = StructType(
+        [f for f in pieces.schema.fields if f.name != "piece"]
+        + [StructField("closed", BooleanType()), StructField("head", StringType()), StructField("tail", StringType())]
+        + [StructField(c, ArrayType(IntegerType())) for c in ("ids", *lists)])
 
     def joined(group):
+        import pandas as pd
+
         codec = codec_of(tokenizer)
-        group = group.sort_values(["part_no", "no"])
         ids: list[int] = []
-        for part_no, rows in group.groupby("part_no", sort=True):
+        for part_no, rows in group.sort_values(["part_no", "no"]).groupby("part_no", sort=True):
             if part_no:
                 ids.append(special[0][1])
-            encs = []
-            for r in rows.itertuples():
-                at = np.concatenate([[0], np.cumsum(r.counts)]).astype(int)
-                flat = [int(t) for t in r.ids]
-                encs.append(Encoded(r.piece, [int(s) for s in r.starts], [flat[a:b] for a, b in zip(at[:-1], at[1:])]))
-            ids += concatenated(encs, codec)
-        import pandas as pd
+            ids += joined_pieces(list(rows.itertuples()), codec)
         n = int(group["copies"].max())
         return pd.DataFrame({"id": [group["id"].iloc[0]] * n, "ids": [ids] * n, "decoded": codec.decode([ids]) * n})
 
