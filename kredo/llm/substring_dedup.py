@@ -179,6 +179,7 @@ def _sent(docs: DataFrame, seen, window: int) -> DataFrame:
                 place = (starts - texts.first[doc]).astype(np.int32)
                 # one row for each distinct window; windows found twice here are settled
                 sent = np.flatnonzero(new)
+                sent = sent[np.argsort(starts[sent])]    # by document: keys in a row compress well
                 yield _rows(h1[sent], h2[sent], many[sent], keys[0][low + doc[sent]], keys[1][low + doc[sent]], place[sent])
                 settled = np.flatnonzero(many)
                 settled = settled[np.argsort(doc[settled], kind="stable")]
