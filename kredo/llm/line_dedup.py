@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kredo.llm import bloom
-from kredo.llm.text import SPACE_RUN, row_keys, whole
+from kredo.llm.text import WORD_CHAR, row_keys, whole
 from kredo.session import cut_lineage
 
 DEPTH = 3          # leading tokens below the token count
@@ -16,18 +16,16 @@ MIN_DOCS = 2       # documents in which a template recurs
 NUMBERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def _tokens(line: Column) -> Column:
-    return F.array_remove(F.split(line, SPACE_RUN), "")
-
-
 def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int) -> DataFrame:
     """Every line with words: row keys, number, masked text, ``leaf``, ``line``."""
     text = whole(F.col(text_col))
+    # with one kind of space left, lines are split without a pattern
+    spaced = F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
     masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", NUMBERED, "<*>")).otherwise(F.col("raw"))
     return (docs.select(F.col(id_col).alias("id"), *row_keys(F.col(id_col), F.col(text_col)),
-                        F.posexplode(F.split(text, "\n")).alias("no", "raw"))
-            .withColumn("masked", masked)
-            .withColumn("tokens", _tokens(F.col("masked"))).where("size(tokens) > 0")
+                        F.posexplode(F.split(spaced, "\n")).alias("no", "raw"))
+            .where(F.col("raw").rlike(WORD_CHAR))
+            .withColumn("tokens", F.array_remove(F.split(masked, " "), ""))
             .select("id", "k1", "k2", "no", "tokens",
                     F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)).alias("leaf"),
                     F.xxhash64("tokens").alias("line")))
