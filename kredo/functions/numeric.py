@@ -13,11 +13,29 @@ def round_half(c: Column, digits: int) -> Column:
     return F.round(c.cast("decimal(38,9)"), digits).cast("double")
 
 
+# text that the engine reads as a number and the callers' rule does not: a type
+# suffix or a hexadecimal float
+_NOT_DECIMAL = r"(?i)(0x|[0-9.][df]\s*$)"
+
+
+def text_number(text: Column) -> Column:
+    """DOUBLE of decimal text; NULL for other text."""
+    return F.when(~text.rlike(_NOT_DECIMAL), text.try_cast("double"))
+
+
 def to_number(c: Column | str) -> Column:
     """Coerce anything to DOUBLE; invalid text -> NULL, and 'NaN' -> NULL."""
     col = F.col(c) if isinstance(c, str) else c
-    d = col.cast("string").try_cast("double")
-    return F.nanvl(d, F.lit(None).cast("double"))
+    return F.nanvl(text_number(col.cast("string")), F.lit(None).cast("double"))
+
+
+def number_of(df, name: str) -> Column:
+    """N7 for a column of ``df``: numeric columns are cast as they are, only the
+    others go through text."""
+    from pyspark.sql.types import NumericType
+    if isinstance(df.schema[name].dataType, NumericType):
+        return F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
+    return to_number(name)
 
 
 def nan_to_null(df):

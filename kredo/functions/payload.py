@@ -77,6 +77,8 @@ def field_groups(df: DataFrame, payload: str = "input_data",
 
 
 def client_id(payload_map: Column) -> Column:
-    """SK_ID_CURR, else client_id; a 0 id falls through like a missing one."""
-    first = F.nullif(payload_map["SK_ID_CURR"].try_cast("long"), F.lit(0).cast("long"))
-    return F.coalesce(first, payload_map["client_id"].try_cast("long"))
+    """SK_ID_CURR, else client_id; a 0 id falls through like a missing one.
+    ``100001.0``, as a nullable integer column is written, is 100001."""
+    def whole(key):
+        return payload_map[key].try_cast("decimal(38,6)").try_cast("long")
+    return F.coalesce(F.nullif(whole("SK_ID_CURR"), F.lit(0).cast("long")), whole("client_id"))

@@ -10,7 +10,6 @@ is a no-op for rows already archived.
 
 from __future__ import annotations
 
-import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +28,11 @@ def archive_plan(live: DataFrame, archive: DataFrame | None, cutoff: Column,
     return to_archive, live.where(~(F.col("timestamp") < cutoff) | F.col("timestamp").isNull())
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+
+
 def archive_logs(spark: SparkSession, live_path: str, archive_path: str, out_live_path: str,
                  as_of: str, days: int = 30) -> dict:
     """Run the move; returns {archived: rows added to the archive by this run,
@@ -36,13 +40,12 @@ def archive_logs(spark: SparkSession, live_path: str, archive_path: str, out_liv
     (the caller swaps the pointer after success).  Only this run's rows are
     counted - the archive, which only grows, is never rescanned."""
     from pyspark import StorageLevel
-    if os.path.abspath(out_live_path) == os.path.abspath(live_path):
+    if out_live_path.rstrip("/") == live_path.rstrip("/"):
         raise ValueError("write the remaining live rows to a new path")
     live = spark.read.parquet(live_path)
-    try:
-        archive = spark.read.parquet(archive_path)
-    except Exception:
-        archive = None
+    # only an archive that is not there is an empty one: a read error must not let
+    # rows be archived twice
+    archive = spark.read.parquet(archive_path) if _exists(spark, archive_path) else None
     cutoff = F.lit(as_of).cast("timestamp_ntz") - F.expr(f"INTERVAL {int(days)} DAYS")
     to_archive, remaining = archive_plan(live, archive, cutoff)
     # computed once: written and counted from the persisted rows

@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from kredo.functions.numeric import number_of
+from kredo.operators.encoding import canonical_yes_no
 from kredo.functions.bands import SEVERITY_MILD, SEVERITY_SEVERE, drift_severity, drift_status
 from kredo.operators.profile import category_profile, numeric_profile
 
@@ -48,11 +50,30 @@ def compare_fields(recent: DataFrame, reference: DataFrame,
     of its share (denominator at least 1e-6), different value -> 1.0."""
     fields = list(MONITORED_INPUT_FIELDS if fields is None else fields)
     shared = [f for f in fields if f in recent.columns and f in reference.columns]
-    both = (recent.select(*shared, F.lit("recent").alias("_side"))
-            .unionByName(reference.select(*shared, F.lit("reference").alias("_side"))))
+    both = (recent.select(*_typed(recent, shared, numeric), F.lit("recent").alias("_side"))
+            .unionByName(reference.select(*_typed(reference, shared, numeric),
+                                          F.lit("reference").alias("_side"))))
     return _compare(both, shared, fields, numeric)
 
 
+def _typed(df: DataFrame, fields: list[str], numeric: set[str] | None) -> list:
+    """The fields as one side of a comparison: numeric ones as doubles (what is
+    no number becomes NULL), yes/no flags as Y/N whether they come as 1/0 or
+    text, all others as text - so that a text payload meets a typed table."""
+    numeric = NUMERIC_MONITORED_FIELDS if numeric is None else numeric
+    out = []
+    for f in fields:
+        text = F.col(f).cast("string")
+        if f in numeric:
+            c = number_of(df, f)
+        elif f.startswith("FLAG_OWN_"):
+            c = F.coalesce(canonical_yes_no(f), text)
+        else:
+            c = text
+        out.append(c.alias(f))
+    return out
+
+
 def compare_split(df: DataFrame, is_recent, fields: list[str] | None = None,
                   numeric: set[str] | None = None) -> DataFrame:
     """D2 when both sides come from ONE table split by a predicate: the side
@@ -60,7 +81,7 @@ def compare_split(df: DataFrame, is_recent, fields: list[str] | None = None,
     two filtered reads would scan the table twice)."""
     fields = list(MONITORED_INPUT_FIELDS if fields is None else fields)
     shared = [f for f in fields if f in df.columns]
-    tagged = df.select(*shared, F.when(is_recent, "recent").otherwise("reference").alias("_side"))
+    tagged = df.select(*_typed(df, shared, numeric), F.when(is_recent, "recent").otherwise("reference").alias("_side"))
     return _compare(tagged, shared, fields, numeric)
 
 
@@ -145,15 +166,15 @@ def top_drifting(details: DataFrame, n: int = 10) -> DataFrame:
 
 
 def monitored_numeric(df: DataFrame, exclude: set[str] = ID_COLUMNS,
-                      max_cols: int | None = 20) -> tuple[list[str], int]:
-    """Numeric non-ID columns (schema order), first ``max_cols``;
-    also the count before the cap."""
+                      max_cols: int | None = None) -> tuple[list[str], int]:
+    """Numeric non-ID columns (schema order), all of them or the first
+    ``max_cols``; also the count before that limit."""
     cols = [f.name for f in df.schema.fields
             if isinstance(f.dataType, NumericType) and f.name not in exclude]
     return (cols[:max_cols] if max_cols else cols), len(cols)
 
 
-def mean_shift(recent: DataFrame, reference: DataFrame, max_cols: int | None = 20,
+def mean_shift(recent: DataFrame, reference: DataFrame, max_cols: int | None = None,
                exclude: set[str] = ID_COLUMNS, signed: bool = False) -> DataFrame:
     """D1 detail (D4 with ``signed=True``: (cur - ref) / |ref| * 100).
     Columns whose |reference mean| <= 1e-6 are skipped."""

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kredo.functions.numeric import text_number
+
 MISSING = "__MISSING__"
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -112,7 +114,7 @@ def align_columns(df: DataFrame, expected: list[str], fill: float = 0.0) -> Data
 
 def invalid_numeric_fields(fields: list[str]) -> Column:
     """Names of fields whose non-NULL value does not convert to a number."""
-    checks = [F.when(F.col(f).isNotNull() & F.col(f).cast("string").try_cast("double").isNull(),
+    checks = [F.when(F.col(f).isNotNull() & text_number(F.col(f).cast("string")).isNull(),
                      F.lit(f)) for f in fields]
     return F.array_compact(F.array(*checks))
 

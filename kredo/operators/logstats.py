@@ -119,7 +119,7 @@ def stats_by_type(logs: DataFrame, as_of: str | None = None,
     (conditional aggregates), then ``stack`` to one row per label.  A type
     with no rows gives total 0 and NULL averages."""
     now = as_of_col(as_of)
-    last_hour = within_last(F.col("timestamp"), now, 1)
+    last_hour = within_last(F.col("timestamp"), now, 1) & (F.col("timestamp") <= now)
     labels = list(types) + ["combined"]
     aggs = []
     for label in labels:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kredo.functions.numeric import to_number
+from kredo.functions.numeric import number_of
 
 
 def numeric_profile(df: DataFrame, cols: list[str], group_cols: list[str] | tuple = ()) -> DataFrame:
@@ -25,7 +25,7 @@ def numeric_profile(df: DataFrame, cols: list[str], group_cols: list[str] | tupl
     g = list(group_cols)
     aggs = []
     for c in cols:
-        v = to_number(c)
+        v = number_of(df, c)
         aggs += [F.avg(v).alias(f"{c}__mean"), F.stddev_samp(v).alias(f"{c}__std"),
                  F.min(v).alias(f"{c}__min"), F.max(v).alias(f"{c}__max"),
                  F.count(v).alias(f"{c}__count")]

@@ -135,8 +135,8 @@ _APP_NUMERIC = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRIC
                 "FLAG_DOCUMENT_2", "FLAG_DOCUMENT_3"]
 
 
-def _mean_shift_sql(max_cols: int) -> str:
-    cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _APP_NUMERIC[:max_cols])
+def _mean_shift_sql() -> str:
+    cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _APP_NUMERIC)
     return f"""{_SIDES},
 cl AS (UNPIVOT (SELECT {cols} FROM rec) ON COLUMNS(*) INTO NAME feature VALUE v),
 fl AS (UNPIVOT (SELECT {cols} FROM ref) ON COLUMNS(*) INTO NAME feature VALUE v),
@@ -145,7 +145,7 @@ f AS (SELECT feature, avg(v) AS reference_mean FROM fl GROUP BY 1),
 m AS (SELECT * FROM c JOIN f USING (feature) WHERE abs(reference_mean) > 1e-6)"""
 
 
-_MS = _mean_shift_sql(20)
+_MS = _mean_shift_sql()
 _VAR = "abs((current_mean - reference_mean) / reference_mean)"
 
 
@@ -156,7 +156,7 @@ SELECT feature, {rnd('reference_mean')} AS reference_mean, {rnd('current_mean')}
 FROM m""")
 def q_drift_mean_shift(spark, d):
     rec, ref = _sides(spark, d)
-    return rounded(D.mean_shift(rec.drop("SK_ID_CURR"), ref, max_cols=20))
+    return rounded(D.mean_shift(rec.drop("SK_ID_CURR"), ref))
 
 
 @register("drift_mean_shift_summary", f"""WITH {_MS},
@@ -170,17 +170,17 @@ SELECT (CASE WHEN drift_columns_50pct >= 2 THEN 'severe' WHEN drift_columns_30pc
 def q_drift_mean_shift_summary(spark, d):
     rec, ref = _sides(spark, d)
     rec = rec.drop("SK_ID_CURR")
-    det = D.mean_shift(rec, ref, max_cols=20)
+    det = D.mean_shift(rec, ref)
     _, total = D.monitored_numeric(rec)
     return D.mean_shift_summary(det, total)
 
 
-@register("drift_signed", f"""WITH {_mean_shift_sql(10)}
+@register("drift_signed", f"""WITH {_MS}
 SELECT feature, {rnd('reference_mean')} AS reference_mean, {rnd('current_mean')} AS current_mean,
   {rnd('(current_mean - reference_mean) / abs(reference_mean) * 100')} AS variation_pct FROM m""")
 def q_drift_signed(spark, d):
     rec, ref = _sides(spark, d)
-    return rounded(D.mean_shift(rec.drop("SK_ID_CURR"), ref, max_cols=10, signed=True))
+    return rounded(D.mean_shift(rec.drop("SK_ID_CURR"), ref, signed=True))
 
 
 @register("payload_drift", f"""WITH {S.SQL_API_LOGS},

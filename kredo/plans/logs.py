@@ -83,7 +83,7 @@ SELECT label, count(a.log_id) AS total,
   count(CASE WHEN score <= 0.45 THEN 1 END) AS low_risk,
   {rnd('avg(latency_seconds) * 1000')} AS avg_latency_ms,
   {rnd('max(latency_seconds) * 1000')} AS max_latency_ms,
-  count(CASE WHEN "timestamp" > {NOW} - INTERVAL 1 HOUR THEN 1 END) AS last_hour
+  count(CASE WHEN "timestamp" > {NOW} - INTERVAL 1 HOUR AND "timestamp" <= {NOW} THEN 1 END) AS last_hour
 FROM lab LEFT JOIN api_logs a ON lab.label = 'combined' OR a.prediction_type = lab.label
 GROUP BY label""")
 def q_log_summary_by_type(spark, d):
