@@ -50,9 +50,10 @@ def log_alerts(logs: DataFrame, latency_limit_s: float = 1.0) -> DataFrame:
 
 
 def drift_alert(summary: DataFrame, as_of: Column, model_version: str = "1.0") -> DataFrame:
-    """A CRITICAL ``drift`` alert when the drift summary says so."""
+    """A CRITICAL ``drift`` alert when the drift summary says so.  Its id
+    is a hash of type, time and model version: one alert for each detection."""
     return summary.where(F.col("has_drift")).select(
-        F.lit(TYPE_CODE["drift"]).cast("long").alias("alert_id"),
+        F.xxhash64(F.lit("drift"), as_of.cast("string"), F.lit(model_version)).alias("alert_id"),
         F.lit("drift").alias("alert_type"), F.lit("CRITICAL").alias("severity"),
         F.format_string("data drift detected (score %.4f)", F.col("drift_score")).alias("message"),
         F.to_json(F.struct("drift_score", "affected_features",

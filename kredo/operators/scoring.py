@@ -115,8 +115,8 @@ def feature_names(model: PipelineModel, numeric: list[str], categorical: list[st
         if hasattr(stage, "labelsArray") and stage.getOutputCol().endswith("__i"):
             col = stage.getOutputCol()[:-3]
             labels = stage.labelsArray[0]
-            # one-hot drops the last category; handleInvalid=keep adds one slot
-            names += [f"{col}={v}" for v in labels]
+            # handleInvalid=keep gives unseen values a slot after the labels
+            names += [f"{col}={v}" for v in labels] + [f"{col}=(other)"]
     return names
 
 
@@ -129,8 +129,9 @@ def feature_importance(spark, model: PipelineModel, names: list[str], top_n: int
         values = [abs(v) for v in clf.coefficients.toArray().tolist()]
     else:
         raise TypeError("model has neither feature importances nor coefficients")
-    n = min(len(values), len(names))
-    rows = [(names[i], float(values[i])) for i in range(n)]
+    if len(values) != len(names):
+        raise ValueError(f"the model has {len(values)} inputs and {len(names)} names were given")
+    rows = [(name, float(value)) for name, value in zip(names, values)]
     df = spark.createDataFrame(rows, "feature string, importance double")
     return df.orderBy(F.col("importance").desc(), F.col("feature")).limit(top_n)
 

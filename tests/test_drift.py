@@ -58,3 +58,16 @@ def test_mean_shift_rules(spark):
     assert {r.feature for r in det.collect()} == set(cols)  # ID excluded
     signed = {r.feature: r.variation_pct for r in D.mean_shift(ref, cur, signed=True).collect()}
     assert signed["c0"] == pytest.approx((1.0 - 1.6) / 1.6 * 100)
+
+
+def test_each_drift_alert_has_its_own_id(spark):
+    from pyspark.sql import functions as F
+
+    from kredo.operators import alerts as A
+    s = spark.sql("SELECT true AS has_drift, 0.5D AS drift_score, array('a') AS affected_features")
+    days = [A.drift_alert(s, F.lit(t).cast("timestamp_ntz")) for t in ("2024-01-01", "2024-01-02")]
+    both = days[0].unionByName(days[1])
+    first = days[0].select("alert_id")
+    acked = A.ack_events(both, first, F.lit("2024-01-03").cast("timestamp_ntz"))
+    state = A.alert_state(both.select(*A.EVENT_COLUMNS).unionByName(acked))
+    assert sorted(r.acknowledged for r in state.collect()) == [False, True]
