@@ -25,19 +25,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, NumericType, StructField, StructType
 
-DEFAULT_BUCKETS = 16
+# A fixed number: the plan (cut points, CASE tree) must not grow with the
+# cluster's shuffle partitions.  Callers with more distinct values pass theirs.
+DEFAULT_BUCKETS = 64
 _B = "_bucket"
 
 
-def _bucket_count(df: DataFrame, buckets: int | None) -> int:
-    if buckets:
-        return buckets
-    try:
-        return max(DEFAULT_BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    except Exception:
-        return DEFAULT_BUCKETS
-
-
 SAMPLE_PER_BUCKET = 64
 MAX_SAMPLE = 200_000
 
@@ -91,7 +84,7 @@ def running_totals(df: DataFrame, order_col: str, measures: dict[str, Column],
     extra pass).  Numeric order columns get their bucket cut points from
     ``percentile_approx``; other orderable types from a bounded sample."""
     g = list(group_cols)
-    B = _bucket_count(df, buckets)
+    B = buckets or DEFAULT_BUCKETS
     distinct = (df.where(F.col(order_col).isNotNull())
                 .groupBy(*g, order_col)
                 .agg(*[F.sum(expr).alias(name) for name, expr in measures.items()]))

@@ -31,3 +31,17 @@ def test_pushdown_and_pruning(spark):
         "l_orderkey", "l_linenumber", "l_extendedprice", "l_discount", "l_shipdate"]
     last24 = _plan(q["last_24h_stats"](spark, SF0001))
     assert "PushedFilters: [IsNotNull(ts), GreaterThan(ts," in last24 and "LessThanOrEqual(ts," in last24
+
+
+def test_plan_does_not_grow_with_shuffle_partitions(spark):
+    import time
+
+    from kredo.plans.registry import QUERIES
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "410000")
+        began = time.perf_counter()
+        QUERIES["hourly_performance"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+        assert time.perf_counter() - began < 15
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
