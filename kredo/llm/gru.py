@@ -9,7 +9,7 @@ import numpy as np
 HIDDEN = 16
 STEPS = 20               # of a training window: gradients stop at its start
 SCORE_STEPS = 32         # of a scoring window
-RATE = 0.1
+RATE = 0.3
 CLIP = 5.0
 
 
