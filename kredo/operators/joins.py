@@ -29,19 +29,27 @@ def safe_merge(left: DataFrame, right: DataFrame, key: str = KEY) -> DataFrame:
     return left.join(right.select(*keep), on=key, how="left")
 
 
-def merge_all(tables: dict[str, DataFrame], key: str = KEY,
-              train: str = "application_train",
-              test: str = "application_test") -> tuple[DataFrame, DataFrame]:
-    """J2 + U4: aggregate every side table present, join once onto the union
-    of train and test (tagged by a ``split`` column), then split again.
+def merge_tagged(tables: dict[str, DataFrame], key: str = KEY,
+                 train: str = "application_train", test: str = "application_test") -> DataFrame:
+    """J2 + U4: aggregate every side table present and join once onto the union
+    of train and test, tagged by a ``split`` column (``train`` or ``test``).
 
-    Both main tables are required; an absent side table is skipped."""
+    Both main tables are required; an absent side table is skipped.  Columns that
+    one of them lacks are NULL there."""
     if train not in tables or test not in tables:
         raise KeyError(f"both {train!r} and {test!r} are required")
     base = (tables[train].withColumn("split", F.lit("train"))
             .unionByName(tables[test].withColumn("split", F.lit("test")),
                          allowMissingColumns=True))
-    base = join_aggregates(base, tables, key)
+    return join_aggregates(base, tables, key)
+
+
+def merge_all(tables: dict[str, DataFrame], key: str = KEY,
+              train: str = "application_train",
+              test: str = "application_test") -> tuple[DataFrame, DataFrame]:
+    """``merge_tagged`` as two frames (train, test).  Each is a plan of its own that
+    runs all joins: to use both, write the tagged frame partitioned by ``split``."""
+    base = merge_tagged(tables, key, train, test)
     return (base.where(F.col("split") == "train").drop("split"),
             base.where(F.col("split") == "test").drop("split"))
 

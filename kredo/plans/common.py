@@ -44,28 +44,3 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 def rnd(expr: str, digits: int = DIGITS) -> str:
     """SQL twin of ``rounded`` for one expression."""
     return f"CAST(round(CAST({expr} AS DECIMAL(38, {PRE_DIGITS})), {digits}) AS DOUBLE)"
-
-
-def sql_agg_list(spec: dict, prefix: str, types: dict[str, str],
-                 digits: int = DIGITS) -> list[str]:
-    """SQL select items equivalent to ``agg_by_key(spec, prefix)`` over a
-    stand-in whose column types are ``types`` (oracle side)."""
-    out = []
-    for col, fns in spec.items():
-        kind = types.get(col)
-        if kind not in ("int", "bigint", "double"):
-            continue
-        for fn in fns:
-            if fn == "count":
-                e = f"count({col})"
-            elif fn == "nunique":
-                e = f"count(DISTINCT {col})"
-            elif fn == "sum":
-                e = (rnd(f"coalesce(sum({col}), 0)", digits) if kind == "double"
-                     else f"CAST(coalesce(sum({col}), 0) AS BIGINT)")
-            elif fn == "mean":
-                e = rnd(f"avg({col})", digits)
-            else:
-                e = rnd(f"{fn}({col})", digits) if kind == "double" else f"{fn}({col})"
-            out.append(f"{e} AS {prefix}_{col}_{fn}")
-    return out

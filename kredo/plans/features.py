@@ -8,24 +8,10 @@ from kredo.functions.features import (create_interaction_features, create_ratio_
                                      with_array_row_stats)
 from kredo.sources.tables import table
 from kredo.operators import aggregates as A
-from kredo.operators.joins import join_aggregates
+from kredo.operators.joins import join_aggregates, merge_tagged
+from kredo.plans import aggregate_sql as Q
 from kredo.plans import standins as S
-from kredo.plans.common import register, rnd, rounded, sql_agg_list
-
-# Column types of the stand-ins (oracle side needs them for casts/rounding).
-T_PREVIOUS = {"SK_ID_CURR": "bigint", "SK_ID_PREV": "bigint", "AMT_CREDIT": "double",
-              "NAME_CONTRACT_STATUS": "string", "DAYS_DECISION": "int"}
-T_INSTALLMENTS = {"SK_ID_CURR": "bigint", "SK_ID_PREV": "bigint", "NUM_INSTALMENT_VERSION": "int",
-                  "NUM_INSTALMENT_NUMBER": "int", "DAYS_INSTALMENT": "int",
-                  "DAYS_ENTRY_PAYMENT": "int", "AMT_INSTALMENT": "double", "AMT_PAYMENT": "double",
-                  "PAYMENT_PERC": "double", "PAYMENT_DIFF": "double", "DPD": "int"}
-T_BUREAU = {"SK_ID_CURR": "bigint", "SK_ID_BUREAU": "bigint", "CREDIT_ACTIVE": "string",
-            "DAYS_CREDIT": "int", "AMT_CREDIT_MAX_OVERDUE": "double", "AMT_CREDIT_SUM": "double",
-            "AMT_CREDIT_SUM_DEBT": "double", "AMT_ANNUITY": "double"}
-T_POS = {"SK_ID_CURR": "bigint", "SK_ID_PREV": "bigint", "MONTHS_BALANCE": "int",
-         "CNT_INSTALMENT": "double", "CNT_INSTALMENT_FUTURE": "double", "SK_DPD": "int"}
-T_CARD = {"SK_ID_CURR": "bigint", "SK_ID_PREV": "bigint", "MONTHS_BALANCE": "int",
-          "AMT_BALANCE": "double", "AMT_DRAWINGS_CURRENT": "double", "CNT_DRAWINGS_CURRENT": "int"}
+from kredo.plans.common import register, rnd, rounded
 
 SQL_INST_DERIVED = """inst AS (
   SELECT *, AMT_PAYMENT / nullif(AMT_INSTALMENT, 0) AS PAYMENT_PERC,
@@ -34,34 +20,27 @@ SQL_INST_DERIVED = """inst AS (
   FROM installments)"""
 
 
-def _agg_sql(cte: str, source: str, spec: dict, prefix: str, types: dict) -> str:
-    items = ",\n  ".join(sql_agg_list(spec, prefix, types))
-    return (f"WITH {cte}\nSELECT SK_ID_CURR,\n  {items}\nFROM {source}\n"
-            f"WHERE SK_ID_CURR IS NOT NULL GROUP BY SK_ID_CURR")
-
-
-@register("agg_previous", _agg_sql(S.SQL_PREVIOUS, "previous", A.PREVIOUS_SPEC, "prev", T_PREVIOUS))
+@register("agg_previous", f"WITH {S.SQL_PREVIOUS} {Q.by_client(Q.PREV, 'previous')}")
 def q_agg_previous(spark, d):
     return rounded(A.aggregate_previous(S.previous_applications(spark, d)))
 
 
-@register("agg_installments", _agg_sql(S.SQL_INSTALLMENTS + ",\n" + SQL_INST_DERIVED, "inst",
-                                       A.INSTALLMENTS_SPEC, "inst", T_INSTALLMENTS))
+@register("agg_installments", f"WITH {S.SQL_INSTALLMENTS}, {SQL_INST_DERIVED} {Q.by_client(Q.INST, 'inst')}")
 def q_agg_installments(spark, d):
     return rounded(A.aggregate_installments(S.installments(spark, d)))
 
 
-@register("agg_bureau_like", _agg_sql(S.SQL_BUREAU, "bureau", A.BUREAU_SPEC, "bureau", T_BUREAU))
+@register("agg_bureau_like", f"WITH {S.SQL_BUREAU} {Q.by_client(Q.BUREAU, 'bureau')}")
 def q_agg_bureau(spark, d):
     return rounded(A.aggregate_bureau(S.bureau(spark, d)))
 
 
-@register("agg_pos_like", _agg_sql(S.SQL_POS_CASH, "pos_cash", A.POS_CASH_SPEC, "pos", T_POS))
+@register("agg_pos_like", f"WITH {S.SQL_POS_CASH} {Q.by_client(Q.POS, 'pos_cash')}")
 def q_agg_pos(spark, d):
     return rounded(A.aggregate_pos_cash(S.pos_cash(spark, d)))
 
 
-@register("agg_card_like", _agg_sql(S.SQL_CREDIT_CARD, "credit_card", A.CREDIT_CARD_SPEC, "cc", T_CARD))
+@register("agg_card_like", f"WITH {S.SQL_CREDIT_CARD} {Q.by_client(Q.CARD, 'credit_card')}")
 def q_agg_card(spark, d):
     return rounded(A.aggregate_credit_card(S.credit_card(spark, d)))
 
@@ -77,23 +56,35 @@ def client_features(spark, d):
     return rounded(create_ratio_features(wide))
 
 
-def _client_features_sql() -> str:
-    prev = ",\n  ".join(sql_agg_list(A.PREVIOUS_SPEC, "prev", T_PREVIOUS))
-    inst = ",\n  ".join(sql_agg_list(A.INSTALLMENTS_SPEC, "inst", T_INSTALLMENTS))
-    return f"""WITH {S.SQL_CLIENTS}, {S.SQL_PREVIOUS}, {S.SQL_INSTALLMENTS}, {SQL_INST_DERIVED},
-p AS (SELECT SK_ID_CURR,
-  {prev}
-  FROM previous WHERE SK_ID_CURR IS NOT NULL GROUP BY SK_ID_CURR),
-i AS (SELECT SK_ID_CURR,
-  {inst}
-  FROM inst WHERE SK_ID_CURR IS NOT NULL GROUP BY SK_ID_CURR)
+CLIENT_FEATURES_SQL = f"""WITH {S.SQL_CLIENTS}, {S.SQL_PREVIOUS}, {S.SQL_INSTALLMENTS}, {SQL_INST_DERIVED},
+p AS ({Q.by_client(Q.PREV, 'previous')}),
+i AS ({Q.by_client(Q.INST, 'inst')})
 SELECT c.*, p.* EXCLUDE (SK_ID_CURR), i.* EXCLUDE (SK_ID_CURR),
   p.prev_AMT_CREDIT_sum AS AMT_CREDIT,
   {rnd("p.prev_AMT_CREDIT_sum / nullif(c.AMT_INCOME_TOTAL + 1, 0)")} AS CREDIT_INCOME_PERC
 FROM clients c LEFT JOIN p ON c.SK_ID_CURR = p.SK_ID_CURR LEFT JOIN i ON c.SK_ID_CURR = i.SK_ID_CURR"""
 
 
-register("client_features", _client_features_sql())(client_features)
+register("client_features", CLIENT_FEATURES_SQL)(client_features)
+
+
+@register("merge_all", f"""WITH {S.SQL_TRAIN_AND_TEST}, {S.SQL_BUREAU}, {S.SQL_PREVIOUS}, {S.SQL_POS_CASH},
+{S.SQL_CREDIT_CARD}, {S.SQL_INSTALLMENTS}, {SQL_INST_DERIVED},
+b AS ({Q.by_client(Q.BUREAU, 'bureau')}),
+p AS ({Q.by_client(Q.PREV, 'previous')}),
+o AS ({Q.by_client(Q.POS, 'pos_cash')}),
+c AS ({Q.by_client(Q.CARD, 'credit_card')}),
+i AS ({Q.by_client(Q.INST, 'inst')})
+SELECT * FROM main LEFT JOIN b USING (SK_ID_CURR) LEFT JOIN p USING (SK_ID_CURR)
+LEFT JOIN o USING (SK_ID_CURR) LEFT JOIN c USING (SK_ID_CURR) LEFT JOIN i USING (SK_ID_CURR)""")
+def q_merge_all(spark, d):
+    """All five side tables (91 outputs) joined once onto train and test."""
+    train, test = S.train_and_test(spark, d)
+    return rounded(merge_tagged({
+        "application_train": train, "application_test": test,
+        "bureau": S.bureau(spark, d), "previous": S.previous_applications(spark, d),
+        "pos_cash": S.pos_cash(spark, d), "credit_card": S.credit_card(spark, d),
+        "installments": S.installments(spark, d)}))
 
 
 # ------------------------------------------------------------------ row features

@@ -33,14 +33,19 @@ def previous_applications(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_custkey").alias("SK_ID_CURR"),
         F.col("o_orderkey").alias("SK_ID_PREV"),
         F.col("o_totalprice").alias("AMT_CREDIT"),
+        (F.col("o_totalprice") / 12).alias("AMT_ANNUITY"),
+        (F.col("o_totalprice") * 1.25).alias("AMT_APPLICATION"),
         F.col("o_orderstatus").alias("NAME_CONTRACT_STATUS"),
         _days("o_orderdate").alias("DAYS_DECISION"),
+        F.when(F.col("o_orderstatus") != "F", F.length("o_orderpriority") * 6).alias("CNT_PAYMENT"),
     )
 
 
 SQL_PREVIOUS = f"""previous AS (
   SELECT o_custkey AS SK_ID_CURR, o_orderkey AS SK_ID_PREV, o_totalprice AS AMT_CREDIT,
-         o_orderstatus AS NAME_CONTRACT_STATUS, {_sql_days('o_orderdate')} AS DAYS_DECISION
+         o_totalprice / 12 AS AMT_ANNUITY, o_totalprice * 1.25 AS AMT_APPLICATION,
+         o_orderstatus AS NAME_CONTRACT_STATUS, {_sql_days('o_orderdate')} AS DAYS_DECISION,
+         CASE WHEN o_orderstatus <> 'F' THEN CAST(length(o_orderpriority) * 6 AS INTEGER) END AS CNT_PAYMENT
   FROM orders)"""
 
 
@@ -79,9 +84,12 @@ def bureau(spark: SparkSession, d: str) -> DataFrame:
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("SK_ID_BUREAU"),
         F.col("l_returnflag").alias("CREDIT_ACTIVE"),
         _days("l_shipdate").alias("DAYS_CREDIT"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_linenumber") * 5).otherwise(0).alias("CREDIT_DAY_OVERDUE"),
         F.col("l_tax").alias("AMT_CREDIT_MAX_OVERDUE"),
         F.col("l_extendedprice").alias("AMT_CREDIT_SUM"),
         (F.col("l_extendedprice") * F.col("l_discount")).alias("AMT_CREDIT_SUM_DEBT"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_extendedprice") * F.col("l_tax"))
+        .alias("AMT_CREDIT_SUM_OVERDUE"),
         F.col("l_quantity").alias("AMT_ANNUITY"),
     )
 
@@ -90,7 +98,10 @@ SQL_BUREAU = f"""bureau AS (
   SELECT l_suppkey AS SK_ID_CURR, l_orderkey * 8 + l_linenumber AS SK_ID_BUREAU,
          l_returnflag AS CREDIT_ACTIVE, {_sql_days('l_shipdate')} AS DAYS_CREDIT,
          l_tax AS AMT_CREDIT_MAX_OVERDUE, l_extendedprice AS AMT_CREDIT_SUM,
-         l_extendedprice * l_discount AS AMT_CREDIT_SUM_DEBT, l_quantity AS AMT_ANNUITY
+         CASE WHEN l_returnflag = 'R' THEN l_linenumber * 5 ELSE 0 END AS CREDIT_DAY_OVERDUE,
+         l_extendedprice * l_discount AS AMT_CREDIT_SUM_DEBT,
+         CASE WHEN l_returnflag = 'R' THEN l_extendedprice * l_tax END AS AMT_CREDIT_SUM_OVERDUE,
+         l_quantity AS AMT_ANNUITY
   FROM lineitem)"""
 
 
@@ -104,13 +115,16 @@ def pos_cash(spark: SparkSession, d: str) -> DataFrame:
         F.col("l_quantity").alias("CNT_INSTALMENT"),
         (F.col("l_quantity") - F.col("l_linenumber")).alias("CNT_INSTALMENT_FUTURE"),
         F.when(F.col("l_returnflag") == "R", F.col("l_linenumber")).otherwise(0).alias("SK_DPD"),
+        F.when((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25), F.col("l_linenumber"))
+        .alias("SK_DPD_DEF"),
     )
 
 
 SQL_POS_CASH = """pos_cash AS (
   SELECT l_partkey AS SK_ID_CURR, l_orderkey AS SK_ID_PREV, -l_linenumber AS MONTHS_BALANCE,
          l_quantity AS CNT_INSTALMENT, l_quantity - l_linenumber AS CNT_INSTALMENT_FUTURE,
-         CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END AS SK_DPD
+         CASE WHEN l_returnflag = 'R' THEN l_linenumber ELSE 0 END AS SK_DPD,
+         CASE WHEN l_returnflag = 'R' AND l_quantity > 25 THEN l_linenumber END AS SK_DPD_DEF
   FROM lineitem)"""
 
 
@@ -123,6 +137,10 @@ def credit_card(spark: SparkSession, d: str) -> DataFrame:
         (-F.month(F.col("o_orderdate"))).alias("MONTHS_BALANCE"),
         F.col("o_totalprice").alias("AMT_BALANCE"),
         F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice")).alias("AMT_DRAWINGS_CURRENT"),
+        (F.col("o_totalprice") * 1.5).alias("AMT_CREDIT_LIMIT_ACTUAL"),
+        F.when(F.col("o_orderstatus") == "O", F.col("o_totalprice") * 0.25).alias("AMT_DRAWINGS_ATM_CURRENT"),
+        (F.col("o_totalprice") * 0.5).alias("AMT_PAYMENT_CURRENT"),
+        F.when(F.col("o_orderstatus") == "O", 2).otherwise(0).alias("CNT_DRAWINGS_ATM_CURRENT"),
         F.length("o_orderpriority").alias("CNT_DRAWINGS_CURRENT"),
     )
 
@@ -131,6 +149,10 @@ SQL_CREDIT_CARD = """credit_card AS (
   SELECT o_custkey AS SK_ID_CURR, o_orderkey AS SK_ID_PREV, -CAST(month(o_orderdate) AS INTEGER) AS MONTHS_BALANCE,
          o_totalprice AS AMT_BALANCE,
          CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS AMT_DRAWINGS_CURRENT,
+         o_totalprice * 1.5 AS AMT_CREDIT_LIMIT_ACTUAL,
+         CASE WHEN o_orderstatus = 'O' THEN o_totalprice * 0.25 END AS AMT_DRAWINGS_ATM_CURRENT,
+         o_totalprice * 0.5 AS AMT_PAYMENT_CURRENT,
+         CASE WHEN o_orderstatus = 'O' THEN 2 ELSE 0 END AS CNT_DRAWINGS_ATM_CURRENT,
          CAST(length(o_orderpriority) AS INTEGER) AS CNT_DRAWINGS_CURRENT
   FROM orders)"""
 
@@ -151,6 +173,27 @@ SQL_CLIENTS = """clients AS (
   FROM customer)"""
 
 
+TRAIN_NATIONS = 15       # clients of the nations below train, the others test
+
+
+def train_and_test(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The main application tables: every customer is in one of them, and only
+    the training table has a TARGET."""
+    c = table(spark, d, "customer")
+    rows = c.select(F.col("c_custkey").alias("SK_ID_CURR"), F.col("c_acctbal").alias("AMT_INCOME_TOTAL"),
+                    F.col("c_mktsegment").alias("NAME_CONTRACT_TYPE"), "c_nationkey")
+    train = rows.where(F.col("c_nationkey") < TRAIN_NATIONS).drop("c_nationkey")
+    test = rows.where(~(F.col("c_nationkey") < TRAIN_NATIONS)).drop("c_nationkey")
+    return train.withColumn("TARGET", (F.col("AMT_INCOME_TOTAL") < 0).cast("int")), test
+
+
+SQL_TRAIN_AND_TEST = f"""main AS (
+  SELECT c_custkey AS SK_ID_CURR, c_acctbal AS AMT_INCOME_TOTAL, c_mktsegment AS NAME_CONTRACT_TYPE,
+         CASE WHEN c_nationkey < {TRAIN_NATIONS} THEN CAST(c_acctbal < 0 AS INTEGER) END AS TARGET,
+         CASE WHEN c_nationkey < {TRAIN_NATIONS} THEN 'train' ELSE 'test' END AS split
+  FROM customer WHERE c_nationkey IS NOT NULL)"""
+
+
 def applications(spark: SparkSession, d: str) -> DataFrame:
     """Credit applications: one row per order, joined with its customer."""
     o = table(spark, d, "orders")
