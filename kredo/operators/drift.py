@@ -144,13 +144,18 @@ def drift_summary(details: DataFrame, recent: DataFrame,
     """D2 result: drift score = mean change; drift when score > threshold;
     N12: affected (non-ok) features, sorted."""
     n_recent = recent.agg(F.count(F.lit(1))).scalar()
+    return drift_verdict(details, threshold).withColumn("recent_sample_size", n_recent)
+
+
+def drift_verdict(details: DataFrame, threshold: float = DEFAULT_DRIFT_THRESHOLD) -> DataFrame:
+    """``drift_summary`` from the details alone, without the recent side's count."""
     return details.agg(
         F.coalesce(F.avg("change"), F.lit(0.0)).alias("drift_score"),
         F.count(F.lit(1)).alias("num_features_analyzed"),
         F.array_sort(F.collect_list(F.when(F.col("status_code") != "ok", F.col("feature"))))
         .alias("affected_features"),
     ).select("*", (F.col("drift_score") > F.lit(threshold)).alias("has_drift"),
-             F.lit(threshold).alias("threshold"), n_recent.alias("recent_sample_size"))
+             F.lit(threshold).alias("threshold"))
 
 
 def status_counts(details: DataFrame) -> DataFrame:

@@ -70,15 +70,19 @@ def q_category_shares(spark, d):
     return rounded(P.category_shares(ref, CAT))
 
 
-_DETAILS = f"""{_SIDES}, {_num_profile_sql('rec', 'rn')}, {_num_profile_sql('ref', 'fn')},
+def _details_sql(sides: str) -> str:
+    return f"""{sides}, {_num_profile_sql('rec', 'rn')}, {_num_profile_sql('ref', 'fn')},
 {_cat_profile_sql('rec', 'rc')}, {_cat_profile_sql('ref', 'fc')},
 nd AS (SELECT f.feature, 'numeric' AS comparison_type, f.mean AS avg_reference, r.mean AS avg_recent,
   CASE WHEN abs(f.mean) > 1e-6 THEN abs(r.mean - f.mean) / abs(f.mean) ELSE abs(r.mean - f.mean) END AS change,
-  f.std AS ref_std, f.mn AS ref_min, f.mx AS ref_max
+  f.std AS ref_std, f.mn AS ref_min, f.mx AS ref_max,
+  printf('mean = %.4f', f.mean) AS reference_display, printf('mean = %.4f', r.mean) AS recent_display
   FROM rn r JOIN fn f USING (feature) WHERE r.cnt > 0 AND f.cnt > 0),
 cd AS (SELECT f.feature, 'categorical' AS comparison_type, f.top_share AS avg_reference, r.top_share AS avg_recent,
   CASE WHEN r.top_value = f.top_value THEN abs(r.top_share - f.top_share) / greatest(f.top_share, 1e-6)
-       ELSE 1.0 END AS change, 0.0 AS ref_std, 0.0 AS ref_min, 0.0 AS ref_max
+       ELSE 1.0 END AS change, 0.0 AS ref_std, 0.0 AS ref_min, 0.0 AS ref_max,
+  printf('dominant = %s (%.1f%%)', f.top_value, f.top_share * 100) AS reference_display,
+  printf('dominant = %s (%.1f%%)', r.top_value, r.top_share * 100) AS recent_display
   FROM rc r JOIN fc f USING (feature)),
 details AS (SELECT *, change * 100 AS change_pct,
   CASE WHEN change <= 0.05 THEN 'ok' WHEN change < 0.15 THEN 'low' WHEN change < 0.25 THEN 'medium'
@@ -87,6 +91,9 @@ details AS (SELECT *, change * 100 AS change_pct,
   FROM (SELECT * FROM nd UNION ALL SELECT * FROM cd))"""
 
 
+_DETAILS = _details_sql(_SIDES)
+
+
 def _details(spark, d):
     a = S.applications(spark, d)
     recent_pred = F.col("APPLICATION_DATE") >= F.lit(SPLIT).cast("date")
@@ -96,11 +103,30 @@ def _details(spark, d):
 @register("drift_mixed", f"""WITH {_DETAILS}
 SELECT feature, comparison_type, {rnd('avg_reference')} AS avg_reference, {rnd('avg_recent')} AS avg_recent,
   {rnd('change')} AS change, {rnd('change_pct')} AS change_pct, status_code,
-  {rnd('ref_std')} AS ref_std, {rnd('ref_min')} AS ref_min, {rnd('ref_max')} AS ref_max, position
-FROM details""")
+  {rnd('ref_std')} AS ref_std, {rnd('ref_min')} AS ref_min, {rnd('ref_max')} AS ref_max, position,
+  reference_display, recent_display FROM details""")
 def q_drift_mixed(spark, d):
     det, _ = _details(spark, d)
-    return rounded(det.drop("reference_display", "recent_display"))
+    return rounded(det)
+
+
+# D3: the log up to LOG_AS_OF against all applications
+LOG_AS_OF, LOG_HOURS = "2001-08-02 00:00:00", 24 * 365
+LOG_DETAILS = _details_sql(f"""{S.SQL_APPLICATIONS},
+ref AS (SELECT * FROM applications),
+rec AS (SELECT * REPLACE (CASE WHEN NAME_EDUCATION_TYPE <> '{S.BAD_AMOUNTS}' THEN AMT_CREDIT END AS AMT_CREDIT)
+  FROM applications WHERE APPLICATION_DATE > TIMESTAMP '{LOG_AS_OF}' - INTERVAL {LOG_HOURS} HOUR
+    AND APPLICATION_DATE <= TIMESTAMP '{LOG_AS_OF}')""")
+
+
+@register("drift_from_log", f"""WITH {LOG_DETAILS}
+SELECT feature, comparison_type, {rnd('avg_reference')} AS avg_reference, {rnd('avg_recent')} AS avg_recent,
+  {rnd('change')} AS change, status_code, reference_display, recent_display FROM details""")
+def q_drift_from_log(spark, d):
+    """D3: recent log rows, their payloads and the typed comparison."""
+    det, _ = D.detect_drift(S.application_log(spark, d), S.applications(spark, d), LOG_AS_OF, LOG_HOURS)
+    return rounded(det.select("feature", "comparison_type", "avg_reference", "avg_recent", "change",
+                              "status_code", "reference_display", "recent_display"))
 
 
 @register("drift_summary", f"""WITH {_DETAILS}

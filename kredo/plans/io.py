@@ -13,7 +13,7 @@ from kredo.operators import metrics as M
 from kredo.plans import evaluation as EV
 from kredo.plans import standins as S
 from kredo.plans.common import register, rnd, rounded
-from kredo.plans.drift import _details
+from kredo.plans import drift as DR
 from kredo.sources import files as FI
 from kredo.sources import sinks as SK
 from kredo.sources.tables import table
@@ -84,25 +84,36 @@ def q_threshold_artifact(spark, d):
     return rounded(spark.range(1).select(F.lit(t).alias("optimal_threshold")))
 
 
+@register("drift_record", f"""WITH {DR.LOG_DETAILS},
+s AS (SELECT avg(change) AS drift_score, count(*) AS n_details,
+  list_sort(list(feature) FILTER (WHERE status_code <> 'ok')) AS affected FROM details)
+SELECT TIMESTAMP '{DR.LOG_AS_OF}' AS detection_time, drift_score > 0.05 AS is_drift_detected,
+  {rnd('drift_score')} AS drift_score, array_to_string(affected, ',') AS affected_features,
+  CAST(n_details AS INTEGER) AS n_details, '1.0' AS model_version,
+  CASE WHEN drift_score > 0.05 THEN 'CRITICAL' END AS severity,
+  CASE WHEN drift_score > 0.05 THEN printf('data drift detected (score %.4f)', drift_score) END AS message,
+  CASE WHEN drift_score > 0.05 THEN false END AS acknowledged
+FROM s""")
 def q_drift_record(spark, d):
-    """D3 -> S11 (+ X3 drift alert -> S12): drift result appended to the
-    drift table, read back."""
+    """D3 -> S11, X3 -> S12: drift of the logged payloads, appended to the drift table,
+    with its alert appended to the alerts; both read back."""
     from pyspark import StorageLevel
 
     from kredo.operators.alerts import drift_alert
-    det, rec = _details(spark, d)
+    as_of = as_of_col(DR.LOG_AS_OF)
+    det, _ = D.detect_drift(S.application_log(spark, d), S.applications(spark, d), DR.LOG_AS_OF, DR.LOG_HOURS)
     # the drift row, its details and the alert all read the comparison: it
     # has one row per feature, so it is computed once and kept
     det = det.persist(StorageLevel.MEMORY_AND_DISK)
-    summary = D.drift_summary(det, rec).persist(StorageLevel.MEMORY_AND_DISK)
     try:
+        summary = D.drift_verdict(det)
         base = work_dir(spark, "driftrec")
-        SK.record_drift(summary, det, os.path.join(base, "drift"), as_of_col(S.AS_OF))
-        SK.append_alerts(drift_alert(summary, as_of_col(S.AS_OF)), os.path.join(base, "alerts"))
+        SK.record_drift(summary, det, os.path.join(base, "drift"), as_of)
+        SK.append_alerts(drift_alert(summary, as_of), os.path.join(base, "alerts"))
     finally:
-        summary.unpersist()
         det.unpersist()
-    return spark.read.parquet(os.path.join(base, "drift"))
-
-
-register("drift_record")(q_drift_record)
+    alerts = spark.read.parquet(os.path.join(base, "alerts")).select(
+        F.col("created_at").alias("detection_time"), "severity", "message", "acknowledged")
+    return rounded(spark.read.parquet(os.path.join(base, "drift")).join(alerts, "detection_time", "left").select(
+        "detection_time", "is_drift_detected", "drift_score", F.array_join("affected_features", ",").alias("affected_features"),
+        F.json_array_length("details").alias("n_details"), "model_version", "severity", "message", "acknowledged"))

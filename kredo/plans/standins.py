@@ -254,6 +254,20 @@ SQL_APPLICATIONS = f"""applications AS (
 
 APPLICATION_SPLIT = "1999-01-01"   # applications before = reference, from = recent
 
+BAD_AMOUNTS = "1-URGENT"           # applications logged with an amount that is no number
+
+
+def application_log(spark: SparkSession, d: str) -> DataFrame:
+    """The prediction log of the applications: one row each, with a JSON payload as
+    a web form sends it - all values as text, car flags as 1/0, some bad amounts."""
+    a = applications(spark, d)
+    sent = {f.name: F.col(f.name).cast("string") for f in a.schema.fields if f.name != "APPLICATION_DATE"}
+    sent["AMT_CREDIT"] = F.when(F.col("NAME_EDUCATION_TYPE") == BAD_AMOUNTS, "hh").otherwise(sent["AMT_CREDIT"])
+    sent["FLAG_OWN_CAR"] = F.when(F.col("FLAG_OWN_CAR") == "Y", "1").otherwise("0")
+    return a.select(F.col("SK_ID_CURR").alias("log_id"), F.col("SK_ID_CURR").alias("client_id"),
+                    F.col("APPLICATION_DATE").cast("timestamp_ntz").alias("timestamp"),
+                    F.to_json(F.struct(*[c.alias(n) for n, c in sent.items()])).alias("input_data"))
+
 
 # ---------------------------------------------------------------- prediction log
 GPU_TYPES = ("purchase", "signup")
