@@ -97,13 +97,33 @@ def _side_pivot(prof: DataFrame, stats: tuple[str, ...]) -> DataFrame:
 
 def _compare(both: DataFrame, shared: list[str], fields: list[str],
              numeric: set[str] | None) -> DataFrame:
+    return differences(*_profiles(both, shared, numeric), fields)
+
+
+def _profiles(tagged: DataFrame, shared: list[str], numeric: set[str] | None) -> tuple:
     numeric = NUMERIC_MONITORED_FIELDS if numeric is None else numeric
     num = [f for f in shared if f in numeric]
     cat = [f for f in shared if f not in numeric]
+    return (numeric_profile(tagged, num, ["_side"]) if num else None,
+            category_profile(tagged, cat, ["_side"]) if cat else None)
+
+
+def side_profiles(df: DataFrame, side: str, fields: list[str] | None = None,
+                  numeric: set[str] | None = None) -> tuple:
+    """(numeric, category) profiles of one side, ``recent`` or ``reference``, None
+    without fields of that kind: one row per feature, to be kept and compared with
+    many other sides by ``differences``."""
+    fields = list(MONITORED_INPUT_FIELDS if fields is None else fields)
+    shared = [f for f in fields if f in df.columns]
+    return _profiles(df.select(*_typed(df, shared, numeric), F.lit(side).alias("_side")), shared, numeric)
+
+
+def differences(num: DataFrame | None, cat: DataFrame | None, fields: list[str] | None = None) -> DataFrame:
+    """D2 details from profiles that hold both sides, told apart by ``_side``."""
+    fields = list(MONITORED_INPUT_FIELDS if fields is None else fields)
     parts = []
-    if num:
-        j = _side_pivot(numeric_profile(both, num, ["_side"]),
-                        ("mean", "std", "min", "max", "count"))
+    if num is not None:
+        j = _side_pivot(num, ("mean", "std", "min", "max", "count"))
         j = j.where((F.coalesce(F.col("r_count"), F.lit(0)) > 0)
                     & (F.coalesce(F.col("f_count"), F.lit(0)) > 0))
         diff = F.abs(F.col("r_mean") - F.col("f_mean"))
@@ -116,8 +136,8 @@ def _compare(both: DataFrame, shared: list[str], fields: list[str],
             F.col("f_max").alias("ref_max"),
             F.format_string("mean = %.4f", F.col("f_mean")).alias("reference_display"),
             F.format_string("mean = %.4f", F.col("r_mean")).alias("recent_display")))
-    if cat:
-        j = _side_pivot(category_profile(both, cat, ["_side"]), ("top_value", "top_share"))
+    if cat is not None:
+        j = _side_pivot(cat, ("top_value", "top_share"))
         j = j.where(F.col("r_top_value").isNotNull() & F.col("f_top_value").isNotNull())
         same = F.col("r_top_value") == F.col("f_top_value")
         change = F.when(same, F.abs(F.col("r_top_share") - F.col("f_top_share"))

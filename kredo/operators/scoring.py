@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +40,7 @@ def build_pipeline(numeric: list[str], categorical: list[str], label: str = "lab
     elif model == "gbt":
         # node ids cached and checkpointed to the shared folder every 10
         # trees, so the lineage of the boosting loop stays short
-        clf = GBTClassifier(labelCol=label, featuresCol="features", maxIter=min(max_iter, 20),
+        clf = GBTClassifier(labelCol=label, featuresCol="features", maxIter=max_iter,
                             seed=42, cacheNodeIds=True, checkpointInterval=10)
     else:
         raise ValueError(f"unknown model {model!r}")
@@ -58,7 +58,7 @@ def prepare(df: DataFrame, numeric: list[str], categorical: list[str]) -> DataFr
 
 
 def fit(df: DataFrame, numeric: list[str], categorical: list[str], label: str = "label",
-        model: str = "logistic") -> PipelineModel:
+        model: str = "logistic", max_iter: int | None = None) -> PipelineModel:
     """Fit the pipeline.  Its stages make several passes (indexers, scaler,
     then the iterative learner), so the prepared training frame is persisted
     (memory and disk; recomputed from lineage if an executor is lost) for the
@@ -66,7 +66,8 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str], label: str =
     from pyspark import StorageLevel
     prepared = prepare(df, numeric, categorical).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return build_pipeline(numeric, categorical, label, model).fit(prepared)
+        steps = max_iter or (20 if model == "gbt" else 50)
+        return build_pipeline(numeric, categorical, label, model, steps).fit(prepared)
     finally:
         prepared.unpersist()
 
@@ -143,25 +144,59 @@ def normalised_importance(imp: DataFrame) -> DataFrame:
     return clean.withColumn("importance", F.coalesce(F.try_divide(F.col("importance"), total), F.lit(0.0)))
 
 
-def linear_contributions(df: DataFrame, model: PipelineModel, numeric: list[str],
-                         id_col: str, top_k: int = 10) -> DataFrame:
-    """M5 (linear models, numeric features): contribution_j = coef_j *
-    (x_j - mean_j); the top_k by |contribution| per row are kept with array
-    functions (sort + slice) - per row, no shuffle, no window."""
-    clf = model.stages[-1]
-    coef = clf.coefficients.toArray().tolist()
-    # means of the numeric inputs over the scored frame (one aggregate)
-    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in numeric]).first()
-    items = []
-    for j, c in enumerate(numeric):
-        contrib = F.lit(coef[j]) * (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(means[c] or 0.0))
-        items.append(F.struct(F.abs(contrib).alias("a"), F.lit(c).alias("feature"),
-                              F.col(c).cast("double").alias("value"), contrib.alias("contribution")))
-    ranked = F.slice(F.sort_array(F.array(*items), asc=False), 1, top_k)
+def linear_contributions(df: DataFrame, model: PipelineModel, numeric: list[str], categorical: list[str],
+                         id_col: str, top_k: int | None = 10) -> DataFrame:
+    """M5 (linear models): ``contributions`` over all inputs of the model, those of
+    the categories included, named as in ``feature_names``."""
+    prepared = prepare(df, numeric, categorical)
+    for stage in model.stages[:-1]:
+        prepared = stage.transform(prepared)
+    return contributions(prepared.withColumn("_x", vector_to_array("features")), "_x",
+                         feature_names(model, numeric, categorical),
+                         model.stages[-1].coefficients.toArray().tolist(), id_col, top_k)
+
+
+def contributions(df: DataFrame, inputs: str, names: list[str], coefficients: list[float],
+                  id_col: str, top_k: int | None = 10) -> DataFrame:
+    """(id, rank, feature, value, contribution): contribution_j = coef_j * (x_j -
+    mean_j) over an array column of model inputs; the ``top_k`` by |contribution| of
+    each row (all with None), ties by name from the last.  One aggregate gives the
+    means; ranking is a sort and a slice inside the row: no shuffle, no window."""
+    if len(names) != len(coefficients):
+        raise ValueError(f"the model has {len(coefficients)} inputs and {len(names)} names were given")
+    means = df.agg(*[F.avg(F.col(inputs)[j]).alias(str(j)) for j in range(len(names))]).first()
+    terms = F.array(*[F.struct(F.lit(n).alias("feature"), F.lit(float(c)).alias("coef"), F.lit(float(means[j] or 0.0)).alias("mean"))
+                      for j, (n, c) in enumerate(zip(names, coefficients))])
+
+    def term(t, x):
+        value = t["coef"] * (F.coalesce(x, F.lit(0.0)) - t["mean"])
+        return F.struct(F.abs(value).alias("size"), t["feature"].alias("feature"), x.alias("value"),
+                        value.alias("contribution"))
+    ranked = F.sort_array(F.zip_with(terms, inputs, term), asc=False)
+    if top_k is not None:
+        ranked = F.slice(ranked, 1, top_k)
     return (df.select(id_col, F.posexplode(ranked).alias("pos", "c"))
             .select(id_col, (F.col("pos") + 1).alias("rank"), "c.feature", "c.value", "c.contribution"))
 
 
+def fixed_pipeline(intercept: float, weights: dict[str, float],
+                   categories: dict[str, dict[str, float]] | None = None) -> PipelineModel:
+    """A logistic model of given coefficients as a pipeline: numeric ``weights`` and,
+    for each category column, the weight of its values (others 0)."""
+    terms = [repr(float(intercept)), *[f"{float(w)!r}D * coalesce({c}, 0D)" for c, w in weights.items()]]
+    for c, values in (categories or {}).items():
+        cases = " ".join(f"WHEN '{_quoted(v)}' THEN {float(w)!r}D" for v, w in values.items())
+        terms.append(f"CASE {c}__s {cases} ELSE 0D END")
+    score = SQLTransformer(statement=f"SELECT *, 1D / (1D + exp(-({' + '.join(terms)}))) AS _p FROM __THIS__")
+    both = SQLTransformer(statement="SELECT *, 1D - _p AS _q FROM __THIS__")
+    return PipelineModel([score, both, VectorAssembler(inputCols=["_q", "_p"], outputCol="probability",
+                                                       handleInvalid="keep")])
+
+
+def _quoted(text: str) -> str:
+    return text.replace("\\", "\\\\").replace("'", "\\'")
+
+
 class LogisticScorecard:
     """A small external model with ``predict_proba`` (numpy): logistic of an
     intercept plus weights on log1p-transformed features.  Stands for any

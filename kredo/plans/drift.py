@@ -70,7 +70,7 @@ def q_category_shares(spark, d):
     return rounded(P.category_shares(ref, CAT))
 
 
-def _details_sql(sides: str) -> str:
+def details_sql(sides: str) -> str:
     return f"""{sides}, {_num_profile_sql('rec', 'rn')}, {_num_profile_sql('ref', 'fn')},
 {_cat_profile_sql('rec', 'rc')}, {_cat_profile_sql('ref', 'fc')},
 nd AS (SELECT f.feature, 'numeric' AS comparison_type, f.mean AS avg_reference, r.mean AS avg_recent,
@@ -91,7 +91,7 @@ details AS (SELECT *, change * 100 AS change_pct,
   FROM (SELECT * FROM nd UNION ALL SELECT * FROM cd))"""
 
 
-_DETAILS = _details_sql(_SIDES)
+_DETAILS = details_sql(_SIDES)
 
 
 def _details(spark, d):
@@ -112,7 +112,7 @@ def q_drift_mixed(spark, d):
 
 # D3: the log up to LOG_AS_OF against all applications
 LOG_AS_OF, LOG_HOURS = "2001-08-02 00:00:00", 24 * 365
-LOG_DETAILS = _details_sql(f"""{S.SQL_APPLICATIONS},
+LOG_DETAILS = details_sql(f"""{S.SQL_APPLICATIONS},
 ref AS (SELECT * FROM applications),
 rec AS (SELECT * REPLACE (CASE WHEN NAME_EDUCATION_TYPE <> '{S.BAD_AMOUNTS}' THEN AMT_CREDIT END AS AMT_CREDIT)
   FROM applications WHERE APPLICATION_DATE > TIMESTAMP '{LOG_AS_OF}' - INTERVAL {LOG_HOURS} HOUR

@@ -42,30 +42,85 @@ def q_feature_importance(spark, d):
 
 def q_contributions(spark, d):
     docs, model = _model(spark, d)
-    return SC.linear_contributions(docs, model, NUMERIC, "doc_id", top_k=2)
+    return SC.linear_contributions(docs, model, NUMERIC, CATEGORICAL, "doc_id", top_k=10)
 
 
+# rows-only queries (fitted models have no SQL twin)
+register("batch_score")(q_batch_score)
+register("feature_importance")(q_feature_importance)
+register("contributions")(q_contributions)
+
+# Fixed coefficients of a document model, for queries that SQL can follow.
+INTERCEPT = -1.0
+WEIGHTS = {"n_chars": 0.0005, "n_words": -0.002}
+LANG_WEIGHTS = {"en": 0.25, "de": -0.5, "fr": 0.125}
+# texts below so many characters carry an n_chars that is no number
+SHORT = 200
+
+
+def scorecard():
+    return SC.fixed_pipeline(INTERCEPT, WEIGHTS, {"lang": LANG_WEIGHTS})
+
+
+def document_features(docs):
+    return docs.select("doc_id", "n_chars", "lang", "source",
+                       F.size(F.split(F.col("text"), r"\s+")).cast("double").alias("n_words"))
+
+
+def request_item():
+    """The JSON request of one document, all values as text."""
+    return F.to_json(F.struct(
+        F.col("doc_id").cast("string").alias("client_id"),
+        F.when(F.col("n_chars") < SHORT, "hh").otherwise(F.col("n_chars").cast("string")).alias("n_chars"),
+        F.col("n_words").cast("string").alias("n_words"), "lang", "source"))
+
+
+# n_words as Spark's split on white space counts it
+_LANG = " ".join(f"WHEN '{v}' THEN {w}" for v, w in LANG_WEIGHTS.items())
+DOC_FEATURES_SQL = f"""f AS (SELECT doc_id, lang, source, CAST(n_chars AS DOUBLE) AS n_chars,
+  CAST(len(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+')) AS DOUBLE) AS n_words FROM documents)"""
+_LOGIT = (f"{INTERCEPT} + {WEIGHTS['n_chars']} * n_chars + {WEIGHTS['n_words']} * n_words "
+          f"+ CASE lang {_LANG} ELSE 0 END")
+_SCORE = f"1.0 / (1.0 + exp(-({_LOGIT})))"
+SCORED_REQUESTS_SQL = f"""WITH {DOC_FEATURES_SQL}
+SELECT {{request}}, CAST({{item}} AS INTEGER) AS item_no, '{{kind}}' AS prediction_type, doc_id AS client_id,
+  CASE WHEN n_chars >= {SHORT} THEN {rnd(_SCORE)} END AS score,
+  CASE WHEN n_chars < {SHORT} THEN 'rejected: n_chars' END AS error_message FROM f"""
+
+
+@register("request_scoring", SCORED_REQUESTS_SQL.format(
+    request=f"doc_id // {BATCH} AS request_id", kind="batch",
+    item=f"row_number() OVER (PARTITION BY doc_id // {BATCH} ORDER BY doc_id) - 1"))
 def q_request_scoring(spark, d):
     """Requests built from the documents table: consecutive documents form
     batches of at most BATCH items (so no request array grows with the
-    data); texts shorter than 50 chars carry an invalid n_chars."""
-    docs, model = _model(spark, d)
-    item = F.to_json(F.create_map(
-        F.lit("client_id"), F.col("doc_id").cast("string"),
-        F.lit("n_chars"), F.when(F.col("n_chars") < 50, F.lit("hh")).otherwise(F.col("n_chars").cast("string")),
-        F.lit("n_words"), F.col("n_words").cast("string"),
-        F.lit("lang"), F.col("lang"), F.lit("source"), F.col("source")))
+    data), in the order of their ids; short texts carry an invalid n_chars."""
+    docs = document_features(table(spark, d, "documents"))
+    items = F.array_sort(F.collect_list(F.struct("doc_id", request_item().alias("item"))))
     req = docs.groupBy(F.floor(F.col("doc_id") / BATCH).alias("request_id")).agg(
-        F.concat(F.lit("["), F.concat_ws(",", F.collect_list(item)), F.lit("]")).alias("data"))
-    return SC.score_requests(req, model, NUMERIC, CATEGORICAL, "data", id_cols=["request_id"])
+        F.concat(F.lit("["), F.array_join(F.transform(items, lambda x: x["item"]), ","), F.lit("]")).alias("data"))
+    scored = SC.score_requests(req, scorecard(), NUMERIC, CATEGORICAL, "data", id_cols=["request_id"])
+    return rounded(scored.select("request_id", "item_no", "prediction_type", "client_id", "score", "error_message"))
 
 
-# rows-only queries (model fits have no SQL twin)
+_TERMS = {**WEIGHTS, **{f"lang={v}": w for v, w in LANG_WEIGHTS.items()}}
 
-register("batch_score")(q_batch_score)
-register("feature_importance")(q_feature_importance)
-register("contributions")(q_contributions)
-register("request_scoring")(q_request_scoring)
+
+def _input_sql(name: str) -> str:
+    return f"CAST(lang = '{name[5:]}' AS INTEGER)::DOUBLE" if name.startswith("lang=") else name
+
+
+@register("fixed_contributions", f"""WITH {DOC_FEATURES_SQL},
+t AS ({" UNION ALL ".join(f"SELECT doc_id, '{n}' AS feature, {_input_sql(n)} AS value, {w} * ({_input_sql(n)} - avg({_input_sql(n)}) OVER ()) AS contribution FROM f" for n, w in _TERMS.items())}),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY abs(contribution) DESC, feature DESC) AS rank FROM t)
+SELECT doc_id, CAST(rank AS INTEGER) AS rank, feature, {rnd('value')} AS value, {rnd('contribution')} AS contribution
+FROM r WHERE rank <= 3""")
+def q_fixed_contributions(spark, d):
+    """M5 with given coefficients: the three strongest terms of every document."""
+    docs = document_features(table(spark, d, "documents"))
+    inputs = [F.col(n).cast("double") for n in WEIGHTS] + [(F.col("lang") == v).cast("double") for v in LANG_WEIGHTS]
+    return rounded(SC.contributions(docs.withColumn("x", F.array(*inputs)), "x", list(_TERMS), list(_TERMS.values()),
+                                    "doc_id", top_k=3))
 
 
 # Fixed parameters of the external scorecard (stand-in for a shipped model).

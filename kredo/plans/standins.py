@@ -196,8 +196,12 @@ SQL_TRAIN_AND_TEST = f"""main AS (
 
 def applications(spark: SparkSession, d: str) -> DataFrame:
     """Credit applications: one row per order, joined with its customer."""
-    o = table(spark, d, "orders")
-    c = table(spark, d, "customer").select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
+    return applications_from(table(spark, d, "orders"), table(spark, d, "customer"))
+
+
+def applications_from(o: DataFrame, customer: DataFrame) -> DataFrame:
+    """``applications`` of an orders frame (batch or stream)."""
+    c = customer.select("c_custkey", "c_acctbal", "c_nationkey", "c_mktsegment")
     j = o.join(c, o.o_custkey == c.c_custkey, "inner")
     days = _days("o_orderdate")
     status = F.col("o_orderstatus")
@@ -260,7 +264,10 @@ BAD_AMOUNTS = "1-URGENT"           # applications logged with an amount that is
 def application_log(spark: SparkSession, d: str) -> DataFrame:
     """The prediction log of the applications: one row each, with a JSON payload as
     a web form sends it - all values as text, car flags as 1/0, some bad amounts."""
-    a = applications(spark, d)
+    return application_log_from(applications(spark, d))
+
+
+def application_log_from(a: DataFrame) -> DataFrame:
     sent = {f.name: F.col(f.name).cast("string") for f in a.schema.fields if f.name != "APPLICATION_DATE"}
     sent["AMT_CREDIT"] = F.when(F.col("NAME_EDUCATION_TYPE") == BAD_AMOUNTS, "hh").otherwise(sent["AMT_CREDIT"])
     sent["FLAG_OWN_CAR"] = F.when(F.col("FLAG_OWN_CAR") == "Y", "1").otherwise("0")

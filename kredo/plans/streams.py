@@ -7,11 +7,13 @@ import os
 
 from pyspark.sql import functions as F
 
+from kredo.operators import drift as D
 from kredo.operators import scoring as SC
-from kredo.operators.profile import numeric_profile
+from kredo.plans import drift as DR
 from kredo.plans import standins as S
 from kredo.plans.common import register, rnd, rounded
-from kredo.plans.scoring import CATEGORICAL, NUMERIC, _model
+from kredo.plans.scoring import (CATEGORICAL, NUMERIC, SCORED_REQUESTS_SQL, document_features,
+                                 request_item, scorecard)
 from kredo.streaming import monitor as M
 from kredo.sources.tables import table
 
@@ -34,6 +36,8 @@ SELECT date_trunc('hour', "timestamp") AS time_bucket,
   date_trunc('hour', "timestamp") + INTERVAL 1 HOUR AS bucket_end, count(*) AS total_requests,
   {rnd('avg(latency_seconds)')} AS avg_latency_seconds, {rnd('min(latency_seconds)')} AS min_latency_seconds,
   {rnd('max(latency_seconds)')} AS max_latency_seconds,
+  {rnd('quantile_disc(latency_seconds, 0.95)')} AS p95_latency_seconds,
+  {rnd('quantile_disc(latency_seconds, 0.99)')} AS p99_latency_seconds,
   count(CASE WHEN error_message IS NOT NULL THEN 1 END) AS error_count,
   {rnd('100.0 * count(CASE WHEN error_message IS NOT NULL THEN 1 END) / count(*)')} AS error_rate,
   {rnd('avg(score)')} AS avg_score, {rnd('min(score)')} AS min_score, {rnd('max(score)')} AS max_score
@@ -64,9 +68,8 @@ FROM w GROUP BY 1, 2"""
 def q_stream_rolling(spark, d):
     base = M.work_dir(spark, "roll")
     out = os.path.join(base, "out")
-    M.run_window_stream(_log_stream(spark, d), out, os.path.join(base, "ckpt"),
-                        duration="24 hours", slide="1 hour")
-    return rounded(M.latest_windows(spark, out))
+    M.run_update_stream(M.hourly_parts(_log_stream(spark, d)), out, os.path.join(base, "ckpt"))
+    return rounded(M.rolling(M.latest_windows(spark, out)))
 
 
 @register("stream_dedup", """SELECT event_id AS log_id, ts AS "timestamp", user_id AS client_id FROM events""")
@@ -81,29 +84,46 @@ def q_stream_dedup(spark, d):
     return spark.read.parquet(out)
 
 
+@register("stream_score", SCORED_REQUESTS_SQL.format(request="doc_id AS request_id", kind="single", item="0"))
 def q_stream_score(spark, d):
-    """Documents arriving as a stream, scored by the fitted pipeline."""
-    docs, model = _model(spark, d)
-    feats = table_stream(spark, d, "documents").select("doc_id", "n_chars", "lang", "source",
-                          F.size(F.split(F.col("text"), r"\s+")).cast("double").alias("n_words"))
-    scored = SC.predict_proba(feats, model, NUMERIC, CATEGORICAL).select("doc_id", "score")
+    """R1 over the request path: each arriving document is a JSON request, which is
+    parsed, validated and scored; rejected requests become error rows of the log."""
+    docs = document_features(table_stream(spark, d, "documents"))
+    requests = docs.select(F.col("doc_id").alias("request_id"), request_item().alias("data"))
+    scored = SC.score_requests(requests, scorecard(), NUMERIC, CATEGORICAL, "data", id_cols=["request_id"])
     base = M.work_dir(spark, "score")
     out = os.path.join(base, "out")
     M.run_append(scored, out, os.path.join(base, "ckpt"))
-    return spark.read.parquet(out)
+    return rounded(spark.read.schema(scored.schema).parquet(out).select(
+        "request_id", "item_no", "prediction_type", "client_id", "score", "error_message"))
+
+
+_STREAM_SIDES = f"""{S.SQL_APPLICATIONS},
+ref AS (SELECT * FROM applications WHERE APPLICATION_DATE < DATE '{S.APPLICATION_SPLIT}'),
+rec AS (SELECT * REPLACE (CASE WHEN NAME_EDUCATION_TYPE <> '{S.BAD_AMOUNTS}' THEN AMT_CREDIT END AS AMT_CREDIT)
+  FROM applications)"""
 
 
+@register("stream_drift", f"""WITH {DR.details_sql(_STREAM_SIDES)},
+v AS (SELECT avg(change) AS score FROM details)
+SELECT feature, {rnd('change')} AS change, status_code, (SELECT max(APPLICATION_DATE)::TIMESTAMP FROM rec) AS detection_time,
+  {rnd('score')} AS drift_score, score > 0.05 AS is_drift_detected,
+  CASE WHEN score > 0.05 THEN 'CRITICAL' END AS severity FROM details, v""")
 def q_stream_drift(spark, d):
-    """Each micro-batch of the log compared with the profile of the
-    logs before the drift split."""
-    logs = S.api_logs(spark, d)
-    cols = ["latency_seconds", "score", "cpu_usage_pct"]
-    ref = numeric_profile(logs.where(F.col("timestamp") < F.lit(S.DRIFT_SPLIT).cast("timestamp_ntz")), cols)
+    """The application log as a stream, each micro-batch compared with the
+    applications before the split; details with the batch's drift row and alert."""
     base = M.work_dir(spark, "drift")
+    before = S.applications(spark, d).where(F.col("APPLICATION_DATE") < F.lit(S.APPLICATION_SPLIT).cast("date"))
+    kept = []
+    for i, profile in enumerate(D.side_profiles(before, "reference")):
+        path = os.path.join(base, "reference", str(i))
+        profile.write.parquet(path)
+        kept.append(spark.read.parquet(path))
+    log = S.application_log_from(S.applications_from(table_stream(spark, d, "orders"), table(spark, d, "customer")))
     out = os.path.join(base, "out")
-    M.run_drift_stream(_log_stream(spark, d), ref, cols, out, os.path.join(base, "ckpt"))
-    return spark.read.parquet(out)
-
-
-register("stream_score")(q_stream_score)
-register("stream_drift")(q_stream_drift)
+    M.run_drift_stream(log, tuple(kept), out, os.path.join(base, "ckpt"))
+    details, row, alerts = (spark.read.parquet(os.path.join(out, part)) for part in ("details", "drift", "alerts"))
+    return rounded(details.join(row.drop("details"), "batch_id")
+                   .join(alerts.select("batch_id", "severity"), "batch_id", "left")
+                   .select("feature", "change", "status_code", "detection_time", "drift_score",
+                           "is_drift_detected", "severity"))

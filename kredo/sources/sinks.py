@@ -6,8 +6,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_EXPORT_ROWS = 1_000_000
-
 
 def write_logs(logs: DataFrame, path: str) -> None:
     """Append prediction-log rows, partitioned by day, payload as JSON
@@ -26,17 +24,21 @@ def write_ndjson(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").json(path)
 
 
-def record_drift(summary: DataFrame, details: DataFrame, path: str, as_of,
-                 model_version: str = "1.0") -> None:
+def drift_row(summary: DataFrame, details: DataFrame, as_of, model_version: str = "1.0") -> DataFrame:
     """One drift row (array of affected features + JSON details).  The
     details table has one row per feature - bounded by the schema - so
     folding it into the row is safe."""
     det = details.agg(F.to_json(F.collect_list(F.struct(
         "feature", "change_pct", "status_code"))).alias("details")).scalar()
-    (summary.select(as_of.alias("detection_time"), F.col("has_drift").alias("is_drift_detected"),
-                    "drift_score", "affected_features", det.alias("details"),
-                    F.lit(model_version).alias("model_version"))
-     .write.mode("append").parquet(path))
+    return summary.select(as_of.alias("detection_time"), F.col("has_drift").alias("is_drift_detected"),
+                          "drift_score", "affected_features", det.alias("details"),
+                          F.lit(model_version).alias("model_version"))
+
+
+def record_drift(summary: DataFrame, details: DataFrame, path: str, as_of,
+                 model_version: str = "1.0") -> None:
+    """``drift_row`` appended to the drift table."""
+    drift_row(summary, details, as_of, model_version).write.mode("append").parquet(path)
 
 
 def append_alerts(alerts: DataFrame, path: str) -> None:
@@ -44,14 +46,9 @@ def append_alerts(alerts: DataFrame, path: str) -> None:
     alerts.write.mode("append").parquet(path)
 
 
-def export_csv(df: DataFrame, path: str, single_file: bool = False) -> None:
-    """CSV with header.  A single file only for a frame proven small."""
-    out = df
-    if single_file:
-        if df.count() > SMALL_EXPORT_ROWS:
-            raise ValueError("frame too large for a single-file export")
-        out = df.coalesce(1)
-    out.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def export_csv(df: DataFrame, path: str) -> None:
+    """A folder of CSV files with header, one for each task."""
+    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def export_json(df: DataFrame, path: str) -> None:

@@ -8,8 +8,8 @@
   format that supports MERGE.
 * R4: ``dropDuplicatesWithinWatermark`` on the log id (redelivered rows).
 * R1: stream scoring with a fitted PipelineModel, appended to Parquet.
-* R5: ``foreachBatch`` drift check of every micro-batch against a static
-  reference profile (tiny, broadcast).
+* R5: ``foreachBatch`` drift check of every micro-batch's payloads against static
+  reference profiles, with drift row and alert.
 * R6: rows dropped as late are reported by the query progress
   (``numRowsDroppedByWatermark``).  Spark filters late rows with the
   watermark of the previous micro-batch, so a row is dropped once an
@@ -64,7 +64,11 @@ def _write_batch(batch: DataFrame, out_path: str, batch_id: int) -> None:
 
 def window_metrics(logs: DataFrame, duration: str = "1 hour", slide: str | None = None,
                    watermark: str = "10 minutes") -> DataFrame:
-    """R2 (tumbling) / R3 (sliding) aggregation of the log, stream or batch."""
+    """R2 (tumbling) / R3 (sliding) aggregation of the log, stream or batch.
+
+    p95 and p99 are values of the window whose rank is exact within 1/10,000 of its
+    rows (exact for windows of fewer rows): the sketch bounds the state of a window,
+    which an exact percentile would fill with all its values."""
     w = F.window("event_time", duration, slide) if slide else F.window("event_time", duration)
     zone = _session_zone(logs)
     t = with_event_time(logs).withWatermark("event_time", watermark)
@@ -74,6 +78,8 @@ def window_metrics(logs: DataFrame, duration: str = "1 hour", slide: str | None
         F.avg("latency_seconds").alias("avg_latency_seconds"),
         F.min("latency_seconds").alias("min_latency_seconds"),
         F.max("latency_seconds").alias("max_latency_seconds"),
+        F.percentile_approx("latency_seconds", 0.95, 10_000).alias("p95_latency_seconds"),
+        F.percentile_approx("latency_seconds", 0.99, 10_000).alias("p99_latency_seconds"),
         F.count_if(err).alias("error_count"),
         (F.lit(100.0) * F.count_if(err) / F.count(F.lit(1))).alias("error_rate"),
         F.avg("score").alias("avg_score"),
@@ -83,11 +89,47 @@ def window_metrics(logs: DataFrame, duration: str = "1 hour", slide: str | None
              _to_utc_wall_clock(F.col("w.end"), zone).alias("bucket_end"), "*").drop("w")
 
 
+def hourly_parts(logs: DataFrame, watermark: str = "10 minutes") -> DataFrame:
+    """R3, first step: sums, counts, minima and maxima of each hour, which add up to
+    those of any longer span."""
+    zone = _session_zone(logs)
+    t = with_event_time(logs).withWatermark("event_time", watermark)
+    parts = [F.count(F.lit(1)).alias("n"), F.count_if(F.col("error_message").isNotNull()).alias("n_errors")]
+    for c in ("latency_seconds", "score"):
+        parts += [F.sum(c).alias(f"sum_{c}"), F.count(c).alias(f"n_{c}"),
+                  F.min(c).alias(f"min_{c}"), F.max(c).alias(f"max_{c}")]
+    return (t.groupBy(F.window("event_time", "1 hour").alias("w")).agg(*parts)
+            .select(_to_utc_wall_clock(F.col("w.start"), zone).alias("time_bucket"), "*").drop("w"))
+
+
+def rolling(hourly: DataFrame, hours: int = 24) -> DataFrame:
+    """R3, second step: windows of ``hours`` that start at each full hour, from the
+    rows of ``hourly_parts``.  Only hourly rows are copied into the windows that hold
+    them, never log rows."""
+    w = hourly.select(F.explode(F.expr(
+        f"transform(sequence(0, {int(hours) - 1}), i -> time_bucket - make_interval(0, 0, 0, 0, i))")).alias("start"), "*")
+    total = F.sum("n")
+    mean = {c: F.sum(f"sum_{c}") / F.nullif(F.sum(f"n_{c}"), F.lit(0)) for c in ("latency_seconds", "score")}
+    return w.groupBy(F.col("start").alias("time_bucket")).agg(
+        total.alias("total_requests"), mean["latency_seconds"].alias("avg_latency_seconds"),
+        F.min("min_latency_seconds").alias("min_latency_seconds"),
+        F.max("max_latency_seconds").alias("max_latency_seconds"),
+        F.sum("n_errors").alias("error_count"),
+        (F.lit(100.0) * F.sum("n_errors") / total).alias("error_rate"),
+        mean["score"].alias("avg_score"), F.min("min_score").alias("min_score"), F.max("max_score").alias("max_score"),
+    ).withColumn("bucket_end", F.col("time_bucket") + F.make_interval(hours=F.lit(int(hours))))
+
+
 def run_window_stream(stream: DataFrame, out_path: str, ckpt: str, duration: str = "1 hour",
                       slide: str | None = None, watermark: str = "10 minutes") -> dict:
-    """Run the windowed aggregation to the end of the available input
-    (``availableNow``) in update mode; returns the last progress metrics."""
-    agg = window_metrics(stream, duration, slide, watermark)
+    """``window_metrics`` to the end of the available input (``availableNow``) in
+    update mode; returns the last progress metrics."""
+    return run_update_stream(window_metrics(stream, duration, slide, watermark), out_path, ckpt)
+
+
+def run_update_stream(agg: DataFrame, out_path: str, ckpt: str) -> dict:
+    """Run a windowed aggregation to the end of the available input in update mode;
+    returns the last progress metrics."""
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         _write_batch(batch, out_path, batch_id)
@@ -121,25 +163,38 @@ def run_append(df: DataFrame, out_path: str, ckpt: str, fmt: str = "parquet") ->
     q.awaitTermination()
 
 
-def run_drift_stream(stream: DataFrame, reference_profile: DataFrame, cols: list[str],
-                     out_path: str, ckpt: str, threshold: float = 0.05) -> None:
-    """Per micro-batch, numeric profile of ``cols`` vs the reference
-    profile; one drift row per (batch, feature) appended to ``out_path``."""
-    from kredo.functions.bands import drift_status
-    from kredo.operators.drift import EPS
-    from kredo.operators.profile import numeric_profile
-    ref = F.broadcast(reference_profile.select("feature", F.col("mean").alias("ref_mean")))
+def run_drift_stream(stream: DataFrame, reference: tuple, out_path: str, ckpt: str,
+                     fields: list[str] | None = None, numeric: set[str] | None = None,
+                     threshold: float = 0.05, payload: str = "input_data") -> None:
+    """The payloads of each micro-batch against the ``reference`` profiles
+    (``drift.side_profiles`` of that side, one row per feature and best read from a
+    table).  A batch writes its details, its drift row (S11) and, if there is drift, an
+    alert (S12) below ``out_path`` in folders of its own; the detection time is the
+    newest log time of the batch, so a replayed batch gives the same rows."""
+    from pyspark import StorageLevel
+
+    from kredo.functions.payload import payload_frame
+    from kredo.operators import drift as D
+    from kredo.operators.alerts import drift_alert
+    from kredo.sources.sinks import drift_row
+    fields = list(D.MONITORED_INPUT_FIELDS if fields is None else fields)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        prof = numeric_profile(batch, cols).select("feature", F.col("mean").alias("cur_mean"),
-                                                   F.col("count").alias("n"))
-        diff = F.abs(F.col("cur_mean") - F.col("ref_mean"))
-        change = F.when(F.abs(F.col("ref_mean")) > EPS, diff / F.abs(F.col("ref_mean"))).otherwise(diff)
-        _write_batch(prof.join(ref, "feature").where(F.col("n") > 0)
-                     .select("feature", "ref_mean", "cur_mean", "n",
-                             change.alias("change"), drift_status(change).alias("status_code"),
-                             (change > F.lit(threshold)).alias("drifting")),
-                     out_path, batch_id)
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            newest = batch.agg(F.max("timestamp")).first()[0]
+            if newest is None:
+                return
+            recent = D.side_profiles(payload_frame(batch, payload, fields=fields), "recent", fields, numeric)
+            both = [None if mine is None else mine.unionByName(kept) for mine, kept in zip(recent, reference)]
+            _write_batch(D.differences(*both, fields), os.path.join(out_path, "details"), batch_id)
+            details = batch.sparkSession.read.parquet(os.path.join(out_path, "details", f"batch_id={batch_id}"))
+            verdict = D.drift_verdict(details, threshold)
+            at = F.lit(newest).cast("timestamp_ntz")
+            _write_batch(drift_row(verdict, details, at), os.path.join(out_path, "drift"), batch_id)
+            _write_batch(drift_alert(verdict, at), os.path.join(out_path, "alerts"), batch_id)
+        finally:
+            batch.unpersist()
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())

@@ -44,8 +44,10 @@ def test_importance_and_contributions(spark, model):
     assert len(imp) == 3 and imp[0].importance >= imp[-1].importance
     df = spark.createDataFrame([(1, 60000.0, 120000.0, -11000.0)], "id long, AMT_INCOME_TOTAL double, "
                                                                      "AMT_CREDIT double, DAYS_BIRTH double")
-    c = SC.linear_contributions(df, model, NUMERIC, "id", top_k=2).collect()
+    c = SC.linear_contributions(df, model, NUMERIC, CATEGORICAL, "id", top_k=2).collect()
     assert [r["rank"] for r in c] == [1, 2]
+    every = SC.linear_contributions(df, model, NUMERIC, CATEGORICAL, "id", top_k=None).collect()
+    assert {r.feature for r in every} == set(names)
 
 
 def test_watermark_drops_late_rows_and_matches_batch(spark):
