@@ -14,11 +14,18 @@ def parse_object(payload: Column | str) -> Column:
     return F.from_json(F.when(F.trim(c) != "", c), "map<string,string>")
 
 
-def payload_keys(df: DataFrame, payload: str = "input_data") -> list[str]:
-    """Distinct top-level keys (bounded by the payload schema, not the data)."""
+MAX_KEYS = 10_000
+
+
+def payload_keys(df: DataFrame, payload: str = "input_data", max_keys: int = MAX_KEYS) -> list[str]:
+    """Distinct top-level keys, to become columns.  Keys are free text: more than
+    ``max_keys`` of them are no schema, and that raises."""
     keys = (df.select(F.explode(F.map_keys(parse_object(payload))).alias("k"))
-            .distinct().orderBy("k"))
-    return [r.k for r in keys.collect()]
+            .distinct().orderBy("k").limit(max_keys + 1))
+    found = [r.k for r in keys.collect()]
+    if len(found) > max_keys:
+        raise ValueError(f"more than {max_keys} different payload keys; name the fields to read")
+    return found
 
 
 def payload_frame(df: DataFrame, payload: str = "input_data", fields: list[str] | None = None,

@@ -1,8 +1,7 @@
 """Encoding, projection, alignment and validation.
 
-Category vocabularies are learned as a small code table (column, value,
-code); it is joined back with a broadcast only after its size has been
-checked against ``max_broadcast_rows`` - otherwise a plain shuffle join.
+Category vocabularies are learned as a code table (column, value, code) and joined
+back; Spark chooses the join by the table's size.
 """
 
 from __future__ import annotations
@@ -13,51 +12,26 @@ from pyspark.sql import functions as F
 from kredo.functions.numeric import text_number
 
 MISSING = "__MISSING__"
-MAX_BROADCAST_ROWS = 1_000_000
 
 
-WINDOW_VOCAB_LIMIT = 1_000_000
-
-
-def fit_codes(df: DataFrame, cols: list[str], window_limit: int = WINDOW_VOCAB_LIMIT) -> DataFrame:
+def fit_codes(df: DataFrame, cols: list[str]) -> DataFrame:
     """F17 fit: per column, sorted distinct values (missing as __MISSING__)
-    numbered 0..k-1.
-
-    One ``approx_count_distinct`` pass bounds every column's vocabulary.
-    Below ``window_limit`` the numbering is a window per column (a proven
-    small partition); above it the ranks come from the distributed
-    ``running_totals`` (range buckets + offsets), so a high-cardinality
-    column is never numbered inside one task.  Both give the same codes."""
-    from pyspark.sql import Window
-
-    from kredo.operators.ordered import running_totals
-    long = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in cols]) \
+    numbered 0..k-1, over all tasks whatever the size of a vocabulary."""
+    from kredo.operators.ordered import numbered
+    values = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit(MISSING)).alias(c) for c in cols]) \
         .unpivot([], cols, "column", "value").distinct()
-    sizes = df.agg(*[F.approx_count_distinct(c, 0.05).alias(c) for c in cols]).first()
-    if max(sizes[c] for c in cols) + 1 <= window_limit:
-        w = Window.partitionBy("column").orderBy("value")
-        return long.select("column", "value", (F.row_number().over(w) - 1).cast("int").alias("code"))
-    # one row per distinct value, so the running count is the rank
-    rt = running_totals(long, "value", {"_n": F.lit(1)}, ["column"])
-    return rt.select("column", "value", (F.col("cum__n") - 1).cast("int").alias("code"))
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint only when the table is proven small (counted)."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+    return numbered(values, "column", [F.col("value").asc()], "code") \
+        .select("column", "value", F.col("code").cast("int").alias("code"))
 
 
 def encode_labels(df: DataFrame, cols: list[str], codes: DataFrame,
                   unknown: int = -1) -> DataFrame:
     """F17 transform: each column replaced by ``<col>_enc``; unseen values
-    get ``unknown``."""
-    from pyspark import StorageLevel
-    # the code table is used once per column and for the size check: keep it
-    # (it is as small as the vocabulary) instead of re-deriving it each time
-    small = broadcast_if_small(codes.persist(StorageLevel.MEMORY_AND_DISK))
+    get ``unknown``.  Spark broadcasts a column's codes where their size in bytes is
+    below its threshold and shuffles otherwise."""
     out = df
     for c in cols:
-        m = small.where(F.col("column") == c).select(
+        m = codes.where(F.col("column") == c).select(
             F.col("value").alias(f"_v_{c}"), F.col("code").alias(f"{c}_enc"))
         key = F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
         out = (out.join(m, key == F.col(f"_v_{c}"), "left")
@@ -66,9 +40,17 @@ def encode_labels(df: DataFrame, cols: list[str], codes: DataFrame,
     return out
 
 
-def vocabulary(codes: DataFrame) -> dict[str, list[str]]:
-    """The fitted vocabulary (bounded by the number of categories)."""
-    rows = codes.orderBy("column", "code").collect()
+MAX_COLUMNS = 10_000
+
+
+def vocabulary(codes: DataFrame, max_columns: int = MAX_COLUMNS) -> dict[str, list[str]]:
+    """The fitted vocabulary, one name for each column that ``one_hot`` will add.
+
+    A column with so many values that the result would pass ``max_columns`` is no
+    category; that raises, and nothing is left out silently."""
+    rows = codes.orderBy("column", "code").limit(max_columns + 1).collect()
+    if len(rows) > max_columns:
+        raise ValueError(f"more than {max_columns} categories: one-hot encoding would add a column for each")
     voc: dict[str, list[str]] = {}
     for r in rows:
         voc.setdefault(r["column"], []).append(r["value"])

@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, NumericType, StructField, StructType
+from pyspark.sql.types import NumericType
 
 # A fixed number: the plan (cut points, CASE tree) must not grow with the
 # cluster's shuffle partitions.  Callers with more distinct values pass theirs.
@@ -31,38 +31,6 @@ DEFAULT_BUCKETS = 64
 _B = "_bucket"
 
 
-SAMPLE_PER_BUCKET = 64
-MAX_SAMPLE = 200_000
-
-
-def _sampled_cuts(distinct: DataFrame, g: list[str], order_col: str, B: int) -> DataFrame:
-    """Cut points for any orderable type (e.g. strings, where
-    ``percentile_approx`` does not apply), as Spark's range partitioner does
-    it: a random sample of the distinct values - about SAMPLE_PER_BUCKET per
-    bucket and group, bounded by MAX_SAMPLE - is sorted on the driver.  The
-    sample only balances the buckets; the ranks stay exact whatever it
-    holds."""
-    spark = distinct.sparkSession
-    stats = distinct.agg(F.count(F.lit(1)).alias("n"),
-                         *([F.count_distinct(*g).alias("groups")] if g else [])).first()
-    n, groups = stats["n"], (stats["groups"] if g else 1)
-    want = min(MAX_SAMPLE, SAMPLE_PER_BUCKET * B * max(groups, 1))
-    frac = min(1.0, want / max(n, 1))
-    rows = distinct.select(*g, order_col).sample(False, frac, seed=17).collect()
-    per: dict[tuple, list] = {}
-    for r in rows:
-        per.setdefault(tuple(r[c] for c in g), []).append(r[order_col])
-    out = []
-    for key, vals in per.items():
-        vals.sort()
-        out.append((*key, [vals[min(len(vals) - 1, (i * len(vals)) // B)] for i in range(1, B)]))
-    vtype = distinct.schema[order_col].dataType
-    schema = StructType([distinct.schema[c] for c in g] + [StructField("_cuts", ArrayType(vtype))])
-    if not out and not g:
-        out = [([],)]
-    return spark.createDataFrame(out, schema)
-
-
 def _count_below(o: Column, cuts: Column, n: int) -> Column:
     """Number of the ``n`` sorted values of the array ``cuts`` that are < o:
     a binary-search CASE tree over ``element_at`` (log2(n) comparisons,
@@ -81,20 +49,17 @@ def running_totals(df: DataFrame, order_col: str, measures: dict[str, Column],
     """Return one row per distinct (group, order value) with each measure
     summed over its rows (``<m>``), its running total in order (``cum_<m>``)
     and the group total (``tot_<m>``, known from the bucket totals at no
-    extra pass).  Numeric order columns get their bucket cut points from
-    ``percentile_approx``; other orderable types from a bounded sample."""
+    extra pass).  The order column is numeric; ``numbered`` ranks other types."""
     g = list(group_cols)
     B = buckets or DEFAULT_BUCKETS
     distinct = (df.where(F.col(order_col).isNotNull())
                 .groupBy(*g, order_col)
                 .agg(*[F.sum(expr).alias(name) for name, expr in measures.items()]))
     o = F.col(order_col)
-    if isinstance(df.schema[order_col].dataType, NumericType):
-        probs = [i / B for i in range(1, B)]
-        cuts = distinct.groupBy(*g).agg(
-            F.percentile_approx(o, probs, 10000).alias("_cuts"))
-    else:
-        cuts = _sampled_cuts(distinct, g, order_col, B)
+    if not isinstance(df.schema[order_col].dataType, NumericType):
+        raise TypeError(f"running_totals needs a numeric order column, {order_col!r} is none")
+    probs = [i / B for i in range(1, B)]
+    cuts = distinct.groupBy(*g).agg(F.percentile_approx(o, probs, 10000).alias("_cuts"))
     bucket = _count_below(o, F.col("_cuts"), B - 1)
     if descending:
         bucket = F.lit(B) - bucket
@@ -152,3 +117,24 @@ def percentile_columns(df: DataFrame, value_col: str, probs: dict[str, float],
         return exact_percentiles(df, value_col, probs, group_cols)
     return df.groupBy(*group_cols).agg(*[
         F.percentile_approx(value_col, float(p), 10000).alias(n) for n, p in probs.items()])
+
+
+def numbered(df: DataFrame, group_col: str, order: list[Column], out: str) -> DataFrame:
+    """Add ``out``: the place (from 0) of each row in its group's ``order``, which is
+    to have no ties.
+
+    Spark's range partitioning sorts the rows over all tasks, groups one after the
+    other, so neither a large group nor a large vocabulary meets in one task.  The
+    sorted rows are written to the checkpoint folder; a row's place is its own
+    position in its task, less that of its group's first row there, plus the group's
+    rows in earlier tasks - a window over groups x tasks alone."""
+    from kredo.session import cut_lineage
+    sorted_rows = cut_lineage(
+        df.repartitionByRange(F.col(group_col), *order).sortWithinPartitions(F.col(group_col), *order)
+        .withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    runs = sorted_rows.groupBy(group_col, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.partitionBy(group_col).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return (sorted_rows.join(runs, [group_col, "_part"])
+            .withColumn(out, F.col("_at") - F.col("_first") + F.col("_before"))
+            .drop("_part", "_at", "_first", "_before"))

@@ -63,18 +63,10 @@ def category_profile(df: DataFrame, cols: list[str], group_cols: list[str] | tup
 
 def category_shares(df: DataFrame, cols: list[str]) -> DataFrame:
     """W3 + W2: every (feature, value) with its share of the feature and its
-    rank (count desc, value asc).  The order is one sortable key - the
-    count inverted and zero-padded to fixed width, then the value - so the
-    rank comes from the distributed ``running_totals`` (no window over a
-    feature's values); the feature total is an aggregate."""
-    from kredo.operators.ordered import running_totals
-    vc = category_counts(df, cols)
-    key = F.concat(F.lpad((F.lit(2 ** 62) - F.col("n")).cast("string"), 19, "0"),
-                   F.lit("|"), F.col("value"))
-    keyed = vc.select("feature", "value", "n", key.alias("_key"))
-    ranks = running_totals(keyed, "_key", {"_one": F.lit(1)}, ["feature"]) \
-        .select("feature", "_key", F.col("cum__one").cast("int").alias("rank"),
-                (F.col("tot__one")).alias("_values"))
-    totals = vc.groupBy("feature").agg(F.sum("n").alias("_total"))
-    return (keyed.join(ranks, ["feature", "_key"]).join(totals, "feature")
-            .select("feature", "value", "n", (F.col("n") / F.col("_total")).alias("share"), "rank"))
+    rank (count desc, value asc), numbered over all tasks (``numbered``)."""
+    from kredo.operators.ordered import numbered
+    placed = numbered(category_counts(df, cols), "feature", [F.col("n").desc(), F.col("value").asc()], "_place")
+    totals = placed.groupBy("feature").agg(F.sum("n").alias("_total"))
+    return placed.join(totals, "feature").select(
+        "feature", "value", "n", (F.col("n") / F.col("_total")).alias("share"),
+        (F.col("_place") + 1).cast("int").alias("rank"))

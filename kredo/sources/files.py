@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import logging
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, NumericType, StringType, StructField, StructType
 from pyspark.sql.utils import AnalysisException
 
 from kredo.functions.numeric import nan_to_null
@@ -30,32 +31,58 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
-def detect_encoding(spark: SparkSession, path: str, encodings=ENCODINGS) -> str:
-    """First encoding that decodes the file.  UTF-8 is tested on the raw
-    lines with ``is_valid_utf8``; one bad line is enough (the scan stops at
-    the first hit).  ISO-8859-1 decodes any byte, so later encodings are only
-    reached if it is not listed."""
+def file_encodings(spark: SparkSession, path: str, encodings=ENCODINGS) -> dict[str, list[str]]:
+    """S1 for a folder or pattern: the files of each encoding, every file judged for
+    itself.  The driver holds file names alone, as it does to plan the scan."""
+    lines = spark.read.text(path)
+    left = set(lines.inputFiles())
+    found: dict[str, list[str]] = {}
     for enc in encodings:
         if enc.upper().replace("_", "-") in ("UTF-8", "UTF8"):
-            bad = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-            if not bad:
-                return enc
-            continue
-        return enc
-    raise UnicodeError(f"cannot decode {path} with {encodings}")
+            bad = {r[0] for r in lines.where(~F.is_valid_utf8("value")).select(F.input_file_name()).distinct().collect()}
+        else:
+            bad = set()                     # decodes any byte
+        if left - bad:
+            found[enc] = sorted(left - bad)
+        left &= bad
+    if left:
+        raise UnicodeError(f"cannot decode {sorted(left)} with {encodings}")
+    return found
+
+
+def _one_schema(schemas: list[StructType]) -> StructType:
+    """Column by column: the same type, else double for numbers, else text."""
+    def merged(fields):
+        kinds = {f.dataType for f in fields}
+        if len(kinds) == 1:
+            return fields[0]
+        number = all(isinstance(k, NumericType) for k in kinds)
+        return StructField(fields[0].name, DoubleType() if number else StringType())
+    if len({len(s.fields) for s in schemas}) > 1:
+        raise ValueError("the files have different numbers of columns")
+    return StructType([merged(fields) for fields in zip(*[s.fields for s in schemas])])
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None,
              encodings=ENCODINGS, multi_line: bool = False,
              encoding: str | None = None) -> DataFrame:
-    """CSV with header and encoding fallback.  Proving a file is valid
-    UTF-8 takes a full pass, so at scale give ``encoding`` (no detection) and
-    a schema (no inference pass)."""
-    enc = encoding or detect_encoding(spark, path, encodings)
-    r = (spark.read.option("header", True).option("encoding", enc)
-         .option("multiLine", multi_line).option("escape", '"'))
-    r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return nan_to_null(r.csv(path))
+    """CSV with header and encoding fallback, decided for each file.  Proving a
+    file is valid UTF-8 takes a full pass, so at scale give ``encoding`` (no
+    detection) and a schema (no inference pass)."""
+    def read(enc: str, paths, schema):
+        r = (spark.read.option("header", True).option("encoding", enc)
+             .option("multiLine", multi_line).option("escape", '"'))
+        return (r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(paths)
+
+    if encoding:
+        return nan_to_null(read(encoding, path, schema))
+    groups = file_encodings(spark, path, encodings)
+    if len(groups) <= 1:
+        return nan_to_null(read(next(iter(groups), encodings[0]), path, schema))
+    if schema is None:
+        schema = _one_schema([read(enc, files, None).schema for enc, files in groups.items()])
+    parts = [read(enc, files, schema) for enc, files in groups.items()]
+    return nan_to_null(functools.reduce(DataFrame.union, parts))
 
 
 def load_catalog(spark: SparkSession, data_path: str, files=CATALOG_FILES,
@@ -101,8 +128,8 @@ def read_log_table(spark: SparkSession, path: str, as_of: str, last_n_hours: int
                    limit: int | None = None, merge_schema: bool = False) -> DataFrame:
     """Prediction-log table partitioned by ``log_date``.  The date
     bound prunes partitions, the time bound is pushed to the Parquet scan;
-    newest first, optional limit; resource columns absent from older data
-    are added as NULL."""
+    with a limit the newest rows, newest first (a top-k, no full sort); resource
+    columns absent from older data are added as NULL."""
     now = F.lit(as_of).cast("timestamp_ntz")
     start = now - F.expr(f"INTERVAL {int(last_n_hours)} HOURS")
     df = spark.read.option("mergeSchema", merge_schema).parquet(path)
@@ -111,8 +138,7 @@ def read_log_table(spark: SparkSession, path: str, as_of: str, last_n_hours: int
     for c, t in RESOURCE_COLUMNS.items():
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast(t))
-    df = df.orderBy(F.col("timestamp").desc(), F.col("log_id").desc())
-    return df.limit(limit) if limit else df
+    return df.orderBy(F.col("timestamp").desc(), F.col("log_id").desc()).limit(limit) if limit else df
 
 
 def reference_frame(spark: SparkSession, path: str) -> DataFrame:

@@ -32,17 +32,35 @@ def test_global_percentile_and_running_totals(spark):
         assert row.cum_n == cum
 
 
-def test_string_ranks_with_sampled_cuts(spark):
+def test_string_codes_over_several_tasks(spark):
     from kredo.operators.encoding import fit_codes
     vals = [f"v{i:04d}" for i in range(0, 3000, 7)] + ["Zeta", "__MISSING__x", "é"]
     df = spark.createDataFrame([(v, v[::-1]) for v in vals] * 3, "a string, b string").repartition(5)
-    for limit in (0, 10 ** 6):            # distributed ranks, then the window path
-        codes = {(r.column, r.value): r.code for r in fit_codes(df, ["a", "b"], window_limit=limit).collect()}
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(coalesce)
+    for on in ("true", "false"):          # one task, then as many as shuffle partitions
+        spark.conf.set(coalesce, on)
+        try:
+            codes = {(r.column, r.value): r.code for r in fit_codes(df, ["a", "b"]).collect()}
+        finally:
+            spark.conf.set(coalesce, before)
         for col, values in (("a", vals), ("b", [v[::-1] for v in vals])):
             expected = sorted(set(values), key=lambda s: s.encode("utf-8"))
             assert [codes[(col, v)] for v in expected] == list(range(len(expected)))
 
 
+def test_too_many_categories_or_keys_raise(spark):
+    from kredo.functions.payload import payload_keys
+    from kredo.operators.encoding import fit_codes, vocabulary
+    df = spark.createDataFrame([(f"v{i}", f'{{"k{i}": 1}}') for i in range(5)], "a string, j string")
+    assert payload_keys(df, "j", max_keys=5) == [f"k{i}" for i in range(5)]
+    assert vocabulary(fit_codes(df, ["a"]), max_columns=5) == {"a": [f"v{i}" for i in range(5)]}
+    with pytest.raises(ValueError):
+        payload_keys(df, "j", max_keys=4)
+    with pytest.raises(ValueError):
+        vocabulary(fit_codes(df, ["a"]), max_columns=4)
+
+
 def test_category_share_ranks_break_ties_by_value(spark):
     from kredo.operators.profile import category_shares
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("c",), ("a",), (None,)], "x string")

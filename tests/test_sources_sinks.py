@@ -18,14 +18,23 @@ def test_csv_encoding_fallback(spark):
         f.write("id,nom,valeur\n1,Élodie,3.5\n2,Zoë,4\n")
     with open(lat, "w", encoding="latin-1") as f:
         f.write("id,lieu\n1,Café\n2,Crème\n")
-    assert FI.detect_encoding(spark, utf) == "UTF-8"
-    assert FI.detect_encoding(spark, lat) == "ISO-8859-1"
+    assert {k: [os.path.basename(p) for p in v] for k, v in FI.file_encodings(spark, d).items()} == \
+        {"UTF-8": ["utf.csv"], "ISO-8859-1": ["latin.csv"]}
     assert [r.lieu for r in FI.read_csv(spark, lat, "id int, lieu string").orderBy("id").collect()] == ["Café", "Crème"]
     assert FI.read_csv(spark, utf).schema["valeur"].dataType.typeName() == "double"
     cat = FI.load_catalog(spark, d, files=["latin.csv", "absent.csv"])
     assert set(cat) == {"latin"}
 
 
+def test_csv_folder_of_mixed_encodings(spark):
+    d = tempfile.mkdtemp(prefix="kredo-test-")
+    for name, enc, rows in (("a", "utf-8", "1,Café,3\n2,Zoë,4\n"), ("b", "latin-1", "3,Crème,2.5\n")):
+        with open(os.path.join(d, f"{name}.csv"), "w", encoding=enc) as f:
+            f.write("id,lieu,x\n" + rows)
+    got = FI.read_csv(spark, d)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "Café", 3.0), (2, "Zoë", 4.0), (3, "Crème", 2.5)]
+
+
 def test_ndjson_malformed_and_missing(spark):
     d = tempfile.mkdtemp(prefix="kredo-test-")
     p = os.path.join(d, "api.log")
