@@ -69,6 +69,16 @@ def ack_events(alerts: DataFrame, ids: DataFrame, at: Column) -> DataFrame:
         .select(*EVENT_COLUMNS)
 
 
+def with_acks(alerts: DataFrame, when: Column, at: Column) -> DataFrame:
+    """X2 for a rule: every alert's event and, where ``when`` holds, its
+    acknowledgement at ``at`` - in one pass over the alerts, without a join."""
+    kept = [F.col(c) for c in EVENT_COLUMNS if c not in ("acknowledged", "updated_at")]
+    raised = F.struct(*kept, F.col("acknowledged"), F.col("updated_at"))
+    acked = F.struct(*kept, F.lit(True).alias("acknowledged"), at.alias("updated_at"))
+    events = F.when(when, F.array(raised, acked)).otherwise(F.array(raised))
+    return alerts.select(F.explode(events).alias("e")).select("e.*")
+
+
 def alert_state(events: DataFrame) -> DataFrame:
     """Latest event per alert (ties: an ack wins)."""
     latest = F.max_by(F.struct(*[c for c in EVENT_COLUMNS if c != "alert_id"]),
@@ -89,6 +99,13 @@ def cleanup_alerts(state: DataFrame, as_of: Column, days: int = 90) -> tuple[Dat
     return state.where(F.col("created_at") >= cutoff), state.where(F.col("created_at") < cutoff)
 
 
+def cleanup_counts(state: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
+    """U2 as a report: alerts kept and deleted by type, in one pass."""
+    cutoff = as_of - F.expr(f"INTERVAL {int(days)} DAYS")
+    return state.groupBy("alert_type").agg(F.count_if(F.col("created_at") >= cutoff).alias("kept"),
+                                           F.count_if(F.col("created_at") < cutoff).alias("deleted"))
+
+
 def anomaly_alerts(anomalies: DataFrame) -> DataFrame:
     """X3 for the declared ``anomaly`` type: one WARNING per latency anomaly
     (D5 rows: latency above the window's p95)."""

@@ -205,10 +205,13 @@ def mean_shift(recent: DataFrame, reference: DataFrame, max_cols: int | None = N
     Columns whose |reference mean| <= 1e-6 are skipped."""
     cols, _ = monitored_numeric(recent, exclude, max_cols)
     cols = [c for c in cols if c in reference.columns]
-    cur = numeric_profile(recent, cols).select("feature", F.col("mean").alias("current_mean"))
-    ref = numeric_profile(reference, cols).select("feature", F.col("mean").alias("reference_mean"))
-    j = F.broadcast(cur).join(ref, "feature").where(
-        F.abs(F.col("reference_mean")) > EPS)
+    # both sides are means of the same aggregate, grouped by side
+    both = (recent.select(*[number_of(recent, c).alias(c) for c in cols], F.lit("recent").alias("_side"))
+            .unionByName(reference.select(*[number_of(reference, c).alias(c) for c in cols],
+                                          F.lit("reference").alias("_side"))))
+    j = _side_pivot(numeric_profile(both, cols, ["_side"]), ("mean",)).select(
+        "feature", F.col("r_mean").alias("current_mean"), F.col("f_mean").alias("reference_mean"))
+    j = j.where((F.abs(F.col("reference_mean")) > EPS) & F.col("current_mean").isNotNull())
     delta = F.col("current_mean") - F.col("reference_mean")
     if signed:
         return j.select("feature", "reference_mean", "current_mean",

@@ -180,11 +180,13 @@ def box_stats(df: DataFrame, value_col: str, group_cols: list[str] | tuple = (),
     g = list(group_cols)
     q = percentile_columns(df, value_col, {"q1": 0.25, "median": 0.5, "q3": 0.75}, g, exact)
     v = F.col(value_col)
+    # the distinct values with their counts meet the quartiles, never the rows
+    values = df.where(v.isNotNull()).groupBy(*g, value_col).agg(F.count(F.lit(1)).alias("_n"))
     if g:
-        j = df.where(v.isNotNull()).join(q, on=g, how="inner")
+        j = values.join(q, on=g, how="inner")
     else:
         qs = q.select(F.struct("q1", "median", "q3")).scalar()   # one subquery
-        j = df.where(v.isNotNull()).select("*", *[qs[c].alias(c) for c in ("q1", "median", "q3")])
+        j = values.select("*", *[qs[c].alias(c) for c in ("q1", "median", "q3")])
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     return j.groupBy(*g).agg(
@@ -192,8 +194,8 @@ def box_stats(df: DataFrame, value_col: str, group_cols: list[str] | tuple = (),
         (F.first("q3") - F.first("q1")).alias("iqr"),
         F.min(F.when(v >= lo, v)).alias("lower_whisker"),
         F.max(F.when(v <= hi, v)).alias("upper_whisker"),
-        F.count_if((v < lo) | (v > hi)).alias("n_outliers"),
-        F.count(v).alias("n"),
+        F.sum(F.when((v < lo) | (v > hi), F.col("_n")).otherwise(0)).alias("n_outliers"),
+        F.sum("_n").alias("n"),
     )
 
 

@@ -91,12 +91,15 @@ def business_cost_from_proba(df: DataFrame, threshold: float = 0.5, y_true: str
 
 def average_precision(df: DataFrame, y_true: str = "y_true", y_proba: str = "y_proba") -> DataFrame:
     """Sum over distinct scores (descending) of (R_n - R_(n-1)) * P_n,
-    i.e. (1/npos) * sum(tp_s * P_s).  No positive -> 0."""
+    i.e. (1/npos) * sum(tp_s * P_s).  No positive -> 0.  As in the cost curve, a row
+    without a score is never accepted: its positive counts in npos alone."""
     t = F.col(y_true)
-    rt = running_totals(df.where(t.isNotNull()), y_proba,
+    unscored = F.lit(float("-inf"))
+    rt = running_totals(df.where(t.isNotNull()).withColumn(y_proba, F.coalesce(F.col(y_proba).cast("double"), unscored)), y_proba,
                         {"tp": t.cast("long"), "fp": (F.lit(1) - t).cast("long")},
                         descending=True)
     contrib = F.col("tp") * F.col("cum_tp") / (F.col("cum_tp") + F.col("cum_fp"))
+    contrib = F.when(F.col(y_proba) > unscored, contrib)
     return rt.agg(F.coalesce(F.try_divide(F.sum(contrib), F.sum("tp")), F.lit(0.0)).alias("auc_pr"))
 
 

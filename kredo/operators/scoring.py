@@ -72,33 +72,61 @@ def fit(df: DataFrame, numeric: list[str], categorical: list[str], label: str =
         prepared.unpersist()
 
 
+def data_version(df: DataFrame) -> str:
+    """A digest of the files that a frame reads: path, length and time of change."""
+    import hashlib
+    spark = df.sparkSession
+    conf = spark._jsc.hadoopConfiguration()
+    lines = []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        lines.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha1("\n".join(lines).encode()).hexdigest()[:16]
+
+
 def fit_or_load(df: DataFrame, numeric: list[str], categorical: list[str], key: str,
-                label: str = "label", model: str = "logistic") -> PipelineModel:
-    """Model artifact store: load the pipeline saved under ``key`` in the
-    session's shared checkpoint folder, or fit it on ``df`` and save it
-    (Spark ML persistence) so later scoring jobs reuse the same model."""
+                label: str = "label", model: str = "logistic", version: str | None = None) -> PipelineModel:
+    """Model artifact store: the pipeline saved for ``key`` and ``version`` in the
+    session's shared checkpoint folder, or one fitted on ``df`` and saved.
+
+    ``version`` is by default that of the data, so changed files are never scored
+    with the model of the old ones.  An artifact that cannot be read raises."""
     import hashlib
     import os
 
     from kredo.session import checkpoint_dir
+    from kredo.sources.files import _exists
     spark = df.sparkSession
-    digest = hashlib.sha1("|".join([key, model, label, *numeric, "/", *categorical])
+    version = data_version(df) if version is None else version
+    digest = hashlib.sha1("|".join([key, version, model, label, *numeric, "/", *categorical])
                           .encode()).hexdigest()[:16]
     path = os.path.join(checkpoint_dir(spark), "models", digest)
     if path in _LOADED:                 # already in this driver process
         return _LOADED[path]
-    try:
+    # a model is saved under a name of its own and renamed, so one that is there is whole
+    if _exists(spark, path):
         fitted = PipelineModel.load(path)
-    except Exception:
+    else:
         fitted = fit(df, numeric, categorical, label, model)
-        try:
-            fitted.write().save(path)
-        except Exception:       # a concurrent writer got there first
-            pass
+        _publish(spark, fitted, path)
     _LOADED[path] = fitted
     return fitted
 
 
+def _publish(spark, fitted: PipelineModel, path: str) -> None:
+    """Save and rename; where another writer was first, its model stays."""
+    import uuid
+
+    from kredo.sources.files import _exists
+    own = f"{path}-{uuid.uuid4().hex}"
+    fitted.write().save(own)
+    Path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not _exists(spark, path) and not fs.rename(Path(own), Path(path)) and not _exists(spark, path):
+        raise OSError(f"cannot save the model at {path}")
+
+
 _LOADED: dict[str, PipelineModel] = {}
 
 

@@ -44,10 +44,8 @@ ACK_AFTER_DAYS = 7
 
 
 def _events(spark, d):
-    a = _alerts(spark, d)
-    old = a.where(F.col("created_at") < T.as_of_col(AS_OF) - F.expr(f"INTERVAL {ACK_AFTER_DAYS} DAYS"))
-    acks = AL.ack_events(a, old, F.col("created_at") + F.expr("INTERVAL 1 DAY"))
-    return a.unionByName(acks)
+    old = F.col("created_at") < T.as_of_col(AS_OF) - F.expr(f"INTERVAL {ACK_AFTER_DAYS} DAYS")
+    return AL.with_acks(_alerts(spark, d), old, F.col("created_at") + F.expr("INTERVAL 1 DAY"))
 
 
 _STATE_SQL = f"""{_ALERTS_SQL},
@@ -79,12 +77,7 @@ SELECT alert_type, count(CASE WHEN created_at >= {NOW} - INTERVAL 14 DAY THEN 1
   count(CASE WHEN created_at < {NOW} - INTERVAL 14 DAY THEN 1 END) AS deleted
 FROM state GROUP BY alert_type""")
 def q_alert_cleanup(spark, d):
-    state = AL.alert_state(_events(spark, d))
-    kept, deleted = AL.cleanup_alerts(state, T.as_of_col(AS_OF), days=14)
-    k = kept.groupBy("alert_type").agg(F.count(F.lit(1)).alias("kept"))
-    x = deleted.groupBy("alert_type").agg(F.count(F.lit(1)).alias("deleted"))
-    return (k.join(x, "alert_type", "full")
-            .na.fill(0, ["kept", "deleted"]))
+    return AL.cleanup_counts(AL.alert_state(_events(spark, d)), T.as_of_col(AS_OF), days=14)
 
 
 # Archive stand-in: the archive already holds the rows older than 21 days

@@ -99,3 +99,9 @@ def test_ap_brute_force(spark):
         ctp, cfp = ctp + tp, cfp + fp
         ap += tp / npos * ctp / (ctp + cfp)
     assert M.average_precision(df.repartition(5)).first()[0] == pytest.approx(ap, rel=1e-12)
+
+
+def test_unscored_positives_count_against_average_precision(spark):
+    from kredo.operators.metrics import average_precision
+    df = spark.createDataFrame([(1, 0.9), (0, 0.2), (1, None), (0, None)], "y_true int, y_proba double")
+    assert average_precision(df).first().auc_pr == 0.5

@@ -99,3 +99,21 @@ def test_windows_do_not_depend_on_session_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
     assert got == [(dt.datetime(2026, 1, 1, 10, 0), 2)]
+
+
+def test_model_store_follows_the_data(spark):
+    base = tempfile.mkdtemp(prefix="kredo-store-")
+    rows = [(float(i), "a" if i % 2 else "b", float(i > 5)) for i in range(12)]
+    df = spark.createDataFrame(rows, "x double, c string, label double")
+    one, two = os.path.join(base, "one"), os.path.join(base, "two")
+    df.write.parquet(one)
+    df.withColumn("label", 1 - df.label).write.parquet(two)
+    versions = [SC.data_version(spark.read.parquet(p)) for p in (one, one, two)]
+    assert versions[0] == versions[1] != versions[2]
+    models = [SC.fit_or_load(spark.read.parquet(p), ["x"], ["c"], "k") for p in (one, one, two)]
+    assert models[0] is models[1]
+    signs = [m.stages[-1].coefficients[0] > 0 for m in models]
+    assert signs == [True, True, False]
+    SC._LOADED.clear()
+    again = SC.fit_or_load(spark.read.parquet(one), ["x"], ["c"], "k")      # read from the store
+    assert again.stages[-1].coefficients == models[0].stages[-1].coefficients
