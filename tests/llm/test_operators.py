@@ -148,6 +148,30 @@ def test_lines(spark, edge, none):
     assert line_dedup.drop_recurring_lines(none).count() == 0
 
 
+def kept_lines(spark, texts):
+    rows = [(i, t, "a") for i, t in enumerate(texts)]
+    got = line_dedup.without_recurring_lines(docs(spark, rows)).collect()
+    return {r["row"]["doc_id"] for r in got if r["n_dropped"] == 0}
+
+
+def test_lines_of_several_templates_in_a_leaf(spark):
+    other = [f"This article was first seen in {x} Tribune Monday" for x in ("Rome", "Oslo", "Bonn")]
+    mixed_end = [f"This article was posted near {x} for the Gazette" for x in ("Rome", "Oslo", "Bonn")]
+    family = [f"This article was written by {x} for the Gazette" for x in ("Anna", "Bert")]
+    assert kept_lines(spark, [*other, *family]) == {0, 3}
+    assert kept_lines(spark, [*mixed_end, *family]) == {0, 3}
+
+
+def test_lines_alike_by_chance_stay(spark):
+    texts = ["He went to the store.", "He went to the hospital.", "3.14 2.71 1.41", "1969 07 20", "12 | 30 | 4", "7 | 8 | 9",
+             "Page 1 of 20", "Page 2 of 21"]
+    assert kept_lines(spark, texts) == set(range(8))
+    # exact repeats go, and short generalised lines from the third document
+    assert kept_lines(spark, [*texts, "1969 07 20", "He went to the store."]) == set(range(8))
+    assert kept_lines(spark, [*texts, "Page 2 of 21"]) == set(range(7))
+    assert kept_lines(spark, ["Page 2 of 21", "Page 2 of 21"]) == {0}
+
+
 def test_quality(edge, none):
     got = {r["doc_id"]: r for r in quality.quality_flags(edge).collect()}
     assert got[2]["n_words"] == 0 and got[2]["base_failed"] and got[8]["n_lines"] == 0
