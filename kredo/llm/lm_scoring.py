@@ -20,9 +20,10 @@ LAYOUT = gru.Layout(classes=32, size=64, bins=32)
 KNOWN = 1 << 18
 WORD_BYTES = 64
 # Training: in each round every task trains a copy of the model on one training
-# document of SHARE, chosen by hash, and the copies are averaged.
+# document of SHARE, dealt by hash, and the copies are averaged.  All rounds together
+# take every training document once.
 ROUNDS = 2
-SHARE = 32
+SHARE = ROUNDS
 TRAIN_DOCS = 256         # documents that go forward together in training
 TOKENS_AT_ONCE = 1 << 22 # about, that go forward together in scoring
 DISTINCT_AT_ONCE = 200_000

@@ -104,6 +104,17 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * ones[b] > len(grams))
 
 
+def test_lm_learns_from_every_training_document(spark):
+    layout = lm_scoring.LAYOUT
+    for i in range(3):
+        training = spark.createDataFrame([(i, "some words of a text")], "id long, text string")
+        counts = lm_scoring.word_counts(training.select("text"))
+        voc = lm_scoring._vocabulary(training, counts, layout)
+        start = lm_scoring.gru.initial(layout, voc.weight)
+        p = lm_scoring.train(training, spark.sparkContext.broadcast(voc), layout)
+        assert any((p[k] != start[k]).any() for k in p)
+
+
 def test_simhash(spark, edge, none):
     rows = [*ROWS, *[(30 + i, LONG.replace("lorem1 ", f"lorem1 new{i} "), "a") for i in range(6)]]
     got = simhash.near_duplicates(docs(spark, rows)).collect()
