@@ -230,6 +230,18 @@ def test_licences(edge, none):
     assert rows.count() == len(ROWS) and licences.scan(none)[0].count() == 0
 
 
+def test_licences_of_two_notices_in_a_line(spark):
+    filler = "the river went on past the old mill and the children played there until dusk " * 20
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    texts = [f"{mit} {apache}", "Licensed under the MIT license or the Apache License, Version 2.0.",
+             f"{filler}. {mit} {filler}. {apache} {filler}", apache,
+             "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"]
+    rows, _ = licences.scan(docs(spark, [(i, t, "a") for i, t in enumerate(texts)]))
+    got = {r["doc_id"]: list(r["licences"]) for r in rows.collect()}
+    both = ["apache", "mit"]
+    assert got == {0: both, 1: both, 2: both, 3: ["apache"], 4: ["lgpl"]}
+
+
 def test_mixing(edge, none):
     got = mixing.mix_report(edge, block_words=16).collect()
     assert len(got) == len(ROWS)
