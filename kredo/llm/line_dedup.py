@@ -29,8 +29,9 @@ def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_share: f
     spaced = F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
     numbered = F.col("raw").rlike("[0-9]")
     masked = F.when(numbered, F.regexp_replace("raw", NUMBERED, "<*>")).otherwise(F.col("raw"))
-    literals = F.size(F.filter("tokens", lambda t: t.rlike(r"\p{L}")))
-    wordy = (literals >= 2) & (2 * literals >= F.size("tokens"))
+    # most tokens begin with a letter, which is told without a pattern
+    literals = F.size(F.filter("tokens", lambda t: ((t >= "A") & (t < "[")) | ((t >= "a") & (t < "{")) | t.rlike(r"\p{L}")))
+    wordy = (F.col("literals") >= 2) & (2 * F.col("literals") >= F.size("tokens"))
     whole_line = F.xxhash64(F.array_remove(F.split("raw", " "), ""))
     return (docs.select(F.col(id_col).alias("id"), *row_keys(F.col(id_col), F.col(text_col)),
                         F.posexplode(F.split(spaced, "\n")).alias("no", "raw"))
