@@ -1,11 +1,11 @@
-"""The queries op1 to op10 and their SQL twins where SQL can express them."""
+"""The queries op1 to op13 and their SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kredo.llm import bpe, exact_dedup, licences, line_dedup, lm_scoring, mixing, quality, simhash, substring_dedup, url_filter
+from kredo.llm import bpe, decontamination, exact_dedup, licences, line_dedup, lm_scoring, mixing, quality, simhash, substring_dedup, url_filter
 from kredo.sources.tables import table
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -125,10 +125,35 @@ f AS (SELECT page_id, arg_max(rhost || rpath, length(rhost || rpath)) AS rule,
   FROM k JOIN r ON (host = rhost OR suffix(host, '.' || rhost)) AND prefix(path, rpath) GROUP BY page_id)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM k LEFT JOIN f USING (page_id)"""
 
+
+def op11_benchmark_decontamination(spark, sf_dir):
+    found = decontamination.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    hit = decontamination.n_hit(F.col("spans"))
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+_TERMS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"""
+OP11 = f"""WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, w, least(len(w), 10) AS k FROM (SELECT item_id, {_TERMS} AS w FROM benchmark) WHERE len(w) > 0),
+g AS (SELECT DISTINCT item, k, array_to_string(w[i:i + k - 1], ' ') AS gram
+  FROM (SELECT item, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+s AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM b) WHERE len(w) >= k),
+h AS (SELECT doc_id, i, s.k, item FROM (SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS gram FROM s) s
+  JOIN g ON s.gram = g.gram AND s.k = g.k),
+c AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS i FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, item FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_lm_scoring": op3_lm_scoring,
     "op4_simhash": op4_simhash, "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_bpe": op7_bpe,
     "op8_license_scans": op8_license_scans, "op9_mixing": op9_mixing, "op10_url_filters": op10_url_filters,
+    "op11_benchmark_decontamination": op11_benchmark_decontamination,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE = {"op1_exact_dedup": OP1, "op2_substring_dedup": OP2, "op6_quality_rules": OP6, "op10_url_filters": OP10}
+ORACLE = {"op1_exact_dedup": OP1, "op2_substring_dedup": OP2, "op6_quality_rules": OP6, "op10_url_filters": OP10,
+          "op11_benchmark_decontamination": OP11}
