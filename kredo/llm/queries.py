@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kredo.llm import bpe, decontamination, exact_dedup, licences, line_dedup, lm_scoring, mixing, quality, simhash, substring_dedup, url_filter
+from kredo.llm import bpe, decontamination, exact_dedup, lexical_search, licences, line_dedup, lm_scoring, mixing, quality, simhash, substring_dedup, url_filter
 from kredo.sources.tables import table
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -148,12 +148,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, coa
   sha256(coalesce(names, '')) AS items_sha256, c.n IS NOT NULL AS contaminated
 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
+
+def op12_ranked_search(spark, sf_dir):
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP12 = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT count(*) AS n_all, sum(len(w)) AS l_all FROM d WHERE len(w) > 0),
+m AS (SELECT r, doc_id, CAST(100 - 75 + (75 * len(w) * n_all) // l_all AS BIGINT) AS m FROM d, s WHERE len(w) > 0),
+t AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+q AS (SELECT item_id, t, count(*) AS c FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY item_id, t),
+w AS (SELECT t, CAST(floor(1000 * ln(CAST(2 * any_value(n_all) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM t, s GROUP BY t),
+x AS (SELECT item_id, r, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM q JOIN w USING (t) JOIN t USING (t) JOIN m USING (r) GROUP BY item_id, r, doc_id),
+k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+  FROM x WHERE score > 0)
+SELECT * FROM k WHERE rank <= 10"""
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_lm_scoring": op3_lm_scoring,
     "op4_simhash": op4_simhash, "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_bpe": op7_bpe,
     "op8_license_scans": op8_license_scans, "op9_mixing": op9_mixing, "op10_url_filters": op10_url_filters,
     "op11_benchmark_decontamination": op11_benchmark_decontamination,
+    "op12_ranked_search": op12_ranked_search,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op1_exact_dedup": OP1, "op2_substring_dedup": OP2, "op6_quality_rules": OP6, "op10_url_filters": OP10,
-          "op11_benchmark_decontamination": OP11}
+          "op11_benchmark_decontamination": OP11, "op12_ranked_search": OP12}
