@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from kredo.llm import bpe, decontamination, exact_dedup, lexical_search, licences, line_dedup, lm_scoring, mixing, quality, simhash, substring_dedup, url_filter
+from kredo.llm import alignment, bpe, decontamination, exact_dedup, lexical_search, licences, line_dedup, lm_scoring, mixing, quality, simhash, substring_dedup, url_filter
 from kredo.sources.tables import table
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -165,12 +165,21 @@ k AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY scor
   FROM x WHERE score > 0)
 SELECT * FROM k WHERE rank <= 10"""
 
+
+def op13_tokenizer_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    return alignment.aligned_corpus(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                    public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup, "op2_substring_dedup": op2_substring_dedup, "op3_lm_scoring": op3_lm_scoring,
     "op4_simhash": op4_simhash, "op5_line_dedup": op5_line_dedup, "op6_quality_rules": op6_quality_rules, "op7_bpe": op7_bpe,
     "op8_license_scans": op8_license_scans, "op9_mixing": op9_mixing, "op10_url_filters": op10_url_filters,
     "op11_benchmark_decontamination": op11_benchmark_decontamination,
     "op12_ranked_search": op12_ranked_search,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE = {"op1_exact_dedup": OP1, "op2_substring_dedup": OP2, "op6_quality_rules": OP6, "op10_url_filters": OP10,
