@@ -99,6 +99,27 @@ def cleanup_alerts(state: DataFrame, as_of: Column, days: int = 90) -> tuple[Dat
     return state.where(F.col("created_at") >= cutoff), state.where(F.col("created_at") < cutoff)
 
 
+def apply_cleanup(store, as_of: str, days: int = 90, table: str = "alert_events") -> dict:
+    """U2 applied: delete the events of alerts raised more than ``days`` before
+    ``as_of`` from a versioned table partitioned by ``created_date``.  Whole days go
+    by the manifest alone, unread; the cutoff's own day is written anew; later days
+    are not touched.  Returns {deleted, version}."""
+    from datetime import datetime, timedelta
+
+    from kredo.operators.archive import days_before
+    cutoff = datetime.fromisoformat(as_of) - timedelta(days=days)
+    change = store.change()
+    whole, partly = days_before(store, table, cutoff)
+    deleted = change.drop(table, whole)
+    if partly:
+        before = sum(n for p in partly for n in change.base["tables"][table]["parts"][p].values())
+        kept = store.read(table, partly).where(F.col("created_at") >= F.lit(cutoff.isoformat(sep=" ")).cast("timestamp_ntz"))
+        deleted += before - sum(change.replace(table, kept, "created_date", partly).values())
+    if deleted:
+        change.publish()
+    return {"deleted": deleted, "version": store.manifest()["version"]}
+
+
 def cleanup_counts(state: DataFrame, as_of: Column, days: int = 90) -> DataFrame:
     """U2 as a report: alerts kept and deleted by type, in one pass."""
     cutoff = as_of - F.expr(f"INTERVAL {int(days)} DAYS")

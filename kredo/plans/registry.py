@@ -12,3 +12,4 @@ from kredo.plans import ops  # noqa: F401,E402
 from kredo.plans import scoring  # noqa: F401,E402
 from kredo.plans import streams  # noqa: F401,E402
 from kredo.plans import io  # noqa: F401,E402
+from kredo.plans import tables  # noqa: F401,E402
