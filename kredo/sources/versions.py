@@ -138,6 +138,10 @@ class Change:
             spec["parts"][name][write_id] = counts[name]
         return counts
 
+    def read(self, table: str, partitions: list[str] | None = None) -> DataFrame:
+        """The rows of a table as they are with what was changed up to here."""
+        return self.store._read(self.next["tables"][table], table, partitions)
+
     def drop(self, table: str, partitions: list[str]) -> int:
         """Leave partitions out of the next version; returns their number of rows."""
         parts = self.next["tables"].get(table, {"parts": {}})["parts"]
