@@ -47,27 +47,34 @@ def _cat_profile_sql(side: str, name: str) -> str:
   FROM {name}_c) WHERE rk = 1)"""
 
 
-@register("column_profile", f"""WITH {_SIDES}, {_num_profile_sql('ref', 'p')}
-SELECT feature, {rnd('mean')} AS mean, {rnd('std')} AS std, {rnd('mn')} AS min, {rnd('mx')} AS max,
-  cnt AS count FROM p""")
+_BOTH = "SELECT *, 'recent' AS side FROM {0}r UNION ALL SELECT *, 'reference' FROM {0}f"
+
+
+def _by_side(spark, d):
+    a = S.applications(spark, d)
+    recent = F.col("APPLICATION_DATE") >= F.lit(SPLIT).cast("date")
+    return a.withColumn("side", F.when(recent, "recent").otherwise("reference"))
+
+
+@register("column_profile", f"""WITH {_SIDES}, {_num_profile_sql('rec', 'pr')}, {_num_profile_sql('ref', 'pf')}
+SELECT side, feature, {rnd('mean')} AS mean, {rnd('std')} AS std, {rnd('mn')} AS min, {rnd('mx')} AS max,
+  cnt AS count FROM ({_BOTH.format('p')})""")
 def q_column_profile(spark, d):
-    rec, ref = _sides(spark, d)
-    return rounded(P.numeric_profile(ref, NUM))
+    """A12 on both sides of the split, in one pass over all applications."""
+    return rounded(P.numeric_profile(_by_side(spark, d), NUM, ["side"]))
 
 
-@register("category_profile", f"""WITH {_SIDES}, {_cat_profile_sql('ref', 'p')}
-SELECT feature, top_value, top_count, total, n_values, {rnd('top_share')} AS top_share FROM p""")
+@register("category_profile", f"""WITH {_SIDES}, {_cat_profile_sql('rec', 'pr')}, {_cat_profile_sql('ref', 'pf')}
+SELECT side, feature, top_value, top_count, total, n_values, {rnd('top_share')} AS top_share FROM ({_BOTH.format('p')})""")
 def q_category_profile(spark, d):
-    rec, ref = _sides(spark, d)
-    return rounded(P.category_profile(ref, CAT))
+    return rounded(P.category_profile(_by_side(spark, d), CAT, ["side"]))
 
 
-@register("category_shares", f"""WITH {_SIDES}, {_cat_profile_sql('ref', 'p')}
+@register("category_shares", f"""WITH {S.SQL_APPLICATIONS}, {_cat_profile_sql('applications', 'p')}
 SELECT feature, value, n, {rnd('n / sum(n) OVER (PARTITION BY feature)')} AS share,
   CAST(row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) AS INTEGER) AS rank FROM p_c""")
 def q_category_shares(spark, d):
-    rec, ref = _sides(spark, d)
-    return rounded(P.category_shares(ref, CAT))
+    return rounded(P.category_shares(S.applications(spark, d), CAT))
 
 
 def details_sql(sides: str) -> str:

@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 
 from kredo.operators import alerts as AL
 from kredo.operators import archive as AR
+from kredo.operators import drift as D
+from kredo.operators import hourly as H
+from kredo.operators.reference import ReferenceProfile
+from kredo.plans import drift as DR
 from kredo.plans import ops as O
 from kredo.plans import standins as S
-from kredo.plans.common import register
+from kredo.plans.common import register, rnd, rounded
 from kredo.sources.versions import Store
+from kredo.sources.tables import table
+from kredo.streaming import late as LT
 from kredo.streaming.monitor import work_dir
 
 AS_OF = "2024-01-31 06:00:00"    # inside a day, so that a partition is split
@@ -57,3 +63,119 @@ def q_alert_cleanup_apply(spark, d):
     AL.apply_cleanup(store, AS_OF, DAYS)
     return AL.alert_state(store.read("alert_events").drop("created_date")).select(
         "alert_id", "alert_type", "severity", "acknowledged", "created_at", "updated_at")
+
+
+_METRICS = f"""count(*) AS total_requests,
+  {rnd('avg(latency_seconds)')} AS avg_latency_seconds, {rnd('min(latency_seconds)')} AS min_latency_seconds,
+  {rnd('max(latency_seconds)')} AS max_latency_seconds, {rnd('quantile_disc(latency_seconds, 0.95)')} AS p95_latency_seconds,
+  {rnd('quantile_disc(latency_seconds, 0.99)')} AS p99_latency_seconds,
+  count(CASE WHEN error_message IS NOT NULL THEN 1 END) AS error_count,
+  {rnd('100.0 * count(CASE WHEN error_message IS NOT NULL THEN 1 END) / count(*)')} AS error_rate,
+  {rnd('avg(score)')} AS avg_score, {rnd('min(score)')} AS min_score, {rnd('max(score)')} AS max_score"""
+
+# Three periods, one file each; failed predictions are reported with the next period's
+# file, most of them long after their hour has passed.
+PERIODS = ["2024-01-11", "2024-01-21"]
+
+
+def _arrivals(spark, d, path: str):
+    """Write the events as four files in the order they arrive, and read the folder as a
+    stream that takes one file at a time."""
+    events = table(spark, d, "events")
+    period = F.when(F.col("ts") < PERIODS[0], 0).when(F.col("ts") < PERIODS[1], 1).otherwise(2)
+    arrival = period + F.when(F.col("event_type") == "error", 1).otherwise(0)
+    for i in range(4):
+        events.where(arrival == i).coalesce(1).write.mode("append").parquet(path)
+    return S.api_logs_from(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path))
+
+
+@register("stream_late_rows", O.CTE + f""", a AS (SELECT *, CASE WHEN "timestamp" < '{PERIODS[0]}' THEN 0
+    WHEN "timestamp" < '{PERIODS[1]}' THEN 1 ELSE 2 END + CASE WHEN error_message IS NOT NULL THEN 1 ELSE 0 END AS arrival FROM api_logs),
+m AS (SELECT arrival, max(max("timestamp")) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    - INTERVAL 10 MINUTE AS mark FROM a GROUP BY arrival)
+SELECT date_trunc('hour', "timestamp") AS time_bucket, date_trunc('hour', "timestamp") + INTERVAL 1 HOUR AS bucket_end,
+  count(CASE WHEN date_trunc('hour', "timestamp") + INTERVAL 1 HOUR <= mark THEN 1 END) AS n_late,
+  count(DISTINCT arrival) AS n_batches, {_METRICS}
+FROM a JOIN m USING (arrival) GROUP BY 1, 2""")
+def q_stream_late_rows(spark, d):
+    """Rows that arrive long after their hour are kept, and their hours are
+    restated; the hours are those of the whole log."""
+    base = work_dir(spark, "late")
+    store = Store(spark, os.path.join(base, "store"))
+    LT.run_restating_stream(_arrivals(spark, d, os.path.join(base, "in")), store, os.path.join(base, "ckpt"))
+    return rounded(store.read("hours").drop("log_date"))
+
+
+@register("late_rows_kept", O.CTE + f""", a AS (SELECT *, CASE WHEN "timestamp" < '{PERIODS[0]}' THEN 0
+    WHEN "timestamp" < '{PERIODS[1]}' THEN 1 ELSE 2 END + CASE WHEN error_message IS NOT NULL THEN 1 ELSE 0 END AS arrival FROM api_logs),
+m AS (SELECT arrival, max(max("timestamp")) OVER (ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    - INTERVAL 10 MINUTE AS mark FROM a GROUP BY arrival)
+SELECT log_id, "timestamp", client_id, error_message, CAST(arrival AS BIGINT) AS batch_id FROM a JOIN m USING (arrival)
+WHERE date_trunc('hour', "timestamp") + INTERVAL 1 HOUR <= mark""")
+def q_late_rows_kept(spark, d):
+    """The table of late rows, each with the batch that brought it."""
+    base = work_dir(spark, "late")
+    store = Store(spark, os.path.join(base, "store"))
+    LT.run_restating_stream(_arrivals(spark, d, os.path.join(base, "in")), store, os.path.join(base, "ckpt"))
+    return store.read("late").select("log_id", "timestamp", "client_id", "error_message", "batch_id")
+
+
+def _hourly_table(spark, d) -> Store:
+    """Hourly states of the log in a versioned table, as two runs would leave them."""
+    store = new_store(spark, "hourly")
+    logs = S.api_logs(spark, d)
+    for part in (logs.where(F.col("timestamp") < PERIODS[1]), logs.where(F.col("timestamp") >= PERIODS[1])):
+        change = store.change()
+        change.append("states", H.hour_states(part), "log_date")
+        change.publish()
+    return store
+
+
+@register("rolling_percentiles", O.CTE + f""", w AS (SELECT date_trunc('hour', "timestamp") - INTERVAL (i) HOUR AS time_bucket, *
+  FROM api_logs, range(24) t(i))
+SELECT time_bucket, time_bucket + INTERVAL 24 HOUR AS bucket_end, {_METRICS} FROM w GROUP BY 1, 2""")
+def q_rolling_percentiles(spark, d):
+    """Every metric of the rolling day, p95 and p99 too, from hourly states."""
+    return rounded(H.rolling_metrics(_hourly_table(spark, d).read("states")))
+
+
+@register("span_percentiles", O.CTE + f"""SELECT TIMESTAMP '2024-01-17' AS time_bucket, {_METRICS}
+FROM api_logs WHERE "timestamp" >= '2024-01-17' AND "timestamp" < '2024-01-24 12:00:00'""")
+def q_span_percentiles(spark, d):
+    """The summary of any span of hours; only its days' folders are read."""
+    store = _hourly_table(spark, d)
+    days = [p for p in store.partitions("states") if "2024-01-17" <= p <= "2024-01-24"]
+    start, end = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-17 00:00:00", "2024-01-24 12:00:00"))
+    return rounded(H.span_stats(store.read("states", days), start, end))
+
+
+def _reference(spark, d) -> ReferenceProfile:
+    """The applications as a folder of Parquet files that grows: older ones, then newer
+    ones, with a refresh after each."""
+    base = work_dir(spark, "reference")
+    rows, path = S.applications(spark, d), os.path.join(base, "applications")
+    profile = ReferenceProfile(Store(spark, os.path.join(base, "store")), path, DR.NUM, DR.CAT,
+                               lambda df: df.select("_file", *D._typed(df, DR.NUM + DR.CAT, None)))
+    split = F.col("APPLICATION_DATE") < F.lit(DR.SPLIT).cast("date")
+    for part in (split, ~split):
+        rows.where(part).write.mode("append").parquet(path)
+        profile.refresh()
+    return profile
+
+
+_REFERENCE = f"""WITH {S.SQL_APPLICATIONS}, {DR._num_profile_sql('applications', 'p')}"""
+
+
+@register("reference_profile", f"""{_REFERENCE}
+SELECT feature, {rnd('mean')} AS mean, {rnd('std')} AS std, {rnd('mn')} AS min, {rnd('mx')} AS max, cnt AS count FROM p""")
+def q_reference_profile(spark, d):
+    """The numeric profile of the reference from states by file; the second
+    refresh reads the newer files alone."""
+    return rounded(_reference(spark, d).numbers())
+
+
+@register("reference_categories", f"""WITH {S.SQL_APPLICATIONS}, {DR._cat_profile_sql('applications', 'p')}
+SELECT feature, top_value, CAST(top_count AS BIGINT) AS top_count, total, n_values, {rnd('top_share')} AS top_share FROM p""")
+def q_reference_categories(spark, d):
+    """The category profile of the reference from value counts by file."""
+    return rounded(_reference(spark, d).categories())
