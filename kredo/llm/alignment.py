@@ -6,7 +6,9 @@ import json
 import math
 import re
 import uuid
+from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +65,11 @@ class Tokenizers:
         self.shown_a = np.array([f"{i}{end}" for i in range(self.size_a) for end in ",|"], f"S{digits}")
         self.shown_b = np.array([f"{i}{end}" for i in range(self.size_b) for end in ",;"], f"S{digits}")
 
-    def encode(self, texts: list[str]) -> tuple[list, list]:
-        """Ids of A (of a space and the text) and of B."""
+        self.words = Words(self)
+
+    def plainly(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """Of each text the ids of A (of a space and the text) and of B, and whether the
+        bytes of both are those of the space and the text."""
         a: list = [None] * len(texts)
         other = []
         for i, text in enumerate(texts):
@@ -74,12 +79,93 @@ class Tokenizers:
                 a[i] = self.codec.fast.encode_ordinary(" " + text)
         for i, e in zip(other, self.plain.encode_batch([" " + texts[i] for i in other], add_special_tokens=False)):
             a[i] = e.ids
-        return a, self.b.encode(texts, num_threads=1)
-
-    def whole(self, a: list[int], b: list[int], data: bytes) -> bool:
-        """Whether the tokens' bytes are those of the text."""
-        return (b"".join(map(self.bytes_a.__getitem__, a)) == data
-                and b"".join(map(self.bytes_b.__getitem__, b)) == data)
+        out = []
+        for text, x, y in zip(texts, a, self.b.encode(texts, num_threads=1)):
+            data = b" " + text.encode()
+            ok = b"".join(map(self.bytes_a.__getitem__, x)) == data and b"".join(map(self.bytes_b.__getitem__, y)) == data
+            out.append((np.array(x, np.int32), np.array(y, np.int32), ok))
+        return out
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, bool]]:
+        """As ``plainly``, word by word where both tokenizers split before each space."""
+        found = self.words.encode(texts)
+        rest = [i for i, x in enumerate(found) if x is None]
+        for i, x in zip(rest, self.plainly([texts[i] for i in rest])):
+            found[i] = x
+        return found
+
+
+class Words:
+    """What a space and a word are encoded to, kept for the words of a task.
+
+    Both tokenizers split a text before a space between two other characters, whatever
+    stands around: B's pieces hold no space but at their start (which is checked when
+    the model is loaded), and A's pattern begins anew there, unless white space stands
+    on both sides of the space.  So a text in which each space stands alone is encoded
+    as its words are."""
+
+    KEPT, LONGEST, CHARACTERS, SIDE_BY_SIDE = 1 << 18, 1 << 12, 1 << 24, 64
+
+    def __init__(self, t: Tokenizers):
+        self.t = t
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.ids = [array("i"), array("i")]
+        self.first = [array("q", [0]), array("q", [0])]
+        self.ok, self.begins, self.ends = bytearray(), bytearray(), bytearray()
+        self.characters = 0
+
+    def _add(self, words: list[str]) -> None:
+        """Encode new words, as one text where they can stand side by side."""
+        apart = [[w] for w in words if w[0].isspace()]
+        words = [w for w in words if not w[0].isspace()]
+        groups = [words[i:i + self.SIDE_BY_SIDE] for i in range(0, len(words), self.SIDE_BY_SIDE)] + apart
+        for some, found in zip(groups, self.t.plainly([" ".join(g) for g in groups])):
+            if found[2] or len(some) == 1:
+                self._keep(some, *found)
+            else:                            # some word's bytes differ: each for itself
+                for w, x in zip(some, self.t.plainly(some)):
+                    self._keep([w], *x)
+
+    def _keep(self, words: list[str], a: np.ndarray, b: np.ndarray, ok: bool) -> None:
+        self.place.update(zip(words, range(len(self.place), len(self.place) + len(words))))
+        ends = np.cumsum([1 + len(w.encode()) for w in words])
+        for ids, first, x, length in ((self.ids[0], self.first[0], a, self.t.length_a), (self.ids[1], self.first[1], b, self.t.length_b)):
+            # the ids of a word whose bytes differ are of no use, wherever they are cut
+            cut = np.searchsorted(np.cumsum(length[x]), ends, "right") if ok else np.full(1, len(x))
+            first.frombytes((cut + len(ids)).astype(np.int64).tobytes())
+            ids.frombytes(x.tobytes())
+        self.ok.extend([ok] * len(words))
+        self.begins.extend(w[0].isspace() for w in words)
+        self.ends.extend(w[-1].isspace() for w in words)
+        self.characters += int(ends[-1])
+
+    def encode(self, texts: list[str]) -> list:
+        """Ids of A and B and whether their bytes are the text's; None for a text that
+        has to be encoded as a whole."""
+        if len(self.place) > self.KEPT or self.characters > self.CHARACTERS:
+            self.clear()
+        split = [x.split(" ") for x in texts]
+        split = [[] if not all(w) or max(map(len, w)) > self.LONGEST else w for w in split]
+        counts = np.array([len(w) for w in split])
+        self._add([w for w in dict.fromkeys(chain.from_iterable(split)) if w not in self.place])
+        at = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
+        text_of = np.repeat(np.arange(len(texts)), counts)
+        ok, begins, ends = (np.frombuffer(bytes(x), bool) for x in (self.ok, self.begins, self.ends))
+        good = np.bincount(text_of, ~ok[at], len(texts)) == 0
+        both = ends[at[:-1]] & begins[at[1:]] & (text_of[:-1] == text_of[1:])
+        whole_ = (counts > 0) & (np.bincount(text_of[1:], both, len(texts)) == 0)
+        found = []
+        for ids, first in zip(self.ids, self.first):
+            ids, first = np.frombuffer(ids, np.int32) if ids else np.zeros(0, np.int32), np.frombuffer(first, np.int64)
+            n = first[at + 1] - first[at]
+            begin = np.cumsum(n) - n
+            flat = ids[np.repeat(first[at] - begin, n) + np.arange(int(n.sum()))]
+            found.append(np.split(flat, np.cumsum(np.bincount(text_of, n, len(texts)).astype(np.int64))[:-1]))
+            del ids, first                   # the arrays can't grow while they are looked at
+        return [(a, b, bool(g)) if w else None for a, b, g, w in zip(*found, good, whole_)]
 
 
 @lru_cache(maxsize=2)
@@ -314,8 +400,7 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
         for batch in found:
             for i in range(len(batch)):
                 low, start, end, data = (batch.column(c)[i].as_py() for c in range(5, 9))
-                a, b = (np.array(x[0], np.int32) for x in t.encode([data.decode()[1:]]))
-                ok = t.whole(a.tolist(), b.tolist(), data)
+                a, b, ok = t.encode([data.decode()[1:]])[0]
                 if not ok:                   # the whole text has no tokens then
                     a = b = np.zeros(0, np.int32)
                 kept, starts = [], []
@@ -362,15 +447,15 @@ def align(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", tex
 
 
 def _short(texts: list[str], t: Tokenizers) -> list[tuple]:
-    a, b = t.encode(texts)
-    data = [b" " + x.encode() for x in texts]
-    good = [i for i, x in enumerate(texts) if x and t.whole(a[i], b[i], data[i])]
+    found = t.encode(texts)
+    good = [i for i, x in enumerate(texts) if x and found[i][2]]
     out = [NOTHING] * len(texts)
     if good:
-        flat = [np.concatenate([np.array(x[i], np.int32) for i in good]) for x in (a, b)]
-        found = Aligned(*flat, np.cumsum([len(data[i]) for i in good]), t)
+        a, b = (np.concatenate([found[i][k] for i in good]) for k in range(2))
+        aligned = Aligned(a, b, np.cumsum([1 + len(texts[i].encode()) for i in good]), t)
         for place, i in enumerate(good):
-            out[i] = _values(len(a[i]), len(b[i]), (found.groups(place), int(found.n_groups[place]), *found.links(place)))
+            summary = aligned.groups(place), int(aligned.n_groups[place]), *aligned.links(place)
+            out[i] = _values(len(found[i][0]), len(found[i][1]), summary)
     return out
 
 

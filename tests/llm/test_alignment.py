@@ -103,7 +103,7 @@ def test_composing_is_associative():
     t = alignment.tokenizers_of(A, B)
     text = prose(120, 3)
     data = b" " + text.encode()
-    a, b = (np.array(x[0], np.int32) for x in t.encode([text]))
+    a, b, _ = t.plainly([text])[0]
     whole = alignment._summary(a, b, t)
     rng = random.Random(5)
     end_a, end_b = np.cumsum(t.length_a[a]), np.cumsum(t.length_b[b])
@@ -132,3 +132,18 @@ def test_ranges_cover_the_text():
         assert [r[1] for r in found] == [0, *[r[2] for r in found[:-1]]] and found[-1][2] == len(data)
         assert sum(r[3] - r[0] for r in found) <= 5 * len(data) + 100
         assert all(low <= start < end <= high for low, start, end, high in found)
+
+
+def test_word_by_word_is_as_a_whole(monkeypatch):
+    t = alignment.Tokenizers(A, B)
+    rng = random.Random(9)
+    parts = ["a", "\n", "\t", " ", "the", "Über", "\u00a0", "\u3000", "日", "'s", "!!", "12", "\x1c", "▁", "é", "x\ny"]
+    texts = [x or "" for _, x in ROWS] + ["".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randint(1, 12)))
+                                          for _ in range(3000)]
+    for kept in (1 << 18, 50):
+        monkeypatch.setattr(alignment.Words, "KEPT", kept)
+        for low in range(0, len(texts), 100):
+            some = texts[low:low + 100]
+            for text, x, y in zip(some, t.encode(some), t.plainly(some)):
+                assert x[2] == y[2] and (not x[2] or [z.tolist() for z in x[:2]] == [z.tolist() for z in y[:2]]), repr(text)
+    assert sum(x is not None for x in t.words.encode(texts)) > 500
