@@ -49,7 +49,7 @@ def flatten(df: DataFrame, sep: str = ".") -> DataFrame:
             if isinstance(f.dataType, StructType):
                 walk(path, f.dataType)
             else:
-                cols.append(F.col(".".join(f"`{p}`" for p in path)).alias(sep.join(path)))
+                cols.append(F.col(".".join("`" + p.replace("`", "``") + "`" for p in path)).alias(sep.join(path)))
     walk([], df.schema)
     return df.select(*cols)
 

@@ -13,3 +13,5 @@ from kredo.plans import scoring  # noqa: F401,E402
 from kredo.plans import streams  # noqa: F401,E402
 from kredo.plans import io  # noqa: F401,E402
 from kredo.plans import tables  # noqa: F401,E402
+from kredo.plans import payloads  # noqa: F401,E402
+from kredo.plans import catalog  # noqa: F401,E402
