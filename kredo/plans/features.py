@@ -68,7 +68,7 @@ FROM clients c LEFT JOIN p ON c.SK_ID_CURR = p.SK_ID_CURR LEFT JOIN i ON c.SK_ID
 register("client_features", CLIENT_FEATURES_SQL)(client_features)
 
 
-@register("merge_all", f"""WITH {S.SQL_TRAIN_AND_TEST}, {S.SQL_BUREAU}, {S.SQL_PREVIOUS}, {S.SQL_POS_CASH},
+MERGE_ALL_SQL = f"""WITH {S.SQL_TRAIN_AND_TEST}, {S.SQL_BUREAU}, {S.SQL_PREVIOUS}, {S.SQL_POS_CASH},
 {S.SQL_CREDIT_CARD}, {S.SQL_INSTALLMENTS}, {SQL_INST_DERIVED},
 b AS ({Q.by_client(Q.BUREAU, 'bureau')}),
 p AS ({Q.by_client(Q.PREV, 'previous')}),
@@ -76,7 +76,10 @@ o AS ({Q.by_client(Q.POS, 'pos_cash')}),
 c AS ({Q.by_client(Q.CARD, 'credit_card')}),
 i AS ({Q.by_client(Q.INST, 'inst')})
 SELECT * FROM main LEFT JOIN b USING (SK_ID_CURR) LEFT JOIN p USING (SK_ID_CURR)
-LEFT JOIN o USING (SK_ID_CURR) LEFT JOIN c USING (SK_ID_CURR) LEFT JOIN i USING (SK_ID_CURR)""")
+LEFT JOIN o USING (SK_ID_CURR) LEFT JOIN c USING (SK_ID_CURR) LEFT JOIN i USING (SK_ID_CURR)"""
+
+
+@register("merge_all", MERGE_ALL_SQL)
 def q_merge_all(spark, d):
     """All five side tables (91 outputs) joined once onto train and test."""
     train, test = S.train_and_test(spark, d)

@@ -7,16 +7,22 @@ import os
 
 from pyspark.sql import functions as F
 
+from kredo.functions import timeutil as T
 from kredo.operators import alerts as AL
 from kredo.operators import archive as AR
 from kredo.operators import drift as D
+from kredo.operators import once as ON
+from kredo.operators.alert_store import AlertStore
+from kredo.operators.bucketed import BucketedTables
 from kredo.operators import hourly as H
 from kredo.operators.reference import ReferenceProfile
 from kredo.plans import drift as DR
+from kredo.plans import features as FE
 from kredo.plans import ops as O
 from kredo.plans import standins as S
 from kredo.plans.common import register, rnd, rounded
 from kredo.sources.versions import Store
+from kredo.sources.series import Series
 from kredo.sources.tables import table
 from kredo.streaming import late as LT
 from kredo.streaming.monitor import work_dir
@@ -179,3 +185,84 @@ SELECT feature, top_value, CAST(top_count AS BIGINT) AS top_count, total, n_valu
 def q_reference_categories(spark, d):
     """The category profile of the reference from value counts by file."""
     return rounded(_reference(spark, d).categories())
+
+
+def _series(spark, d) -> Series:
+    """The log as an ordered table of some thousand rows a file, the last ten days
+    appended."""
+    series = Series(spark, os.path.join(work_dir(spark, "series"), "log"))
+    logs = S.api_logs(spark, d).select("log_id", "timestamp", "score", "latency_seconds")
+    series.write(logs.where(F.col("timestamp") < PERIODS[1]), rows_per_file=2000)
+    series.append(logs.where(F.col("timestamp") >= PERIODS[1]), rows_per_file=2000)
+    return series
+
+
+_PLACED = O.CTE + """, p AS (SELECT log_id, "timestamp", score, latency_seconds,
+  row_number() OVER (ORDER BY "timestamp", log_id) - 1 AS place FROM api_logs)"""
+
+
+@register("trend_series", _PLACED + f"""
+SELECT place, log_id, "timestamp", {rnd('score')} AS score, {rnd('latency_seconds')} AS latency_seconds FROM p
+WHERE "timestamp" > TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY AND "timestamp" <= TIMESTAMP '{AS_OF}'""")
+def q_trend_series(spark, d):
+    """O2: the last seven days in order of time, from the files that hold them."""
+    end = T.as_of_col(AS_OF)
+    rows = _series(spark, d).between(end - F.expr("INTERVAL 7 DAYS"), end)
+    return rounded(rows.select("place", "log_id", "timestamp", "score", "latency_seconds"))
+
+
+@register("page_by_offset", _PLACED + """
+SELECT place, log_id, "timestamp" FROM p WHERE place >= (SELECT count(*) FROM p) - 5100 AND place < (SELECT count(*) FROM p) - 5000""")
+def q_page_by_offset(spark, d):
+    """Page 51 of 100 rows, newest first, from the file that holds it."""
+    return _series(spark, d).page(5000, 100, newest_first=True).select("place", "log_id", "timestamp")
+
+
+@register("merge_all_bucketed", FE.MERGE_ALL_SQL)
+def q_merge_all_bucketed(spark, d):
+    """All side tables, bucketed by client, joined onto train and test
+    without an exchange."""
+    tables = BucketedTables(spark, os.path.join(work_dir(spark, "bucketed"), "tables"), buckets=8)
+    tables.write_main(*S.train_and_test(spark, d))
+    for kind, rows in (("bureau", S.bureau(spark, d)), ("previous", S.previous_applications(spark, d)), ("pos_cash", S.pos_cash(spark, d)),
+                       ("credit_card", S.credit_card(spark, d)), ("installments", S.installments(spark, d))):
+        tables.write(kind, rows)
+    return rounded(tables.merge_all())
+
+
+DELIVERIES = [0, 3, 9]   # hours after the request at which it is delivered (again)
+
+
+@register("request_log_once", """SELECT event_id AS request_id, user_id AS client_id, ts AS delivered_at, CAST(ts AS DATE) AS log_date FROM events""")
+def q_request_log_once(spark, d):
+    """Each request is delivered three times, hours apart, over several
+    files; the log has it once, as it first came."""
+    base = work_dir(spark, "once")
+    e = table(spark, d, "events")
+    sent = e.select(F.col("event_id").alias("request_id"), F.col("user_id").alias("client_id"), F.explode(F.array(*[
+        F.col("ts") + F.make_dt_interval(hours=F.lit(h)) for h in DELIVERIES])).alias("delivered_at"))
+    path = os.path.join(base, "in")
+    ends = ["2024-01-09 20:00:00", "2024-01-17 02:00:00", "2024-01-24 05:00:00", "2100-01-01 00:00:00"]
+    for start, end in zip(["2000-01-01 00:00:00", *ends], ends):
+        t = F.col("delivered_at")
+        sent.where((t >= F.lit(start).cast("timestamp_ntz")) & (t < F.lit(end).cast("timestamp_ntz"))).coalesce(1).write.mode("append").parquet(path)
+    store = Store(spark, os.path.join(base, "store"))
+    stream = spark.readStream.schema(sent.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    ON.run_log_once(stream, store, os.path.join(base, "ckpt"))
+    return store.read("requests")
+
+
+@register("alert_state_incremental", O.CTE + f""", {O._STATE_SQL}
+SELECT alert_id, alert_type, severity, acknowledged, created_at, updated_at FROM state""")
+def q_alert_state_incremental(spark, d):
+    """Three rounds of events, the snapshot merged after two of them; the state
+    is that of all events."""
+    alerts = AlertStore(new_store(spark, "alerts"))
+    events = O._events(spark, d)
+    rounds = [F.col("updated_at") < PERIODS[0], (F.col("updated_at") >= PERIODS[0]) & (F.col("updated_at") < PERIODS[1]),
+              F.col("updated_at") >= PERIODS[1]]
+    for i, when in enumerate(rounds):
+        alerts.add(events.where(when))
+        if i < 2:
+            alerts.compact()
+    return alerts.current().select("alert_id", "alert_type", "severity", "acknowledged", "created_at", "updated_at")
