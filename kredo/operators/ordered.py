@@ -7,40 +7,54 @@ together, i.e. a RANGE frame), optionally per group.  A naive
 
 1. rows are pre-aggregated per distinct (group, value) - map-side combine,
    so a hot value collapses to one row before the shuffle;
-2. ``percentile_approx`` over the distinct values gives B-1 cut points per
-   group (a bounded sketch), so the distinct values fall into B buckets of
-   similar size;
-3. per-bucket totals (groups x B rows) give each bucket its offset through a
-   small window over buckets;
-4. the running sum is finished inside each (group, bucket) window partition.
-
-Every task therefore holds about (distinct values of one group) / B rows.
-``exact_percentiles`` builds PERCENTILE_CONT on top of it: the rank of every
-distinct value is known, and the two values around the target rank are kept.
+2. Spark's range partitioning deals the distinct (group, value) rows, in order,
+   over as many tasks as the data asks for, and they are written once;
+3. the totals of each group's stretch in each task (groups x tasks rows) give every
+   stretch its offset through a small window;
+4. the running sum is finished inside each stretch.
+
+``exact_percentiles`` builds PERCENTILE_CONT on top of it: the totals tell which
+stretch holds a target rank, and only those are summed up and searched.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-# A fixed number: the plan (cut points, CASE tree) must not grow with the
-# cluster's shuffle partitions.  Callers with more distinct values pass theirs.
-DEFAULT_BUCKETS = 64
-_B = "_bucket"
+_S = "_stretch"
 
 
-def _count_below(o: Column, cuts: Column, n: int) -> Column:
-    """Number of the ``n`` sorted values of the array ``cuts`` that are < o:
-    a binary-search CASE tree over ``element_at`` (log2(n) comparisons,
-    codegen'd)."""
-    def node(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(o > F.try_element_at(cuts, F.lit(mid + 1)), node(mid + 1, hi)).otherwise(node(lo, mid))
-    return node(0, n)
+def _stretches(df: DataFrame, order_col: str, measures: dict[str, Column], g: list[str], descending: bool,
+               buckets: int | None) -> tuple[DataFrame, DataFrame]:
+    """(rows, runs): one row per distinct (group, value) with its stretch, and one row
+    per (group, stretch) with ``_off_<m>``, the total before it, ``_run_<m>``, its own,
+    and ``tot_<m>``, the group's."""
+    from kredo.session import cut_lineage
+    if not isinstance(df.schema[order_col].dataType, NumericType):
+        raise TypeError(f"running_totals needs a numeric order column, {order_col!r} is none")
+    distinct = (df.where(F.col(order_col).isNotNull()).groupBy(*g, order_col)
+                .agg(*[F.sum(expr).alias(name) for name, expr in measures.items()]))
+    order = [*[F.col(c) for c in g], F.col(order_col).desc() if descending else F.col(order_col).asc()]
+    dealt = distinct.repartitionByRange(buckets, *order) if buckets else distinct.repartitionByRange(*order)
+    # written, so that a row's task is the same for the totals and for the rows
+    rows = cut_lineage(dealt.withColumn(_S, F.spark_partition_id()))
+    runs = rows.groupBy(*g, _S).agg(*[F.sum(n).alias(f"_run_{n}") for n in measures])
+    before = Window.partitionBy(*g).orderBy(_S).rowsBetween(Window.unboundedPreceding, -1)
+    return rows, runs.select(*g, _S, *[f"_run_{n}" for n in measures], *[
+        F.coalesce(F.sum(f"_run_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in measures], *[
+        F.sum(f"_run_{n}").over(Window.partitionBy(*g)).alias(f"tot_{n}") for n in measures])
+
+
+def _summed(rows: DataFrame, runs: DataFrame, order_col: str, measures: list[str], g: list[str], descending: bool) -> DataFrame:
+    order = F.col(order_col).desc() if descending else F.col(order_col).asc()
+    w = Window.partitionBy(*g, _S).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.join(runs, on=[*g, _S], how="inner").select(
+        *g, order_col, *measures, *[(F.col(f"_off_{n}") + F.sum(n).over(w)).alias(f"cum_{n}") for n in measures],
+        *[f"tot_{n}" for n in measures])
 
 
 def running_totals(df: DataFrame, order_col: str, measures: dict[str, Column],
@@ -48,57 +62,32 @@ def running_totals(df: DataFrame, order_col: str, measures: dict[str, Column],
                    buckets: int | None = None) -> DataFrame:
     """Return one row per distinct (group, order value) with each measure
     summed over its rows (``<m>``), its running total in order (``cum_<m>``)
-    and the group total (``tot_<m>``, known from the bucket totals at no
-    extra pass).  The order column is numeric; ``numbered`` ranks other types."""
+    and the group total (``tot_<m>``, known from the stretches' totals at no
+    extra pass).  The order column is numeric; ``numbered`` ranks other types.
+    ``buckets`` fixes the number of stretches (Spark's own if None)."""
     g = list(group_cols)
-    B = buckets or DEFAULT_BUCKETS
-    distinct = (df.where(F.col(order_col).isNotNull())
-                .groupBy(*g, order_col)
-                .agg(*[F.sum(expr).alias(name) for name, expr in measures.items()]))
-    o = F.col(order_col)
-    if not isinstance(df.schema[order_col].dataType, NumericType):
-        raise TypeError(f"running_totals needs a numeric order column, {order_col!r} is none")
-    probs = [i / B for i in range(1, B)]
-    cuts = distinct.groupBy(*g).agg(F.percentile_approx(o, probs, 10000).alias("_cuts"))
-    bucket = _count_below(o, F.col("_cuts"), B - 1)
-    if descending:
-        bucket = F.lit(B) - bucket
-    if g:
-        # one cut array per group; a group without cuts falls into bucket 0
-        tagged = distinct.join(cuts, on=g, how="left")
-    else:
-        # a single cut array (B-1 values): a scalar subquery, no join needed
-        tagged = distinct.withColumn("_cuts", cuts.select("_cuts").scalar())
-    tagged = tagged.withColumn(_B, bucket).drop("_cuts")
-    totals = tagged.groupBy(*g, _B).agg(*[F.sum(n).alias(f"_bt_{n}") for n in measures])
-    w_off = (Window.partitionBy(*g).orderBy(_B)
-             .rowsBetween(Window.unboundedPreceding, -1))
-    w_all = Window.partitionBy(*g)
-    offsets = totals.select(*g, _B, *[
-        F.coalesce(F.sum(f"_bt_{n}").over(w_off), F.lit(0)).alias(f"_off_{n}") for n in measures], *[
-        F.sum(f"_bt_{n}").over(w_all).alias(f"tot_{n}") for n in measures])
-    joined = tagged.join(offsets, on=[*g, _B], how="inner")
-    order = o.desc() if descending else o.asc()
-    w = (Window.partitionBy(*g, _B).orderBy(order)
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return joined.select(*g, order_col, *measures.keys(), *[
-        (F.col(f"_off_{n}") + F.sum(n).over(w)).alias(f"cum_{n}") for n in measures],
-        *[f"tot_{n}" for n in measures])
+    rows, runs = _stretches(df, order_col, measures, g, descending, buckets)
+    return _summed(rows, runs, order_col, list(measures), g, descending)
 
 
 def exact_percentiles(df: DataFrame, value_col: str, probs: dict[str, float],
                       group_cols: list[str] | tuple = (),
                       buckets: int | None = None) -> DataFrame:
     """PERCENTILE_CONT for each ``name -> p`` (linear interpolation between
-    the values at ranks floor/ceil of p*(n-1)), per group.  NULLs ignored."""
+    the values at ranks floor/ceil of p*(n-1)), per group.  NULLs ignored.
+    Stretches that hold no such rank are passed over."""
     g = list(group_cols)
-    rt = running_totals(df, value_col, {"_n": F.lit(1)}, g, buckets=buckets) \
-        .withColumnRenamed("tot__n", "_total")
+    rows, runs = _stretches(df, value_col, {"_n": F.lit(1)}, g, False, buckets)
+    total = F.col("tot__n")
+    place = {name: F.lit(float(p)) * (total - 1) for name, p in probs.items()}
+    ranks = [f(pos) for pos in place.values() for f in (F.floor, F.ceil)]
+    runs = runs.where(functools.reduce(Column.__or__, [
+        (F.col("_off__n") <= r) & (r < F.col("_off__n") + F.col("_run__n")) for r in ranks]))
+    rt = _summed(rows, runs, value_col, ["_n"], g, False)
     first = F.col("cum__n") - F.col("_n")          # 0-based rank of first copy
     last = F.col("cum__n") - 1                     # 0-based rank of last copy
     aggs = []
-    for name, p in probs.items():
-        pos = F.lit(float(p)) * (F.col("_total") - 1)
+    for name, pos in place.items():
         lo, hi = F.floor(pos), F.ceil(pos)
         aggs.append(F.max(F.when((first <= lo) & (lo <= last), F.col(value_col))).alias(f"_lo_{name}"))
         aggs.append(F.max(F.when((first <= hi) & (hi <= last), F.col(value_col))).alias(f"_hi_{name}"))

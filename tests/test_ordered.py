@@ -66,3 +66,31 @@ def test_category_share_ranks_break_ties_by_value(spark):
     df = spark.createDataFrame([("b",), ("a",), ("c",), ("c",), ("a",), (None,)], "x string")
     got = {(r.value): (r.n, r.rank, r.share) for r in category_shares(df, ["x"]).collect()}
     assert got == {"a": (2, 1, 0.4), "c": (2, 2, 0.4), "b": (1, 3, 0.2)}
+
+
+def test_stretches_grow_with_the_partitions(spark):
+    """10**6 distinct values over 400 partitions: no task holds 2 % of them, and the
+    percentile is the exact one."""
+    from kredo.operators.ordered import _stretches
+    n = 1_000_000
+    df = spark.range(n).select((F.xxhash64("id") / 2.0).alias("v"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "400")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows, runs = _stretches(df, "v", {"n": F.lit(1)}, [], False, None)
+        sizes = [r["_run_n"] for r in runs.collect()]
+        assert len(sizes) > 300 and max(sizes) < 0.02 * n and sum(sizes) == n
+        got = exact_percentiles(df, "v", {"p95": .95}).first().p95
+        assert got == pytest.approx(df.agg(F.percentile("v", .95)).first()[0])
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_percentiles_of_groups_of_all_sizes(spark):
+    df = spark.range(6000).select(F.when(F.col("id") < 4000, 0).otherwise(F.col("id")).alias("g"), (F.col("id") % 1700).alias("v"))
+    got = {r.g: r.p for r in exact_percentiles(df, "v", {"p": .9}, ["g"], buckets=6).collect()}
+    want = {r.g: r.p for r in df.groupBy("g").agg(F.percentile("v", .9).alias("p")).collect()}
+    assert got == pytest.approx(want)
+    assert exact_percentiles(df.where("id < 0"), "v", {"p": .9}).first().p is None
