@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 
 def parse_object(payload: Column | str) -> Column:
@@ -15,6 +15,7 @@ def parse_object(payload: Column | str) -> Column:
 
 
 MAX_KEYS = 10_000
+_BAD = "_malformed"
 
 
 def payload_keys(df: DataFrame, payload: str = "input_data", max_keys: int = MAX_KEYS) -> list[str]:
@@ -31,12 +32,15 @@ def payload_keys(df: DataFrame, payload: str = "input_data", max_keys: int = MAX
 def payload_frame(df: DataFrame, payload: str = "input_data", fields: list[str] | None = None,
                   keep: list[str] | tuple = ()) -> DataFrame:
     """One column per payload key (text values; rows whose payload is not
-    an object are dropped)."""
-    m = parse_object(payload)
+    an object, or an empty one, are dropped)."""
     fields = payload_keys(df, payload) if fields is None else fields
-    base = df.select(*keep, m.alias("_m")).where(
-        F.col("_m").isNotNull() & (F.size("_m") > 0))
-    return base.select(*keep, *[F.col("_m")[f].alias(f) for f in fields])
+    # the fields as a struct: the parser builds no map, and nothing else of the payload;
+    # through a generator, so that a filter is not pushed below it with a second parse
+    schema = StructType([*[StructField(f, StringType()) for f in fields], StructField(_BAD, StringType())])
+    text = F.col(payload)
+    parsed = F.from_json(text, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    rows = df.where(text.rlike(r'^\s*\{\s*"')).select(*[F.col(c).alias(f"_kept_{c}") for c in keep], F.inline(F.array(parsed)))
+    return rows.where(F.col(_BAD).isNull()).select(*[F.col(f"_kept_{c}").alias(c) for c in keep], *[F.col(f"`{f}`") for f in fields])
 
 
 def flatten(df: DataFrame, sep: str = ".") -> DataFrame:

@@ -110,12 +110,19 @@ def _profiles(tagged: DataFrame, shared: list[str], numeric: set[str] | None) ->
 
 def side_profiles(df: DataFrame, side: str, fields: list[str] | None = None,
                   numeric: set[str] | None = None) -> tuple:
-    """(numeric, category) profiles of one side, ``recent`` or ``reference``, None
-    without fields of that kind: one row per feature, to be kept and compared with
-    many other sides by ``differences``."""
+    """(numeric, category) profiles of one side, ``recent`` or ``reference``, from its
+    ``typed_fields``, None without fields of that kind: one row per feature, to be kept
+    and compared with many other sides by ``differences``."""
     fields = list(MONITORED_INPUT_FIELDS if fields is None else fields)
     shared = [f for f in fields if f in df.columns]
-    return _profiles(df.select(*_typed(df, shared, numeric), F.lit(side).alias("_side")), shared, numeric)
+    return _profiles(df.withColumn("_side", F.lit(side)), shared, numeric)
+
+
+def typed_fields(df: DataFrame, fields: list[str] | None = None, numeric: set[str] | None = None,
+                 keep: list[str] | tuple = ()) -> DataFrame:
+    """The monitored fields that are there as a side of a comparison has them."""
+    fields = list(MONITORED_INPUT_FIELDS if fields is None else fields)
+    return df.select(*keep, *_typed(df, [f for f in fields if f in df.columns], numeric))
 
 
 def differences(num: DataFrame | None, cat: DataFrame | None, fields: list[str] | None = None) -> DataFrame:
@@ -202,13 +209,26 @@ def monitored_numeric(df: DataFrame, exclude: set[str] = ID_COLUMNS,
 def mean_shift(recent: DataFrame, reference: DataFrame, max_cols: int | None = None,
                exclude: set[str] = ID_COLUMNS, signed: bool = False) -> DataFrame:
     """D1 detail (D4 with ``signed=True``: (cur - ref) / |ref| * 100).
-    Columns whose |reference mean| <= 1e-6 are skipped."""
+    Columns whose |reference mean| <= 1e-6 are skipped.  When both sides are parts of
+    one table, ``mean_shift_split`` reads it once."""
     cols, _ = monitored_numeric(recent, exclude, max_cols)
     cols = [c for c in cols if c in reference.columns]
-    # both sides are means of the same aggregate, grouped by side
     both = (recent.select(*[number_of(recent, c).alias(c) for c in cols], F.lit("recent").alias("_side"))
             .unionByName(reference.select(*[number_of(reference, c).alias(c) for c in cols],
                                           F.lit("reference").alias("_side"))))
+    return _shifts(both, cols, signed)
+
+
+def mean_shift_split(df: DataFrame, is_recent, max_cols: int | None = None, exclude: set[str] = ID_COLUMNS,
+                     signed: bool = False) -> DataFrame:
+    """``mean_shift`` of one table split by a predicate, in one scan."""
+    cols, _ = monitored_numeric(df, exclude, max_cols)
+    side = F.when(is_recent, "recent").otherwise("reference")
+    return _shifts(df.select(*[number_of(df, c).alias(c) for c in cols], side.alias("_side")), cols, signed)
+
+
+def _shifts(both: DataFrame, cols: list[str], signed: bool) -> DataFrame:
+    # both sides are means of the same aggregate, grouped by side
     j = _side_pivot(numeric_profile(both, cols, ["_side"]), ("mean",)).select(
         "feature", F.col("r_mean").alias("current_mean"), F.col("f_mean").alias("reference_mean"))
     j = j.where((F.abs(F.col("reference_mean")) > EPS) & F.col("current_mean").isNotNull())

@@ -165,9 +165,23 @@ def feature_importance(spark, model: PipelineModel, names: list[str], top_n: int
     return df.orderBy(F.col("importance").desc(), F.col("feature")).limit(top_n)
 
 
+def standardised_importance(df: DataFrame, inputs: str, names: list[str], coefficients: list[float],
+                            top_n: int | None = 20) -> DataFrame:
+    """M4 (linear models): |coefficient| times the standard deviation of its input, so
+    that inputs of different scales compare; one aggregate over the array of inputs."""
+    if len(names) != len(coefficients):
+        raise ValueError(f"the model has {len(coefficients)} inputs and {len(names)} names were given")
+    spread = df.agg(*[F.stddev_pop(F.col(inputs)[j]).alias(str(j)) for j in range(len(names))])
+    rows = F.array(*[F.struct(F.lit(n).alias("feature"), (F.abs(F.lit(float(c))) * F.col(str(j))).alias("importance"))
+                     for j, (n, c) in enumerate(zip(names, coefficients))])
+    found = spread.select(F.explode(rows).alias("r")).select("r.*")
+    found = found.orderBy(F.col("importance").desc_nulls_last(), F.col("feature"))
+    return found.limit(top_n) if top_n else found
+
+
 def normalised_importance(imp: DataFrame) -> DataFrame:
-    """M6: importances summing to 1, NaN -> 0."""
-    clean = imp.withColumn("importance", F.nanvl("importance", F.lit(0.0)))
+    """M6: importances summing to 1; NaN and missing ones are 0."""
+    clean = imp.withColumn("importance", F.coalesce(F.nanvl("importance", F.lit(0.0)), F.lit(0.0)))
     total = clean.agg(F.sum("importance")).scalar()
     return clean.withColumn("importance", F.coalesce(F.try_divide(F.col("importance"), total), F.lit(0.0)))
 

@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
-# Doubles are compared at DIGITS decimals in both engines.  Both go through
-# DECIMAL(38, 9) first: that removes summation-order noise, and the final
-# decimal rounding is exact (half away from zero) in both engines, so exact
-# decimal ties such as a mean of x.xxxx5 resolve the same way.
-DIGITS = 4
+# Doubles are compared at 8 decimals below SMALL and at 4 from there on, in both engines.
+# Both go through DECIMAL(38, 9) first: that removes summation-order noise, and the final
+# decimal rounding is exact (half away from zero) in both engines, so exact decimal ties
+# such as a mean of x.xxxx5 resolve the same way.
+DIGITS, SMALL_DIGITS, SMALL = 4, 8, 10
 PRE_DIGITS = 9
 
 QUERIES: dict[str, Callable] = {}
@@ -33,14 +33,22 @@ def register(key: str, sql: str | None = None):
     return wrap
 
 
-def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+def rounded(df: DataFrame, digits: int | None = None) -> DataFrame:
     """Round every floating column (sum order differs between engines)."""
-    return df.select(*[
-        F.round(F.col(f.name).cast(f"decimal(38,{PRE_DIGITS})"), digits).cast("double").alias(f.name)
-        if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
-        for f in df.schema.fields])
+    def one(name: str):
+        x = F.col(name).cast(f"decimal(38,{PRE_DIGITS})")
+        if digits is not None:
+            return F.round(x, digits).cast("double")
+        return F.when(F.abs(x) < SMALL, F.round(x, SMALL_DIGITS).cast("double")).otherwise(F.round(x, DIGITS).cast("double"))
 
+    return df.select(*[one(f.name).alias(f.name) if isinstance(f.dataType, (DoubleType, FloatType)) else F.col(f.name)
+                       for f in df.schema.fields])
 
-def rnd(expr: str, digits: int = DIGITS) -> str:
+
+def rnd(expr: str, digits: int | None = None) -> str:
     """SQL twin of ``rounded`` for one expression."""
-    return f"CAST(round(CAST({expr} AS DECIMAL(38, {PRE_DIGITS})), {digits}) AS DOUBLE)"
+    x = f"CAST({expr} AS DECIMAL(38, {PRE_DIGITS}))"
+    if digits is not None:
+        return f"CAST(round({x}, {digits}) AS DOUBLE)"
+    return (f"CASE WHEN abs({x}) < {SMALL} THEN CAST(round({x}, {SMALL_DIGITS}) AS DOUBLE) "
+            f"ELSE CAST(round({x}, {DIGITS}) AS DOUBLE) END")

@@ -17,11 +17,9 @@ CAT = [f for f in D.MONITORED_INPUT_FIELDS if f not in D.NUMERIC_MONITORED_FIELD
 FIELDS_SQL = "[" + ", ".join(f"'{f}'" for f in D.MONITORED_INPUT_FIELDS) + "]"
 
 
-def _sides(spark, d):
-    a = S.applications(spark, d)
-    ref = a.where(F.col("APPLICATION_DATE") < F.lit(SPLIT).cast("date"))
-    rec = a.where(F.col("APPLICATION_DATE") >= F.lit(SPLIT).cast("date"))
-    return rec, ref
+def _split(spark, d):
+    """All applications, and the predicate of the recent ones."""
+    return S.applications(spark, d), F.col("APPLICATION_DATE") >= F.lit(SPLIT).cast("date")
 
 
 _SIDES = f"""{S.SQL_APPLICATIONS},
@@ -51,8 +49,7 @@ _BOTH = "SELECT *, 'recent' AS side FROM {0}r UNION ALL SELECT *, 'reference' FR
 
 
 def _by_side(spark, d):
-    a = S.applications(spark, d)
-    recent = F.col("APPLICATION_DATE") >= F.lit(SPLIT).cast("date")
+    a, recent = _split(spark, d)
     return a.withColumn("side", F.when(recent, "recent").otherwise("reference"))
 
 
@@ -102,8 +99,7 @@ _DETAILS = details_sql(_SIDES)
 
 
 def _details(spark, d):
-    a = S.applications(spark, d)
-    recent_pred = F.col("APPLICATION_DATE") >= F.lit(SPLIT).cast("date")
+    a, recent_pred = _split(spark, d)
     return D.compare_split(a, recent_pred), a.where(recent_pred)
 
 
@@ -188,8 +184,8 @@ SELECT feature, {rnd('reference_mean')} AS reference_mean, {rnd('current_mean')}
   CASE WHEN {_VAR} > 0.5 THEN 'severe' WHEN {_VAR} > 0.3 THEN 'mild' ELSE 'normal' END AS severity
 FROM m""")
 def q_drift_mean_shift(spark, d):
-    rec, ref = _sides(spark, d)
-    return rounded(D.mean_shift(rec.drop("SK_ID_CURR"), ref))
+    """The id column is left out by its name."""
+    return rounded(D.mean_shift_split(*_split(spark, d)))
 
 
 @register("drift_mean_shift_summary", f"""WITH {_MS},
@@ -201,19 +197,16 @@ SELECT (CASE WHEN drift_columns_50pct >= 2 THEN 'severe' WHEN drift_columns_30pc
        WHEN drift_columns_30pct >= 4 THEN 'warning' ELSE 'none' END AS drift_severity,
   drift_columns_30pct, drift_columns_50pct, {len(_APP_NUMERIC)} AS total_monitored FROM k""")
 def q_drift_mean_shift_summary(spark, d):
-    rec, ref = _sides(spark, d)
-    rec = rec.drop("SK_ID_CURR")
-    det = D.mean_shift(rec, ref)
-    _, total = D.monitored_numeric(rec)
-    return D.mean_shift_summary(det, total)
+    a, recent = _split(spark, d)
+    _, total = D.monitored_numeric(a)
+    return D.mean_shift_summary(D.mean_shift_split(a, recent), total)
 
 
 @register("drift_signed", f"""WITH {_MS}
 SELECT feature, {rnd('reference_mean')} AS reference_mean, {rnd('current_mean')} AS current_mean,
   {rnd('(current_mean - reference_mean) / abs(reference_mean) * 100')} AS variation_pct FROM m""")
 def q_drift_signed(spark, d):
-    rec, ref = _sides(spark, d)
-    return rounded(D.mean_shift(rec.drop("SK_ID_CURR"), ref, signed=True))
+    return rounded(D.mean_shift_split(*_split(spark, d), signed=True))
 
 
 @register("payload_drift", f"""WITH {S.SQL_API_LOGS},
@@ -230,9 +223,7 @@ def q_payload_drift(spark, d):
     logs = S.api_logs(spark, d)
     frame = payload_frame(logs, "input_data", keep=["timestamp"])
     split = F.lit(S.DRIFT_SPLIT).cast("timestamp_ntz")
-    rec = frame.where(F.col("timestamp") >= split)
-    ref = frame.where(F.col("timestamp") < split)
-    det = D.compare_fields(rec, ref, fields=[c for c in frame.columns if c != "timestamp"],
-                           numeric={c for c in frame.columns})
+    keys = [c for c in frame.columns if c != "timestamp"]
+    det = D.compare_split(frame, F.col("timestamp") >= split, fields=keys, numeric=set(keys))
     return rounded(det.select("feature", "avg_reference", "avg_recent", "change",
                               "ref_std", "ref_min", "ref_max"))

@@ -28,10 +28,10 @@ def _win(hours: int, now: str = NOW) -> str:
 @register("last_24h_stats", CTE + f"""SELECT count(*) AS total_predictions,
   count(CASE WHEN error_message IS NULL THEN 1 END) AS successful_predictions,
   count(CASE WHEN error_message IS NOT NULL THEN 1 END) AS failed_predictions,
-  {rnd('avg(latency_seconds)')} AS avg_latency_seconds,
+  {rnd('avg(latency_seconds)', 4)} AS avg_latency_seconds,
   {rnd('min(latency_seconds)')} AS min_latency_seconds,
   {rnd('max(latency_seconds)')} AS max_latency_seconds,
-  {rnd('avg(score)')} AS avg_score, {rnd('min(score)')} AS min_score, {rnd('max(score)')} AS max_score,
+  {rnd('avg(score)', 4)} AS avg_score, {rnd('min(score)')} AS min_score, {rnd('max(score)')} AS max_score,
   {rnd("100.0 * count(CASE WHEN error_message IS NOT NULL THEN 1 END) / nullif(count(*), 0)", 2)} AS error_rate_pct
 FROM api_logs WHERE {_win(24)}""")
 def q_last_24h_stats(spark, d):
@@ -101,6 +101,17 @@ def q_score_distribution(spark, d):
     return rounded(L.score_distribution(logs(spark, d), AS_OF, days=7))
 
 
+@register("score_distribution_all", CTE + f"""SELECT
+  CASE WHEN score < 0.2 THEN '0.0-0.2 (Very Low Risk)' WHEN score < 0.4 THEN '0.2-0.4 (Low Risk)'
+       WHEN score < 0.6 THEN '0.4-0.6 (Medium Risk)' WHEN score < 0.8 THEN '0.6-0.8 (High Risk)'
+       ELSE '0.8-1.0 (Very High Risk)' END AS risk_bucket,
+  count(*) AS count, {rnd("100.0 * count(*) / nullif((SELECT count(*) FROM api_logs), 0)", 2)} AS percentage
+FROM api_logs WHERE {_win(168)} GROUP BY 1""")
+def q_score_distribution_all(spark, d):
+    """The week's buckets as shares of the whole table."""
+    return rounded(L.score_distribution(logs(spark, d), AS_OF, days=7, denominator="all"))
+
+
 @register("score_histogram", CTE + """SELECT CAST(least(floor(score * 50), 49) AS INTEGER) AS bin,
   least(floor(score * 50), 49) / 50 AS bin_start, (least(floor(score * 50), 49) + 1) / 50 AS bin_end,
   count(*) AS count
@@ -157,7 +168,7 @@ def q_type_split_counts(spark, d):
 
 @register("batch_summary", CTE + f"""SELECT client_id, CAST("timestamp" AS DATE) AS batch_date,
   count(*) AS total, count(CASE WHEN error_message IS NOT NULL THEN 1 END) AS failed,
-  {rnd('avg(score)')} AS avg_score, {rnd('sum(latency_seconds)')} AS total_latency_seconds
+  {rnd('avg(score)', 4)} AS avg_score, {rnd('sum(latency_seconds)')} AS total_latency_seconds
 FROM api_logs WHERE prediction_type = 'batch' GROUP BY 1, 2""")
 def q_batch_summary(spark, d):
     return rounded(L.batch_summary(logs(spark, d)))

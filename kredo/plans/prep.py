@@ -45,6 +45,26 @@ def q_minmax_scale(spark, d):
     return _scale(spark, d, "minmax")
 
 
+@register("scale_checks", """WITH p AS (SELECT count(*) AS n, count(CASE WHEN p_size <= 40 THEN 1 END) AS m FROM part)
+SELECT 'complete' AS "case", false AS refused FROM p UNION ALL SELECT 'missing values', m < n FROM p
+UNION ALL SELECT 'unknown method', n > 0 FROM p UNION ALL SELECT 'constant', false FROM p""")
+def q_scale_checks(spark, d):
+    """What the scaler refuses - columns with missing values and methods that
+    it doesn't know - and what it takes."""
+    part = table(spark, d, "part").select("p_partkey", *SCALE_COLS)
+    some = part.withColumn("p_size", F.when(F.col("p_size") <= 40, F.col("p_size")))
+    cases = [("complete", part, "standard"), ("missing values", some, "standard"), ("unknown method", part, "robust"),
+             ("constant", part.withColumn("p_size", F.lit(7)), "minmax")]
+    found = []
+    for name, rows, method in cases:
+        try:
+            SC.scale_features(rows, method=method, cols=SCALE_COLS)
+            found.append((name, False))
+        except ValueError:
+            found.append((name, True))
+    return spark.createDataFrame(found, "case string, refused boolean")
+
+
 ENC_COLS = ["NAME_CONTRACT_STATUS", "OCCUPATION_TYPE", "NAME_TYPE_SUITE"]
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from kredo.operators import scoring as SC
 from kredo.plans.common import register, rnd, rounded
+from kredo.sources.files import read_json_array
+from kredo.sources.sinks import export_json
 from kredo.sources.tables import table
+from kredo.streaming.monitor import work_dir
 
 NUMERIC = ["n_chars", "n_words"]
 CATEGORICAL = ["lang", "source"]
 BATCH = 20
+SAMPLES = 500            # documents of one file of samples
 
 
 def _training(spark, d):
@@ -138,3 +144,36 @@ def q_external_model_score(spark, d):
     model = SC.LogisticScorecard(SCORECARD_INTERCEPT, list(SCORECARD_WEIGHTS.values()))
     scored = SC.score_with_python_model(docs, model, list(SCORECARD_WEIGHTS))
     return rounded(scored.select("doc_id", "score"))
+
+
+def _inputs(spark, d):
+    docs = document_features(table(spark, d, "documents"))
+    inputs = [F.col(n).cast("double") for n in WEIGHTS] + [(F.col("lang") == v).cast("double") for v in LANG_WEIGHTS]
+    return docs.withColumn("x", F.array(*inputs))
+
+
+@register("importance_export", f"""WITH {DOC_FEATURES_SQL},
+i AS ({" UNION ALL ".join(f"SELECT '{n}' AS feature, abs({w}) * stddev_pop({_input_sql(n)}) AS importance FROM f" for n, w in _TERMS.items())}),
+t AS (SELECT *, row_number() OVER (ORDER BY importance DESC, feature) AS rk FROM i)
+SELECT feature, {rnd('importance / sum(importance) OVER ()')} AS importance FROM t WHERE rk <= 4""")
+def q_importance_export(spark, d):
+    """The four strongest inputs of the scorecard, normalised, exported
+    as JSON lines and read back."""
+    top = SC.standardised_importance(_inputs(spark, d), "x", list(_TERMS), list(_TERMS.values()), top_n=4)
+    path = os.path.join(work_dir(spark, "importance"), "importance.json")
+    export_json(SC.normalised_importance(top), path)
+    return rounded(spark.read.schema("feature string, importance double").json(path))
+
+
+@register("json_array_samples", f"""WITH {DOC_FEATURES_SQL}
+SELECT 'document ' || doc_id AS description, doc_id AS client_id, {rnd('n_chars')} AS n_chars, {rnd('n_words')} AS n_words, lang, source FROM f""")
+def q_json_array_samples(spark, d):
+    """Samples as files that each hold a JSON array of {description, data}, the
+    ``data`` fields as columns."""
+    docs = document_features(table(spark, d, "documents"))
+    item = F.to_json(F.struct(F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("description"), F.struct(
+        F.col("doc_id").alias("client_id"), F.col("n_chars").cast("double").alias("n_chars"), "n_words", "lang", "source").alias("data")))
+    files = docs.groupBy(F.floor(F.col("doc_id") / SAMPLES).alias("f")).agg(F.collect_list(item).alias("items"))
+    path = os.path.join(work_dir(spark, "samples"), "samples")
+    files.select(F.concat(F.lit("["), F.array_join("items", ",\n"), F.lit("]"))).write.option("maxRecordsPerFile", 1).text(path)
+    return rounded(read_json_array(spark, path).select("description", "client_id", "n_chars", "n_words", "lang", "source"))

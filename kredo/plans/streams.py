@@ -113,15 +113,15 @@ def q_stream_drift(spark, d):
     """The application log as a stream, each micro-batch compared with the
     applications before the split; details with the batch's drift row and alert."""
     base = M.work_dir(spark, "drift")
-    before = S.applications(spark, d).where(F.col("APPLICATION_DATE") < F.lit(S.APPLICATION_SPLIT).cast("date"))
+    before = D.typed_fields(S.applications(spark, d).where(F.col("APPLICATION_DATE") < F.lit(S.APPLICATION_SPLIT).cast("date")))
     kept = []
     for i, profile in enumerate(D.side_profiles(before, "reference")):
         path = os.path.join(base, "reference", str(i))
-        profile.write.parquet(path)
+        profile.coalesce(1).write.parquet(path)
         kept.append(spark.read.parquet(path))
     log = S.application_log_from(S.applications_from(table_stream(spark, d, "orders"), table(spark, d, "customer")))
     out = os.path.join(base, "out")
-    M.run_drift_stream(log, tuple(kept), out, os.path.join(base, "ckpt"))
+    M.run_drift_stream(log, tuple(kept), out, os.path.join(base, "ckpt"), tasks=spark.sparkContext.defaultParallelism)
     details, row, alerts = (spark.read.parquet(os.path.join(out, part)) for part in ("details", "drift", "alerts"))
     return rounded(details.join(row.drop("details"), "batch_id")
                    .join(alerts.select("batch_id", "severity"), "batch_id", "left")

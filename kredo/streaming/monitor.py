@@ -165,12 +165,14 @@ def run_append(df: DataFrame, out_path: str, ckpt: str, fmt: str = "parquet") ->
 
 def run_drift_stream(stream: DataFrame, reference: tuple, out_path: str, ckpt: str,
                      fields: list[str] | None = None, numeric: set[str] | None = None,
-                     threshold: float = 0.05, payload: str = "input_data") -> None:
+                     threshold: float = 0.05, payload: str = "input_data", tasks: int | None = None) -> None:
     """The payloads of each micro-batch against the ``reference`` profiles
     (``drift.side_profiles`` of that side, one row per feature and best read from a
     table).  A batch writes its details, its drift row (S11) and, if there is drift, an
     alert (S12) below ``out_path`` in folders of its own; the detection time is the
-    newest log time of the batch, so a replayed batch gives the same rows."""
+    newest log time among the batch's payloads, so a replayed batch gives the same rows.
+    With ``tasks`` the payloads are dealt to so many tasks before they are parsed, for
+    logs that arrive as few large files."""
     from pyspark import StorageLevel
 
     from kredo.functions.payload import payload_frame
@@ -180,21 +182,27 @@ def run_drift_stream(stream: DataFrame, reference: tuple, out_path: str, ckpt: s
     fields = list(D.MONITORED_INPUT_FIELDS if fields is None else fields)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        # the payloads are parsed once; profiles and details are small and kept
+        batch = batch.select("timestamp", payload)
+        frame = payload_frame(batch.repartition(tasks) if tasks else batch, payload, fields=fields, keep=["timestamp"])
+        frame = D.typed_fields(frame, fields, numeric, keep=["timestamp"]).persist(StorageLevel.MEMORY_AND_DISK)
+        kept = [frame]
         try:
-            newest = batch.agg(F.max("timestamp")).first()[0]
+            newest = frame.agg(F.max("timestamp")).first()[0]
             if newest is None:
                 return
-            recent = D.side_profiles(payload_frame(batch, payload, fields=fields), "recent", fields, numeric)
-            both = [None if mine is None else mine.unionByName(kept) for mine, kept in zip(recent, reference)]
-            _write_batch(D.differences(*both, fields), os.path.join(out_path, "details"), batch_id)
-            details = batch.sparkSession.read.parquet(os.path.join(out_path, "details", f"batch_id={batch_id}"))
+            recent = D.side_profiles(frame, "recent", fields, numeric)
+            both = [None if mine is None else mine.unionByName(kept_) for mine, kept_ in zip(recent, reference)]
+            details = D.differences(*both, fields).coalesce(1).persist(StorageLevel.MEMORY_AND_DISK)
+            kept.append(details)
+            _write_batch(details, os.path.join(out_path, "details"), batch_id)
             verdict = D.drift_verdict(details, threshold)
             at = F.lit(newest).cast("timestamp_ntz")
             _write_batch(drift_row(verdict, details, at), os.path.join(out_path, "drift"), batch_id)
             _write_batch(drift_alert(verdict, at), os.path.join(out_path, "alerts"), batch_id)
         finally:
-            batch.unpersist()
+            for df in kept:
+                df.unpersist()
 
     q = (stream.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
          .trigger(availableNow=True).start())
