@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kredo.llm import bloom
+from kredo.llm.scratch import Scratch
 from kredo.llm.text import WORD_CHAR, row_keys, whole
-from kredo.session import cut_lineage
 
 DEPTH = 3          # leading tokens below the token count
 MIN_SHARE = 0.8    # of a line's tokens after the leading ones that must equal a template of its leaf
@@ -17,26 +17,30 @@ SURE_WORDS = 8     # literal words; a generalised template of fewer recurs in on
 NUMBERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_share: float) -> DataFrame:
-    """Every line with words: row keys, number, masked tokens, ``leaf``, ``line``,
-    ``exact``, ``literals``.
+def _raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Every line with words: row keys, number, text."""
+    text = whole(F.col(text_col))
+    # with one kind of space left, lines are split without a pattern
+    spaced = F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+    return (docs.select(F.col(id_col).alias("id"), *row_keys(F.col(id_col), F.col(text_col)),
+                        F.posexplode(F.split(spaced, "\n")).alias("no", "raw"))
+            .where(F.col("raw").rlike(WORD_CHAR)))
+
+
+def _lines(raw: DataFrame, depth: int, min_share: float) -> DataFrame:
+    """Lines parsed: row keys, number, masked tokens, ``leaf``, ``line``, ``exact``,
+    ``literals``.
 
     Only a line with two literal words, which are at least half of its tokens, is
     masked; ``exact`` is the unmasked line where that differs.  ``leaf`` is null for
     lines that are too short to differ in a token."""
-    text = whole(F.col(text_col))
-    # with one kind of space left, lines are split without a pattern
-    spaced = F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
     numbered = F.col("raw").rlike("[0-9]")
     masked = F.when(numbered, F.regexp_replace("raw", NUMBERED, "<*>")).otherwise(F.col("raw"))
     # most tokens begin with a letter, which is told without a pattern
     literals = F.size(F.filter("tokens", lambda t: ((t >= "A") & (t < "[")) | ((t >= "a") & (t < "{")) | t.rlike(r"\p{L}")))
     wordy = (F.col("literals") >= 2) & (2 * F.col("literals") >= F.size("tokens"))
     whole_line = F.xxhash64(F.array_remove(F.split("raw", " "), ""))
-    return (docs.select(F.col(id_col).alias("id"), *row_keys(F.col(id_col), F.col(text_col)),
-                        F.posexplode(F.split(spaced, "\n")).alias("no", "raw"))
-            .where(F.col("raw").rlike(WORD_CHAR))
-            .withColumn("tokens", F.array_remove(F.split(masked, " "), ""))
+    return (raw.withColumn("tokens", F.array_remove(F.split(masked, " "), ""))
             .withColumn("literals", literals).withColumn("wordy", wordy)
             .select("id", "k1", "k2", "no", "tokens",
                     F.when(F.col("wordy") & (_may_differ(F.size("tokens"), depth, min_share) > 0),
@@ -73,28 +77,29 @@ def _buckets(different: DataFrame, depth: int, min_share: float) -> DataFrame:
     return cut.join(alike, "bucket", "left_semi").join(different, ["leaf", "line"])
 
 
-def _adopted(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, depth: int,
-             min_share: float) -> DataFrame:
+def _adopted(raw: DataFrame, lines: DataFrame, scratch: Scratch, depth: int, min_share: float) -> DataFrame:
     """Distinct lines (leaf, line) with the ``shared`` template that they take and
     in how many tokens they ``differ`` from it.
 
-    Only leaves with two different lines can generalise.  A Bloom filter of these
-    leaves picks their lines in a second scan, so that few texts are shuffled; lines
-    of a leaf meet in buckets.  The template of a bucket has at each position the token
-    that most of its lines have there; a line fits if ``min_share`` of its tokens
-    after the leading ones agree, and takes the template that most lines fit.  The
-    lines left over go on to the next round.  A bucket whose template fits fewer than
-    two lines is split by the token at which its lines have the fewest values.  Every round
-    takes lines away or splits a bucket, until no bucket has two lines."""
-    several = (lines.where("leaf IS NOT NULL").groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b"))
-               .where("a <> b").select("leaf"))
-    probed = bloom.maybe_in(_lines(docs, id_col, text_col, depth, min_share).where("leaf IS NOT NULL"), "leaf",
-                            bloom.filter_of(several, "leaf"))
-    different = (probed.where("_maybe")
+    Only leaves with two different lines can generalise.  A Bloom filter of the places
+    of their lines picks these in a second scan, so that few lines are parsed again and
+    few texts are shuffled; lines of a leaf meet in buckets.  The template of a bucket has
+    at each position the token that most of its lines have there; a line fits if
+    ``min_share`` of its tokens after the leading ones agree, and takes the template that
+    most lines fit.  The lines left over go on to the next round.  A bucket whose template
+    fits fewer than two lines is split by the token at which its lines have the fewest
+    values.  Every round takes lines away or splits a bucket, until no bucket has two
+    lines; a round's tables are deleted once the next one has its own."""
+    several = scratch.keep(lines.where("leaf IS NOT NULL").groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b"))
+                           .where("a <> b").select("leaf"))
+    place = F.xxhash64("k1", "k2", "no").alias("place")
+    wanted = bloom.maybe_in(lines.where("leaf IS NOT NULL"), "leaf", bloom.filter_of(several, "leaf")).where("_maybe").select(place)
+    probed = bloom.maybe_in(raw.withColumn("place", place), "place", bloom.filter_of(wanted, "place")).where("_maybe")
+    different = (_lines(probed, depth, min_share).where("leaf IS NOT NULL")
                  .select("leaf", "line", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
                  .groupBy("leaf", "line", "hashes").count().drop("count"))
-    different = cut_lineage(different.join(several, "leaf", "left_semi"))
-    members = cut_lineage(_buckets(different, depth, min_share))
+    different = scratch.keep(different.join(several, "leaf", "left_semi"))
+    members = scratch.keep(_buckets(different, depth, min_share))
     equal = F.expr(f"size(filter(zip_with(hashes, template, (x, t) -> x = t.token), e -> e)) - {depth}")
     done = None
     while done is None or not members.isEmpty():
@@ -103,22 +108,24 @@ def _adopted(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, dept
                  .groupBy("bucket", "at").agg(F.max(F.struct("n", "token")).alias("most"), F.count(F.lit(1)).alias("values"))
                  .groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("at", "most.token"))).alias("template"),
                                         F.min(F.when(F.col("values") > 1, F.struct("values", "at"))).alias("split")))
-        tried = cut_lineage(members.join(modes, "bucket")
-                            .withColumn("equal", equal)
-                            .withColumn("fits", F.col("equal") >= min_share * (F.size("hashes") - depth) - F.lit(1e-9))
-                            .withColumn("by", F.element_at("hashes", F.col("split.at") + 1))
-                            .select("bucket", "leaf", "line", "hashes", "equal", "fits", "by"))
+        tried = scratch.keep(members.join(modes, "bucket")
+                             .withColumn("equal", equal)
+                             .withColumn("fits", F.col("equal") >= min_share * (F.size("hashes") - depth) - F.lit(1e-9))
+                             .withColumn("by", F.element_at("hashes", F.col("split.at") + 1))
+                             .select("bucket", "leaf", "line", "hashes", "equal", "fits", "by"))
         fitted = tried.groupBy("bucket").agg(F.count_if("fits").alias("n_fit")).where("n_fit > 1")
-        tried = tried.join(fitted, "bucket", "left")
-        took = cut_lineage(tried.where("fits AND n_fit IS NOT NULL").groupBy("leaf", "line")
-                           .agg(F.max(F.struct("n_fit", "bucket", (F.size("hashes") - depth - F.col("equal")).alias("differ"))).alias("best"))
-                           .select("leaf", "line", F.xxhash64(F.lit("shared"), "best.bucket").alias("shared"), "best.differ"))
-        left = tried.join(took, ["leaf", "line"], "left_anti").withColumn(
+        judged = tried.join(fitted, "bucket", "left")
+        took = scratch.keep(judged.where("fits AND n_fit IS NOT NULL").groupBy("leaf", "line")
+                            .agg(F.max(F.struct("n_fit", "bucket", (F.size("hashes") - depth - F.col("equal")).alias("differ"))).alias("best"))
+                            .select("leaf", "line", F.xxhash64(F.lit("shared"), "best.bucket").alias("shared"), "best.differ"))
+        left = judged.join(took, ["leaf", "line"], "left_anti").withColumn(
             "bucket", F.when(F.col("n_fit").isNull(), F.xxhash64("bucket", "by")).otherwise(F.col("bucket")))
-        members = cut_lineage(_several(left.select("bucket", "leaf", "line", "hashes")))
         # a bucket that goes on after a round must not give its name to a second template
-        members = members.withColumn("bucket", F.xxhash64(F.lit("next"), "bucket"))
+        rest = scratch.keep(_several(left.select(F.xxhash64(F.lit("next"), "bucket").alias("bucket"), "leaf", "line", "hashes")))
+        scratch.drop(members, tried)
+        members = rest
         done = took if done is None else done.unionByName(took)
+    scratch.drop(different, members)
     return done
 
 
@@ -147,14 +154,20 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Rows with the same id and text count as one document.  Lines without words are
     never dropped."""
-    found = _lines(docs, id_col, text_col, depth, min_share).drop("tokens")
-    lines = cut_lineage(found)
-    adopted = _adopted(docs, lines, id_col, text_col, depth, min_share)
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    raw = _raw_lines(docs, id_col, text_col)
+    lines = scratch.keep(_lines(raw, depth, min_share).drop("tokens"))
+    adopted = _adopted(raw, lines, scratch, depth, min_share)
+    # a line that stands in one document and takes no template is of no more concern
+    repeated = (lines.groupBy("line").agg(F.min(F.struct("k1", "k2")).alias("a"), F.max(F.struct("k1", "k2")).alias("b"))
+                .where("a <> b" if min_docs > 1 else "true").select("line"))
+    concerned = bloom.maybe_in(lines, "line", bloom.filter_of(repeated.unionByName(adopted.select("line")), "line"))
     general = F.col("shared").isNotNull() | F.col("exact").isNotNull()
-    placed = (lines.join(adopted, ["leaf", "line"], "left")
-              .select("id", "k1", "k2", "no", F.coalesce("shared", "line").alias("template"),
-                      F.when(general, F.coalesce("exact", "line")).alias("exact"),
-                      F.when(general, F.col("literals") - F.coalesce("differ", F.lit(0))).alias("words")))
+    placed = scratch.keep(
+        concerned.where("_maybe").join(adopted, ["leaf", "line"], "left")
+        .select("id", "k1", "k2", "no", F.coalesce("shared", "line").alias("template"),
+                F.when(general, F.coalesce("exact", "line")).alias("exact"),
+                F.when(general, F.col("literals") - F.coalesce("differ", F.lit(0))).alias("words")))
     recurring = _recurring(placed, min_docs)
     unsure = (F.col("n_docs") == min_docs) & F.coalesce(F.col("words") < sure_words, F.lit(False))
     # what generalised templates of too few documents leave: exact repeats

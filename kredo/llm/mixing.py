@@ -173,18 +173,21 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", **named) -> DataFrame:
-    """One row per document: id, size, source_size, target and ``taken``, the words
-    of it in the mix with repeats."""
+    """One row per document: id, size, source_size, target, ``taken``, the words of it in
+    the mix with repeats, and ``first_slot``, the slot of the schedule that first takes
+    some of them (null if none does)."""
     rows, pieces = plan_mix(docs, id_col, **named)
-    keys = ["id", "k1", "k2", "start"]
-    given = rows.where("size > 0").select(*keys, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    got = pieces.select(*keys, F.lit(None).cast("long").alias("size"), F.lit(None).cast("long").alias("source_size"),
-                        F.lit(None).cast("double").alias("target"), (F.col("last") - F.col("first")).alias("taken"))
+    keys, none = ["id", "k1", "k2", "start"], F.lit(None).cast("long")
+    given = rows.where("size > 0").select(*keys, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"),
+                                          none.alias("slot"))
+    got = pieces.select(*keys, none.alias("size"), none.alias("source_size"),
+                        F.lit(None).cast("double").alias("target"), (F.col("last") - F.col("first")).alias("taken"), "slot")
     summed = given.unionByName(got).groupBy(*keys).agg(
         F.max("size").alias("size"), F.max("source_size").alias("source_size"), F.max("target").alias("target"),
-        F.sum("taken").alias("taken"))
-    empty = rows.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
-    return (summed.select("id", "size", "source_size", "target", "taken").unionByName(empty)
+        F.sum("taken").alias("taken"), F.min("slot").alias("first_slot"))
+    empty = rows.where("size = 0").select("id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"),
+                                          none.alias("first_slot"))
+    return (summed.select("id", "size", "source_size", "target", "taken", "first_slot").unionByName(empty)
             .withColumnRenamed("id", id_col))
 
 
@@ -194,10 +197,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     takes words of it.  One that a pass takes whole keeps its text; one that the end
     of the target cuts has its taken words joined by one space.  ``length_col``, if
     the table has it, is set to the characters of the new text.  Documents without
-    words are not in the mix."""
+    words are not in the mix.
+
+    The rows come in the order of the schedule: tasks hold ranges of slots, and rows are
+    sorted within a task by the first slot that takes them.  So every stretch of what is
+    written, not just the whole, has the sources near their shares."""
     _, pieces = plan_mix(docs, id_col, text_col, source_col, **named)
     taken = (pieces.groupBy("k1", "k2", "start", "pass")
-             .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("size").alias("size"))
+             .agg(F.min("first").alias("first"), F.max("last").alias("last"), F.max("size").alias("size"),
+                  F.min("slot").alias("slot"))
              # rows with the same id, text and source differ in their start alone
              .withColumn("nth", F.dense_rank().over(Window.partitionBy("k1", "k2").orderBy("start"))))
     rows = (docs.select(F.struct(*docs.columns).alias("row"),
@@ -207,7 +215,8 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                                (F.col("last") - F.col("first")).cast("int")), " ")
     text = F.when(F.col("last") - F.col("first") == F.col("size"), F.col(f"row.{text_col}")).otherwise(cut)
     # numbers are compared as a difference so that they are no join key
-    mixed = rows.join(taken, ["k1", "k2"]).where("mth - nth = 0").select("row", text.alias("text"))
+    mixed = rows.join(taken, ["k1", "k2"]).where("mth - nth = 0").select("row", text.alias("text"), "slot")
+    mixed = mixed.repartitionByRange("slot").sortWithinPartitions("slot")
     new = {text_col: F.col("text")}
     if length_col in docs.columns:
         new[length_col] = F.length("text").cast(docs.schema[length_col].dataType)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from kredo.llm.text import SPACE_RUN, WORD_CHAR, whole
 
-# Frequent words of English, French, German and Spanish prose.
+# Frequent words of English, French, German and Spanish prose.  A clean text
+# in another language of Latin script has to hold one word of a hundred that is among them
+# (Italian, Portuguese or Dutch do; others may not).
 STOP_WORDS = (
     "a an and as at be by for from in is it of on or that the this to was were with "
     "au dans de des du en est et il la le les ne par pas pour que qui sur un une "
@@ -19,20 +21,26 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """A ratio must lie in [least, most]; a side that is None is open."""
+    """A ratio must lie in [least, most]; a side that is None is open.  A rule of Latin
+    script holds for texts of which at most half the characters are of other scripts."""
     name: str
     ratio: str
     least: float | None = None
     most: float | None = None
+    latin: bool = False
+
+
+# Characters beyond the Latin blocks and general punctuation.
+OTHER_SCRIPT = r"[^\x00-\x{24F}\x{1E00}-\x{1EFF}\x{2000}-\x{206F}]+"
 
 
 # Ratios are SQL over the measures of ``measures``.
 RULES = (
-    Rule("word_length", "word_chars / n_words", 3.0, 12.0),
+    Rule("word_length", "word_chars / n_words", 3.0, 12.0, latin=True),
     Rule("symbols", "n_symbols / n_words", None, 0.1),
     Rule("shouting", "n_marks / n_words", None, 0.25),
     Rule("capitals", "n_capitals / word_chars", None, 0.4),
-    Rule("stop_words", "n_stop_words / n_words", 0.01, None),
+    Rule("stop_words", "n_stop_words / n_words", 0.01, None, latin=True),
     Rule("repeated_lines", "n_dup_lines / n_lines", None, 0.3),
     Rule("ellipsis_lines", "n_ellipsis_lines / n_lines", None, 0.3),
     Rule("bullet_lines", "n_bullet_lines / n_lines", None, 0.9),
@@ -74,6 +82,9 @@ def _measures(text: str) -> str:
                 "'n_bullet_lines', size(filter(l, x -> ltrim(x) rlike r'^[-*•]')))")
     lines = _let(f"filter(split({text}, r'\\n'), x -> x rlike r'{WORD_CHAR}')", "l", of_lines)
     counts = ("named_struct('n_words', size(w), 'word_chars', char_length(array_join(w, '')), "
+              # other scripts take two bytes a character or more: few extra bytes, few such characters
+              f"'n_other', CASE WHEN 2 * (octet_length({text}) - char_length({text})) > char_length(array_join(w, '')) "
+              f"THEN {chars(OTHER_SCRIPT)} ELSE 0 END, "
               f"'n_stop_words', size(filter(w, x -> lower(x) IN ({stop}))), "
               f"'n_repeat_words', {_repeat_words('w')}, "
               f"'n_symbols', {chars('[#*$%&|<>]+')}, 'n_marks', {chars('!+')}, 'n_capitals', {chars('[A-Z]+')}, "
@@ -92,10 +103,9 @@ def _verdict(rules) -> str:
         if len(names) != 3 or names[1] != "/":
             raise ValueError(f"rule {rule.name}: a ratio of two measures is needed, not {rule.ratio!r}")
         top, bottom = names[0], names[2]
-        if rule.least is not None:
-            tests.append(f"{top} >= {rule.least} * {bottom}")
-        if rule.most is not None:
-            tests.append(f"{top} <= {rule.most} * {bottom}")
+        bounds = [f"{top} {sign} {limit} * {bottom}" for sign, limit in ((">=", rule.least), ("<=", rule.most)) if limit is not None]
+        if bounds:
+            tests.append(f"(2 * m.n_other > m.word_chars OR {' AND '.join(bounds)})" if rule.latin else " AND ".join(bounds))
     return " AND ".join(tests) or "true"
 
 

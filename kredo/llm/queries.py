@@ -72,6 +72,7 @@ m AS (SELECT t.doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word
     length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     length(regexp_replace(text, '[^!]', '', 'g')) AS n_marks,
     length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_capitals,
+    length(text) - length(regexp_replace(text, '{quality.OTHER_SCRIPT}', '', 'g')) AS n_other,
     len(l) AS n_lines, len(l) - len(list_distinct(l)) AS n_dup_lines,
     len(list_filter(l, lambda x: regexp_matches(x, '(\\.\\.\\.|…) *$'))) AS n_ellipsis_lines,
     len(list_filter(l, lambda x: regexp_matches(x, '^ *[-*•]'))) AS n_bullet_lines,
@@ -82,8 +83,8 @@ b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
   CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
   CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
-  NOT base_failed AND word_chars >= 3 * n_words AND word_chars <= 12 * n_words AND n_symbols <= 0.1 * n_words
-    AND n_marks <= 0.25 * n_words AND n_capitals <= 0.4 * word_chars AND n_stop_words >= 0.01 * n_words
+  NOT base_failed AND (2 * n_other > word_chars OR word_chars >= 3 * n_words AND word_chars <= 12 * n_words AND n_stop_words >= 0.01 * n_words)
+    AND n_symbols <= 0.1 * n_words AND n_marks <= 0.25 * n_words AND n_capitals <= 0.4 * word_chars
     AND n_dup_lines <= 0.3 * n_lines AND n_ellipsis_lines <= 0.3 * n_lines
     AND n_bullet_lines <= 0.9 * n_lines AS kept
 FROM b"""

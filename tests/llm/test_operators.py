@@ -242,6 +242,20 @@ def test_licences_of_two_notices_in_a_line(spark):
     assert got == {0: both, 1: both, 2: both, 3: ["apache"], 4: ["lgpl"]}
 
 
+def test_quality_of_other_scripts(spark):
+    russian = ("Вечером в деревне было тихо и только старый мельник сидел у окна читая письмо сына который давно уехал на север "
+               "где строили новую железную дорогу через болота леса и горы а зимой там стояли такие морозы что птицы замерзали "
+               "на лету и люди грелись возле больших костров рассказывая друг другу длинные истории про тёплое море виноградники "
+               "белые города и далёкие острова")
+    rng = random.Random(3)
+    chinese = "\n".join(" ".join("".join(chr(rng.randint(0x4E00, 0x8000)) for _ in range(18)) for _ in range(5)) for _ in range(14))
+    shouting = russian.upper().replace(" ", "! ")
+    latin = "blorp zindle quaffer mumbly frotz gnusto rezrov yomin tharn wibble " * 1 + " ".join(f"zork{chr(97 + i % 26)}{i}" for i in range(60))
+    rows = [(1, russian, "a"), (2, chinese, "a"), (3, shouting, "a"), (4, latin, "a")]
+    got = {r["doc_id"]: (r["base_failed"], r["kept"]) for r in quality.quality_flags(docs(spark, rows)).collect()}
+    assert got == {1: (False, True), 2: (False, True), 3: (False, False), 4: (False, False)}
+
+
 def test_mixing(edge, none):
     got = mixing.mix_report(edge, block_words=16).collect()
     assert len(got) == len(ROWS)
