@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 
@@ -13,6 +14,26 @@ RATE = 0.3
 CLIP = 5.0
 
 
+@lru_cache(maxsize=1)
+def one_thread() -> None:
+    """Let matrix products run on the calling thread alone.  A task has one core, and on
+    matrices as small as these the threads of OpenBLAS would spend more time waiting for
+    each other than computing.  Other libraries are left as they are."""
+    import ctypes
+
+    try:
+        with open("/proc/self/maps", encoding="utf-8") as f:
+            paths = {line.split()[-1] for line in f if "openblas" in line}
+    except OSError:
+        return
+    for path in paths:
+        library = ctypes.CDLL(path)
+        for name in ("openblas_set_num_threads", "openblas_set_num_threads64_",
+                     "scipy_openblas_set_num_threads", "scipy_openblas_set_num_threads64_"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 @dataclass(frozen=True)
 class Layout:
     """Outputs: ``classes`` classes of ``size`` head words each, then ``bins`` bins of
@@ -50,12 +71,17 @@ def initial(layout: Layout, weight: np.ndarray, hidden: int = HIDDEN) -> dict[st
 
 
 def _sigmoid(x):
-    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+    x = np.clip(x, -30, 30)
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
-def _step(p, token, h):
+def _step(p, a, h):
+    """The state after ``h`` on input rows ``a``, and what the way back needs of it."""
     n = h.shape[1]
-    a, g = p["in"][token], h @ p["u"]
+    g = h @ p["u"]
     gates = _sigmoid(a[:, :2 * n] + g[:, :2 * n])
     r, z = gates[:, :n], gates[:, n:]
     c = np.tanh(a[:, 2 * n:] + r * g[:, 2 * n:])
@@ -67,6 +93,13 @@ def _log_softmax(x):
     return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
 
+def _softmax(x):
+    x -= x.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
 def _by_class(layout: Layout, target):
     """(class, places of the targets in it) for head targets."""
     order = np.argsort(target, kind="stable")
@@ -107,7 +140,7 @@ def score(p, layout: Layout, docs: list[np.ndarray]) -> np.ndarray:
         for t in range(begin, min(begin + SCORE_STEPS, int(lengths[0]))):
             n = int(np.searchsorted(-lengths, -t, "left"))      # documents of more than t tokens
             h = h[:n]
-            h, _ = _step(p, last[:n], h)
+            h, _ = _step(p, p["in"][last[:n]], h)
             last = tokens[first[:n] + t]
             states.append(h)
             targets.append(last)
@@ -131,67 +164,78 @@ class Trainer:
         self.square = {k: np.full(v.shape, 0.1, np.float32) for k, v in p.items()}
 
     def train(self, docs: list[np.ndarray]) -> None:
+        """One pass over documents, longest first, that go forward together."""
         lengths = np.array([len(d) for d in docs])
         order = np.argsort(-lengths, kind="stable")
-        lengths = lengths[order]
-        tokens = np.zeros((int(lengths[0]) + 1, len(docs)), np.int64)     # row 0: the end stands for a start
-        for column, i in enumerate(order):
-            tokens[1:len(docs[i]) + 1, column] = docs[i]
+        docs, lengths = [docs[i] for i in order], lengths[order]
+        flat, first = np.concatenate(docs), np.cumsum(lengths) - lengths
+        last = np.zeros(len(docs), np.int64)          # the end token stands for a start
         h = np.zeros((len(docs), self.p["u"].shape[0]), np.float32)
         for begin in range(0, int(lengths[0]), STEPS):
             live = [int(np.searchsorted(-lengths, -t, "left")) for t in range(begin, min(begin + STEPS, int(lengths[0])))]
-            h = self._window(tokens[begin:begin + STEPS + 1], live, h[:live[0]])
-
-    def _window(self, token_rows, live, h):
-        """One window; ``live`` has the documents that go on at each step, the first
-        columns of ``token_rows``."""
-        p, hidden = self.p, h.shape[1]
-        saved, rows = [], []
-        for t, n in enumerate(live):
-            token = token_rows[t, :n]
-            new, gates = _step(p, token, h[:n])
-            saved.append((token, h[:n], gates))
-            h = np.concatenate([new, h[n:]]) if n < len(h) else new
-            rows.append(new)
-        out = np.concatenate(rows)
-        target = np.concatenate([token_rows[t + 1, :n] for t, n in enumerate(live)])
-        grad = {k: np.zeros_like(v) for k, v in p.items() if k != "in"}
-        kind = self.layout.class_of(target)
-        d = np.exp(_log_softmax(out @ p["cw"] + p["cb"]))
-        d[np.arange(len(target)), kind] -= 1
+            target = np.concatenate([flat[first[:n] + begin + t] for t, n in enumerate(live)])
+            starts = np.cumsum([0, *live])
+            token = np.concatenate([last[:live[0]], *[target[starts[t]:starts[t] + n] for t, n in enumerate(live[1:])]])
+            last[:live[-1]] = target[starts[-2]:]
+            h = self._window(token, target, live, h[:live[0]])
+
+    def gradients(self, token, target, live, h) -> tuple[dict, np.ndarray, np.ndarray]:
+        """Gradients of the window's loss (``in`` aside), those of the input rows of its
+        tokens, and the state after it.  ``token`` and ``target`` are its steps one after
+        the other; step t has the first ``live[t]`` documents."""
+        p, n = self.p, h.shape[1]
+        ends = np.cumsum(live)
+        steps = [slice(e - k, e) for e, k in zip(ends, live)]
+        inputs = p["in"][token]
+        before, out, c, g = (np.empty((len(token), n), np.float32) for _ in range(4))
+        rz = np.empty((len(token), 2 * n), np.float32)
+        h = h.copy()
+        for s, k in zip(steps, live):
+            before[s] = h[:k]
+            new, (r, z, c[s], g[s]) = _step(p, inputs[s], h[:k])
+            rz[s, :n], rz[s, n:] = r, z
+            out[s] = h[:k] = new
+        grad = {k: np.zeros_like(v) for k, v in p.items() if k in ("ww", "wb")}
+        d = _softmax(out @ p["cw"] + p["cb"])
+        d[np.arange(len(target)), self.layout.class_of(target)] -= 1
         grad["cw"], grad["cb"] = out.T @ d, d.sum(axis=0)
         dh_all = d @ p["cw"].T
         for k, at in _by_class(self.layout, target):
-            d = np.exp(_log_softmax(out[at] @ p["ww"][k] + p["wb"][k]))
+            here = out[at]
+            d = _softmax(here @ p["ww"][k] + p["wb"][k])
             d[np.arange(len(at)), target[at] - k * self.layout.size] -= 1
-            grad["ww"][k], grad["wb"][k] = out[at].T @ d, d.sum(axis=0)
+            grad["ww"][k], grad["wb"][k] = here.T @ d, d.sum(axis=0)
             dh_all[at] += d @ p["ww"][k].T
-        ends = np.cumsum(live)
-        back = np.zeros((len(h), hidden), np.float32)
-        tokens, changes = [], []
-        for t in range(len(live) - 1, -1, -1):
-            token, before, (r, z, c, g) = saved[t]
-            n = live[t]
-            dh = back[:n] + dh_all[ends[t] - n:ends[t]]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (before - c) * z * (1 - z)
-            dr = dc * g * r * (1 - r)
-            da = np.concatenate([dr, dz, dc], axis=1)
-            dg = np.concatenate([dr, dz, dc * r], axis=1)
-            grad["u"] += before.T @ dg
-            back[:n] = dh * z + dg @ p["u"].T
-            tokens.append(token)
-            changes.append(da)
+        # what each gate passes back, for all steps at once
+        r, z = rz[:, :n], rz[:, n:]
+        to_c, to_z, to_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), g * r * (1 - r)
+        back = np.zeros((len(h), n), np.float32)
+        dg, dc = np.empty((len(token), 3 * n), np.float32), np.empty((len(token), n), np.float32)
+        u = p["u"].T.copy()
+        for s, k in zip(reversed(steps), reversed(live)):
+            dh = dh_all[s] + back[:k]
+            np.multiply(dh, to_c[s], out=dc[s])
+            np.multiply(dc[s], to_r[s], out=dg[s, :n])
+            np.multiply(dh, to_z[s], out=dg[s, n:2 * n])
+            np.multiply(dc[s], r[s], out=dg[s, 2 * n:])
+            dh *= z[s]
+            dh += dg[s] @ u
+            back[:k] = dh
+        grad["u"] = before.T @ dg
+        dg[:, 2 * n:] = dc
+        return grad, dg, h
+
+    def _window(self, token, target, live, h):
+        grad, change, h = self.gradients(token, target, live, h)
         scale = 1.0 / live[0]
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) * scale
         scale *= min(1.0, CLIP / max(norm, 1e-9))
         for k, g in grad.items():
             self._move(k, slice(None), g * scale)
-        token, change = np.concatenate(tokens), np.concatenate(changes)
-        distinct, place = np.unique(token, return_inverse=True)
-        summed = np.zeros((len(distinct), 3 * hidden), np.float32)
-        np.add.at(summed, place, change)
-        self._move("in", distinct, summed * scale)
+        order = np.argsort(token, kind="stable")
+        token = token[order]
+        begins = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+        self._move("in", token[begins], np.add.reduceat(change[order], begins, axis=0) * scale)
         return h
 
     def _move(self, k, at, g):

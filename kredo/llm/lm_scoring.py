@@ -24,6 +24,7 @@ WORD_BYTES = 64
 # take every training document once.
 ROUNDS = 2
 SHARE = ROUNDS
+MEANS = 64               # groups of tasks whose parameters are averaged before those of all
 TRAIN_DOCS = 256         # documents that go forward together in training
 TOKENS_AT_ONCE = 1 << 22 # about, that go forward together in scoring
 DISTINCT_AT_ONCE = 200_000
@@ -131,6 +132,7 @@ def train(training: DataFrame, vocabulary, layout: gru.Layout, rounds: int = ROU
         start = spark.sparkContext.broadcast(p)
 
         def local(found):
+            gru.one_thread()
             voc, trainer, seen, waiting = vocabulary.value, gru.Trainer(start.value, layout), 0, []
             for batch in found:
                 for low in range(0, len(batch), TRAIN_DOCS):
@@ -151,7 +153,7 @@ def train(training: DataFrame, vocabulary, layout: gru.Layout, rounds: int = ROU
         def mean(found):
             sums: dict = {}
             for batch in found:
-                for name, n, value in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                for name, n, value in zip(*[batch.column(i).to_pylist() for i in range(3)]):     # of a group of tasks
                     old, weight = sums.get(name, (0.0, 0))
                     sums[name] = (old + n * np.frombuffer(value, np.float32).astype(float), weight + n)
             for name, (value, n) in sums.items():
@@ -161,7 +163,9 @@ def train(training: DataFrame, vocabulary, layout: gru.Layout, rounds: int = ROU
 
         kind = "name string, tokens long, value binary"
         chosen = training.where(F.pmod(F.xxhash64("id", F.lit("train")), F.lit(share)) == step).select("text")
-        got = chosen.mapInArrow(local, kind).repartition("name").mapInArrow(mean, kind).collect()
+        trained = chosen.mapInArrow(local, kind).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(MEANS)))
+        parts = trained.repartition("name", "part").mapInArrow(mean, kind)
+        got = parts.repartition("name").mapInArrow(mean, kind).collect()
         for row in got:
             p[row["name"]] = np.frombuffer(row["value"], np.float32).reshape(p[row["name"]].shape).copy()
         start.unpersist()
@@ -200,6 +204,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         StructField("n_known", LongType()), StructField("base", DoubleType()), StructField("score", DoubleType())])
 
     def run(found):
+        gru.one_thread()
         voc, p = vocabulary.value, model.value
         docs_, known, base_, fixed = [], [], [], []
         keys: list = [[], [], [], []]
