@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kredo.llm import bloom
 from kredo.llm.scratch import Scratch
-from kredo.llm.text import WORD_CHAR, row_keys, whole
+from kredo.llm.text import row_keys, whole
 
 DEPTH = 3          # leading tokens below the token count
 MIN_SHARE = 0.8    # of a line's tokens after the leading ones that must equal a template of its leaf
@@ -20,11 +20,12 @@ NUMBERED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
 def _raw_lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Every line with words: row keys, number, text."""
     text = whole(F.col(text_col))
-    # with one kind of space left, lines are split without a pattern
-    spaced = F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
+    # with one kind of space left, lines are split and judged without a pattern
+    other = text.contains("\t") | text.contains("\x0b") | text.contains("\x0c") | text.contains("\r")
+    spaced = F.when(other, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
     return (docs.select(F.col(id_col).alias("id"), *row_keys(F.col(id_col), F.col(text_col)),
                         F.posexplode(F.split(spaced, "\n")).alias("no", "raw"))
-            .where(F.col("raw").rlike(WORD_CHAR)))
+            .where(F.trim("raw") != ""))
 
 
 def _lines(raw: DataFrame, depth: int, min_share: float) -> DataFrame:
@@ -93,8 +94,13 @@ def _adopted(raw: DataFrame, lines: DataFrame, scratch: Scratch, depth: int, min
     several = scratch.keep(lines.where("leaf IS NOT NULL").groupBy("leaf").agg(F.min("line").alias("a"), F.max("line").alias("b"))
                            .where("a <> b").select("leaf"))
     place = F.xxhash64("k1", "k2", "no").alias("place")
-    wanted = bloom.maybe_in(lines.where("leaf IS NOT NULL"), "leaf", bloom.filter_of(several, "leaf")).where("_maybe").select(place)
-    probed = bloom.maybe_in(raw.withColumn("place", place), "place", bloom.filter_of(wanted, "place")).where("_maybe")
+    # filters are read by two joins each: written, they are not worked out twice
+    leaves = scratch.keep(bloom.filter_of(several, "leaf"))
+    wanted = bloom.maybe_in(lines.where("leaf IS NOT NULL"), "leaf", leaves).where("_maybe").select(place)
+    places = scratch.keep(bloom.filter_of(wanted, "place"))
+    probed = bloom.maybe_in(raw.withColumn("place", place), "place", places).where("_maybe")
+    # a generator holds back filters on what is parsed, which else go below the probe
+    probed = probed.select("id", "k1", "k2", "no", F.explode(F.array("raw")).alias("raw"))
     different = (_lines(probed, depth, min_share).where("leaf IS NOT NULL")
                  .select("leaf", "line", F.transform("tokens", lambda t: F.xxhash64(t)).alias("hashes"))
                  .groupBy("leaf", "line", "hashes").count().drop("count"))
@@ -159,9 +165,10 @@ def recurring_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = scratch.keep(_lines(raw, depth, min_share).drop("tokens"))
     adopted = _adopted(raw, lines, scratch, depth, min_share)
     # a line that stands in one document and takes no template is of no more concern
-    repeated = (lines.groupBy("line").agg(F.min(F.struct("k1", "k2")).alias("a"), F.max(F.struct("k1", "k2")).alias("b"))
-                .where("a <> b" if min_docs > 1 else "true").select("line"))
-    concerned = bloom.maybe_in(lines, "line", bloom.filter_of(repeated.unionByName(adopted.select("line")), "line"))
+    repeated = (lines.groupBy("line").agg(*[f(k).alias(f"{n}_{k}") for k in ("k1", "k2") for n, f in (("min", F.min), ("max", F.max))])
+                .where("min_k1 <> max_k1 OR min_k2 <> max_k2" if min_docs > 1 else "true").select("line"))
+    concern = scratch.keep(bloom.filter_of(repeated.unionByName(adopted.select("line")), "line"))
+    concerned = bloom.maybe_in(lines, "line", concern)
     general = F.col("shared").isNotNull() | F.col("exact").isNotNull()
     placed = scratch.keep(
         concerned.where("_maybe").join(adopted, ["leaf", "line"], "left")
