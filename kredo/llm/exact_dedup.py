@@ -39,6 +39,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that ``exact_duplicates`` keeps, with all their columns."""
-    dropped = exact_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows that ``exact_duplicates`` keeps, with all their columns: of rows that
+    share an id each goes or stays with its own text."""
+    gone = (exact_duplicates(docs, id_col, text_col).where("NOT kept")
+            .select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct())
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("_gone")) & (F.sha2(whole(F.col(text_col)), 256) == F.col("_sha")), "left_anti")

@@ -12,7 +12,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from kredo.llm import batches
 from kredo.llm.components import components
-from kredo.llm.text import whole
+from kredo.llm.text import row_keys, whole
 from kredo.session import cut_lineage, ship_package
 
 SHINGLE = 4
@@ -256,9 +256,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **named) -> DataFrame:
-    """The documents that are the smallest id of their component, with their columns.
-    Rows that repeat an id stay or go together; rows without id stay."""
-    gone = (near_duplicates(docs, id_col, text_col, **named)
-            .where(F.col(id_col).isNotNull() & (F.col(id_col) != F.col("component_id")))
-            .select(F.col(id_col).alias("_gone")).distinct())
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    """The documents that are the first of their component - by id, then by 128-bit keys
+    of id and text - with their columns.  Rows without id stay; of rows that share an id
+    each is judged by its own text; rows with the same id and text stay or go together."""
+    keys = row_keys(F.col(id_col), F.col(text_col))
+    marked = docs.select(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), *keys).alias("_row"),
+                         F.col(text_col).alias("_text"))
+    gone = (near_duplicates(marked, "_row", "_text", **named)
+            .where((F.col("_row") != F.col("component_id")) & F.col("_row.id").isNotNull())
+            .select(F.col("_row.k1").alias("_g1"), F.col("_row.k2").alias("_g2")).distinct())
+    return docs.join(gone, (keys[0] == F.col("_g1")) & (keys[1] == F.col("_g2")), "left_anti")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Rows of one sweep: the URLs of a host are spread over sweeps of about so many.
 SWEEP_ROWS = 256
+SALTS = 64               # keys over which the URLs of one domain are dealt to meet its rules
 
 # (host, path, verdict) of the rules that the query is asked to apply; fixed values.
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
@@ -82,13 +83,17 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     urls = rows.groupBy("host", "path").count().drop("count")
     domains = F.expr(f"""transform(sequence(1, least(size(split(host, '[.]')), {max(1, deepest)})),
         n -> array_join(reverse(slice(split(host, '[.]'), -n, n)), '.'))""")
-    named = around.groupBy("rev").agg(F.count(F.lit(1)).alias("n_rules"))
-    keys = urls.select("host", "path", F.explode(domains).alias("rev")).join(named, "rev")
+    # most URLs may share one domain: it is dealt over SALTS keys, with a copy of its rule row for each
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    named = around.groupBy("rev").agg(F.count(F.lit(1)).alias("n_rules")).select("*", salts)
+    salted = urls.select("host", "path", F.expr(f"pmod(xxhash64(path, host), {SALTS})").cast("int").alias("salt"),
+                         F.explode(domains).alias("rev"))
+    keys = salted.join(named, ["rev", "salt"])
     sweeps = keys.groupBy("rev").agg(
         F.expr(f"CAST(ceil(count(1) / greatest({int(sweep_rows)}, max(n_rules))) AS INT)").alias("n_sweeps"))
 
     empty = F.lit(None).cast(around.schema["stack"].dataType)
-    swept = keys.join(sweeps, "rev").select(
+    swept = keys.join(sweeps.select("*", salts), ["rev", "salt"]).select(
         "rev", F.expr("pmod(xxhash64(host, path), n_sweeps)").cast("int").alias("sweep"), "path",
         F.lit(1).alias("kind"), "host", empty.alias("stack"))
     opened = around.join(sweeps, "rev").select(

@@ -242,6 +242,29 @@ def test_licences_of_two_notices_in_a_line(spark):
     assert got == {0: both, 1: both, 2: both, 3: ["apache"], 4: ["lgpl"]}
 
 
+def test_removal_goes_by_row_not_by_id(spark):
+    rows = docs(spark, [(None, "A", "a"), (5, "A", "a"), (None, "B", "a")])
+    assert sorted((str(r["doc_id"]), r["text"]) for r in exact_dedup.drop_exact_duplicates(rows).collect()) == [("5", "A"), ("None", "B")]
+    a, b = prose(80, 1), prose(80, 2)
+    rows = docs(spark, [(3, a, "a"), (5, a, "a"), (5, b, "a"), (None, a, "a"), (7, b, "b"), (7, b, "b")])
+    left = simhash.keep_first_of_each(rows)
+    assert sorted((str(r["doc_id"]), r["text"]) for r in left.collect()) == sorted([("3", a), ("5", b), ("None", a)])
+    assert left.columns == rows.columns
+
+
+def test_pipeline_edges(spark, edge, none):
+    """Every stage on null, empty, repeated rows and clashing columns, and on no rows."""
+    import corpus_pipeline
+    for rows in (edge, none):
+        now = rows
+        for name, stage in corpus_pipeline.STAGES:
+            now = stage(spark, now, "")
+            if name != "bpe":
+                assert now.columns == rows.columns, name
+        assert now.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"]
+        assert {r["doc_id"] for r in now.collect()} <= {i for i, _, _ in ROWS}
+
+
 def test_quality_of_other_scripts(spark):
     russian = ("Вечером в деревне было тихо и только старый мельник сидел у окна читая письмо сына который давно уехал на север "
                "где строили новую железную дорогу через болота леса и горы а зимой там стояли такие морозы что птицы замерзали "
@@ -298,3 +321,22 @@ def test_pipeline(spark):
     import corpus_pipeline
     done = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert done.count() > 0 and done.where(F.size("ids") != F.col("n_tokens")).count() == 0
+
+
+def test_urls_of_one_hot_domain(spark):
+    """Most pages of one domain, more rules than a sweep has rows, and no pages at all."""
+    rng = random.Random(12)
+    schema = "page_id long, url string, host string, rev string, salt int"
+    urls = [f"http://{rng.choice(['a.', 'b.c.', ''])}Hot.com/{rng.choice('xyz')}/{rng.randint(0, 40)}" for _ in range(400)] + ["http://cold.org/x", None, "x"]
+    pages = spark.createDataFrame([(i, u, "h", "r", 1) for i, u in enumerate(urls)], schema)
+    listed = [("com", "/", "allow"), ("hot.com", "/x/", "block"), ("hot.com", "/x/1", "allow"), ("c.hot.com", "/", "block"),
+              ("com", "/y/2", "block"), *[("hot.com", f"/z/{i}", "block") for i in range(20)]]
+    rules = spark.createDataFrame(listed, "host string, path string, verdict string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_filter.judge_urls(pages, rules, sweep_rows=8).collect()}
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host, path = (rest.split("/", 1)[0].lower(), "/" + rest.split("/", 1)[1]) if "/" in rest else ("", "")
+        fits = [(len(h + p), h + p, v) for h, p, v in listed if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        want = max(fits)[1:] if fits else (None, url_filter.DEFAULT)
+        assert got[i] == want, (u, got[i], want)
+    assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
