@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -9,6 +10,7 @@ import numpy as np
 
 HIDDEN = 16
 STEPS = 20               # of a training window: gradients stop at its start
+LANES = 64               # documents that are read side by side in training
 SCORE_STEPS = 32         # of a scoring window
 RATE = 0.3
 CLIP = 5.0
@@ -163,27 +165,56 @@ class Trainer:
         self.layout = layout
         self.square = {k: np.full(v.shape, 0.1, np.float32) for k, v in p.items()}
 
-    def train(self, docs: list[np.ndarray]) -> None:
-        """One pass over documents, longest first, that go forward together."""
-        lengths = np.array([len(d) for d in docs])
-        order = np.argsort(-lengths, kind="stable")
-        docs, lengths = [docs[i] for i in order], lengths[order]
-        flat, first = np.concatenate(docs), np.cumsum(lengths) - lengths
-        last = np.zeros(len(docs), np.int64)          # the end token stands for a start
-        h = np.zeros((len(docs), self.p["u"].shape[0]), np.float32)
-        for begin in range(0, int(lengths[0]), STEPS):
-            live = [int(np.searchsorted(-lengths, -t, "left")) for t in range(begin, min(begin + STEPS, int(lengths[0])))]
-            target = np.concatenate([flat[first[:n] + begin + t] for t, n in enumerate(live)])
-            starts = np.cumsum([0, *live])
-            token = np.concatenate([last[:live[0]], *[target[starts[t]:starts[t] + n] for t, n in enumerate(live[1:])]])
-            last[:live[-1]] = target[starts[-2]:]
-            h = self._window(token, target, live, h[:live[0]])
-
-    def gradients(self, token, target, live, h) -> tuple[dict, np.ndarray, np.ndarray]:
+    def train(self, docs: Iterable[np.ndarray], lanes: int = LANES) -> int:
+        """One pass over documents (tokens with the end as last); returns their tokens.
+
+        ``lanes`` documents are read side by side.  Where one ends, the next one of the
+        stream follows in its lane, from a fresh state, so that every step has work for
+        all lanes until the stream is over, whatever the documents' lengths; only the
+        documents in the lanes are held."""
+        stream, total = iter(docs), 0
+        now: list = [np.zeros(0, np.int64)] * lanes       # what is left of each lane's document
+        last = np.zeros(lanes, np.int64)                  # the token before; the end stands for a start
+        h = np.zeros((lanes, self.p["u"].shape[0]), np.float32)
+        more = True
+        while True:
+            target = np.zeros((lanes, STEPS), np.int64)
+            fresh = np.zeros((lanes, STEPS), bool)
+            filled = np.zeros(lanes, np.int64)
+            for i in range(lanes):
+                while filled[i] < STEPS:
+                    if not len(now[i]):
+                        doc = next(stream, None) if more else None
+                        if doc is None:
+                            more = False
+                            break
+                        now[i] = doc
+                        fresh[i, filled[i]] = len(doc) > 0
+                    part = now[i][:STEPS - filled[i]]
+                    target[i, filled[i]:filled[i] + len(part)] = part
+                    now[i] = now[i][len(part):]
+                    filled[i] += len(part)
+            if not filled.any():
+                return total
+            total += int(filled.sum())
+            order = np.argsort(-filled, kind="stable")
+            order = order[filled[order] > 0]
+            live = [int((filled > t).sum()) for t in range(int(filled.max()))]
+            target, fresh = target[order], fresh[order]
+            token = np.concatenate([last[order][:, None], target[:, :-1]], axis=1)
+            token[fresh] = 0
+            flat = [np.concatenate([x[:n, t] for t, n in enumerate(live)]) for x in (token, target, fresh)]
+            state = self._window(flat[0], flat[1], live, h[order], flat[2])
+            last[order] = target[np.arange(len(order)), filled[order] - 1]
+            h[order] = state
+
+    def gradients(self, token, target, live, h, fresh=None) -> tuple[dict, np.ndarray, np.ndarray]:
         """Gradients of the window's loss (``in`` aside), those of the input rows of its
         tokens, and the state after it.  ``token`` and ``target`` are its steps one after
-        the other; step t has the first ``live[t]`` documents."""
+        the other; step t has the first ``live[t]`` lanes.  Where ``fresh`` is set, a
+        document begins: its state is zero and no gradient goes back beyond."""
         p, n = self.p, h.shape[1]
+        fresh = np.zeros(len(token), bool) if fresh is None else fresh
         ends = np.cumsum(live)
         steps = [slice(e - k, e) for e, k in zip(ends, live)]
         inputs = p["in"][token]
@@ -191,6 +222,7 @@ class Trainer:
         rz = np.empty((len(token), 2 * n), np.float32)
         h = h.copy()
         for s, k in zip(steps, live):
+            h[:k][fresh[s]] = 0
             before[s] = h[:k]
             new, (r, z, c[s], g[s]) = _step(p, inputs[s], h[:k])
             rz[s, :n], rz[s, n:] = r, z
@@ -220,13 +252,14 @@ class Trainer:
             np.multiply(dc[s], r[s], out=dg[s, 2 * n:])
             dh *= z[s]
             dh += dg[s] @ u
+            dh[fresh[s]] = 0
             back[:k] = dh
         grad["u"] = before.T @ dg
         dg[:, 2 * n:] = dc
         return grad, dg, h
 
-    def _window(self, token, target, live, h):
-        grad, change, h = self.gradients(token, target, live, h)
+    def _window(self, token, target, live, h, fresh):
+        grad, change, h = self.gradients(token, target, live, h, fresh)
         scale = 1.0 / live[0]
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) * scale
         scale *= min(1.0, CLIP / max(norm, 1e-9))

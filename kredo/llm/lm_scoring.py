@@ -25,7 +25,6 @@ WORD_BYTES = 64
 ROUNDS = 2
 SHARE = ROUNDS
 MEANS = 64               # groups of tasks whose parameters are averaged before those of all
-TRAIN_DOCS = 256         # documents that go forward together in training
 TOKENS_AT_ONCE = 1 << 22 # about, that go forward together in scoring
 DISTINCT_AT_ONCE = 200_000
 
@@ -133,17 +132,9 @@ def train(training: DataFrame, vocabulary, layout: gru.Layout, rounds: int = ROU
 
         def local(found):
             gru.one_thread()
-            voc, trainer, seen, waiting = vocabulary.value, gru.Trainer(start.value, layout), 0, []
-            for batch in found:
-                for low in range(0, len(batch), TRAIN_DOCS):
-                    waiting += [voc.read(x)[2] for x in batch.column(0).slice(low, TRAIN_DOCS).to_pylist()]
-                    if len(waiting) >= TRAIN_DOCS:
-                        seen += sum(map(len, waiting))
-                        trainer.train(waiting)
-                        waiting = []
-            if waiting:
-                seen += sum(map(len, waiting))
-                trainer.train(waiting)
+            voc, trainer = vocabulary.value, gru.Trainer(start.value, layout)
+            texts = (x for batch in found for low in range(0, len(batch), 256) for x in batch.column(0).slice(low, 256).to_pylist())
+            seen = trainer.train(voc.read(x)[2] for x in texts)
             if seen:
                 for name, value in trainer.p.items():
                     yield pa.RecordBatch.from_arrays(

@@ -93,3 +93,36 @@ def test_training_learns_and_holds_no_padding():
 def test_one_thread_can_be_called_anywhere():
     gru.one_thread()
     assert (np.ones((20, 20)) @ np.ones((20, 20)) == 20).all()
+
+
+def test_lanes_read_each_document_from_a_fresh_state():
+    """A window over two documents in one lane is one window over each, apart."""
+    p, docs = model(8), [d for d in texts(9, n=2, longest=8)]
+    trainer = object.__new__(gru.Trainer)
+    trainer.p, trainer.layout = p, LAYOUT
+    both = np.concatenate(docs)
+    token = np.concatenate([[0], both[:-1]])
+    fresh = np.zeros(len(both), bool)
+    fresh[[0, len(docs[0])]] = True
+    token[fresh] = 0
+    grad, change, _ = trainer.gradients(token, both, [1] * len(both), np.ones((1, 5)), fresh)
+    apart = [trainer.gradients(np.concatenate([[0], d[:-1]]).astype(int), d, [1] * len(d), np.zeros((1, 5))) for d in docs]
+    for k in grad:
+        assert grad[k] == pytest.approx(apart[0][0][k] + apart[1][0][k], rel=1e-4, abs=1e-5)
+    assert change == pytest.approx(np.concatenate([apart[0][1], apart[1][1]]), rel=1e-4, abs=1e-5)
+
+
+def test_every_token_is_trained_on_once():
+    docs = texts(10, n=150, longest=70)
+    p = {k: v.astype(np.float32) for k, v in model(11).items()}
+    seen = []
+
+    class Counting(gru.Trainer):
+        def _window(self, token, target, live, h, fresh):
+            seen.append(target)
+            assert len(target) == sum(live) and live == sorted(live, reverse=True) and live[0] <= 16
+            return super()._window(token, target, live, h, fresh)
+
+    assert Counting(p, LAYOUT).train(iter(docs), lanes=16) == sum(map(len, docs))
+    assert sorted(np.concatenate(seen).tolist()) == sorted(np.concatenate(docs).tolist())
+    assert Counting(p, LAYOUT).train(iter([])) == 0
