@@ -52,7 +52,8 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality rules", good), ("line dedup", without_lines), ("simhash near-dedup", one_of_each),
           ("mixing", mixed), ("bpe", encoded)]
 
-# SQL has no SimHash or BPE; the stages are tested against brute force.
+# SQL has no SimHash or BPE.  tests/llm hold the stages against brute force (quality rules,
+# SimHash, BPE), all pairs (line dedup: recall) and their targets (mixing).
 ORACLE_SQL = None
 
 
