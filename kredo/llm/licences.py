@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kredo.llm.scratch import Scratch
 from kredo.llm.text import row_keys, whole
 
 # Notices as their licences word them, by family.
@@ -71,7 +72,8 @@ PROSE = (
     "A pilot license takes many hours of flying to earn.",
 )
 NONE, OTHER = "none", "unknown"
-# A paragraph is looked at if a word in it begins with one of these terms.
+# A sampled paragraph with a word that begins with one of these terms is no example of
+# ordinary text.
 TERMS = (r"(?i)(?<![a-z])(?:(?:sub|re)?licen[cs]|copyright|copyleft|permission|permitted|warrant|redistribut|"
          r"rights reserved|public domain|spdx|creative commons|cc[ -]by|cc0|gnu\b|apache\b|mit\b|bsd\b|mozilla\b)|©")
 SAMPLE = 1000            # paragraphs, at most, that training takes from the table
@@ -92,8 +94,19 @@ class Classifier:
     templates: str       # SQL array of (family, word pairs) of the notices
 
 
+_MARKS = "".join(chr(i) for i in range(1, 128) if not (chr(i).isalnum() or chr(i) == "."))
+
+
 def tokens(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.regexp_replace(text, r"[^A-Za-z0-9©.]+|\.(?![0-9])", " ")), " +"), "")
+    """Lower-cased runs of letters and digits of ASCII, ©, and points before a digit.
+
+    Most text is ASCII with points at the ends of words, which is cut without a pattern."""
+    other = (F.octet_length(text) > F.char_length(text)) | text.contains("\x00")
+    spaced = F.concat(F.translate(text, _MARKS, " " * len(_MARKS)), F.lit(" "))
+    spaced = F.when(other, F.regexp_replace(spaced, r"[^\x01-\x7F©]+", " ")).otherwise(spaced)
+    cut = F.replace(spaced, F.lit(". "), F.lit(" "))
+    cut = F.when(cut.contains("."), F.regexp_replace(cut, r"\.(?![0-9])", " ")).otherwise(cut)
+    return F.array_remove(F.split(F.lower(cut), " "), "")
 
 
 # neighbouring words of ``w`` as one string each
@@ -175,15 +188,18 @@ def classified(paragraphs: DataFrame, classifier: Classifier, confident: float =
 
     The family is the most probable class.  A family below ``confident``, or of
     whose templates none shares ``similar`` of the smaller one's word pairs with the
-    paragraph, becomes ``unknown``."""
-    found = paragraphs.withColumn("_words", tokens(F.col("text"))).withColumn("grams", _grams("_words"))
+    paragraph, becomes ``unknown``; one without a token is ``none``."""
+    # a generator keeps filters on the family from working out what it rests on once more
+    found = paragraphs.select("*", F.explode(F.array(tokens(F.col("text")))).alias("_words")).withColumn("grams", _grams("_words"))
     found = classifier.model.transform(classifier.grams.transform(found)).withColumn("_raw", vector_to_array("rawPrediction"))
     best = "named_struct('probability', array_max(e) / s, 'place', CAST(array_position(e, array_max(e)) AS INT))"
-    found = found.withColumn("_best", _softmax("_raw", classifier.temperature, best))
-    found = found.withColumn("_class", F.element_at(F.array(*map(F.lit, classifier.classes)), F.col("_best.place")))
+    found = found.select("*", F.explode(F.array(_softmax("_raw", classifier.temperature, best))).alias("_best"))
+    found = found.withColumn("_class", F.when(F.size("_words") == 0, F.lit(NONE)).otherwise(
+        F.element_at(F.array(*map(F.lit, classifier.classes)), F.col("_best.place"))))
     shared = F.expr(f"""transform(array(named_struct('own', array_distinct(transform(array(_words), w -> {_PAIRS})[0]), 'class', _class)),
         z -> array_max(transform(filter({classifier.templates}, t -> t.family = z.class),
             t -> size(array_intersect(z.own, t.pairs)) / greatest(1, least(size(z.own), size(t.pairs))))))[0]""")
+    shared = F.when(~F.col("_class").isin(NONE, OTHER), shared)
     found = found.withColumn("similarity", F.coalesce(shared, F.lit(0.0))).withColumn("probability", F.col("_best.probability"))
     family = (F.when(F.col("_class").isin(NONE, OTHER), F.col("_class"))
               .when((F.col("probability") >= confident) & (F.col("similarity") >= similar), F.col("_class"))
@@ -212,13 +228,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Licences of documents as (documents, statements).
 
     ``statements``: row keys, id, paragraph number (from 0), text, family,
-    probability, similarity of each paragraph with a licence term that isn't prose.
+    probability, similarity of each paragraph that isn't prose.
     ``documents``: one row per input row: id, ``licences`` (sorted families, with
     ``unknown`` for statements of none), ``n_statements``, and the ``probability``
     of the surest one, null without any.
 
-    Paragraphs are the parts between line feeds.  Each piece of one is classified; it
-    has every family that is confirmed in a piece, so that each of two notices in a
+    Paragraphs are the parts between line feeds.  Every piece of every one is classified;
+    a paragraph has every family that is confirmed in a piece, so that each of two notices in a
     line counts, and is ``unknown`` if none is but a main piece is no prose.  Null and empty
     texts have none; rows with the same id and text get the same result; an empty
     table gives an empty one; other columns are not read."""
@@ -226,15 +242,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "id", *row_keys(F.col("id"), F.col("whole")), "whole")
     if classifier is None:
         classifier = train(base.select(F.explode(F.split("whole", "\n")).alias("text")))
-    paragraphs = (base.where(F.col("whole").rlike(TERMS))
-                  .select("k1", "k2", "id", F.posexplode(F.split("whole", "\n")).alias("no", "text"))
-                  .where(F.col("text").rlike(TERMS)))
-    pieces = (paragraphs.select("k1", "k2", "id", "no", F.inline(_pieces("text")))
-              .withColumnRenamed("piece", "text").where(F.col("text").rlike(TERMS)))
+    paragraphs = base.select("k1", "k2", "id", F.posexplode(F.split("whole", "\n")).alias("no", "text"))
+    pieces = paragraphs.select("k1", "k2", "id", "no", F.inline(_pieces("text"))).withColumnRenamed("piece", "text")
     named = ~F.col("family").isin(NONE, OTHER)
     found = classified(pieces, classifier).where(named | ((F.col("family") == OTHER) & F.col("main")))
-    best = (found.groupBy("k1", "k2", "id", "no", "family")
-            .agg(F.max(F.struct("probability", "similarity", "text")).alias("best")))
+    # read several times, but classified once
+    best = Scratch(docs.sparkSession, "licences").keep(
+        found.groupBy("k1", "k2", "id", "no", "family").agg(F.max(F.struct("probability", "similarity", "text")).alias("best")))
     confirmed = best.where(named).select("k1", "k2", "no").distinct()
     statements = (best.where(named).unionByName(best.where(~named).join(confirmed, ["k1", "k2", "no"], "left_anti"))
                   .select("k1", "k2", "id", "no", "best.text", "family", "best.probability", "best.similarity"))

@@ -242,6 +242,31 @@ def test_licences_of_two_notices_in_a_line(spark):
     assert got == {0: both, 1: both, 2: both, 3: ["apache"], 4: ["lgpl"]}
 
 
+def test_licences_in_paragraphs_without_a_licence_word(spark):
+    import re
+
+    notices = {0: "to deal in the Software without restriction, obtaining a copy of this software and associated documentation files",
+               1: "You should have received a copy of the GNUGeneral Public along with this program; you can use it under the terms "
+                  "as published by the Free Software Foundation, either version 3, or (at your option) any later version."}
+    term = re.compile(licences.TERMS[4:], re.IGNORECASE)
+    assert not any(term.search(x) for x in notices.values())
+    prose = "She walked along the river and came home late. The children were asleep by then."
+    texts = {**notices, 2: prose, 3: "", 4: "Она шла вдоль реки.", 5: f"{prose}\n{notices[0]}"}
+    classifier = licences.train(spark.createDataFrame([(prose,)], "text string"))      # not on the notices
+    rows, statements = licences.scan(docs(spark, [(i, t, "a") for i, t in texts.items()]), classifier=classifier)
+    got = {r["doc_id"]: list(r["licences"]) for r in rows.collect()}
+    assert got == {0: ["mit"], 1: ["gpl"], 2: [], 3: [], 4: [], 5: ["mit"]}
+    assert [r["no"] for r in statements.where("id = 5").collect()] == [1]
+
+
+def test_licence_tokens(spark):
+    texts = ["a.b 3.5 .5 e.g. x... end.", "©2020 CC-BY 4.0.", "a\x00b\x01c\td", "naïve Kelvin \u212a \u0130 日本.5 x😀y", ".", "", "..5. 6..", "A_B~c"]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    plain = F.array_remove(F.split(F.lower(F.regexp_replace("text", r"[^A-Za-z0-9©.]+|\.(?![0-9])", " ")), " +"), "")
+    for row in table.select("text", licences.tokens(F.col("text")).alias("got"), plain.alias("want")).collect():
+        assert row["got"] == row["want"], row["text"]
+
+
 def test_removal_goes_by_row_not_by_id(spark):
     rows = docs(spark, [(None, "A", "a"), (5, "A", "a"), (None, "B", "a")])
     assert sorted((str(r["doc_id"]), r["text"]) for r in exact_dedup.drop_exact_duplicates(rows).collect()) == [("5", "A"), ("None", "B")]
