@@ -25,6 +25,17 @@ def n_buckets(total_bytes: int, bucket_bytes: int = 128 << 20) -> int:
     return max(1, -(-total_bytes // bucket_bytes))
 
 
+def file_bytes(*tables: DataFrame) -> int:
+    """Size of the files that the tables are read from, counted for each table."""
+    spark, total = tables[0].sparkSession, 0
+    conf = spark._jsc.hadoopConfiguration()
+    for df in tables:
+        for name in df.inputFiles():
+            path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+            total += path.getFileSystem(conf).getFileStatus(path).getLen()
+    return total
+
+
 class BucketedTables:
     """Tables of one set, bucketed alike, under ``path`` and in the session's catalog."""
 

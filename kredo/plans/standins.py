@@ -50,9 +50,13 @@ SQL_PREVIOUS = f"""previous AS (
 
 
 # ---------------------------------------------------------------- instalments
-def installments(spark: SparkSession, d: str) -> DataFrame:
+def installments(spark: SparkSession, d: str, parts: int = 0) -> DataFrame:
+    """``parts``: partitions that both tables are dealt over for the join, if that is
+    more than the session's number."""
     li = table(spark, d, "lineitem")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    if parts > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        li, o = li.repartition(parts, "l_orderkey"), o.repartition(parts, "o_orderkey")
     j = li.join(o, li.l_orderkey == o.o_orderkey, "inner")
     return j.select(
         F.col("o_custkey").alias("SK_ID_CURR"),

@@ -13,7 +13,7 @@ from kredo.operators import archive as AR
 from kredo.operators import drift as D
 from kredo.operators import once as ON
 from kredo.operators.alert_store import AlertStore
-from kredo.operators.bucketed import BucketedTables
+from kredo.operators.bucketed import BucketedTables, file_bytes, n_buckets
 from kredo.operators import hourly as H
 from kredo.operators.reference import ReferenceProfile
 from kredo.plans import drift as DR
@@ -222,14 +222,22 @@ def q_page_by_offset(spark, d):
     return _series(spark, d).page(5000, 100, newest_first=True).select("place", "log_id", "timestamp")
 
 
+SOURCE_BYTES = 16 << 20   # of source files to a bucket; a task reads some ten times that, the tables being wider
+
+
 @register("merge_all_bucketed", FE.MERGE_ALL_SQL)
 def q_merge_all_bucketed(spark, d):
     """All side tables, bucketed by client, joined onto train and test
-    without an exchange."""
-    tables = BucketedTables(spark, os.path.join(work_dir(spark, "bucketed"), "tables"), buckets=8)
-    tables.write_main(*S.train_and_test(spark, d))
-    for kind, rows in (("bureau", S.bureau(spark, d)), ("previous", S.previous_applications(spark, d)), ("pos_cash", S.pos_cash(spark, d)),
-                       ("credit_card", S.credit_card(spark, d)), ("installments", S.installments(spark, d))):
+    without an exchange.  A task reads one bucket of every table, so the buckets grow in
+    number with the files that the tables come from, not in size."""
+    main = S.train_and_test(spark, d)
+    sides = {"bureau": S.bureau(spark, d), "previous": S.previous_applications(spark, d), "pos_cash": S.pos_cash(spark, d),
+             "credit_card": S.credit_card(spark, d), "installments": S.installments(spark, d)}
+    buckets = max(8, n_buckets(file_bytes(*main, *sides.values()), SOURCE_BYTES))
+    tables = BucketedTables(spark, os.path.join(work_dir(spark, "bucketed"), "tables"), buckets)
+    tables.write_main(*main)
+    sides["installments"] = S.installments(spark, d, buckets)
+    for kind, rows in sides.items():
         tables.write(kind, rows)
     return rounded(tables.merge_all())
 

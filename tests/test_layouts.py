@@ -3,6 +3,7 @@
 import datetime as dt
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from kredo.operators import once as ON
 from kredo.operators.alert_store import AlertStore
 from kredo.operators.alerts import EVENT_COLUMNS, alert_state
-from kredo.operators.bucketed import BucketedTables, n_buckets
+from kredo.operators.bucketed import BucketedTables, file_bytes, n_buckets
 from kredo.operators.joins import merge_tagged
 from kredo.plans import standins as S
 from kredo.sources.series import Series
@@ -98,6 +99,21 @@ def test_bucketed_merge_moves_no_rows(spark, tmp_path):
     assert n_buckets(1 << 40) == 8192 and n_buckets(5) == 1
 
 
+def test_buckets_grow_with_the_source_files(spark, monkeypatch):
+    from kredo.plans import tables as plans
+
+    li = S.bureau(spark, SF0001)
+    size = os.path.getsize(f"{SF0001}/lineitem.parquet")
+    assert file_bytes(li) == size and file_bytes(li, li) == 2 * size
+    few = plans.q_merge_all_bucketed(spark, SF0001)
+    assert "out of 8" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(plans, "SOURCE_BYTES", size // 4)
+    many = plans.q_merge_all_bucketed(spark, SF0001)
+    found = {int(n) for n in re.findall(r"SelectedBucketsCount: \d+ out of (\d+)", many._jdf.queryExecution().executedPlan().toString())}
+    assert len(found) == 1 and 12 <= min(found) <= 40      # lineitem is read three times
+    assert rows(few, "SK_ID_CURR", "split") == rows(many, "SK_ID_CURR", "split")
+
+
 def requests(spark, rows_):
     return spark.createDataFrame([(k, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), p) for k, h, p in rows_],
                                  "request_id long, delivered_at timestamp_ntz, payload string")
