@@ -189,18 +189,19 @@ def classified(paragraphs: DataFrame, classifier: Classifier, confident: float =
     The family is the most probable class.  A family below ``confident``, or of
     whose templates none shares ``similar`` of the smaller one's word pairs with the
     paragraph, becomes ``unknown``; one without a token is ``none``."""
+    found = paragraphs.withColumn("_words", tokens(F.col("text"))).withColumn("grams", _grams("_words"))
+    found = classifier.model.transform(classifier.grams.transform(found))
     # a generator keeps filters on the family from working out what it rests on once more
-    found = paragraphs.select("*", F.explode(F.array(tokens(F.col("text")))).alias("_words")).withColumn("grams", _grams("_words"))
-    found = classifier.model.transform(classifier.grams.transform(found)).withColumn("_raw", vector_to_array("rawPrediction"))
-    best = "named_struct('probability', array_max(e) / s, 'place', CAST(array_position(e, array_max(e)) AS INT))"
-    found = found.select("*", F.explode(F.array(_softmax("_raw", classifier.temperature, best))).alias("_best"))
+    found = found.select(*paragraphs.columns, "_words", F.explode(F.array(vector_to_array("rawPrediction"))).alias("_raw"))
+    place = F.array_position("_raw", F.array_max("_raw")).cast("int")
     found = found.withColumn("_class", F.when(F.size("_words") == 0, F.lit(NONE)).otherwise(
-        F.element_at(F.array(*map(F.lit, classifier.classes)), F.col("_best.place"))))
+        F.element_at(F.array(*map(F.lit, classifier.classes)), place)))
     shared = F.expr(f"""transform(array(named_struct('own', array_distinct(transform(array(_words), w -> {_PAIRS})[0]), 'class', _class)),
         z -> array_max(transform(filter({classifier.templates}, t -> t.family = z.class),
             t -> size(array_intersect(z.own, t.pairs)) / greatest(1, least(size(z.own), size(t.pairs))))))[0]""")
     shared = F.when(~F.col("_class").isin(NONE, OTHER), shared)
-    found = found.withColumn("similarity", F.coalesce(shared, F.lit(0.0))).withColumn("probability", F.col("_best.probability"))
+    found = found.withColumn("similarity", F.coalesce(shared, F.lit(0.0))).withColumn(
+        "probability", _softmax("_raw", classifier.temperature, "array_max(e) / s"))
     family = (F.when(F.col("_class").isin(NONE, OTHER), F.col("_class"))
               .when((F.col("probability") >= confident) & (F.col("similarity") >= similar), F.col("_class"))
               .otherwise(OTHER))
@@ -217,8 +218,9 @@ def _pieces(text: str, window: int = WINDOW) -> Column:
         transform(sequence(0, greatest(0, (size(w) - {window} + {half} - 1) div {half})),
             i -> array_join(slice(w, 1 + i * {half}, {window}), ' ')))[0]""")
     main = F.when(F.size(words) <= window, F.array(text)).otherwise(windows)
-    sentences = F.split(text, SENTENCE_END)
-    minor = F.array_except(F.concat(sentences, F.flatten(F.transform(sentences, lambda x: F.split(x, ALTERNATIVE)))), F.array(text))
+    # bound to a name, so that they are worked out once
+    minor = F.array_except(F.flatten(F.transform(F.array(F.split(text, SENTENCE_END)), lambda s: F.concat(
+        s, F.flatten(F.transform(s, lambda x: F.split(x, ALTERNATIVE)))))), F.array(text))
     return F.concat(F.transform(main, lambda x: F.struct(F.lit(True).alias("main"), x.alias("piece"))),
                     F.transform(minor, lambda x: F.struct(F.lit(False).alias("main"), x.alias("piece"))))
 
