@@ -35,10 +35,10 @@ def _lines(raw: DataFrame, depth: int, min_share: float) -> DataFrame:
     Only a line with two literal words, which are at least half of its tokens, is
     masked; ``exact`` is the unmasked line where that differs.  ``leaf`` is null for
     lines that are too short to differ in a token."""
-    numbered = F.col("raw").rlike("[0-9]")
+    raw, numbered = raw.withColumn("numbered", F.col("raw").rlike("[0-9]")), F.col("numbered")
     masked = F.when(numbered, F.regexp_replace("raw", NUMBERED, "<*>")).otherwise(F.col("raw"))
     # most tokens begin with a letter, which is told without a pattern
-    literals = F.size(F.filter("tokens", lambda t: ((t >= "A") & (t < "[")) | ((t >= "a") & (t < "{")) | t.rlike(r"\p{L}")))
+    literals = F.size(F.filter("tokens", lambda t: ((t >= "a") & (t < "{")) | ((t >= "A") & (t < "[")) | t.rlike(r"\p{L}")))
     wordy = (F.col("literals") >= 2) & (2 * F.col("literals") >= F.size("tokens"))
     whole_line = F.xxhash64(F.array_remove(F.split("raw", " "), ""))
     return (raw.withColumn("tokens", F.array_remove(F.split(masked, " "), ""))
