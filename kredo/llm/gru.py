@@ -12,6 +12,8 @@ HIDDEN = 16
 STEPS = 20               # of a training window: gradients stop at its start
 LANES = 64               # documents that are read side by side in training
 SCORE_STEPS = 32         # of a scoring window
+SIDE_BY_SIDE = 1 << 10   # documents that go forward together in scoring: their states stay in the cache
+OUTPUTS = 1 << 11        # and tokens whose outputs are worked out together
 RATE = 0.3
 CLIP = 5.0
 
@@ -73,87 +75,124 @@ def initial(layout: Layout, weight: np.ndarray, hidden: int = HIDDEN) -> dict[st
 
 
 def _sigmoid(x):
-    x = np.clip(x, -30, 30)
+    """The logistic function, in the place of ``x``."""
+    np.maximum(x, -30, out=x)
+    np.minimum(x, 30, out=x)
     np.negative(x, out=x)
     np.exp(x, out=x)
     x += 1
     return np.reciprocal(x, out=x)
 
 
-def _step(p, a, h):
-    """The state after ``h`` on input rows ``a``, and what the way back needs of it."""
+def _step(inputs, g, h, rz, c):
+    """The state after ``h``, from input rows and ``g``, the products of ``h``; the gates
+    and the candidate are left in ``rz`` and ``c``, which the way back needs."""
     n = h.shape[1]
-    g = h @ p["u"]
-    gates = _sigmoid(a[:, :2 * n] + g[:, :2 * n])
-    r, z = gates[:, :n], gates[:, n:]
-    c = np.tanh(a[:, 2 * n:] + r * g[:, 2 * n:])
-    return c + z * (h - c), (r, z, c, g[:, 2 * n:])
+    np.add(inputs[:, :2 * n], g[:, :2 * n], out=rz)
+    _sigmoid(rz)
+    np.multiply(rz[:, :n], g[:, 2 * n:], out=c)
+    c += inputs[:, 2 * n:]
+    np.tanh(c, out=c)
+    h = h - c
+    h *= rz[:, n:]
+    h += c
+    return h
 
 
-def _log_softmax(x):
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _row_max(x):
+    # halves against each other, while they are wide, take less time than a row after the other
+    while x.shape[1] >= 16 and x.shape[1] % 2 == 0:
+        half = x.shape[1] // 2
+        x = np.maximum(x[:, :half], x[:, half:])
+    return x.max(axis=1, keepdims=True)
 
 
 def _softmax(x):
-    x -= x.max(axis=1, keepdims=True)
+    """The softmax of each row, in the place of ``x``."""
+    x -= _row_max(x)
     np.exp(x, out=x)
     x /= x.sum(axis=1, keepdims=True)
     return x
 
 
+def _log_softmax_at(x, place):
+    """Natural log of each row's softmax at its place; ``x`` is used up."""
+    x -= _row_max(x)
+    at = x[np.arange(len(x)), place]
+    np.exp(x, out=x)
+    return at - np.log(x.sum(axis=1))
+
+
+def _order(of, below: int):
+    """Places by value, equal ones as they come; short integers are sorted by radix."""
+    return np.argsort(of.astype(np.uint16) if below <= 1 << 16 else of, kind="stable")
+
+
 def _by_class(layout: Layout, target):
-    """(class, places of the targets in it) for head targets."""
-    order = np.argsort(target, kind="stable")
-    cut = np.searchsorted(target[order], np.arange(layout.classes + 1) * layout.size)
-    for k in range(layout.classes):
-        if cut[k] < cut[k + 1]:
-            yield k, order[cut[k]:cut[k + 1]]
+    """Places of the head targets by class, and (class, its part of them)."""
+    order = _order(target, layout.inputs)
+    cut = np.searchsorted(target[order], np.arange(layout.classes + 1) * layout.size).tolist()
+    return order[:cut[-1]], [(k, slice(cut[k], cut[k + 1])) for k in range(layout.classes) if cut[k] < cut[k + 1]]
+
+
+def _inner(p, layout: Layout, h, parts):
+    """Logits of the words in each state's class, for states by class."""
+    x = np.empty((len(h), layout.size), np.result_type(h, p["ww"]))
+    for k, part in parts:
+        np.matmul(h[part], p["ww"][k], out=x[part])
+        x[part] += p["wb"][k]
+    return x
 
 
 def log_probs(p, layout: Layout, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of class times word in class for each target after state h."""
-    kind = layout.class_of(target)
-    out = _log_softmax(h @ p["cw"] + p["cb"])[np.arange(len(target)), kind]
-    for k, at in _by_class(layout, target):
-        inner = _log_softmax(h[at] @ p["ww"][k] + p["wb"][k])
-        out[at] += inner[np.arange(len(at)), target[at] - k * layout.size]
+    x = h @ p["cw"]
+    x += p["cb"]
+    out = _log_softmax_at(x, layout.class_of(target))
+    order, parts = _by_class(layout, target)
+    out[order] += _log_softmax_at(_inner(p, layout, h[order], parts), target[order] % layout.size)
     return out
 
 
 def score(p, layout: Layout, docs: list[np.ndarray]) -> np.ndarray:
     """Natural log-likelihood of each document (tokens with the end as last).
 
-    All documents go forward together, longest first, so that at each step the ones
-    that go on are the first rows.  The state goes on from window to window, so
+    Documents of like length go forward together, longest first, so that at each step the
+    ones that go on are the first rows.  The state goes on from window to window, so
     nothing of a document is left out; outputs are worked out a window at a time."""
+    out = np.zeros(len(docs))
+    order = np.argsort(-np.array([len(d) for d in docs], np.int64), kind="stable")
+    for low in range(0, len(docs), SIDE_BY_SIDE):
+        part = order[low:low + SIDE_BY_SIDE]
+        out[part] = _forward(p, layout, [docs[i] for i in part])
+    return out
+
+
+def _forward(p, layout: Layout, docs: list[np.ndarray]) -> np.ndarray:
+    """``score`` of documents that are ordered by length, longest first."""
     lengths = np.array([len(d) for d in docs])
-    order = np.argsort(-lengths, kind="stable")
-    lengths = lengths[order]
     total = np.zeros(len(docs))
-    if not len(docs):
-        return total
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    tokens = np.concatenate([docs[i] for i in order])
-    h = np.zeros((len(docs), p["u"].shape[0]), np.float32)
+    tokens = np.concatenate(docs)
+    hidden = p["u"].shape[0]
+    h = np.zeros((len(docs), hidden), np.float32)
+    rz, c = np.empty((len(docs), 2 * hidden), np.float32), np.empty((len(docs), hidden), np.float32)
     last = np.zeros(len(docs), np.int64)          # the end token stands for a start
     for begin in range(0, int(lengths[0]), SCORE_STEPS):
         states, targets, rows = [], [], []
         for t in range(begin, min(begin + SCORE_STEPS, int(lengths[0]))):
             n = int(np.searchsorted(-lengths, -t, "left"))      # documents of more than t tokens
             h = h[:n]
-            h, _ = _step(p, p["in"][last[:n]], h)
+            h = _step(p["in"].take(last[:n], axis=0), h @ p["u"], h, rz[:n], c[:n])
             last = tokens[first[:n] + t]
             states.append(h)
             targets.append(last)
             rows.append(np.arange(n))
         h_all, t_all, r_all = np.concatenate(states), np.concatenate(targets), np.concatenate(rows)
-        for low in range(0, len(t_all), 1 << 16):
-            part = slice(low, low + (1 << 16))
+        for low in range(0, len(t_all), OUTPUTS):
+            part = slice(low, low + OUTPUTS)
             total += np.bincount(r_all[part], log_probs(p, layout, h_all[part], t_all[part]).astype(float), len(docs))
-    out = np.zeros(len(docs))
-    out[order] = total
-    return out
+    return total
 
 
 class Trainer:
@@ -181,29 +220,32 @@ class Trainer:
             target = np.zeros((lanes, STEPS), np.int64)
             fresh = np.zeros((lanes, STEPS), bool)
             filled = np.zeros(lanes, np.int64)
-            for i in range(lanes):
-                while filled[i] < STEPS:
-                    if not len(now[i]):
+            for i, rest in enumerate(now):
+                have = 0
+                while have < STEPS:
+                    if not len(rest):
                         doc = next(stream, None) if more else None
                         if doc is None:
                             more = False
                             break
-                        now[i] = doc
-                        fresh[i, filled[i]] = len(doc) > 0
-                    part = now[i][:STEPS - filled[i]]
-                    target[i, filled[i]:filled[i] + len(part)] = part
-                    now[i] = now[i][len(part):]
-                    filled[i] += len(part)
+                        rest = doc
+                        fresh[i, have] = len(doc) > 0
+                    part = rest[:STEPS - have]
+                    target[i, have:have + len(part)] = part
+                    rest = rest[len(part):]
+                    have += len(part)
+                now[i], filled[i] = rest, have
             if not filled.any():
                 return total
             total += int(filled.sum())
             order = np.argsort(-filled, kind="stable")
             order = order[filled[order] > 0]
-            live = [int((filled > t).sum()) for t in range(int(filled.max()))]
+            inside = np.arange(int(filled.max()))[:, None] < filled[order]
+            live = inside.sum(axis=1).tolist()
             target, fresh = target[order], fresh[order]
             token = np.concatenate([last[order][:, None], target[:, :-1]], axis=1)
             token[fresh] = 0
-            flat = [np.concatenate([x[:n, t] for t, n in enumerate(live)]) for x in (token, target, fresh)]
+            flat = [x.T[:len(live)][inside] for x in (token, target, fresh)]
             state = self._window(flat[0], flat[1], live, h[order], flat[2])
             last[order] = target[np.arange(len(order)), filled[order] - 1]
             h[order] = state
@@ -215,36 +257,45 @@ class Trainer:
         document begins: its state is zero and no gradient goes back beyond."""
         p, n = self.p, h.shape[1]
         fresh = np.zeros(len(token), bool) if fresh is None else fresh
-        ends = np.cumsum(live)
+        ends = np.cumsum(live).tolist()
         steps = [slice(e - k, e) for e, k in zip(ends, live)]
-        inputs = p["in"][token]
-        before, out, c, g = (np.empty((len(token), n), np.float32) for _ in range(4))
-        rz = np.empty((len(token), 2 * n), np.float32)
-        h = h.copy()
-        for s, k in zip(steps, live):
-            h[:k][fresh[s]] = 0
+        begins = [bool(fresh[s].any()) for s in steps]
+        inputs = p["in"].take(token, axis=0)
+        before, out, c = (np.empty((len(token), n), np.float32) for _ in range(3))
+        rz, g = np.empty((len(token), 2 * n), np.float32), np.empty((len(token), 3 * n), np.float32)
+        h = h.astype(np.float32)
+        for s, k, begin in zip(steps, live, begins):
+            if begin:
+                h[:k][fresh[s]] = 0
             before[s] = h[:k]
-            new, (r, z, c[s], g[s]) = _step(p, inputs[s], h[:k])
-            rz[s, :n], rz[s, n:] = r, z
-            out[s] = h[:k] = new
-        grad = {k: np.zeros_like(v) for k, v in p.items() if k in ("ww", "wb")}
-        d = _softmax(out @ p["cw"] + p["cb"])
+            np.matmul(before[s], p["u"], out=g[s])
+            out[s] = h[:k] = _step(inputs[s], g[s], before[s], rz[s], c[s])
+        g = g[:, 2 * n:]
+        d = out @ p["cw"]
+        d += p["cb"]
+        _softmax(d)
         d[np.arange(len(target)), self.layout.class_of(target)] -= 1
+        grad = {k: np.zeros_like(v) for k, v in p.items() if k in ("ww", "wb")}
         grad["cw"], grad["cb"] = out.T @ d, d.sum(axis=0)
         dh_all = d @ p["cw"].T
-        for k, at in _by_class(self.layout, target):
-            here = out[at]
-            d = _softmax(here @ p["ww"][k] + p["wb"][k])
-            d[np.arange(len(at)), target[at] - k * self.layout.size] -= 1
-            grad["ww"][k], grad["wb"][k] = here.T @ d, d.sum(axis=0)
-            dh_all[at] += d @ p["ww"][k].T
+        order, parts = _by_class(self.layout, target)
+        here = out[order]
+        d = _inner(p, self.layout, here, parts)
+        _softmax(d)
+        d[np.arange(len(order)), target[order] % self.layout.size] -= 1
+        back = np.empty((len(order), n), dh_all.dtype)
+        for k, part in parts:
+            np.matmul(here[part].T, d[part], out=grad["ww"][k])
+            d[part].sum(axis=0, out=grad["wb"][k])
+            np.matmul(d[part], p["ww"][k].T, out=back[part])
+        dh_all[order] += back
         # what each gate passes back, for all steps at once
         r, z = rz[:, :n], rz[:, n:]
         to_c, to_z, to_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), g * r * (1 - r)
         back = np.zeros((len(h), n), np.float32)
         dg, dc = np.empty((len(token), 3 * n), np.float32), np.empty((len(token), n), np.float32)
         u = p["u"].T.copy()
-        for s, k in zip(reversed(steps), reversed(live)):
+        for s, k, begin in zip(reversed(steps), reversed(live), reversed(begins)):
             dh = dh_all[s] + back[:k]
             np.multiply(dh, to_c[s], out=dc[s])
             np.multiply(dc[s], to_r[s], out=dg[s, :n])
@@ -252,7 +303,8 @@ class Trainer:
             np.multiply(dc[s], r[s], out=dg[s, 2 * n:])
             dh *= z[s]
             dh += dg[s] @ u
-            dh[fresh[s]] = 0
+            if begin:
+                dh[fresh[s]] = 0
             back[:k] = dh
         grad["u"] = before.T @ dg
         dg[:, 2 * n:] = dc
@@ -263,14 +315,22 @@ class Trainer:
         scale = 1.0 / live[0]
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) * scale
         scale *= min(1.0, CLIP / max(norm, 1e-9))
+        # a class without a target has no gradient
+        seen = np.unique(target[target < self.layout.head] // self.layout.size)
+        seen = slice(None) if 2 * len(seen) > self.layout.classes else seen
         for k, g in grad.items():
-            self._move(k, slice(None), g * scale)
-        order = np.argsort(token, kind="stable")
+            at = seen if k in ("ww", "wb") else slice(None)
+            self._move(k, at, g[at] * scale)
+        order = _order(token, self.layout.inputs)
         token = token[order]
         begins = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        self._move("in", token[begins], np.add.reduceat(change[order], begins, axis=0) * scale)
+        self._move("in", token[begins], np.add.reduceat(change.take(order, axis=0), begins, axis=0) * scale)
         return h
 
     def _move(self, k, at, g):
-        self.square[k][at] += g * g
-        self.p[k][at] -= RATE * g / np.sqrt(self.square[k][at])
+        square = self.square[k][at]
+        square += g * g
+        self.square[k][at] = square
+        g *= RATE
+        g /= np.sqrt(square)
+        self.p[k][at] -= g

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -94,11 +95,10 @@ class Vocabulary:
     def read(self, text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
         """Words, their ranks, and the tokens of the model with the end as last."""
         words = _words(text)
-        get = self.rank.get
-        ranks = np.fromiter((get(w, 0) for w in words), np.int32, len(words))
+        ranks = np.fromiter(map(self.rank.get, words, repeat(0)), np.int32, len(words))
         tokens = np.append(self.token[ranks], 0)
-        for i in np.flatnonzero(ranks == 0):
-            tokens[i] = self.layout.head + bin_of(words[i], self.layout.bins)
+        new = np.flatnonzero(ranks == 0)
+        tokens[new] = [self.layout.head + bin_of(words[i], self.layout.bins) for i in new.tolist()]
         return words, ranks, tokens
 
 
@@ -225,7 +225,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     rest = tokens[:-1][~voc.head[ranks]] - layout.head
                     fixed.append(float(log_c[~voc.head[ranks]].sum()) - float(voc.log_bin[rest].sum()))
                     waiting += len(tokens)
-                    for word, n in Counter(words[j] for j in np.flatnonzero(ranks == 0)).items():
+                    for word, n in Counter(words[j] for j in np.flatnonzero(ranks == 0).tolist()).items():
                         rare_words.append(word.decode())
                         rare_n.append(n)
                         rare_of.append(low + i)

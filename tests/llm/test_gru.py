@@ -126,3 +126,34 @@ def test_every_token_is_trained_on_once():
     assert Counting(p, LAYOUT).train(iter(docs), lanes=16) == sum(map(len, docs))
     assert sorted(np.concatenate(seen).tolist()) == sorted(np.concatenate(docs).tolist())
     assert Counting(p, LAYOUT).train(iter([])) == 0
+
+
+def test_documents_are_scored_alike_in_any_company(monkeypatch):
+    p = {k: v.astype(np.float32) for k, v in model(12).items()}
+    docs = texts(13, n=40)
+    together = gru.score(p, LAYOUT, docs)
+    monkeypatch.setattr(gru, "SIDE_BY_SIDE", 7)
+    monkeypatch.setattr(gru, "OUTPUTS", 5)
+    assert gru.score(p, LAYOUT, docs) == pytest.approx(together, rel=1e-5)
+    assert together == pytest.approx([plain(p, d) for d in docs], rel=1e-4)
+
+
+def test_a_window_moves_what_has_a_gradient_and_nothing_else(monkeypatch):
+    """One window of a few classes against Adagrad written out over all parameters."""
+    layout = gru.Layout(classes=8, size=4, bins=2)
+    p = gru.initial(layout, np.arange(1, layout.inputs + 1, dtype=float), 5)
+    trainer = gru.Trainer(p, layout)
+    doc = np.array([1, 2, 9, 33, 8, 1, 0])               # head words of classes 0 and 2, and a bin
+    token = np.concatenate([[0], doc[:-1]])
+    grad, change, _ = trainer.gradients(token, doc, [1] * len(doc), np.zeros((1, 5)))
+    grad["in"] = np.zeros_like(p["in"])
+    np.add.at(grad["in"], token, change)
+    norm = np.sqrt(sum(float((g * g).sum()) for k, g in grad.items() if k != "in"))
+    moved = []
+    move = gru.Trainer._move
+    monkeypatch.setattr(gru.Trainer, "_move", lambda self, k, at, g: (moved.append((k, len(g))), move(self, k, at, g)))
+    trainer._window(token, doc, [1] * len(doc), np.zeros((1, 5)), np.zeros(len(doc), bool))
+    for k, g in grad.items():
+        g = g * min(1.0, gru.CLIP / norm)
+        assert trainer.p[k] == pytest.approx(p[k] - gru.RATE * g / np.sqrt(0.1 + g * g), rel=1e-4, abs=1e-6), k
+    assert dict(moved)["ww"] == 2 and dict(moved)["wb"] == 2
