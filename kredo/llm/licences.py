@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -82,6 +83,7 @@ SIMILAR = 0.5            # share of the smaller one's word pairs that a template
 WINDOW = 60              # words of a longer paragraph that are classified together; windows overlap by half
 SENTENCE_END = r"(?<=[.;!?])\s+(?=[A-Z©])"
 ALTERNATIVE = r"(?i)(?:\s+|(?<=/))(?:or|and)(?:/or)?\s+"     # between the licences of a dual notice
+ROUNDING = 1e-6          # far above the rounding of a sum of the classifier's weights
 TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8)
 
 
@@ -225,6 +227,27 @@ def _pieces(text: str, window: int = WINDOW) -> Column:
                     F.transform(minor, lambda x: F.struct(F.lit(False).alias("main"), x.alias("piece"))))
 
 
+def _open(paragraphs: DataFrame, classifier: Classifier) -> DataFrame:
+    """The paragraphs (text) in which the classifier may find a piece that is no prose.
+
+    It goes over all words and word pairs of every paragraph.  A piece's are among those of
+    its paragraph, as pieces are cut at white space and after a slash, where tokens end.  So
+    no class is further ahead of ``none`` in a piece than by the greatest lead of an intercept
+    and, for each word and pair of the whole paragraph, the greatest lead of its weights, where
+    that is above 0.  If this is below 0, all pieces are ``none`` to the classifier."""
+    none = classifier.classes.index(NONE)
+    weights, intercepts = classifier.model.coefficientMatrix.toArray(), classifier.model.interceptVector.toArray()
+    leads = (weights - weights[none]).max(axis=0)            # at least 0, that of none itself
+    start = np.delete(intercepts - intercepts[none], none).max()
+    table = ", ".join(f"{x!r}D" for x in leads.tolist())
+    found = paragraphs.withColumn("_words", tokens(F.col("text"))).withColumn("grams", _grams("_words"))
+    found = classifier.grams.transform(found).withColumn("_at", F.unwrap_udt("features")["indices"])
+    most = F.expr(f"aggregate(_at, {float(start)!r}D, (a, i) -> a + element_at(array({table}), i + 1))")
+    # a generator keeps the filter from working out the words once more
+    return found.select(*paragraphs.columns, F.explode(F.array(most)).alias("_most")) \
+        .where(F.col("_most").isNull() | (F.col("_most") > -ROUNDING)).drop("_most")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
          classifier: Classifier | None = None) -> tuple[DataFrame, DataFrame]:
     """Licences of documents as (documents, statements).
@@ -235,7 +258,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``unknown`` for statements of none), ``n_statements``, and the ``probability``
     of the surest one, null without any.
 
-    Paragraphs are the parts between line feeds.  Every piece of every one is classified;
+    Paragraphs are the parts between line feeds.  Every one is classified, by its pieces
+    unless the whole shows that all of them are prose (``_open``);
     a paragraph has every family that is confirmed in a piece, so that each of two notices in a
     line counts, and is ``unknown`` if none is but a main piece is no prose.  Null and empty
     texts have none; rows with the same id and text get the same result; an empty
@@ -245,7 +269,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if classifier is None:
         classifier = train(base.select(F.explode(F.split("whole", "\n")).alias("text")))
     paragraphs = base.select("k1", "k2", "id", F.posexplode(F.split("whole", "\n")).alias("no", "text"))
-    pieces = paragraphs.select("k1", "k2", "id", "no", F.inline(_pieces("text"))).withColumnRenamed("piece", "text")
+    pieces = _open(paragraphs, classifier).select("k1", "k2", "id", "no", F.inline(_pieces("text"))).withColumnRenamed("piece", "text")
     named = ~F.col("family").isin(NONE, OTHER)
     found = classified(pieces, classifier).where(named | ((F.col("family") == OTHER) & F.col("main")))
     # read several times, but classified once

@@ -259,6 +259,28 @@ def test_licences_in_paragraphs_without_a_licence_word(spark):
     assert [r["no"] for r in statements.where("id = 5").collect()] == [1]
 
 
+def test_paragraphs_that_are_left_whole_have_no_piece_but_prose(spark):
+    """Notices in all manner of company: what the bound leaves out holds prose alone, piece by
+    piece, and most ordinary paragraphs are left out."""
+    rng = random.Random(21)
+    notices = [x for _, x in licences.TEMPLATES] + list(licences.UNKNOWN) + list(licences.PROSE)
+    words = sorted({w for x in notices for w in x.split()} | {"river", "e.g.", "3.5", "naïve", "日本", "and/or", "x/or", "a\x00b"})
+    ordinary = [prose(rng.randint(1, 300), i) for i in range(60)]
+    odd = ["", " ", ".", "or", "©", "Version 2.0", "BY 4.0/or CC BY-SA 4.0 and MIT."]
+    for _ in range(150):
+        parts = [" ".join(rng.choices(words, k=rng.randint(1, 40))), rng.choice(notices), rng.choice(ordinary)]
+        joint = rng.choice([" ", ". ", " or ", "/or ", " and/or ", "\t", ".\u00a0", "/"])
+        odd.append(joint.join(rng.sample(parts, rng.randint(1, 3))))
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(ordinary + odd)], "no int, text string").cache()
+    classifier = licences.train(table.select("text"))
+    kept = {r["no"] for r in licences._open(table, classifier).collect()}
+    pieces = table.select("no", F.inline(licences._pieces("text"))).withColumnRenamed("piece", "text")
+    statements = {r["no"] for r in licences.classified(pieces, classifier).where(F.col("family") != licences.NONE).collect()}
+    assert statements and statements <= kept
+    assert sum(i in kept for i in range(len(ordinary))) < len(ordinary) / 2
+    table.unpersist()
+
+
 def test_licence_tokens(spark):
     texts = ["a.b 3.5 .5 e.g. x... end.", "©2020 CC-BY 4.0.", "a\x00b\x01c\td", "naïve Kelvin \u212a \u0130 日本.5 x😀y", ".", "", "..5. 6..", "A_B~c"]
     table = spark.createDataFrame([(t,) for t in texts], "text string")
