@@ -38,6 +38,21 @@ def one_thread() -> None:
                 getattr(library, name)(1)
 
 
+@lru_cache(maxsize=1)
+def keep_memory() -> None:
+    """Let the allocator keep up to 64 MB that numpy gives back.  Otherwise each window's
+    arrays go back to the system and are mapped, page by page, for the next one: a fifth
+    of a window's time.  Where the C library has no such setting nothing changes."""
+    import ctypes
+
+    try:
+        mallopt = ctypes.CDLL(None).mallopt
+    except (OSError, AttributeError):
+        return
+    mallopt(-3, 32 << 20)         # M_MMAP_THRESHOLD
+    mallopt(-1, 64 << 20)         # M_TRIM_THRESHOLD
+
+
 @dataclass(frozen=True)
 class Layout:
     """Outputs: ``classes`` classes of ``size`` head words each, then ``bins`` bins of
@@ -74,53 +89,62 @@ def initial(layout: Layout, weight: np.ndarray, hidden: int = HIDDEN) -> dict[st
             "wb": np.log(words / words.sum(axis=1, keepdims=True)).astype(np.float32)}
 
 
-def _sigmoid(x):
-    """The logistic function, in the place of ``x``."""
-    np.maximum(x, -30, out=x)
-    np.minimum(x, 30, out=x)
-    np.negative(x, out=x)
-    np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+_ONE, _LIMIT = np.array(1, np.float32), np.array(30, np.float32)
 
 
-def _step(inputs, g, h, rz, c):
-    """The state after ``h``, from input rows and ``g``, the products of ``h``; the gates
-    and the candidate are left in ``rz`` and ``c``, which the way back needs."""
-    n = h.shape[1]
-    np.add(inputs[:, :2 * n], g[:, :2 * n], out=rz)
-    _sigmoid(rz)
-    np.multiply(rz[:, :n], g[:, 2 * n:], out=c)
-    c += inputs[:, 2 * n:]
-    np.tanh(c, out=c)
-    h = h - c
-    h *= rz[:, n:]
-    h += c
-    return h
+def _gates_negated(x, hidden: int):
+    """``x``, rows of gates and candidate, with the gates' rows negated: the logistic function
+    needs them so, and a sign costs nothing here."""
+    np.negative(x[:2 * hidden], out=x[:2 * hidden])
+    return x
 
 
-def _row_max(x):
-    # halves against each other, while they are wide, take less time than a row after the other
-    while x.shape[1] >= 16 and x.shape[1] % 2 == 0:
-        half = x.shape[1] // 2
-        x = np.maximum(x[:, :half], x[:, half:])
-    return x.max(axis=1, keepdims=True)
+def _step(gates, candidate, g, h, rz, r, z, c, out):
+    """Write the state after ``h`` to ``out``, a column for each lane, from the input's gates
+    (negated) and candidate and ``g``, the products of ``h``; the gates and the candidate are
+    left in ``rz``, whose parts are ``r`` and ``z``, and ``c``, which the way back needs.
+
+    On arrays this small a call costs more than its arithmetic: nothing is sliced or
+    allocated here, and every array is whole."""
+    n = len(gates)
+    np.add(gates, g[:n], rz)
+    np.minimum(rz, _LIMIT, rz)
+    np.exp(rz, rz)
+    np.add(rz, _ONE, rz)
+    np.reciprocal(rz, rz)
+    np.multiply(r, g[n:], c)
+    np.add(c, candidate, c)
+    np.tanh(c, c)
+    np.subtract(h, c, out)
+    np.multiply(out, z, out)
+    np.add(out, c, out)
+
+
+def _sums(x):
+    """The sum of each column: eight partial sums and then those by pairs, the order in
+    which numpy adds up a row."""
+    if len(x) % 8:
+        return x.sum(axis=0)
+    x = np.add.reduce(x.reshape(len(x) // 8, 8, x.shape[1]), axis=0)
+    while len(x) > 1:
+        x = x[::2] + x[1::2]
+    return x[0]
 
 
 def _softmax(x):
-    """The softmax of each row, in the place of ``x``."""
-    x -= _row_max(x)
+    """The softmax of each column, in the place of ``x``."""
+    x -= x.max(axis=0)
     np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
+    x /= _sums(x)
     return x
 
 
 def _log_softmax_at(x, place):
-    """Natural log of each row's softmax at its place; ``x`` is used up."""
-    x -= _row_max(x)
-    at = x[np.arange(len(x)), place]
+    """Natural log of each column's softmax at its place; ``x`` is used up."""
+    x -= x.max(axis=0)
+    at = x[place, np.arange(x.shape[1])]
     np.exp(x, out=x)
-    return at - np.log(x.sum(axis=1))
+    return at - np.log(_sums(x))
 
 
 def _order(of, below: int):
@@ -128,6 +152,20 @@ def _order(of, below: int):
     return np.argsort(of.astype(np.uint16) if below <= 1 << 16 else of, kind="stable")
 
 
+def _row_sums(x, begins):
+    """The sum of the rows from each place of ``begins`` to the next.  Most have one row
+    or two, which take no reduction."""
+    n = np.diff(begins, append=len(x))
+    out = x.take(begins, axis=0)
+    two, more = np.flatnonzero(n == 2), np.flatnonzero(n > 2)
+    out[two] += x.take(begins[two] + 1, axis=0)
+    if len(more):
+        n, ends = n[more], np.cumsum(n[more])
+        rows = np.arange(ends[-1]) + np.repeat(begins[more] - ends + n, n)
+        out[more] = np.add.reduceat(x.take(rows, axis=0), ends - n, axis=0)
+    return out
+
+
 def _by_class(layout: Layout, target):
     """Places of the head targets by class, and (class, its part of them)."""
     order = _order(target, layout.inputs)
@@ -135,22 +173,26 @@ def _by_class(layout: Layout, target):
     return order[:cut[-1]], [(k, slice(cut[k], cut[k + 1])) for k in range(layout.classes) if cut[k] < cut[k + 1]]
 
 
-def _inner(p, layout: Layout, h, parts):
-    """Logits of the words in each state's class, for states by class."""
-    x = np.empty((len(h), layout.size), np.result_type(h, p["ww"]))
+def _with_bias(weights, bias):
+    """Weights with the bias as one more input, which is always 1."""
+    return np.concatenate([weights, bias[..., None, :]], axis=-2)
+
+
+def _inner(weights, layout: Layout, h, parts):
+    """Logits of the words in each state's class, for states by class; a column for each."""
+    x = np.empty((layout.size, h.shape[1]), np.result_type(h, weights))
     for k, part in parts:
-        np.matmul(h[part], p["ww"][k], out=x[part])
-        x[part] += p["wb"][k]
+        np.matmul(weights[k].T, h[:, part], x[:, part])
     return x
 
 
-def log_probs(p, layout: Layout, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log of class times word in class for each target after state h."""
-    x = h @ p["cw"]
-    x += p["cb"]
-    out = _log_softmax_at(x, layout.class_of(target))
+def log_probs(weights, layout: Layout, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log of class times word in class for each target after the state in its
+    column of ``h``, whose last row is 1; ``weights``: of classes and words, with biases."""
+    of_class, of_word = weights
+    out = _log_softmax_at(of_class.T @ h, layout.class_of(target))
     order, parts = _by_class(layout, target)
-    out[order] += _log_softmax_at(_inner(p, layout, h[order], parts), target[order] % layout.size)
+    out[order] += _log_softmax_at(_inner(of_word, layout, h.take(order, axis=1), parts), target[order] % layout.size)
     return out
 
 
@@ -175,23 +217,29 @@ def _forward(p, layout: Layout, docs: list[np.ndarray]) -> np.ndarray:
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     tokens = np.concatenate(docs)
     hidden = p["u"].shape[0]
-    h = np.zeros((len(docs), hidden), np.float32)
-    rz, c = np.empty((len(docs), 2 * hidden), np.float32), np.empty((len(docs), hidden), np.float32)
+    inputs, u = _gates_negated(p["in"].T.copy(), hidden).T.copy(), _gates_negated(p["u"].T.copy(), hidden)
+    weights = _with_bias(p["cw"], p["cb"]), _with_bias(p["ww"], p["wb"])
+    h = np.zeros((hidden, len(docs)), np.float32)
     last = np.zeros(len(docs), np.int64)          # the end token stands for a start
     for begin in range(0, int(lengths[0]), SCORE_STEPS):
-        states, targets, rows = [], [], []
-        for t in range(begin, min(begin + SCORE_STEPS, int(lengths[0]))):
-            n = int(np.searchsorted(-lengths, -t, "left"))      # documents of more than t tokens
-            h = h[:n]
-            h = _step(p["in"].take(last[:n], axis=0), h @ p["u"], h, rz[:n], c[:n])
-            last = tokens[first[:n] + t]
-            states.append(h)
-            targets.append(last)
-            rows.append(np.arange(n))
-        h_all, t_all, r_all = np.concatenate(states), np.concatenate(targets), np.concatenate(rows)
-        for low in range(0, len(t_all), OUTPUTS):
+        ends = np.arange(begin, min(begin + SCORE_STEPS, int(lengths[0])))
+        live = np.searchsorted(-lengths, -ends, "left").tolist()      # documents of more than t tokens
+        ends = np.cumsum(live).tolist()
+        states, targets = np.ones((hidden + 1, ends[-1]), np.float32), np.empty(ends[-1], np.int64)
+        for t, n, end in zip(range(begin, begin + len(live)), live, ends):
+            if n < h.shape[1]:
+                h = h[:, :n].copy()
+            if t == begin or n < rz.shape[1]:
+                rz, c = np.empty((2 * hidden, n), np.float32), np.empty((hidden, n), np.float32)
+            x = inputs.take(last[:n], axis=0).T.copy()
+            after = np.empty((hidden, n), np.float32)
+            _step(x[:2 * hidden], x[2 * hidden:], u @ h, h, rz, rz[:hidden], rz[hidden:], c, after)
+            h = states[:-1, end - n:end] = after
+            last = targets[end - n:end] = tokens[first[:n] + t]
+        rows = np.concatenate([np.arange(n) for n in live])
+        for low in range(0, len(targets), OUTPUTS):
             part = slice(low, low + OUTPUTS)
-            total += np.bincount(r_all[part], log_probs(p, layout, h_all[part], t_all[part]).astype(float), len(docs))
+            total += np.bincount(rows[part], log_probs(weights, layout, states[:, part], targets[part]).astype(float), len(docs))
     return total
 
 
@@ -217,26 +265,34 @@ class Trainer:
         h = np.zeros((lanes, self.p["u"].shape[0]), np.float32)
         more = True
         while True:
-            target = np.zeros((lanes, STEPS), np.int64)
             fresh = np.zeros((lanes, STEPS), bool)
-            filled = np.zeros(lanes, np.int64)
+            parts, filled = [], []
             for i, rest in enumerate(now):
-                have = 0
-                while have < STEPS:
-                    if not len(rest):
-                        doc = next(stream, None) if more else None
-                        if doc is None:
-                            more = False
-                            break
-                        rest = doc
-                        fresh[i, have] = len(doc) > 0
-                    part = rest[:STEPS - have]
-                    target[i, have:have + len(part)] = part
-                    rest = rest[len(part):]
-                    have += len(part)
-                now[i], filled[i] = rest, have
-            if not filled.any():
+                have = len(rest)
+                if have >= STEPS:
+                    parts.append(rest[:STEPS])
+                    now[i] = rest[STEPS:]
+                    filled.append(STEPS)
+                    continue
+                row = [rest]
+                while have < STEPS and more:
+                    doc = next(stream, None)
+                    if doc is None:
+                        more = False
+                    elif len(doc):
+                        fresh[i, have] = True
+                        row.append(doc[:STEPS - have])
+                        rest = doc[STEPS - have:]
+                        have += len(row[-1])
+                now[i] = rest if have == STEPS and len(row) > 1 else rest[:0]
+                filled.append(have)
+                parts += row
+                if have < STEPS:
+                    parts.append(np.zeros(STEPS - have, np.int64))
+            if not any(filled):
                 return total
+            target = np.concatenate(parts).reshape(lanes, STEPS)
+            filled = np.array(filled)
             total += int(filled.sum())
             order = np.argsort(-filled, kind="stable")
             order = order[filled[order] > 0]
@@ -254,69 +310,121 @@ class Trainer:
         """Gradients of the window's loss (``in`` aside), those of the input rows of its
         tokens, and the state after it.  ``token`` and ``target`` are its steps one after
         the other; step t has the first ``live[t]`` lanes.  Where ``fresh`` is set, a
-        document begins: its state is zero and no gradient goes back beyond."""
-        p, n = self.p, h.shape[1]
-        fresh = np.zeros(len(token), bool) if fresh is None else fresh
-        ends = np.cumsum(live).tolist()
-        steps = [slice(e - k, e) for e, k in zip(ends, live)]
-        begins = [bool(fresh[s].any()) for s in steps]
-        inputs = p["in"].take(token, axis=0)
-        before, out, c = (np.empty((len(token), n), np.float32) for _ in range(3))
-        rz, g = np.empty((len(token), 2 * n), np.float32), np.empty((len(token), 3 * n), np.float32)
-        h = h.astype(np.float32)
-        for s, k, begin in zip(steps, live, begins):
-            if begin:
-                h[:k][fresh[s]] = 0
-            before[s] = h[:k]
-            np.matmul(before[s], p["u"], out=g[s])
-            out[s] = h[:k] = _step(inputs[s], g[s], before[s], rz[s], c[s])
-        g = g[:, 2 * n:]
-        d = out @ p["cw"]
-        d += p["cb"]
+        document begins: its state is zero and no gradient goes back beyond.
+
+        A step's arrays have a column for each of the first step's lanes; what a lane that is
+        over has there reaches no gradient."""
+        p, n, steps, wide = self.p, h.shape[1], len(live), live[0]
+        at = None if live[-1] == wide else np.flatnonzero(np.arange(wide) < np.array(live)[:, None])
+        begins: dict = {}
+        if fresh is not None and fresh.any():
+            for i in (np.flatnonzero(fresh) if at is None else at[fresh]).tolist():
+                begins.setdefault(i // wide, []).append(i % wide)
+
+        def spread(rows):                         # (tokens, k) to (steps, k, lanes)
+            if at is not None:
+                rows_, rows = rows, np.zeros((steps * wide, rows.shape[1]), rows.dtype)
+                rows[at] = rows_
+            return rows.reshape(steps, wide, -1).transpose(0, 2, 1)
+
+        def rows_of(x):                           # and back
+            x = x.transpose(0, 2, 1).reshape(steps * wide, -1)
+            return x if at is None else x.take(at, axis=0)
+
+        def times(t, x, weights, to):             # one lane alone is a product of a vector
+            if live[t] == 1:
+                x, to = x[:, :1], to[:, :1]
+            np.matmul(x.T, weights, to.T)
+
+        empty = lambda *shape: np.empty((steps, *shape, wide), np.float32)
+        inputs = empty(3 * n)
+        inputs[:] = spread(p["in"].take(token, axis=0))
+        np.negative(inputs[:, :2 * n], out=inputs[:, :2 * n])
+        u, u_back = _gates_negated(p["u"].T.copy(), n).T.copy(), p["u"].T.copy()
+        states, rz, c, g = np.empty((steps + 1, n, wide), np.float32), empty(2 * n), empty(n), empty(3 * n)
+        g[:] = 0
+        states[0] = h.T
+        r, z = rz[:, :n], rz[:, n:]
+        state = states[0]
+        for t, (gates, candidate, g_, rz_, r_, z_, c_, after) in enumerate(zip(
+                inputs[:, :2 * n], inputs[:, 2 * n:], g, rz, r, z, c, states[1:])):
+            if t in begins:
+                state = state.copy()
+                state[:, begins[t]] = 0
+            times(t, state, u, g_)
+            _step(gates, candidate, g_, state, rz_, r_, z_, c_, after)
+            state = after
+        before = states[:-1]
+        if begins:
+            before = before.copy()
+            for t, lanes in begins.items():
+                before[t][:, lanes] = 0
+        # outputs: a column for each token, and a row where tokens are added up
+        out_rows = rows_of(states[1:])
+        out = np.ones((n + 1, len(token)), np.float32)
+        out[:-1] = out_rows.T
+        d = _with_bias(p["cw"], p["cb"]).T @ out
         _softmax(d)
-        d[np.arange(len(target)), self.layout.class_of(target)] -= 1
+        d[self.layout.class_of(target), np.arange(len(target))] -= 1
+        d = d.T.copy()
         grad = {k: np.zeros_like(v) for k, v in p.items() if k in ("ww", "wb")}
-        grad["cw"], grad["cb"] = out.T @ d, d.sum(axis=0)
+        grad["cw"], grad["cb"] = out_rows.T @ d, d.sum(axis=0)
         dh_all = d @ p["cw"].T
         order, parts = _by_class(self.layout, target)
-        here = out[order]
-        d = _inner(p, self.layout, here, parts)
+        here = out.take(order, axis=1)
+        d = _inner(_with_bias(p["ww"], p["wb"]), self.layout, here, parts)
         _softmax(d)
-        d[np.arange(len(order)), target[order] % self.layout.size] -= 1
-        back = np.empty((len(order), n), dh_all.dtype)
+        d[target[order] % self.layout.size, np.arange(len(order))] -= 1
+        d, here, back = d.T.copy(), out_rows.take(order, axis=0), np.empty((len(order), n), dh_all.dtype)
         for k, part in parts:
-            np.matmul(here[part].T, d[part], out=grad["ww"][k])
-            d[part].sum(axis=0, out=grad["wb"][k])
-            np.matmul(d[part], p["ww"][k].T, out=back[part])
+            d_ = d[part]
+            np.matmul(here[part].T, d_, grad["ww"][k])
+            np.add.reduce(d_, 0, None, grad["wb"][k])
+            np.matmul(d_, p["ww"][k].T, back[part])
         dh_all[order] += back
-        # what each gate passes back, for all steps at once
-        r, z = rz[:, :n], rz[:, n:]
-        to_c, to_z, to_r = (1 - z) * (1 - c * c), (before - c) * z * (1 - z), g * r * (1 - r)
-        back = np.zeros((len(h), n), np.float32)
-        dg, dc = np.empty((len(token), 3 * n), np.float32), np.empty((len(token), n), np.float32)
-        u = p["u"].T.copy()
-        for s, k, begin in zip(reversed(steps), reversed(live), reversed(begins)):
-            dh = dh_all[s] + back[:k]
-            np.multiply(dh, to_c[s], out=dc[s])
-            np.multiply(dc[s], to_r[s], out=dg[s, :n])
-            np.multiply(dh, to_z[s], out=dg[s, n:2 * n])
-            np.multiply(dc[s], r[s], out=dg[s, 2 * n:])
-            dh *= z[s]
-            dh += dg[s] @ u
-            if begin:
-                dh[fresh[s]] = 0
-            back[:k] = dh
-        grad["u"] = before.T @ dg
-        dg[:, 2 * n:] = dc
-        return grad, dg, h
+        dh_all = spread(dh_all)
+        # what each gate passes back, for all steps at once: from the state to the update gate,
+        # the candidate and the state before, and from the candidate to the reset gate and ``g``
+        of_state, of_c = empty(3, n), empty(2, n)
+        rest, x = 1 - z, 1 - c * c
+        np.multiply(rest, x, of_state[:, 1])
+        np.subtract(before, c, x)
+        x *= z
+        np.multiply(x, rest, of_state[:, 0])
+        of_state[:, 2] = z
+        np.multiply(g[:, 2 * n:], r, x)
+        np.subtract(1, r, rest)
+        np.multiply(x, rest, of_c[:, 0])
+        of_c[:, 1] = r
+        # blocks 0 to 2: gradients of ``g``; 1, 3 and 5: those that come from the state
+        change = empty(6, n)
+        dg, dc = change[:, :3].reshape(steps, 3 * n, wide), change[:, 3]
+        dh, back = np.empty((n, wide), np.float32), np.zeros((n, wide), np.float32)
+        whole = list(zip(range(steps), dh_all, of_state, of_c, change[:, 1::2], dc, change[:, :3:2], dg, change[:, 5]))
+        for t, from_out, of_state_, of_c_, from_state, dc_, from_c, dg_, kept in reversed(whole):
+            np.add(from_out, back, dh)
+            np.multiply(dh, of_state_, from_state)
+            np.multiply(dc_, of_c_, from_c)
+            times(t, dg_, u_back, back)
+            np.add(kept, back, back)
+            if t in begins:
+                back[:, begins[t]] = 0
+        change = rows_of(dg)
+        grad["u"] = rows_of(before).T @ change
+        change[:, 2 * n:] = rows_of(dc)
+        h = states[-1].T
+        if at is not None:
+            length = (np.array(live)[:, None] > np.arange(wide)).sum(axis=0)
+            h = states[length, :, np.arange(wide)]
+        return grad, change, h
 
     def _window(self, token, target, live, h, fresh):
         grad, change, h = self.gradients(token, target, live, h, fresh)
         scale = 1.0 / live[0]
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values())) * scale
+        norm = np.sqrt(sum(float((grad[k] * grad[k]).sum()) for k in ("ww", "wb", "cw", "cb", "u"))) * scale
         scale *= min(1.0, CLIP / max(norm, 1e-9))
         # a class without a target has no gradient
-        seen = np.unique(target[target < self.layout.head] // self.layout.size)
+        seen = np.flatnonzero(np.bincount(target // self.layout.size, minlength=self.layout.classes)[:self.layout.classes])
         seen = slice(None) if 2 * len(seen) > self.layout.classes else seen
         for k, g in grad.items():
             at = seen if k in ("ww", "wb") else slice(None)
@@ -324,13 +432,16 @@ class Trainer:
         order = _order(token, self.layout.inputs)
         token = token[order]
         begins = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-        self._move("in", token[begins], np.add.reduceat(change.take(order, axis=0), begins, axis=0) * scale)
+        self._move("in", token[begins], _row_sums(change.take(order, axis=0), begins) * scale)
         return h
 
     def _move(self, k, at, g):
-        square = self.square[k][at]
-        square += g * g
-        self.square[k][at] = square
+        """An Adagrad step of the parameters ``at``; ``g`` is used up."""
+        square, x = self.square[k][at], g * g
+        square += x
+        if not isinstance(at, slice):
+            self.square[k][at] = square
         g *= RATE
-        g /= np.sqrt(square)
+        np.sqrt(square, out=x)
+        g /= x
         self.p[k][at] -= g

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
@@ -27,7 +27,9 @@ ROUNDS = 2
 SHARE = ROUNDS
 MEANS = 64               # groups of tasks whose parameters are averaged before those of all
 TOKENS_AT_ONCE = 1 << 22 # about, that go forward together in scoring
-DISTINCT_AT_ONCE = 200_000
+# Each byte with A-Z in lower case and the six spaces as one.
+PLAIN = bytes(range(256)).lower().translate(bytes.maketrans(b"\t\n\v\f\r", b"     "))
+TEXT_AT_ONCE = 8 << 20    # bytes of texts whose words are told apart together
 
 
 def held_out(id_: Column) -> Column:
@@ -35,29 +37,55 @@ def held_out(id_: Column) -> Column:
     return F.coalesce(F.crc32(id_.cast("string")) % 7 == 2, F.lit(False))
 
 
-def _words(text: str) -> list[bytes]:
-    return text.encode().lower().split()
+def _slices(texts: pa.Array):
+    """(first text, texts), TEXT_AT_ONCE bytes or one text at a time."""
+    ends = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+    low = 0
+    while low < len(texts):
+        before = ends[low - 1] if low else 0
+        n = max(1, int(np.searchsorted(ends, before + TEXT_AT_ONCE, "right")) - low)
+        yield low, texts.slice(low, n)
+        low += n
+
+
+def _gathered(columns):
+    """Texts of some columns, TEXT_AT_ONCE bytes or one longer text at a time."""
+    held, size = [], 0
+    for column in columns:
+        for _, texts in _slices(column):
+            n = pc.sum(pc.binary_length(texts)).as_py()
+            if held and size + n > TEXT_AT_ONCE:
+                yield pa.concat_arrays(held)
+                held, size = [], 0
+            held.append(texts)
+            size += n
+    if held:
+        yield pa.concat_arrays(held)
+
+
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of the lower-cased (A-Z) texts, the place among them of each
+    word of the texts, and where each text's words begin, with their number as last."""
+    texts = texts.cast(pa.large_string())
+    _, offsets, data = texts.buffers()
+    ends = np.frombuffer(offsets, np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = np.frombuffer(data or b"", np.uint8)[ends[0]:ends[-1]].tobytes().translate(PLAIN)
+    plain = pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(ends - ends[0]), pa.py_buffer(data)])
+    found = pc.split_pattern(plain, " ")
+    is_word = np.asarray(pc.greater(pc.binary_length(found.values), 0))       # not what is before or after the outer spaces
+    first = np.concatenate([[0], np.cumsum(is_word)])[np.asarray(found.offsets)]
+    of = found.values.filter(pa.array(is_word)).dictionary_encode()
+    return of.dictionary.cast(pa.string()), np.asarray(of.indices), first
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(word, c) over column ``text``: a task adds up its own words and hands them on
-    when it holds many distinct ones."""
+    """(word, c) over column ``text``: a task adds up the words of TEXT_AT_ONCE bytes of
+    texts and hands them on."""
     def count(found):
-        words: Counter = Counter()
-
-        def rows():
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array([w.decode() for w in words], pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "c"])
-            words.clear()
-            return batch
-
-        for batch in found:
-            for low in range(0, len(batch), 256):
-                for text in batch.column(0).slice(low, 256).to_pylist():
-                    words.update(_words(text))
-                if len(words) > DISTINCT_AT_ONCE:
-                    yield rows()
-        yield rows()
+        for texts in _gathered(batch.column(0) for batch in found):
+            different, codes, _ = _words(texts)
+            yield pa.RecordBatch.from_arrays(
+                [different, pa.array(np.bincount(codes, minlength=len(different)), pa.int64())], names=["word", "c"])
 
     return texts.mapInArrow(count, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -92,14 +120,25 @@ class Vocabulary:
         self.end = np.log10(n_docs + 1)
         self.end_known = int(n_docs > 0)
 
-    def read(self, text: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-        """Words, their ranks, and the tokens of the model with the end as last."""
-        words = _words(text)
+    def read(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The different words of the texts, of all their words the places among them and
+        the ranks, where each text's words begin, and the tokens of the model with an end
+        after each text: those of text i begin i places later than its words."""
+        different, codes, first = _words(texts)
+        words = different.cast(pa.binary()).to_numpy(zero_copy_only=False)
         ranks = np.fromiter(map(self.rank.get, words, repeat(0)), np.int32, len(words))
-        tokens = np.append(self.token[ranks], 0)
+        tokens = self.token[ranks]
         new = np.flatnonzero(ranks == 0)
-        tokens[new] = [self.layout.head + bin_of(words[i], self.layout.bins) for i in new.tolist()]
-        return words, ranks, tokens
+        tokens[new] = [self.layout.head + bin_of(w, self.layout.bins) for w in words[new]]
+        every = np.zeros(len(codes) + len(texts), np.int64)
+        every[np.arange(len(codes)) + np.repeat(np.arange(len(texts)), np.diff(first))] = tokens[codes]
+        return different, codes, ranks[codes], first, every
+
+
+def _documents(first: np.ndarray, tokens: np.ndarray) -> list[np.ndarray]:
+    """The tokens of each text by itself."""
+    ends = (first + np.arange(len(first))).tolist()
+    return [tokens[a:b].copy() for a, b in zip(ends, ends[1:])]
 
 
 def bin_of(word: bytes, bins: int) -> int:
@@ -132,9 +171,10 @@ def train(training: DataFrame, vocabulary, layout: gru.Layout, rounds: int = ROU
 
         def local(found):
             gru.one_thread()
+            gru.keep_memory()
             voc, trainer = vocabulary.value, gru.Trainer(start.value, layout)
-            texts = (x for batch in found for low in range(0, len(batch), 256) for x in batch.column(0).slice(low, 256).to_pylist())
-            seen = trainer.train(voc.read(x)[2] for x in texts)
+            texts = (x for batch in found for _, x in _slices(batch.column(0)))
+            seen = trainer.train(doc for x in texts for doc in _documents(*voc.read(x)[3:]))
             if seen:
                 for name, value in trainer.p.items():
                     yield pa.RecordBatch.from_arrays(
@@ -196,6 +236,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(found):
         gru.one_thread()
+        gru.keep_memory()
         voc, p = vocabulary.value, model.value
         docs_, known, base_, fixed = [], [], [], []
         keys: list = [[], [], [], []]
@@ -214,28 +255,26 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         waiting = 0
         for batch in found:
-            for low in range(0, len(batch), 256):
-                rare_words, rare_n, rare_of = [], [], []
-                for i, text in enumerate(batch.column(4).slice(low, 256).to_pylist()):
-                    words, ranks, tokens = voc.read(text)
-                    log_c = voc.log_c[ranks]
-                    docs_.append(tokens)
-                    known.append(int((ranks > 0).sum()) + voc.end_known)
-                    base_.append(float(log_c.sum()) + voc.end)
-                    rest = tokens[:-1][~voc.head[ranks]] - layout.head
-                    fixed.append(float(log_c[~voc.head[ranks]].sum()) - float(voc.log_bin[rest].sum()))
-                    waiting += len(tokens)
-                    for word, n in Counter(words[j] for j in np.flatnonzero(ranks == 0).tolist()).items():
-                        rare_words.append(word.decode())
-                        rare_n.append(n)
-                        rare_of.append(low + i)
+            for low, texts in _slices(batch.column(4)):
+                different, codes, ranks, first, tokens = voc.read(texts)
+                docs_ += _documents(first, tokens)
+                waiting += len(tokens)
+                known += (np.diff(np.concatenate([[0], np.cumsum(ranks > 0)])[first]) + voc.end_known).tolist()
+                log_c, rest = voc.log_c[ranks], np.flatnonzero(~voc.head[ranks])
+                of = np.repeat(np.arange(len(texts)), np.diff(first))
+                log_rest, log_bin = log_c[rest], voc.log_bin[tokens[rest + of[rest]] - layout.head]
+                cut = np.searchsorted(rest, first).tolist()
+                base_ += [float(log_c[a:b].sum()) + voc.end for a, b in zip(first.tolist(), first[1:].tolist())]
+                fixed += [float(log_rest[a:b].sum()) - float(log_bin[a:b].sum()) for a, b in zip(cut, cut[1:])]
                 for x, c in zip(keys, range(4)):
-                    x.append(batch.column(c).slice(low, 256))
-                if rare_words:
-                    n = len(rare_words)
-                    of = pa.array(rare_of)
+                    x.append(batch.column(c).slice(low, len(texts)))
+                new = np.flatnonzero(ranks == 0)
+                if len(new):
+                    pairs, n_of = np.unique(of[new] * len(different) + codes[new], return_counts=True)
+                    n = len(pairs)
+                    of = pa.array(low + pairs // len(different))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(rare_words, pa.string()), pa.array(rare_n, pa.int64()), batch.column(0).take(of),
+                        [different.take(pa.array(pairs % len(different))), pa.array(n_of, pa.int64()), batch.column(0).take(of),
                          batch.column(1).take(of), pa.nulls(n, batch.column(2).type),
                          pa.nulls(n, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
                          pa.nulls(n, pa.float64()), pa.nulls(n, pa.float64())], names=names)

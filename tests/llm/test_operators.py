@@ -104,6 +104,31 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * ones[b] > len(grams))
 
 
+def test_lm_words_are_those_of_a_plain_split(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    odd = ["", " ", "a  B\tC\x0b\x0c\r\n", "\x1c x\x1d", "É Ünï x  y à", "AAAA", "  lead", "trail  ", "\x85 q \x00z", "ẞ İ à b a b", *[t or "" for _, t, _ in ROWS]]
+    texts = pa.array(["not in the slice", *odd]).slice(1)
+    plain = [t.encode().lower().split() for t in odd]
+    for at_once in (1 << 20, 16, 1):
+        monkeypatch.setattr(lm_scoring, "TEXT_AT_ONCE", at_once)
+        for parts in ([x for _, x in lm_scoring._slices(texts)], list(lm_scoring._gathered([texts.slice(0, 3), texts.slice(3)]))):
+            got = []
+            for part in parts:
+                different, codes, first = lm_scoring._words(part)
+                words = [w.encode() for w in different.to_pylist()]
+                got += [[words[j] for j in codes[a:b]] for a, b in zip(first, first[1:])]
+            assert got == plain
+    voc = lm_scoring.Vocabulary([b"a", b"x"], np.array([5, 3]), 2, 9, 3, np.full(32, 9.0), np.full(32, 3.0), lm_scoring.LAYOUT)
+    _, _, ranks, first, tokens = voc.read(texts)
+    rank = {b"a": 1, b"x": 2}
+    assert ranks.tolist() == [rank.get(w, 0) for t in plain for w in t]
+    head = lm_scoring.LAYOUT.head
+    assert [d.tolist() for d in lm_scoring._documents(first, tokens)] == [
+        [*[rank.get(w) or head + lm_scoring.bin_of(w, 32) for w in t], 0] for t in plain]
+    assert [len(x) for x in lm_scoring._words(pa.array([], pa.string()))] == [0, 0, 1]
+
+
 def test_lm_learns_from_every_training_document(spark):
     layout = lm_scoring.LAYOUT
     for i in range(3):
