@@ -41,8 +41,8 @@ def one_thread() -> None:
 @lru_cache(maxsize=1)
 def keep_memory() -> None:
     """Let the allocator keep up to 64 MB that numpy gives back.  Otherwise each window's
-    arrays go back to the system and are mapped, page by page, for the next one: a fifth
-    of a window's time.  Where the C library has no such setting nothing changes."""
+    arrays go back to the system and are mapped, page by page, for the next one: where
+    measured, an eighth to a quarter of a window's time.  Where the C library has no such setting nothing changes."""
     import ctypes
 
     try:

@@ -183,7 +183,7 @@ def test_row_sums_are_those_of_a_reduction():
 
 
 def test_windows_take_no_new_memory():
-    """What a window frees serves the next one; pages mapped again took a fifth of its time."""
+    """What a window frees serves the next one; pages mapped again took an eighth of its time or more."""
     import resource
 
     gru.keep_memory()
